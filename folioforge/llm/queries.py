@@ -24,3 +24,27 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
     return exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie_bpe import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .records import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_count import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"))
