@@ -48,3 +48,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op8_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_dedup import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
