@@ -54,3 +54,38 @@ def op8_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivot_dedup import near_vectors
 
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def _classified(spark: SparkSession, sf_dir: str, module) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = split_remainder(3) == 1
+    model = module.fit(docs.where(~held_out), read_table(spark, sf_dir, "labels"))
+    scored = module.score_documents(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return _classified(spark, sf_dir, toxicity)
+
+
+def op9_latent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return _classified(spark, sf_dir, quality)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lattice_lm, op2_nnpu_toxicity, op3_trie_bpe, op4_hyperminhash, op5_token_records,
+        op6_best_fit_packing, op7_token_counts, op8_pivot_dedup, op9_latent_votes, op10_chunk_recipes, pipeline,
+    )
+}
