@@ -1,0 +1,28 @@
+"""Small text helpers used inside Arrow UDFs."""
+
+from __future__ import annotations
+
+import unicodedata
+
+ZWJ = "‍"
+
+
+def clusters(text: str) -> list[str]:
+    """Approximate grapheme clusters: CR LF, marks and joiners stay with their base, regional indicators pair up."""
+    out: list[str] = []
+    flags = 0
+    for c in text:
+        flag = "\U0001f1e6" <= c <= "\U0001f1ff"
+        glue = out and (
+            (c == "\n" and out[-1] == "\r")
+            or unicodedata.category(c) in ("Mn", "Me", "Mc")
+            or c == ZWJ
+            or out[-1].endswith(ZWJ)
+            or (flag and flags % 2 == 1)
+        )
+        flags = flags + 1 if flag else 0
+        if glue:
+            out[-1] += c
+        else:
+            out.append(c)
+    return out

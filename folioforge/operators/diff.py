@@ -1,0 +1,75 @@
+"""Diff of paragraph drafts with style ownership (Arrow UDFs; unchanged pairs never reach Python)."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import clusters
+
+HUNK = T.ArrayType(
+    T.StructType(
+        [T.StructField("operation", T.StringType())] + [T.StructField(c, T.IntegerType()) for c in ("i1", "i2", "j1", "j2")] + [T.StructField(c, T.StringType()) for c in ("removed", "inserted")]
+    )
+)
+
+
+def hunks(before: str, after: str) -> list[dict]:
+    """Changed spans between two texts over grapheme clusters; offsets are code points."""
+    a, b = clusters(before), clusters(after)
+    at_a, at_b = [0], [0]
+    for units, at in ((a, at_a), (b, at_b)):
+        for u in units:
+            at.append(at[-1] + len(u))
+    out = []
+    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if op != "equal":
+            out.append({"operation": op, "i1": at_a[i1], "i2": at_a[i2], "j1": at_b[j1], "j2": at_b[j2], "removed": "".join(a[i1:i2]), "inserted": "".join(b[j1:j2])})
+    return out
+
+
+@F.pandas_udf(HUNK)
+def hunks_udf(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([hunks(x, y) for x, y in zip(before, after)])
+
+
+@F.pandas_udf(T.IntegerType())
+def cluster_count(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: len(clusters(t)) if t is not None else None).astype("Int32")
+
+
+def sync_diff(pairs: DataFrame) -> DataFrame:
+    """(id, before, after) → one row per hunk; equal pairs are filtered out before the UDF."""
+    changed = pairs.where("before IS NOT NULL AND after IS NOT NULL AND before <> after")
+    rows = changed.select("id", F.posexplode(hunks_udf("before", "after")).alias("hunk", "h"))
+    return rows.select("id", "hunk", "h.*")
+
+
+def tracked(hunk_rows: DataFrame) -> DataFrame:
+    """Hunks as tracked revisions: insert, delete, or a deletion followed by an insertion."""
+    parts = F.array_compact(F.array(
+        F.when(F.col("removed") != "", F.struct(F.lit("delete").alias("kind"), F.col("i1").alias("at"), F.col("removed").alias("text"))),
+        F.when(F.col("inserted") != "", F.struct(F.lit("insert").alias("kind"), F.col("i1").alias("at"), F.col("inserted").alias("text"))),
+    ))
+    return hunk_rows.select("id", "hunk", F.posexplode(parts).alias("part", "r")).select("id", "hunk", "part", "r.*")
+
+
+def assign_styles(hunk_rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """Owning style of each hunk from the style regions (id, start, stop, style) it touches.
+
+    A replaced or deleted span in one style keeps it; several styles are
+    ``mixed-replacement-requires-unchanged-text``.  A pure insertion takes the
+    style to its left, at offset 0 the one to its right.
+    """
+    r = regions.select(F.col("id").alias("rid"), "start", "stop", "style")
+    pure = F.col("i1") == F.col("i2")
+    left = F.when(F.col("i1") == 0, F.col("start") == 0).otherwise((F.col("start") < F.col("i1")) & (F.col("i1") <= F.col("stop")))
+    touch = F.when(pure, left).otherwise((F.col("start") < F.col("i2")) & (F.col("i1") < F.col("stop")))
+    both = hunk_rows.join(r, (F.col("id") == F.col("rid")) & touch, "left")
+    out = both.groupBy("id", "hunk", "operation", "i1", "i2").agg(F.array_sort(F.collect_set("style")).alias("source_styles"))
+    warning = F.when(F.size("source_styles") > 1, "mixed-replacement-requires-unchanged-text").when(F.size("source_styles") == 0, "protected-context-ambiguous")
+    return out.withColumn("assigned_style", F.when(F.size("source_styles") == 1, F.col("source_styles")[0])).withColumn("warning", warning)
