@@ -36,8 +36,6 @@ SHINGLE, LEAST_PERCENT = 5, 75
 BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Candidates are dropped before verification only below 0.75 minus five standard errors of the estimate.
-ESTIMATE_FLOOR = 0.59
 #: Members compared with one copy of their leader in one task.
 STAR = 512
 BLOCK = 256
@@ -97,13 +95,14 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band that has a full bucket."""
+def band_keys(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band, 64-bit key) of every band that has a full bucket."""
     bands = sketch.reshape(BANDS, ROWS).astype(np.uint64)
     packed = bands[:, 0] | bands[:, 1] << np.uint64(16) | bands[:, 2] << np.uint64(32) | bands[:, 3] << np.uint64(48)
     with np.errstate(over="ignore"):
         keys = _mix(packed + np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT[0])
-    return keys[packed != 0].view(np.int64)
+    full = np.flatnonzero(packed)
+    return full.astype(np.int16), keys[full].view(np.int64)
 
 
 def chance_match(sizes_a, sizes_b) -> np.ndarray:
@@ -159,13 +158,11 @@ def sketch_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def _band_batches(batches):
     for batch in batches:
-        ids, keys, nodes = batch.column(0).to_pylist(), [], []
-        for node, sketch in zip(ids, batch.column(1)):
-            k = band_keys(np.frombuffer(sketch.as_py(), np.uint16))
-            keys.append(k)
-            nodes.append(np.full(len(k), node, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+        got = [band_keys(np.frombuffer(x.as_py(), np.uint16)) for x in batch.column(1)]
+        if got:
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for _, k in got])
+            bands, keys = (np.concatenate(x) for x in zip(*got))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bands), pa.array(nodes)], ["key", "band", "node"])
 
 
 def _estimate_batches(batches):
@@ -217,40 +214,70 @@ def counted(pairs: DataFrame) -> DataFrame:
     return pairs.join(sizes, "a")
 
 
-def _block_pairs(pdf):
-    """One block pair of an unsettled bucket: pairs from different components that the sketches leave possible."""
-    import pandas as pd
-
-    pdf = pdf.sort_values("node")
-    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    get = lambda p: np.frombuffer(b"".join(p.sketch), np.uint16).reshape(-1, REGISTERS)
-    sb, nb, cb, idb = get(right), right.n_shingles.to_numpy(), right.comp.to_numpy(), right.node.to_numpy()
-    out_a, out_b = [], []
-    for s, n, c, i in zip(get(left), left.n_shingles, left.comp, left.node):
-        able = (cb != c) & (idb != i) & (np.minimum(nb, n) * 100 >= LEAST_PERCENT * np.maximum(nb, n))
-        if able.any():
-            able &= estimate(sb, s, nb, n) >= floor_for(((sb != 0) | (s != 0)).sum(-1))
-            out_a += [min(i, x) for x in idb[able]]
-            out_b += [max(i, x) for x in idb[able]]
-    return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64").drop_duplicates()
+def _check_blocks(table: pa.Table) -> pa.RecordBatch:
+    """Whole block-pair groups: pairs from different components that the sketches leave possible, each in its first common band only."""
+    number = lambda name: table.column(name).to_numpy()
+    key, band, i, j, side, node, comp, n = (number(c) for c in ("key", "band", "i", "j", "side", "node", "comp", "n_shingles"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    change = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    starts = np.concatenate([[0], change])
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    area = sizes * sizes
+    for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(area) // 500_000)) + 1):
+        group = np.repeat(some, area[some])
+        place = np.arange(len(group)) - np.repeat(np.cumsum(area[some]) - area[some], area[some])
+        a, b = starts[group] + place // sizes[group], starts[group] + place % sizes[group]
+        able = (a < b) & (comp[a] != comp[b]) & ((i[a] == j[a]) | (side[a] != side[b]))
+        able &= np.minimum(n[a], n[b]) * 100 >= LEAST_PERCENT * np.maximum(n[a], n[b])
+        a, b = a[able], b[able]
+        for at in range(0, len(a), 20_000):
+            x, y = a[at : at + 20_000], b[at : at + 20_000]
+            sx, sy = sketch[x], sketch[y]
+            match = sx == sy
+            bands = match.reshape(-1, BANDS, ROWS).all(2) & (sx.reshape(-1, BANDS, ROWS) != 0).any(2)
+            full = ((sx != 0) | (sy != 0)).sum(1)
+            good = (bands.argmax(1) == band[x]) & (estimate(sx, sy, n[x], n[y]) >= floor_for(full))
+            out_a.append(np.minimum(node[x], node[y])[good])
+            out_b.append(np.maximum(node[x], node[y])[good])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+
+def _block_batches(batches, rows_at_once: int = 8_000):
+    """Groups arrive sorted; a bounded number of rows is held, and only whole groups are checked."""
+    held: list = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows_at_once):
+            held.append(batch.slice(at, rows_at_once))
+            table = pa.Table.from_batches(held)
+            if table.num_rows < rows_at_once:
+                continue
+            same = np.full(table.num_rows, True)
+            for c in ("key", "i", "j"):
+                values = table.column(c).to_numpy()
+                same &= values == values[-1]
+            if not same.all():
+                cut = int(np.flatnonzero(~same)[-1]) + 1
+                yield _check_blocks(table.slice(0, cut))
+                table = table.slice(cut)
+            held = table.combine_chunks().to_batches()
+    if held:
+        yield _check_blocks(pa.Table.from_batches(held))
 
 
 def unsettled_pairs(bands: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
     """Candidate pairs across components inside band buckets that still hold several components."""
-    known = bands.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    known = bands.join(components, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     rows = materialize(known.join(open_keys.select("key", "size"), "key"), "open")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     rows = rows.join(classes.select("node", "sketch", "n_shingles"), "node")
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a member is the left side of (mine, j) for j >= mine and the right side of (i, mine) for i <= mine
-    left = rows.withColumn("other", F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("mine")))).withColumn("side", F.lit(1))
-    cols = ["key", "node", "comp", "sketch", "n_shingles", "side"]
-    dealt = left.select(*cols, F.col("mine").alias("i"), F.col("other").alias("j")).union(right.select(*cols, F.col("other").alias("i"), F.col("mine").alias("j")))
-    return dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a member is the left side of (mine, j) for j >= mine and the right side of (i, mine) for i < mine
+    left = rows.withColumn("j", F.explode(F.sequence("mine", F.col("blocks") - 1))).withColumn("i", F.col("mine")).withColumn("side", F.lit(0))
+    right = rows.where("mine > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mine") - 1))).withColumn("j", F.col("mine")).withColumn("side", F.lit(1))
+    cols = ["key", "band", "i", "j", "side", "node", "comp", "n_shingles", "sketch"]
+    dealt = left.select(cols).union(right.select(cols)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return dealt.mapInArrow(_block_batches, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +288,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     classes = materialize(
         full.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")), "classes"
     )
-    bands = materialize(classes.select("node", "sketch").mapInArrow(_band_batches, "key long, node long"), "bands")
+    bands = materialize(classes.select("node", "sketch").mapInArrow(_band_batches, "key long, band short, node long"), "bands")
     leaders = bands.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = bands.join(leaders, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     stars = materialize(estimated_pairs(stars, classes), "stars")
