@@ -61,7 +61,8 @@ def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hasher=
     if clash.isEmpty():
         return docs.select(*base, ids, none)
     # Rare: texts with such a chunk carry the chunk's content in their key.
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), *base, F.posexplode_outer(chunk_array(body)).alias("pos", "chunk"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), *base, chunk_array(body).alias("all"))
+    parts = numbered.select("row", "doc_id", "text_sha256", F.posexplode_outer("all").alias("pos", "chunk"))
     parts = parts.withColumn("h", hasher(F.col("chunk"))).join(clash.withColumn("shared", F.lit(True)), "h", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "h", F.when(F.col("shared"), F.col("chunk")).alias("content")))
     items = parts.groupBy("row", "doc_id", "text_sha256").agg(F.sort_array(F.collect_list(item)).alias("items"))

@@ -36,6 +36,8 @@ from .common import connected_components, materialize
 THRESHOLD = 0.93
 #: The index is fitted on SAMPLE vectors at most; PIVOTS of them (what is broadcast) are kept; descriptions have PREFIX pivots.
 SAMPLE, PIVOTS, PREFIX = 4096, 512, 6
+#: No pivot is as similar as this to another: pivots inside one dense cluster would order its members at random.
+APART = 0.7
 BLOCK, SMALL = 512, 48
 PAIRS = list(combinations(range(PREFIX), 2))
 
@@ -54,11 +56,11 @@ def unit_rows(vectors: list) -> np.ndarray:
 
 
 def farthest_first(x: np.ndarray, most: int) -> np.ndarray:
-    """Up to ``most`` rows of x, each the least similar to those before it."""
+    """Up to ``most`` rows of x, each the least similar to those before it and no closer than APART."""
     chosen, near = [0], x @ x[0]
     while len(chosen) < min(most, len(x)):
         i = int(near.argmin())
-        if near[i] > 1 - 1e-12:
+        if near[i] > APART:
             break
         chosen.append(i)
         near = np.maximum(near, x @ x[i])
