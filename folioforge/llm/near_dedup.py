@@ -6,9 +6,12 @@ bits of its least hash.  Bands of registers give candidates, a
 collision-corrected Jaccard estimate drops the hopeless ones, and every link is
 confirmed on the full sets (100 * intersection >= 75 * union).
 
-No pair list of a group is ever made: texts with equal sets are one class; in
-each band bucket every class first meets only the bucket's leader; then just the
-buckets that still hold several components are compared in full, in blocks.
+No pair list of a group is ever made.  Texts with equal sets are one class.  In
+each band bucket every class first meets only the bucket's leader.  Buckets that
+then still hold several components are compared by sketch in blocks, and give a
+spanning forest of the pairs that remain possible; the trees are families, whose
+members are verified against each other in block pairs, which give a spanning
+forest of the confirmed links.  All outputs are linear in the members.
 
 Defined results: null or empty text, and text without words, has an empty set
 and no links; under five words the whole word sequence is the one shingle; rows
@@ -32,13 +35,14 @@ from pyspark.sql import functions as F
 from .common import connected_components, discard, materialize, text_bytes, words_of
 
 SHINGLE, LEAST_PERCENT = 5, 75
-#: A pair at Jaccard 0.75 misses all 48 bands of 4 with probability (1 - 0.75**4)**48 < 2e-8.
-BANDS, ROWS = 48, 4
+#: A pair at Jaccard 0.75 misses all 60 bands of 5 with probability (1 - 0.75**5)**60 < 1e-7.
+BANDS, ROWS = 60, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Members compared with one copy of their leader in one task.
-STAR = 512
-BLOCK = 256
+#: Members compared with one copy of their leader in one task; members of one side of a block pair.
+STAR, BLOCK = 512, 256
+#: Candidate rows that may be broadcast against the texts (under 100 MB); more of them meet the texts in a shuffle join.
+BROADCAST_ROWS = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -95,14 +99,15 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band, 64-bit key) of every band that has a full bucket."""
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """64-bit key of every band that has a full bucket."""
     bands = sketch.reshape(BANDS, ROWS).astype(np.uint64)
-    packed = bands[:, 0] | bands[:, 1] << np.uint64(16) | bands[:, 2] << np.uint64(32) | bands[:, 3] << np.uint64(48)
     with np.errstate(over="ignore"):
-        keys = _mix(packed + np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT[0])
-    full = np.flatnonzero(packed)
-    return full.astype(np.int16), keys[full].view(np.int64)
+        keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT[0]
+        for i in range(ROWS):
+            keys = _mix(keys + bands[:, i] * _MULT[i])
+    full = np.flatnonzero(bands.any(1))
+    return keys[full].view(np.int64)
 
 
 def chance_match(sizes_a, sizes_b) -> np.ndarray:
@@ -124,9 +129,14 @@ def estimate(a: np.ndarray, b: np.ndarray, sizes_a, sizes_b) -> np.ndarray:
     return np.clip((raw - by_chance) / (1 - by_chance), 0, 1)
 
 
-def floor_for(full) -> np.ndarray:
-    """Estimate below which a pair is hopeless: five standard errors under 0.75; small sketches are all verified."""
-    return np.where(np.asarray(full) < 48, 0.0, 0.75 - 5 * np.sqrt(0.1875 / np.maximum(full, 1)))
+def floor_for(full, sizes_a, sizes_b) -> np.ndarray:
+    """Estimate below which a pair is hopeless: five standard errors under 0.75.
+
+    The full buckets show a random part of the union, drawn without replacement,
+    so small sets, which the sketch shows almost whole, have a sharp estimate.
+    """
+    full, union = np.maximum(full, 1), np.maximum((np.asarray(sizes_a) + sizes_b) / 1.75, 2)
+    return 0.75 - 0.01 - 5 * np.sqrt(0.1875 / full * np.clip((union - full) / (union - 1), 0, 1))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -160,16 +170,15 @@ def _band_batches(batches):
     for batch in batches:
         got = [band_keys(np.frombuffer(x.as_py(), np.uint16)) for x in batch.column(1)]
         if got:
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for _, k in got])
-            bands, keys = (np.concatenate(x) for x in zip(*got))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bands), pa.array(nodes)], ["key", "band", "node"])
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in got])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(nodes)], ["key", "node"])
 
 
 def _estimate_batches(batches):
     for batch in batches:
         a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
         na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-        keep = estimate(a, b, na, nb) >= floor_for(((a != 0) | (b != 0)).sum(-1))
+        keep = estimate(a, b, na, nb) >= floor_for(((a != 0) | (b != 0)).sum(-1), na, nb)
         keep &= np.minimum(na, nb) * 100 >= LEAST_PERCENT * np.maximum(na, nb)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
@@ -197,14 +206,20 @@ def _verify_group(batches):
         yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], ["a", "b"])
 
 
+def with_texts(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``wanted`` (has ``node``) with the text bytes of each node; only wanted texts are moved while the list is short."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), text_bytes(text).alias("raw"))
+    wanted = materialize(wanted, "wanted")
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node")
+
+
 def verify_pairs(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The pairs whose full sets reach the threshold; a leader's members are salted over several tasks."""
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("members") / STAR))).alias("salt"))
     wanted = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")).union(
         salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
     )
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), text_bytes(text).alias("raw"))
-    rows = wanted.join(texts, "node").select("a", "salt", "role", "node", "raw")
+    rows = with_texts(wanted, docs, doc_id, text).select("a", "salt", "role", "node", "raw")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify_group, "a long, b long")
 
 
@@ -214,15 +229,38 @@ def counted(pairs: DataFrame) -> DataFrame:
     return pairs.join(sizes, "a")
 
 
+class Forest:
+    """Union-find over small integers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _check_blocks(table: pa.Table) -> pa.RecordBatch:
-    """Whole block-pair groups: pairs from different components that the sketches leave possible, each in its first common band only."""
+    """Whole block-pair groups: a spanning forest of the pairs from different components that the sketches leave possible."""
     number = lambda name: table.column(name).to_numpy()
-    key, band, i, j, side, node, comp, n = (number(c) for c in ("key", "band", "i", "j", "side", "node", "comp", "n_shingles"))
+    key, i, j, side, node, comp, n = (number(c) for c in ("key", "i", "j", "side", "node", "comp", "n_shingles"))
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     change = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
     starts = np.concatenate([[0], change])
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    ids, where = np.unique(node, return_inverse=True)
+    forest, found = Forest(len(ids)), []
     area = sizes * sizes
     for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(area) // 500_000)) + 1):
         group = np.repeat(some, area[some])
@@ -234,50 +272,97 @@ def _check_blocks(table: pa.Table) -> pa.RecordBatch:
         for at in range(0, len(a), 20_000):
             x, y = a[at : at + 20_000], b[at : at + 20_000]
             sx, sy = sketch[x], sketch[y]
-            match = sx == sy
-            bands = match.reshape(-1, BANDS, ROWS).all(2) & (sx.reshape(-1, BANDS, ROWS) != 0).any(2)
-            full = ((sx != 0) | (sy != 0)).sum(1)
-            good = (bands.argmax(1) == band[x]) & (estimate(sx, sy, n[x], n[y]) >= floor_for(full))
-            out_a.append(np.minimum(node[x], node[y])[good])
-            out_b.append(np.maximum(node[x], node[y])[good])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-
-def _block_batches(batches, rows_at_once: int = 8_000):
-    """Groups arrive sorted; a bounded number of rows is held, and only whole groups are checked."""
-    held: list = []
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows_at_once):
-            held.append(batch.slice(at, rows_at_once))
-            table = pa.Table.from_batches(held)
-            if table.num_rows < rows_at_once:
-                continue
-            same = np.full(table.num_rows, True)
-            for c in ("key", "i", "j"):
-                values = table.column(c).to_numpy()
-                same &= values == values[-1]
-            if not same.all():
-                cut = int(np.flatnonzero(~same)[-1]) + 1
-                yield _check_blocks(table.slice(0, cut))
-                table = table.slice(cut)
-            held = table.combine_chunks().to_batches()
-    if held:
-        yield _check_blocks(pa.Table.from_batches(held))
-
-
-def unsettled_pairs(bands: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """Candidate pairs across components inside band buckets that still hold several components."""
-    known = bands.join(components, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
-    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    rows = materialize(known.join(open_keys.select("key", "size"), "key"), "open")
-    rows = rows.join(classes.select("node", "sketch", "n_shingles"), "node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            good = estimate(sx, sy, n[x], n[y]) >= floor_for(((sx != 0) | (sy != 0)).sum(1), n[x], n[y])
+            for p, q in zip(where[x[good]].tolist(), where[y[good]].tolist()):
+                if forest.join(p, q):
+                    found.append((ids[p], ids[q]))
+    return _edges(found)
+
+
+def _verify_family(table: pa.Table) -> pa.RecordBatch:
+    """Whole block-pair groups of families: a spanning forest of the confirmed links between components."""
+    family, i, j = (table.column(c).to_numpy() for c in ("family", "i", "j"))
+    change = np.flatnonzero((np.diff(family) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    found: list = []
+    for start, end in zip([0, *change], [*change, len(family)]):
+        rows = table.slice(start, end - start)
+        node, comp, side = (rows.column(c).to_pylist() for c in ("node", "comp", "side"))
+        if len(set(comp)) < 2:
+            continue
+        sets = [shingle_set(x.as_py()) for x in rows.column("raw")]
+        sketch, n = np.array([registers(s) for s in sets]), np.array([len(s) for s in sets])
+        forest, first = Forest(len(node)), {}
+        for k, c in enumerate(comp):
+            forest.join(k, first.setdefault(c, k))
+        within, sides = i[start] == j[start], np.array(side)
+        for x in range(len(node)):
+            others = np.arange(x + 1, len(node))
+            able = (within | (sides[others] != sides[x])) & (np.minimum(n[others], n[x]) * 100 >= LEAST_PERCENT * np.maximum(n[others], n[x]))
+            others = others[able]
+            if len(others):
+                full = ((sketch[others] != 0) | (sketch[x] != 0)).sum(1)
+                others = others[estimate(sketch[others], sketch[x], n[others], n[x]) >= floor_for(full, n[others], n[x])]
+            for y in others.tolist():  # pairs that are connected already need no proof
+                if forest.root(x) != forest.root(y) and linked(sets[x], sets[y]):
+                    forest.join(x, y)
+                    found.append((node[x], node[y]))
+    return _edges(found)
+
+
+def _whole_groups(check, columns: list[str], rows_at_once: int):
+    """Groups arrive sorted; a bounded number of rows is held, and ``check`` gets whole groups only."""
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                held.append(batch.slice(at, rows_at_once))
+                if sum(b.num_rows for b in held) < rows_at_once:
+                    continue
+                table = pa.Table.from_batches(held)
+                same = np.full(table.num_rows, True)
+                for c in columns:
+                    values = table.column(c).to_numpy()
+                    same &= values == values[-1]
+                if not same.all():
+                    cut = int(np.flatnonzero(~same)[-1]) + 1
+                    yield check(table.slice(0, cut))
+                    table = table.slice(cut)
+                held = table.combine_chunks().to_batches()
+        if held:
+            yield check(pa.Table.from_batches(held))
+
+    return run
+
+
+def in_block_pairs(rows: DataFrame, group: str, size: str) -> DataFrame:
+    """Rows dealt to the block pairs (i, j) of their group; ``side`` tells the blocks of a pair apart."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a member is the left side of (mine, j) for j >= mine and the right side of (i, mine) for i < mine
     left = rows.withColumn("j", F.explode(F.sequence("mine", F.col("blocks") - 1))).withColumn("i", F.col("mine")).withColumn("side", F.lit(0))
     right = rows.where("mine > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mine") - 1))).withColumn("j", F.col("mine")).withColumn("side", F.lit(1))
-    cols = ["key", "band", "i", "j", "side", "node", "comp", "n_shingles", "sketch"]
-    dealt = left.select(cols).union(right.select(cols)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return dealt.mapInArrow(_block_batches, "a long, b long").distinct()
+    return left.unionByName(right)
+
+
+def possible_families(bands: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, family): classes that sketches leave linkable across components, from buckets that still hold several."""
+    known = bands.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    rows = known.join(open_keys.select("key", "size"), "key").join(classes.select("node", "sketch", "n_shingles"), "node")
+    cols = ["key", "i", "j", "side", "node", "comp", "n_shingles", "sketch"]
+    dealt = in_block_pairs(rows, "key", "size").select(cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    edges = dealt.mapInArrow(_whole_groups(_check_blocks, ["key", "i", "j"], 8_000), "a long, b long")
+    return connected_components(edges, "families").withColumnRenamed("component", "family")
+
+
+def family_links(families: DataFrame, components: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Confirmed links between components, as spanning forests of block pairs."""
+    rows = families.join(components, "node", "left").select("family", "node", F.coalesce("component", "node").alias("comp"))
+    sizes = rows.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    dealt = in_block_pairs(rows.join(sizes, "family"), "family", "size").select("family", "i", "j", "side", "node", "comp")
+    texts = with_texts(dealt, docs, doc_id, text).select("family", "i", "j", "side", "node", "comp", "raw")
+    texts = texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    return texts.mapInArrow(_whole_groups(_verify_family, ["family", "i", "j"], 500), "a long, b long")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,18 +373,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     classes = materialize(
         full.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")), "classes"
     )
-    bands = materialize(classes.select("node", "sketch").mapInArrow(_band_batches, "key long, band short, node long"), "bands")
+    bands = materialize(classes.select("node", "sketch").mapInArrow(_band_batches, "key long, node long"), "bands")
     leaders = bands.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = bands.join(leaders, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     stars = materialize(estimated_pairs(stars, classes), "stars")
     links = materialize(verify_pairs(counted(stars), docs, doc_id, text), "star-links")
     comps = connected_components(links, "first")
-    tried = stars.withColumn("tried", F.lit(True))
-    rest = unsettled_pairs(bands, classes, comps).join(tried, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        more = verify_pairs(counted(rest), docs, doc_id, text)
-        links = materialize(links.union(more), "links")
+    families = possible_families(bands, classes, comps)
+    if not families.isEmpty():
+        links = materialize(links.union(family_links(families, comps, docs, doc_id, text)), "links")
         comps = connected_components(links, "last")
     discard(docs.sparkSession, bands)
     by_class = classes.join(comps, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
