@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
+from itertools import islice
 
 import regex
 
@@ -16,6 +18,7 @@ PRETOKEN = regex.compile(
 # A space before a visible character always starts a new pre-token, so cutting
 # there first is safe and lets whole "word with punctuation" chunks be cached.
 CUT = regex.compile(r" (?=\P{White_Space})")
+WIDE = re.compile(r" (?:\s|$)")  # \s covers all white space
 
 
 def default_vocabulary() -> str:
@@ -72,34 +75,39 @@ def chunks_of(text: str) -> list[str]:
     """Cut at every space that a visible character follows; each later chunk keeps its space."""
     if not text:
         return []
-    pieces = text.split(" ")
-    if "" in pieces or any(p[:1].isspace() for p in pieces[1:]):
+    if WIDE.search(text):
         pieces = CUT.split(text)
-    first, rest = pieces[0], [" " + p for p in pieces[1:]]
-    return [first, *rest] if first else rest
+        rest = [" " + p for p in pieces[1:]]
+    else:  # every space has a visible character after it
+        pieces = text.split(" ")
+        rest = list(map(" ".__add__, pieces[1:]))
+    return [pieces[0], *rest] if pieces[0] else rest
+
+
+def pretokens(chunk: str) -> list[str]:
+    """Pre-tokens of a chunk; one of letters after an optional space is a single one."""
+    return [chunk] if chunk.isalpha() or chunk[1:].isalpha() and chunk[0] == " " else PRETOKEN.findall(chunk)
 
 
 class CachedEncoder:
-    """Whole-text encoding through bounded caches over an engine for distinct pre-tokens.
+    """Whole-text encoding through a bounded cache over an engine for distinct pre-tokens.
 
     ``engine(words)`` returns one value per distinct pre-token and ``join``
-    concatenates values.  Both caches are emptied when they reach ``limit``
-    entries and hold no chunk of over 256 characters, so memory does not grow with the input.
+    concatenates values.  The cache holds chunks and pre-tokens (each of which is
+    its own only pre-token) of at most 256 characters, and is cut back to the
+    ``limit // 2`` entries met first (mostly the frequent ones) when it exceeds
+    ``limit``, so memory does not grow with the input.
     """
 
-    def __init__(self, vocab: Vocabulary, engine, join, special, limit: int = 250_000):
+    def __init__(self, vocab: Vocabulary, engine, join, special, limit: int = 600_000):
         self.vocab, self.engine, self.join, self.special, self.limit = vocab, engine, join, special, limit
-        self.chunks: dict = {}
-        self.words: dict = {}
+        self.known: dict = {}
 
     def prepare(self, texts: list[str]) -> list[list]:
-        """Chunks of every text; makes sure that the caches know all of them."""
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        if len(self.words) > self.limit:
-            self.words.clear()
-        plans, missing, long = [], {}, {}
-        known = self.chunks
+        """Chunks of every text; makes sure that the cache knows all of them."""
+        if len(self.known) > self.limit:
+            self.known = dict(islice(self.known.items(), self.limit // 2))
+        known, plans, fresh = self.known, [], set()
         for text in texts:
             plan = []
             for i, part in enumerate(self.vocab.parts(text)):
@@ -108,41 +116,39 @@ class CachedEncoder:
                 elif part:
                     got = chunks_of(part)
                     plan.append((got, False))
-                    for c in got:
-                        if c not in known and c not in missing:
-                            missing[c] = None
+                    fresh.update(got)
             plans.append(plan)
-        need = {}
-        for c in missing:
-            missing[c] = words = PRETOKEN.findall(c)
-            for w in words:
-                if w not in self.words:
-                    need[w] = None
+        fresh.difference_update(known)
+        several, need = [], set()
+        for c in fresh:
+            words = pretokens(c)
+            if len(words) == 1:
+                need.add(c)
+            else:
+                several.append((c, words))
+                need.update(words)
+        need.difference_update(known)
         if need:
             order = list(need)
-            self.words.update(zip(order, self.engine(order), strict=True))
-        for c, words in missing.items():
-            known[c] = self.words[words[0]] if len(words) == 1 else self.join([self.words[w] for w in words])
-            if len(c) > 256:
-                long[c] = None
-        self.long = [*long, *(w for w in need if len(w) > 256)]
+            known.update(zip(order, self.engine(order), strict=True))
+        for c, words in several:
+            known[c] = self.join([known[w] for w in words])
+        self.long = [c for c in fresh | need if len(c) > 256]
         return plans
 
     def encode_batch(self, texts: list[str]) -> list:
-        out, known = [], None
-        plans = self.prepare(texts)
-        known = self.chunks
+        out, plans = [], self.prepare(texts)
+        known = self.known
         for plan in plans:
             values = []
             for part, is_special in plan:
                 if is_special:
                     values.append(self.special(part))
                 else:
-                    values += [known[c] for c in part]
+                    values += map(known.__getitem__, part)
             out.append(self.join(values))
         for c in self.long:
             known.pop(c, None)
-            self.words.pop(c, None)
         return out
 
 

@@ -1,6 +1,6 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-The distinct new words of a batch go into a trie; a depth-first walk keeps, for
+The distinct new words of a batch go into a trie; the depth-first walk keeps, for
 every prefix on the path, the last token of that prefix's encoding.  A prefix
 shared by many words is thus encoded once.  The last token of a prefix is the
 one token that ends there and is compatible with the last token of what precedes
@@ -25,17 +25,20 @@ from pyspark.sql import functions as F
 from .bytebpe import CachedEncoder, Vocabulary, default_vocabulary, vocabulary
 from .common import text_bytes
 
-_WORD = -1  # trie key that holds the place of a word ending there
-
-
 class TrieEncoder:
-    """Encodes lists of distinct words; ``__call__`` is an engine for CachedEncoder."""
+    """Encodes lists of distinct words; ``__call__`` is an engine for CachedEncoder.
+
+    Words are inserted in byte order, so the trie's nodes come up depth-first and
+    only the path to the present node is held: per node its prefix's last token
+    and its tail, the longest suffix of the prefix that begins some token.
+    """
 
     def __init__(self, vocab: Vocabulary, limit: int = 500_000):
         self.vocab, self.limit = vocab, limit
-        self.longest = max(map(len, vocab.ids))
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.beginnings = {t[:n] for t in vocab.ids for n in range(len(t) + 1)}
+        #: tail → (tail, tokens that may end there with their sizes, longest first)
+        self.tails: dict[bytes, tuple[bytes, list[tuple[int, int]]]] = {}
+        self.fits: dict[int, bool] = {}
 
     def merged(self, raw: bytes) -> list[int]:
         """Plain merging of a short byte string: lowest rank first, leftmost among equals."""
@@ -48,73 +51,59 @@ class TrieEncoder:
             ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
         return ids
 
-    def alone(self, token: int) -> bool:
-        """Whether the token is its own encoding."""
-        got = self.whole.get(token)
+    def tail(self, text: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+        """Entry of the longest suffix of ``text`` that begins a token; tokens that merging never gives are left out."""
+        while text not in self.beginnings:
+            text = text[1:]
+        got = self.tails.get(text)
         if got is None:
-            got = self.whole[token] = self.merged(self.vocab.token_bytes[token]) == [token]
+            ends = [(self.vocab.ids[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.vocab.ids]
+            got = self.tails[text] = text, [(t, n) for t, n in ends if self.merged(self.vocab.token_bytes[t]) == [t]]
         return got
 
     def compatible(self, left: int, right: int) -> bool:
-        got = self.fits.get((left, right))
-        if got is None:
-            if len(self.fits) > self.limit:
-                self.fits.clear()
-            bytes_of = self.vocab.token_bytes
-            got = self.fits[left, right] = self.merged(bytes_of[left] + bytes_of[right]) == [left, right]
+        """Whether merging the joined bytes of two tokens gives just them."""
+        if len(self.fits) > self.limit:
+            self.fits.clear()
+        bytes_of = self.vocab.token_bytes
+        got = (left, right) not in self.vocab.merges and self.merged(bytes_of[left] + bytes_of[right]) == [left, right]
+        self.fits[left << 32 | right] = got
         return got
 
-    def last_token(self, prefix: bytes, lasts: list[int]) -> int:
-        """Last token of ``prefix``; ``lasts[i]`` is that of its first i bytes."""
-        n, ids = len(prefix), self.vocab.ids
-        for size in range(min(n, self.longest), 0, -1):
-            token = ids.get(prefix[n - size :])
-            if token is not None and self.alone(token) and (size == n or self.compatible(lasts[n - size], token)):
-                return token
-        raise AssertionError("every byte is a token")
-
     def __call__(self, words: list[str]) -> list[bytes]:
         raws = [w.encode() for w in words]
         out: list = [b""] * len(words)
-        short = [i for i, r in enumerate(raws) if len(r) <= 512]
-        self._walk(raws, short, out)
-        for i in set(range(len(raws))).difference(short):  # a trie of its own: no other word shares such a path
-            self._walk(raws, [i], out)
+        sizes, tails, fits = {t: len(b) for t, b in self.vocab.token_bytes.items()}, self.tails, self.fits
+        path, lasts, states = b"", [-1], [b""]
+        for i in sorted(range(len(raws)), key=raws.__getitem__):
+            raw, depth = raws[i], 0
+            for a, b in zip(raw, path):
+                if a != b:
+                    break
+                depth += 1
+            del lasts[depth + 1 :], states[depth + 1 :]
+            state = states[depth]
+            for n in range(depth + 1, len(raw) + 1):
+                state += raw[n - 1 : n]
+                state, ends = tails.get(state) or self.tail(state)
+                for token, size in ends:
+                    if size == n:
+                        break
+                    left = lasts[n - size]
+                    fit = fits.get(left << 32 | token)
+                    if fit is None:
+                        fit = self.compatible(left, token)
+                    if fit:
+                        break
+                lasts.append(token)
+                states.append(state)
+            path, at, ids = raw, len(raw), []
+            while at:
+                ids.append(lasts[at])
+                at -= sizes[lasts[at]]
+            out[i] = np.array(ids[::-1], "<u4").tobytes()
         return out
 
-    def _walk(self, raws: list[bytes], members: list[int], out: list) -> None:
-        root: dict = {}
-        for i in members:
-            node = root
-            for b in raws[i]:
-                node = node.setdefault(b, {})
-            node[_WORD] = i
-        # depth-first, children pushed with their depth; path and lasts are cut back on return
-        path, lasts = bytearray(), [-1]
-        stack = [(node, 1, b) for b, node in root.items() if b != _WORD]
-        bytes_of = self.vocab.token_bytes
-        while stack:
-            node, depth, b = stack.pop()
-            del path[depth - 1 :], lasts[depth:]
-            path.append(b)
-            lasts.append(self.last_token(bytes(path[-self.longest :]), lasts) if depth <= self.longest else self._deep(path, lasts))
-            if _WORD in node:
-                ids, at = [], depth
-                while at:
-                    ids.append(lasts[at])
-                    at -= len(bytes_of[lasts[at]])
-                out[node[_WORD]] = np.array(ids[::-1], "<u4").tobytes()
-            stack.extend((child, depth + 1, k) for k, child in node.items() if k != _WORD)
-
-    def _deep(self, path: bytearray, lasts: list[int]) -> int:
-        """last_token for prefixes longer than any token."""
-        n, ids, tail = len(path), self.vocab.ids, bytes(path[-self.longest :])
-        for size in range(self.longest, 0, -1):
-            token = ids.get(tail[self.longest - size :])
-            if token is not None and self.alone(token) and self.compatible(lasts[n - size], token):
-                return token
-        raise AssertionError("every byte is a token")
-
 
 @lru_cache(2)
 def trie_encoder(path: str) -> CachedEncoder:
