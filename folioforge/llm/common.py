@@ -58,6 +58,12 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, raw): of each key's texts the one whose hash is least; combined on the map side, so a hot key is no hot task."""
+    least = F.min(F.struct(F.xxhash64("raw").alias("h"), F.col("raw")))
+    return rows.groupBy(*keys).agg(least.alias("least")).select(*keys, F.col("least.raw").alias("raw"))
+
+
 def split_remainder(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (a null id counts as '')."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

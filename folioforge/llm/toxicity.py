@@ -7,8 +7,9 @@ With the class prior pi the risk is
 turns negative the step goes against it, so that the fit of U cannot go below
 what the prior allows.
 
-Only training is bounded (MAX_POSITIVE and MAX_UNLABELLED texts, those whose
-hash is least); every text is scored, whole, without a shuffle.
+Only training is bounded (MAX_POSITIVE and MAX_UNLABELLED doc_ids, those whose
+hash is least, each with one of its texts); every text is scored, whole, without
+a shuffle.
 
 Defined results: null and empty texts get the score of the bias alone; without a
 confirmed toxic training text every score is 0; labels that are
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, one_text_each, text_bytes
 
 #: Bounds of the training sample (documents) and the size of the hashed feature space.
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
@@ -138,8 +139,9 @@ def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     unlabelled = ids.where("label_id IS NOT NULL").distinct().orderBy(*order).limit(MAX_UNLABELLED).select("label_id", F.lit(0).alias("part"))
     sample = materialize(positive.union(unlabelled), "toxic-sample")
     rows = train_docs.select(F.col(doc_id).alias("label_id"), text_bytes(text).alias("raw")).join(F.broadcast(sample), "label_id")
-    table = rows.orderBy("part", "label_id", "raw").select("raw", "part").limit(MAX_POSITIVE + MAX_UNLABELLED)
-    got = table.mapInArrow(_feature_batches, "features array<int>, part int").toArrow()
+    table = one_text_each(rows, "part", "label_id").select("raw", "part", "label_id")
+    schema = f"features array<int>, part int, label_id {ids.schema['label_id'].dataType.simpleString()}"
+    got = table.mapInArrow(_feature_batches, schema).toArrow().sort_by([("part", "ascending"), ("label_id", "ascending")])
     part = got.column("part").to_numpy()
     rows = [np.asarray(x, np.int32) for x in got.column("features").to_numpy()]
     positive, unlabelled = ([r for r, p in zip(rows, part) if p == k] for k in (1, 0))
@@ -150,7 +152,7 @@ def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 def _feature_batches(batches):
     for batch in batches:
         rows = [text_features(raw.as_py()) for raw in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["features", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *batch.columns[1:]], ["features", *batch.schema.names[1:]])
 
 
 def _score_batches(model):

@@ -313,6 +313,26 @@ def test_toxicity(spark):
     assert toxicity.fit(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
 
 
+def repeated(spark, make, label):
+    """Documents once, the same with repeated rows and one hot doc_id (the smallest), and labels of some."""
+    rnd = random.Random(2)
+    data = [(i, make(rnd, i % 3 == 1)) for i in range(90)]
+    many = [r for r in data for _ in range(2)] + [data[0]] * 400
+    labels = spark.createDataFrame([(i, int((i % 3 == 1) == (label == "toxic"))) for i in range(0, 90, 2)], f"doc_id long, {label} int")
+    return *(spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (data, many)), labels
+
+
+def test_toxicity_learns_alike_from_repeated_rows(spark, monkeypatch):
+    def make(rnd, bad):
+        return " ".join(rnd.choice(["plain", "words", "of", "text"] + ["nasty"] * bad) + rnd.choice("abcdefgh") for _ in range(40))
+
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 20)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 90)
+    once, many, labels = repeated(spark, make, "toxic")
+    a, b = toxicity.fit(once, labels), toxicity.fit(many, labels)
+    assert len(a.at) and a.word_weights() == b.word_weights() and a.bias == b.bias
+
+
 def test_quality(spark):
     def make(rnd, bad):
         words = [rnd.choice(["Plain", "words", "of", "text,"]) + rnd.choice("abcdefgh") for _ in range(40)]
