@@ -7,9 +7,10 @@ its labelled vectors are broadcast, and every text's exact cosine with all of
 them is computed in blocks.  The NEIGHBOURS most similar vote for their label
 with the weight of their similarity.
 
-Only the fit is bounded (MAX_PER_LABEL labelled texts of each label, those whose
-hash is least); every text is scored, whole, without a shuffle.  The vote is
-corrected for the labels' shares in the training labels.
+Only the fit is bounded (MAX_PER_LABEL labelled doc_ids of each label, those
+whose hash is least, each with one of its texts); every text is scored, whole,
+without a shuffle.  The vote is corrected for the labels' shares in the training
+labels.
 
 Defined results: null and empty texts have one vector of their own and vote like
 any other; without labelled training texts, or with one label only, every score
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, one_text_each, text_bytes
 
 MAX_PER_LABEL = 2000
 WORD_TERMS, SHAPE_TERMS = 1024, 512
@@ -131,7 +132,7 @@ class LatentVotes:
 def _count_batches(batches):
     for batch in batches:
         rows = [term_counts(raw.as_py()).tolist() for raw in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column(1)], ["terms", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), *batch.columns[1:]], ["terms", *batch.schema.names[1:]])
 
 
 def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> LatentVotes:
@@ -143,8 +144,9 @@ def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     picks = [usable.where(F.col("label") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(MAX_PER_LABEL) for k in (0, 1)]
     sample = materialize(picks[0].union(picks[1]), "quality-sample")
     rows = train_docs.select(F.col(doc_id).alias("label_id"), text_bytes(text).alias("raw")).join(F.broadcast(sample), "label_id")
-    table = rows.orderBy("label_id", "raw").select("raw", "label").limit(2 * MAX_PER_LABEL)
-    got = table.mapInArrow(_count_batches, "terms array<float>, label int").toArrow()
+    table = one_text_each(rows, "label", "label_id").select("raw", "label", "label_id")
+    schema = f"terms array<float>, label int, label_id {ids.schema['label_id'].dataType.simpleString()}"
+    got = table.mapInArrow(_count_batches, schema).toArrow().sort_by("label_id")
     share = n.get(1, 0) / sum(n.values()) if n else 0.5
     counts = got.column("terms").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TERMS) if got.num_rows else np.zeros((0, TERMS))
     return LatentVotes(counts, got.column("label").to_numpy(), share)

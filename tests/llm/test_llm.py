@@ -342,6 +342,17 @@ def test_quality(spark):
     assert sum(got[i].predicted == 1 - t for i, t in test) / len(test) > 0.97
 
 
+def test_quality_learns_alike_from_repeated_rows(spark, monkeypatch):
+    def make(rnd, bad):
+        words = [rnd.choice(["Plain", "words", "of", "text,"]) + rnd.choice("abcdefgh") for _ in range(40)]
+        return " ".join(w.upper() + "!!" for w in words) if bad else " ".join(words)
+
+    monkeypatch.setattr(quality, "MAX_PER_LABEL", 40)
+    once, many, labels = repeated(spark, make, "quality")
+    a, b = quality.fit(once, labels), quality.fit(many, labels)
+    assert not a.single and not b.single and np.array_equal(a.labels, b.labels) and np.array_equal(a.vectors, b.vectors)
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert near_dedup.near_groups(empty).count() == 0 and exact_dedup.exact_groups(empty).count() == 0
