@@ -39,11 +39,11 @@ def limit_violations(measured: DataFrame, key: str, limits: dict[str, int]) -> D
     return rows.where("actual > max_allowed")
 
 
-def retention(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(key, outcome) for signatures (key, sig): kept, changed, added or removed."""
-    both = before.select("key", F.col("sig").alias("b")).join(after.select("key", F.col("sig").alias("a")), "key", "full")
+def retention(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(keys, outcome) for signatures (keys, sig): kept, changed, added or removed."""
+    both = before.select(*keys, F.col("sig").alias("b")).join(after.select(*keys, F.col("sig").alias("a")), list(keys), "full")
     outcome = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") == F.col("b"), "kept").otherwise("changed")
-    return both.select("key", outcome.alias("outcome"))
+    return both.select(*keys, outcome.alias("outcome"))
 
 
 def lowest_free_ids(used: DataFrame, groups: DataFrame, wanted: int) -> DataFrame:

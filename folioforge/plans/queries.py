@@ -273,10 +273,10 @@ def resource_violations(spark, sf_dir):
 
 @query
 def retention_check(spark, sf_dir):
-    """Paragraph signatures of even and odd documents as the states before and after."""
-    rows = paragraphs.explode_paragraphs(table(spark, sf_dir, "documents")).where("pos = 0")
-    keyed = rows.select("doc_id", F.floor(F.col("doc_id") / 2).alias("key"), paragraphs.fingerprint(F.col("text")).alias("sig"))
-    return validate.retention(keyed.where("doc_id % 2 = 0").select("key", "sig"), keyed.where("doc_id % 2 = 1").select("key", "sig"))
+    """Signatures of all paragraphs of even and odd documents as the states before and after."""
+    rows = paragraphs.explode_paragraphs(table(spark, sf_dir, "documents"))
+    keyed = rows.select("doc_id", F.floor(F.col("doc_id") / 2).alias("key"), "pos", paragraphs.fingerprint(F.col("text")).alias("sig"))
+    return validate.retention(keyed.where("doc_id % 2 = 0"), keyed.where("doc_id % 2 = 1"), ("key", "pos"))
 
 
 @query

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import clusters
 from folioforge.operators import diff, grid, normalize, paragraphs, revisions, validate
+from folioforge.plans.queries import QUERIES
 from folioforge.streaming import review
 
 
@@ -78,6 +79,16 @@ def test_tombstones_and_free_ids(spark):
     assert sorted((r.g, r.id) for r in free.collect()) == [("a", 2), ("a", 4), ("b", 1), ("b", 2)]
 
 
+def test_retention_of_every_paragraph(spark, tmp_path):
+    docs = [(2, "a\nb\nc"), (3, "a\nB\nc\nd"), (4, "x\ny"), (5, "x"), (6, "only"), (9, "new\nlines")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.key, r.pos): r.outcome for r in QUERIES["retention_check"](spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, 0): "kept", (1, 1): "changed", (1, 2): "kept", (1, 3): "added", (2, 0): "kept", (2, 1): "removed",
+        (3, 0): "removed", (4, 0): "added", (4, 1): "added",
+    }
+
+
 def test_null_and_empty_documents(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a\n\nb")], "doc_id long, text string")
     assert {r.doc_id: r.n_paragraphs for r in paragraphs.summary(docs).collect()} == {2: 1, 3: 3}
