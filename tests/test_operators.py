@@ -89,6 +89,14 @@ def test_retention_of_every_paragraph(spark, tmp_path):
     }
 
 
+def test_decision_violations_of_all_documents(spark, tmp_path):
+    spark.createDataFrame([(i, "t") for i in (1, 7, 8, 14)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (8, 0, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["decision_violations"](spark, str(tmp_path)).collect())
+    assert got == [(1, "decision-pending"), (8, "duplicate-decision"), (9, "revision-not-found"), (14, "decision-pending")]
+
+
 def test_null_and_empty_documents(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a\n\nb")], "doc_id long, text string")
     assert {r.doc_id: r.n_paragraphs for r in paragraphs.summary(docs).collect()} == {2: 1, 3: 3}
