@@ -52,8 +52,8 @@ def shape(word: str) -> str:
     if core.isalpha():  # by far the most frequent kinds, without patterns
         case = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[0].isupper() and core[1:].islower() else ""
         if case:
-            return case + _RUN.sub(r"\1\1", word[len(core) : len(core) + 64])
-    word = _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word[:64])))
+            return case + _RUN.sub(r"\1\1", word[len(core) :])
+    word = _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))
     return _RUN.sub(r"\1\1", word)
 
 

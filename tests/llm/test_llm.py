@@ -342,6 +342,11 @@ def test_quality(spark):
     assert sum(got[i].predicted == 1 - t for i, t in test) / len(test) > 0.97
 
 
+def test_shape_reads_whole_words():
+    assert quality.shape("x1" * 40) != quality.shape("x1" * 40 + "Y?") and quality.shape("x" + "!?" * 40) != quality.shape("x" + "!?" * 40 + ".")
+    assert quality.shape("x" * 100_000 + "1") == "a0" and quality.shape("X" + "!" * 100_000) == "A!!"
+
+
 def test_quality_learns_alike_from_repeated_rows(spark, monkeypatch):
     def make(rnd, bad):
         words = [rnd.choice(["Plain", "words", "of", "text,"]) + rnd.choice("abcdefgh") for _ in range(40)]
