@@ -50,9 +50,11 @@ def candidate_scan(docs: DataFrame, catalog: list[tuple[str, str, str]], doc_id:
     rows = rows.select("doc_id", "whole", F.substring("z.part", 1, 1).alias("source"), F.col("z.offset").alias("offset"))
     hits = rows.join(F.broadcast(known), "source")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("offset"))
+    number = order.cast("string")
+    number = F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))  # lpad alone would cut longer numbers
     context = F.substring("whole", F.greatest(F.col("offset") - around, F.lit(0)) + 1, F.least(F.col("offset"), F.lit(around)) + around + 1)
     return hits.select(
-        "doc_id", F.concat(F.lit("V"), F.lpad(order.cast("string"), 5, "0")).alias("occurrence_id"), "offset", "source", "target", "class", context.alias("context")
+        "doc_id", F.concat(F.lit("V"), number).alias("occurrence_id"), "offset", "source", "target", "class", context.alias("context")
     )
 
 

@@ -57,6 +57,12 @@ def test_vertical_candidates(spark):
     assert [(r.doc_id, r.occurrence_id, r.offset, r.source, r.target) for r in got] == [(1, "V00001", 1, "₂", "2"), (1, "V00002", 9, "²", "2")]
 
 
+def test_occurrence_ids_beyond_five_digits(spark):
+    docs = spark.range(1010).select(F.lit(1).cast("long").alias("doc_id"), F.lit("é" * 100).alias("text"))
+    ids = normalize.candidate_scan(docs, normalize.accent_catalog()).select("occurrence_id")
+    assert ids.distinct().count() == 101_000 and ids.where("occurrence_id IN ('V00001', 'V101000')").count() == 2
+
+
 def test_fnv1a(spark):
     def expected(text):
         h = 2166136261
