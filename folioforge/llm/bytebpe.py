@@ -5,10 +5,17 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, repeat
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from .common import worker_state
+
+#: Bytes of text that are encoded together: many enough for distinct chunks to be few.
+ENCODE_BYTES = 16 << 20
 # The published pre-tokenisation pattern of byte-level BPE, with
 # the white-space class written as the Unicode property.
 PRETOKEN = regex.compile(
@@ -19,6 +26,8 @@ PRETOKEN = regex.compile(
 # there first is safe and lets whole "word with punctuation" chunks be cached.
 CUT = regex.compile(r" (?=\P{White_Space})")
 WIDE = re.compile(r" (?:\s|$)")  # \s covers all white space
+WIDE_RE2 = r" (?:[\s\v\x1c-\x1f\x{85}\pZ]|$)"  # the same where \s is ASCII only
+VISIBLE = regex.compile(r"\P{White_Space}").match
 
 
 def default_vocabulary() -> str:
@@ -66,9 +75,8 @@ class Vocabulary:
         return self.special_re.split(text)
 
 
-@lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return worker_state(f"vocabulary {path}", lambda: Vocabulary(path))
 
 
 def chunks_of(text: str) -> list[str]:
@@ -89,90 +97,175 @@ def pretokens(chunk: str) -> list[str]:
     return [chunk] if chunk.isalpha() or chunk[1:].isalpha() and chunk[0] == " " else PRETOKEN.findall(chunk)
 
 
-class CachedEncoder:
-    """Whole-text encoding through a bounded cache over an engine for distinct pre-tokens.
+class Encoder:
+    """Whole texts through an engine that sees each distinct chunk only while it is not cached.
+
+    Arrow cuts all texts of a batch at their spaces and numbers the distinct
+    chunks; ``engine(chunks, joint)`` gives the values of those not cached, and
+    the values are dealt back by number.  Values are bytes (of ids), kept end to
+    end in one array.  Texts where a space precedes white space, or that hold
+    special strings, are cut one by one.
 
-    ``engine(words)`` returns one value per distinct pre-token and ``join``
-    concatenates values.  The cache holds chunks and pre-tokens (each of which is
-    its own only pre-token) of at most 256 characters, and is cut back to the
-    ``limit // 2`` entries met first (mostly the frequent ones) when it exceeds
-    ``limit``, so memory does not grow with the input.
+    Chunks that occur twice in a batch enter the cache; when it exceeds ``limit``
+    bytes, the half met first (mostly the frequent ones) stays.
     """
 
-    def __init__(self, vocab: Vocabulary, engine, join, special, limit: int = 600_000):
-        self.vocab, self.engine, self.join, self.special, self.limit = vocab, engine, join, special, limit
-        self.known: dict = {}
+    #: Rough size in memory of a cached chunk besides its characters and value.
+    ENTRY = 160
+
+    def __init__(self, vocab: Vocabulary, engine, special, limit: int = 64 << 20):
+        self.vocab, self.engine, self.special, self.limit = vocab, engine, special, limit
+        self.place: dict[str, int] = {}
+        self.data, self.sizes, self.bytes = b"", np.empty(0, np.int64), 0
+
+    def _keep(self, chunks: list[str], values: list[bytes]) -> None:
+        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
+        self.data += b"".join(values)
+        self.sizes = np.append(self.sizes, np.fromiter(map(len, values), np.int64, len(values)))
+        self.bytes += self.ENTRY * len(chunks) + sum(map(len, chunks)) + sum(map(len, values))
+        if self.bytes > self.limit:
+            half = len(self.place) // 2
+            self.place = dict(islice(self.place.items(), half))
+            self.sizes = self.sizes[:half]
+            self.data = self.data[: int(self.sizes.sum())]
+            self.bytes //= 2
+
+    def _table(self, chunks: list[str], uses: np.ndarray, joint: bool) -> pa.Array:
+        """Values of distinct chunks as a large binary array."""
+        at = np.array(list(map(self.place.get, chunks, repeat(-1))), np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new = [chunks[i] for i in fresh.tolist()]
+        data, sizes = self.engine(new, joint)
+        offsets = np.concatenate([[0], np.cumsum(self.sizes), len(self.data) + np.cumsum(sizes)]).astype(np.int64)
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(self.data + data)])
+        at[fresh] = np.arange(len(self.sizes), len(self.sizes) + len(fresh))
+        out = every.take(pa.array(at))
+        often = [k for k, i in enumerate(fresh.tolist()) if uses[i] > 1 and len(chunks[i]) <= 256]
+        if often:
+            ends = np.cumsum(sizes)
+            self._keep([new[k] for k in often], [data[ends[k] - sizes[k] : ends[k]] for k in often])
+        return out
 
-    def prepare(self, texts: list[str]) -> list[list]:
-        """Chunks of every text; makes sure that the cache knows all of them."""
-        if len(self.known) > self.limit:
-            self.known = dict(islice(self.known.items(), self.limit // 2))
-        known, plans, fresh = self.known, [], set()
+    def _spread(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(values of all chunks in order, first chunk of each text) of texts that spaces cut safely."""
+        pieces = pc.split_pattern(texts, " ")
+        starts = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.values.slice(starts[0], starts[-1] - starts[0])
+        starts = starts - starts[0]
+        coded = flat.dictionary_encode()
+        number = coded.indices.to_numpy().astype(np.int64)
+        uses = np.bincount(number, minlength=len(coded.dictionary))
+        first = flat.take(pa.array(starts[:-1])).dictionary_encode()  # no space stands before these
+        number[starts[:-1]] = first.indices.to_numpy().astype(np.int64) + len(coded.dictionary)
+        spaced = self._table(list(map(" ".__add__, coded.dictionary.to_pylist())), uses, True)
+        table = pa.concat_arrays([spaced, self._table(first.dictionary.to_pylist(), np.zeros(len(first.dictionary)), False)])
+        return table.take(pa.array(number)), starts
+
+    def _spread_slowly(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        numbers, starts, seen, special = [], [0], {}, self.vocab.special
         for text in texts:
-            plan = []
             for i, part in enumerate(self.vocab.parts(text)):
-                if i % 2:
-                    plan.append((part, True))
-                elif part:
-                    got = chunks_of(part)
-                    plan.append((got, False))
-                    fresh.update(got)
-            plans.append(plan)
-        fresh.difference_update(known)
-        several, need = [], set()
-        for c in fresh:
-            words = pretokens(c)
-            if len(words) == 1:
-                need.add(c)
-            else:
-                several.append((c, words))
-                need.update(words)
-        need.difference_update(known)
-        if need:
-            order = list(need)
-            known.update(zip(order, self.engine(order), strict=True))
-        for c, words in several:
-            known[c] = self.join([known[w] for w in words])
-        self.long = [c for c in fresh | need if len(c) > 256]
-        return plans
-
-    def encode_batch(self, texts: list[str]) -> list:
-        out, plans = [], self.prepare(texts)
-        known = self.known
-        for plan in plans:
-            values = []
-            for part, is_special in plan:
-                if is_special:
-                    values.append(self.special(part))
-                else:
-                    values += map(known.__getitem__, part)
-            out.append(self.join(values))
-        for c in self.long:
-            known.pop(c, None)
+                for c in [part] if i % 2 else chunks_of(part):
+                    numbers.append(seen.setdefault(c, len(seen)))
+            starts.append(len(numbers))
+        number = np.array(numbers, np.int64)
+        uses = np.bincount(number, minlength=len(seen))
+        ordinary = [c not in special for c in seen]
+        rest = iter(self._table([c for c in seen if c not in special], uses[ordinary], False).to_pylist())
+        table = pa.array([next(rest) if o else self.special(c) for c, o in zip(seen, ordinary)], pa.large_binary())
+        return table.take(pa.array(number)), np.array(starts, np.int64)
+
+    def encode(self, raws: pa.Array) -> list[bytes]:
+        """The values of every text's chunks, joined."""
+        out: list = [b""] * len(raws)
+        texts = as_texts(raws)
+        slow = pc.match_substring_regex(texts, WIDE_RE2)
+        for s in self.vocab.special:
+            slow = pc.or_(slow, pc.match_substring(texts, s))
+        slow = slow.to_numpy(zero_copy_only=False)
+        for which in (~slow, slow):
+            if not which.any():
+                continue
+            some = texts if which.all() else texts.filter(pa.array(which))
+            values, starts = self._spread_slowly(some.to_pylist()) if slow[which][0] else self._spread(some)
+            ends = lists_offsets(values)[starts].tolist()
+            data = memoryview(values.buffers()[2] or b"")
+            for i, a, b in zip(np.flatnonzero(which).tolist(), ends, ends[1:]):
+                out[i] = bytes(data[a:b])
         return out
 
 
-def library_engine(path: str):
-    """Ids of pre-tokens (little-endian uint32 bytes) from the tokenizers library itself."""
-    import numpy as np
+def lists_offsets(array: pa.Array) -> np.ndarray:
+    """Offsets of a large binary array's values."""
+    return np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+
+
+def as_texts(raws: pa.Array) -> pa.Array:
+    """Binary UTF-8 as large strings; what is not UTF-8 gets U+FFFD."""
+    try:
+        return raws.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([r.decode("utf-8", "replace") for r in raws.to_pylist()], pa.large_string())
+
+
+def by_pretokens(engine, limit: int = 200_000):
+    """An engine for chunks from one for distinct pre-tokens (a bytes value each); pre-tokens of several chunks are cached."""
+    known: dict[str, bytes] = {}
+
+    def run(chunks: list[str], joint: bool) -> tuple[bytes, np.ndarray]:
+        nonlocal known
+        parts = list(map(pretokens, chunks))
+        need = list({w for p in parts for w in p if w not in known})
+        value = dict(zip(need, engine(need), strict=True))
+        out = []
+        for p in parts:
+            if len(p) == 1:
+                out.append(value.get(p[0]) or known[p[0]])
+            else:
+                got = [value.get(w) or known[w] for w in p]
+                out.append(b"".join(got))
+                known.update((w, v) for w, v in zip(p, got) if len(w) <= 64)
+        if len(known) > limit:
+            known = dict(islice(known.items(), limit // 2))
+        return b"".join(out), np.fromiter(map(len, out), np.int64, len(out))
+
+    return run
+
+
+def library_engine(path: str, together: int = 1000):
+    """Ids of chunks (little-endian uint32 bytes) from the tokenizers library itself.
+
+    ``joint`` chunks start with a space and a visible character, so they are
+    pre-tokenised alike behind one another, and many are encoded as one text; the
+    tokens' byte lengths tell where each chunk ends.
+    """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-
-    def encode(words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch(words, add_special_tokens=False)]
+    vocab = vocabulary(path)
+    size = np.zeros(max(vocab.token_bytes) + 1, np.int64)
+    size[list(vocab.token_bytes)] = [len(b) for b in vocab.token_bytes.values()]
+
+    def encode(chunks: list[str], joint: bool) -> tuple[bytes, np.ndarray]:
+        texts = ["".join(chunks[at : at + together]) for at in range(0, len(chunks), together)] if joint else chunks
+        got = [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([*got, np.empty(0, "<u4")])
+        if not joint:
+            return ids.tobytes(), np.array([4 * len(x) for x in got], np.int64)
+        borders = np.cumsum(pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy().astype(np.int64))
+        cuts = np.searchsorted(np.cumsum(size[ids]), borders) + 1
+        return ids.tobytes(), 4 * np.diff(cuts, prepend=0)
 
     return encode
 
 
-def library_encoder(path: str) -> CachedEncoder:
+def library_encoder(path: str) -> Encoder:
     vocab = vocabulary(path)
-    return CachedEncoder(vocab, library_engine(path), b"".join, lambda s: vocab.special[s].to_bytes(4, "little"))
+    return Encoder(vocab, library_engine(path), lambda s: vocab.special[s].to_bytes(4, "little"))
 
 
-@lru_cache(2)
-def shared_library_encoder(path: str) -> CachedEncoder:
+def shared_library_encoder(path: str) -> Encoder:
     """One encoder per Python worker, so that its caches serve all its tasks."""
-    return library_encoder(path)
+    return worker_state(f"library-encoder {path}", lambda: library_encoder(path))

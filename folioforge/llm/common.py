@@ -53,6 +53,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of one Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
+    """``df``; its session from now on sends Arrow batches bounded by bytes to Python, whatever the texts' lengths."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
+_STATE: dict[str, object] = {}
+
+
+def worker_state(name: str, make):
+    """``make()``, kept for the later tasks of this Python process."""
+    got = _STATE.get(name)
+    if got is None:
+        got = _STATE[name] = make()
+    return got
+
+
+def one_operator(name: str) -> None:
+    """Called as a task starts: Python workers serve many stages, and what other operators left in this one goes."""
+    if _STATE.get("operator") != name:
+        _STATE.clear()
+        _STATE["operator"] = name
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

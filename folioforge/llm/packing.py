@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import default_vocabulary, shared_library_encoder
-from .common import materialize, text_bytes
+from .bytebpe import ENCODE_BYTES, default_vocabulary, shared_library_encoder
+from .common import bounded_batches, materialize, one_operator, text_bytes
 
 CAPACITY, END_ID = 1024, 2
 
@@ -118,20 +118,18 @@ def _piece_batches(path: str, capacity: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
+        one_operator("bpe")
         encoder, part = shared_library_encoder(path), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), defaultdict(int)
         for batch in batches:
-            ids, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list = [[] for _ in names]
-            for at in range(0, len(raws), 512):
-                texts = [r.decode("utf-8", "replace") for r in raws[at : at + 512]]
-                for doc_id, got in zip(ids[at : at + 512], encoder.encode_batch(texts)):
-                    got += end
-                    for i, (s, n) in enumerate(pieces_of(len(got) // 4, capacity)):
-                        row = (doc_id, i, s, n, zlib.crc32(got[4 * s : 4 * (s + n)]), part, seen[n])
-                        seen[n] += 1
-                        for column, value in zip(out, row):
-                            column.append(value)
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                got += end
+                for i, (s, n) in enumerate(pieces_of(len(got) // 4, capacity)):
+                    row = (doc_id, i, s, n, zlib.crc32(got[4 * s : 4 * (s + n)]), part, seen[n])
+                    seen[n] += 1
+                    for column, value in zip(out, row):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     return run
@@ -155,7 +153,7 @@ def _place_batches(plan: dict[int, np.ndarray]):
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+    rows = bounded_batches(docs, ENCODE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local_rank long"
     pieces = materialize(rows.mapInArrow(_piece_batches(tokenizer or default_vocabulary(), capacity, end_id), schema), "pieces")
     # rank of a piece among those of its length: how many the earlier parts hold, plus its place in its own part

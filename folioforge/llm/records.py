@@ -15,8 +15,8 @@ own attempt, and only shards listed in the manifest (written by Spark's
 committer) count, so lost executors and repeated attempts leave no wrong data.
 
 Defined results: null text is empty and has only the end id; a null doc_id comes
-first; rows with equal doc_id follow one another in the order of their texts;
-an empty table gives no shards and no rows; extra columns don't matter.
+first; rows with equal doc_id follow one another in the order of their texts' hashes
+(equal hashes: of the texts); an empty table gives no shards and no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import default_vocabulary, shared_library_encoder
-from .common import materialize, scratch_path, text_bytes
+from .bytebpe import ENCODE_BYTES, default_vocabulary, shared_library_encoder
+from .common import bounded_batches, materialize, one_operator, scratch_path, text_bytes
 
 END_ID = 2
+#: Bytes of text of a shard.
+SHARD_BYTES = 64 << 20
 #: Fixed value: the delta of the masking used by record files of this kind.
 MASK_DELTA = 0xA282EAD8
 _HEAD, _META = struct.Struct("<QI"), struct.Struct("<qBB")
@@ -89,40 +91,45 @@ def _write_shard(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        one_operator("bpe")
         encoder = shared_library_encoder(path)
         width = 2 if max(max(encoder.vocab.token_bytes), end_id) < 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         fs, top = filesystem(folder)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}"
-        out, offset, tokens, index, end = None, 0, 0, [], np.array([end_id], "<u4").tobytes()
+        out, offset, tokens, records, end = None, 0, 0, 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(raws), 512):
-                texts = [r.decode("utf-8", "replace") for r in raws[at : at + 512]]
-                for doc_id, got in zip(ids[at : at + 512], encoder.encode_batch(texts)):
-                    if out is None:
-                        fs.create_dir(top, recursive=True)
-                        out = fs.open_output_stream(f"{top}/{name}.rec", buffer_size=1 << 20)
-                    numbers = np.frombuffer(got + end, "<u4")
-                    record = frame(pack(doc_id, numbers, width))
-                    out.write(record)
-                    index.append((offset, len(record)))
-                    offset += len(record)
-                    tokens += len(numbers)
+            if out is None and batch.num_rows:
+                fs.create_dir(top, recursive=True)
+                out, index = (fs.open_output_stream(f"{top}/{name}.{kind}", buffer_size=1 << 20) for kind in ("rec", "idx"))
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                numbers = np.frombuffer(got + end, "<u4")
+                record = frame(pack(doc_id, numbers, width))
+                out.write(record)
+                index.write(struct.pack("<QQ", offset, len(record)))
+                offset += len(record)
+                tokens += len(numbers)
+                records += 1
         if out is not None:
             out.close()
-            with fs.open_output_stream(f"{top}/{name}.idx") as f:
-                f.write(np.array(index, "<u8").tobytes())
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "records": len(index), "tokens": tokens, "bytes": offset}])
+            index.close()
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "records": records, "tokens": tokens, "bytes": offset}])
 
     return run
 
 
-def write_records(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write all rows in ascending doc_id order; returns the manifest (shard, name, records, tokens, bytes), one row per shard."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+def write_records(
+    docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
+    """Write all rows in ascending doc_id order; returns the manifest (shard, name, records, tokens, bytes), one row per shard.
+
+    Shards follow the bytes of text, but there are as many as the cluster has cores at least.
+    """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(-(-size // shard_bytes), docs.sparkSession.sparkContext.defaultParallelism)
+    rows = bounded_batches(docs, ENCODE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     # by the text's hash too, so that one id with very many rows still spreads
-    dealt = rows.withColumn("h", F.xxhash64("raw")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "raw")
+    dealt = rows.withColumn("h", F.xxhash64("raw")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "raw")
     schema = "shard long, name string, records long, tokens long, bytes long"
     return materialize(dealt.select("doc_id", "raw").mapInArrow(_write_shard(folder, tokenizer or default_vocabulary(), end_id), schema), "manifest")
 

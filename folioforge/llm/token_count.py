@@ -11,15 +11,16 @@ whatever their doc_id; empty tables give empty tables; extra columns don't matte
 
 from __future__ import annotations
 
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import CachedEncoder, Vocabulary, default_vocabulary, vocabulary
-from .common import text_bytes
+from .bytebpe import ENCODE_BYTES, Encoder, Vocabulary, by_pretokens, default_vocabulary, vocabulary
+from .common import bounded_batches, one_operator, text_bytes, worker_state
 
 LIMIT = 1024
 
@@ -51,20 +52,22 @@ def merge_count(raw: bytes, vocab: Vocabulary) -> int:
     return n - done
 
 
-@lru_cache(2)
-def counter(path: str) -> CachedEncoder:
-    vocab = vocabulary(path)
-    return CachedEncoder(vocab, lambda words: [merge_count(w.encode(), vocab) for w in words], sum, lambda s: 1)
+def counter(path: str) -> Encoder:
+    def make():
+        vocab = vocabulary(path)
+        # a count travels as so many bytes: joined values then add up, and no identifiers are made
+        return Encoder(vocab, by_pretokens(lambda words: [bytes(merge_count(w.encode(), vocab)) for w in words]), lambda s: b"\0")
+
+    return worker_state(f"counter {path}", make)
 
 
 def _count_batches(path: str, limit: int):
     def run(batches):
+        one_operator("bpe-count")
         count = counter(path)
         for batch in batches:
-            raws, n = batch.column(1).to_pylist(), []
-            for at in range(0, len(raws), 512):
-                n += count.encode_batch([r.decode("utf-8", "replace") for r in raws[at : at + 512]])
-            columns = [batch.column(0), pa.array(map(len, raws), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+            n = np.array([len(x) for x in count.encode(batch.column(1))], np.int64)
+            columns = [batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(n), pa.array(n > limit)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
@@ -72,5 +75,5 @@ def _count_batches(path: str, limit: int):
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; no shuffle."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+    rows = bounded_batches(docs, ENCODE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     return rows.mapInArrow(_count_batches(tokenizer or default_vocabulary(), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

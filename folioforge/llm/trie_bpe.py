@@ -15,18 +15,18 @@ empty tables give empty tables; extra columns don't matter.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import CachedEncoder, Vocabulary, default_vocabulary, vocabulary
-from .common import text_bytes
+from .bytebpe import ENCODE_BYTES, Encoder, Vocabulary, by_pretokens, default_vocabulary, lists_offsets, vocabulary
+from .common import bounded_batches, one_operator, text_bytes, worker_state
+
 
 class TrieEncoder:
-    """Encodes lists of distinct words; ``__call__`` is an engine for CachedEncoder.
+    """Encodes lists of distinct words; ``__call__`` is an engine for distinct pre-tokens.
 
     Words are inserted in byte order, so the trie's nodes come up depth-first and
     only the path to the present node is held: per node its prefix's last token
@@ -105,35 +105,46 @@ class TrieEncoder:
         return out
 
 
-@lru_cache(2)
-def trie_encoder(path: str) -> CachedEncoder:
-    vocab = vocabulary(path)
-    return CachedEncoder(vocab, TrieEncoder(vocab), b"".join, lambda s: vocab.special[s].to_bytes(4, "little"))
+def trie_encoder(path: str) -> Encoder:
+    def make():
+        vocab = vocabulary(path)
+        return Encoder(vocab, by_pretokens(TrieEncoder(vocab)), lambda s: vocab.special[s].to_bytes(4, "little"))
+
+    return worker_state(f"trie-encoder {path}", make)
+
 
+class Decoder:
+    """Texts of ids, special tokens included; byte sequences that are not UTF-8 become U+FFFD."""
 
-def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
-    """Text of ids, special tokens included; byte sequences that are not UTF-8 become U+FFFD."""
-    return b"".join(map(vocab.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def __init__(self, vocab: Vocabulary):
+        self.table = pa.array([vocab.token_bytes.get(i, b"") for i in range(max(vocab.token_bytes) + 1)], pa.large_binary())
+
+    def __call__(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """UTF-8 texts; text i has the ids from starts[i] to starts[i + 1]."""
+        got = self.table.take(pa.array(ids))
+        ends, data = lists_offsets(got)[starts].tolist(), got.buffers()[2]
+        data = memoryview(data) if data else memoryview(b"")
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+        return [x if x.isascii() else x.decode("utf-8", "replace").encode() for x in out]
+
+
+def decoder(path: str) -> Decoder:
+    return worker_state(f"decoder {path}", lambda: Decoder(vocabulary(path)))
 
 
 def _encode_batches(path: str, with_ids: bool):
     def run(batches):
-        encoder = trie_encoder(path)
+        one_operator("bpe")
+        encoder, decode = trie_encoder(path), decoder(path)
         for batch in batches:
-            raws = batch.column(1).to_pylist()
-            counts, id_hash, text_hash, all_ids = [], [], [], []
-            for at in range(0, len(raws), 512):
-                for ids in encoder.encode_batch([r.decode("utf-8", "replace") for r in raws[at : at + 512]]):
-                    numbers = np.frombuffer(ids, "<u4")
-                    counts.append(len(numbers))
-                    id_hash.append(hashlib.sha256(ids).hexdigest())
-                    text_hash.append(hashlib.sha256(decode(numbers, encoder.vocab).encode()).hexdigest())
-                    if with_ids:
-                        all_ids.append(numbers.astype(np.int32))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
+            coded = encoder.encode(batch.column(1))
+            counts = np.array([len(x) // 4 for x in coded], np.int64)
+            numbers = np.frombuffer(b"".join(coded), "<u4")
+            texts = decode(numbers, np.concatenate([[0], np.cumsum(counts)]))
+            columns = [batch.column(0), pa.array(counts), *(pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (coded, texts))]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                columns.append(pa.array([np.frombuffer(x, "<i4") for x in coded], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -143,7 +154,7 @@ def _encode_batches(path: str, with_ids: bool):
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids) of every row; no shuffle."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+    rows = bounded_batches(docs, ENCODE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     return rows.mapInArrow(_encode_batches(tokenizer or default_vocabulary(), with_ids), schema)
 
 
@@ -152,9 +163,11 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
     path = tokenizer or default_vocabulary()
 
     def run(batches):
-        vocab = vocabulary(path)
+        one_operator("bpe")
+        decode = decoder(path)
         for batch in batches:
-            texts = [decode(np.asarray(x or [], np.int64), vocab) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            ids = [np.asarray(x or [], np.int64) for x in batch.column(1).to_pylist()]
+            texts = decode(np.concatenate([*ids, np.empty(0, np.int64)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return bounded_batches(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,9 +77,14 @@ def test_bpe_on_random_unicode(library):
     some = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
     path = bytebpe.default_vocabulary()
     want = [ids_of(library, t).tobytes() for t in some]
-    assert trie_bpe.trie_encoder(path).encode_batch(some) == want
-    assert bytebpe.library_encoder(path).encode_batch(some) == want
-    assert token_count.counter(path).encode_batch(some) == [len(w) // 4 for w in want]
+    raws = pa.array([t.encode() for t in some], pa.binary())
+    for again in range(2):  # the second time mostly from the cache
+        assert trie_bpe.trie_encoder(path).encode(raws) == want
+        assert bytebpe.library_encoder(path).encode(raws) == want
+        assert [len(x) for x in token_count.counter(path).encode(raws)] == [len(w) // 4 for w in want]
+    small = bytebpe.library_encoder(path)
+    small.limit = 2000  # the cache is cut back after every batch
+    assert [x for k in range(0, 1500, 50) for x in small.encode(raws.slice(k, 50))] == want
 
 
 def test_records(spark, docs, rows, library, tmp_path):
