@@ -7,8 +7,10 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _OWN: dict[str, str] = {}
 
@@ -16,13 +18,15 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is made.
+    Only where it is unset and Spark runs on one machine (tests) a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="folioforge-")
@@ -81,9 +85,33 @@ def one_operator(name: str) -> None:
         _STATE["operator"] = name
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
-    return F.coalesce(F.col(column), F.lit("")).cast("binary")
+    return F.coalesce(named(column), F.lit("")).cast("binary")
+
+
+def scored_texts(docs: DataFrame, keep: list[str], text: str, name: str, scorer) -> DataFrame:
+    """The ``keep`` columns of every row and the double column ``name``; no shuffle.
+
+    ``scorer()`` is called once per task and gives a function from an array of
+    texts (bytes) to scores.  A text column among ``keep`` travels once.
+    """
+    at = keep.index(text) if text in keep else len(keep)
+    rows = bounded_batches(docs).select(*map(named, keep), *([] if text in keep else [text_bytes(text).alias(name)]))
+    schema = StructType([*(StructField(c, docs.schema[c].dataType) for c in keep), StructField(name, DoubleType())])
+
+    def run(batches):
+        score = scorer()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).fill_null(b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score(texts), pa.float64())], [*batch.schema.names[: len(keep)], name])
+
+    return rows.mapInArrow(run, schema)
 
 
 def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
@@ -94,7 +122,7 @@ def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
 
 def split_remainder(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (a null id counts as '')."""
-    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+    return F.pmod(F.crc32(F.coalesce(named(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
 def words_of(raw: bytes) -> list[bytes]:

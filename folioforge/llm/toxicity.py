@@ -20,7 +20,7 @@ gives an empty table; extra columns don't matter.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, one_text_each, text_bytes
+from .common import bounded_batches, materialize, named, one_operator, one_text_each, scored_texts, text_bytes
 
 #: Bounds of the training sample (documents) and the size of the hashed feature space.
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
 BUCKETS = 1 << 18
 THRESHOLD = 0.7
+#: Words whose weight a scoring task remembers, of at most MAX_WORD bytes each.
+REMEMBERED, MAX_WORD = 100_000, 64
 EPOCHS, RATE, DECAY = 200, 0.05, 1e-5
 STRIP = b".,;:!?\"'()[]{}<>|*_-"
 
@@ -47,23 +49,9 @@ def word_features(word: bytes) -> tuple[int, ...]:
     return tuple(sorted({xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts}))
 
 
-@lru_cache(1)
-def _feature_cache() -> dict:
-    return {}
-
-
 def text_features(raw: bytes) -> np.ndarray:
     """Buckets of all distinct words of a whole text."""
-    known = _feature_cache()
-    if len(known) > 300_000:
-        known.clear()
-    out: list = []
-    for w in set(raw.lower().split()):
-        got = known.get(w)
-        if got is None:
-            got = known[w] = word_features(w)
-        out += got
-    return np.array(out, np.int32)
+    return np.array([f for w in set(raw.lower().split()) for f in word_features(w)], np.int32)
 
 
 def telling_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 4.0) -> np.ndarray:
@@ -128,8 +116,8 @@ class Model:
 
 def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Fit on bounded samples of ``train_docs``; None without a confirmed toxic text among them."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("label_id")).agg(F.max(label).cast("int").alias("label"))
-    ids = train_docs.select(F.col(doc_id).alias("label_id"))
+    known = labels.where(named(label).isin(0, 1)).groupBy(named(doc_id).alias("label_id")).agg(F.max(label).cast("int").alias("label"))
+    ids = train_docs.select(named(doc_id).alias("label_id"))
     usable = materialize(ids.join(known, "label_id").distinct(), "toxic-labels")
     n = {r.label: r.n for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1):
@@ -138,10 +126,10 @@ def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     positive = usable.where("label = 1").orderBy(*order).limit(MAX_POSITIVE).select("label_id", F.lit(1).alias("part"))
     unlabelled = ids.where("label_id IS NOT NULL").distinct().orderBy(*order).limit(MAX_UNLABELLED).select("label_id", F.lit(0).alias("part"))
     sample = materialize(positive.union(unlabelled), "toxic-sample")
-    rows = train_docs.select(F.col(doc_id).alias("label_id"), text_bytes(text).alias("raw")).join(F.broadcast(sample), "label_id")
+    rows = train_docs.select(named(doc_id).alias("label_id"), text_bytes(text).alias("raw")).join(F.broadcast(sample), "label_id")
     table = one_text_each(rows, "part", "label_id").select("raw", "part", "label_id")
     schema = f"features array<int>, part int, label_id {ids.schema['label_id'].dataType.simpleString()}"
-    got = table.mapInArrow(_feature_batches, schema).toArrow().sort_by([("part", "ascending"), ("label_id", "ascending")])
+    got = bounded_batches(table).mapInArrow(_feature_batches, schema).toArrow().sort_by([("part", "ascending"), ("label_id", "ascending")])
     part = got.column("part").to_numpy()
     rows = [np.asarray(x, np.int32) for x in got.column("features").to_numpy()]
     positive, unlabelled = ([r for r, p in zip(rows, part) if p == k] for k in (1, 0))
@@ -150,35 +138,39 @@ def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def _feature_batches(batches):
+    one_operator("toxicity")
     for batch in batches:
         rows = [text_features(raw.as_py()) for raw in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *batch.columns[1:]], ["features", *batch.schema.names[1:]])
 
 
-def _score_batches(model):
-    def run(batches):
-        got = model.value
-        weights, bias = (got.word_weights(), got.bias) if got else ({}, -np.inf)
-        of_word: dict = {}
-        for batch in batches:
-            scores = []
-            for raw in batch.column(batch.num_columns - 1):
+def score_documents(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The ``keep`` columns of every row, and score and predicted under ``names``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scorer():
+        one_operator("toxicity")
+        got = shared.value
+        if got is None:
+            return lambda texts: np.zeros(len(texts))
+        weights, of_word = got.word_weights(), {}
+
+        def score(texts: pa.Array) -> np.ndarray:
+            out = np.empty(len(texts))
+            for i, raw in enumerate(texts):
                 words = set(raw.as_py().lower().split())
-                if len(of_word) > 400_000:
+                if len(of_word) > REMEMBERED:
                     of_word.clear()
-                for w in words.difference(of_word):
+                fresh = words.difference(of_word)
+                for w in fresh:
                     of_word[w] = sum(weights.get(f, 0.0) for f in word_features(w))
-                scores.append(bias + sum(map(of_word.__getitem__, words)))
-            columns = [*batch.columns[:-1], pa.array(sigmoid(np.array(scores)) if got else np.zeros(len(scores)))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score"])
-
-    return run
+                out[i] = got.bias + math.fsum(map(of_word.__getitem__, words))
+                for w in fresh:
+                    if len(w) > MAX_WORD:
+                        del of_word[w]
+            return sigmoid(out)
 
+        return score
 
-def score_documents(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """The ``keep`` columns of every row, and score and predicted under ``names``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in keep], text_bytes(text).alias("raw"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{names[0]}` double"
-    scored = rows.mapInArrow(_score_batches(shared), schema)
-    return scored.withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
+    scored = scored_texts(docs, keep, text, names[0], scorer)
+    return scored.withColumn(names[1], (named(names[0]) >= THRESHOLD).cast("int"))
