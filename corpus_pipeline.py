@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import quality, toxicity
-from folioforge.llm.common import materialize, read_table, split_remainder
+from folioforge.llm.common import materialize, named, read_table, split_remainder
 from folioforge.llm.exact_dedup import drop_exact_copies
 from folioforge.llm.near_dedup import drop_near_copies
 from folioforge.llm.packing import pack_documents
@@ -25,7 +25,7 @@ def _accepted(spark: SparkSession, docs: DataFrame, sf_dir: str, module, label:
     model = module.fit(docs.where(split_remainder(3) != 1), read_table(spark, sf_dir, "labels"))
     names = tuple("_" * max(map(len, docs.columns)) + n for n in ("score", "predicted"))  # no column is called so
     scored = module.score_documents(docs, model, docs.columns, names=names)
-    return scored.where(F.col(names[1]) == label).select(*docs.columns)
+    return scored.where(named(names[1]) == label).select(*map(named, docs.columns))
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
