@@ -1,28 +1,30 @@
 """LM scoring with a subword lattice.
 
-The vocabulary is the pieces of an existing tokenizer file; it is not trained.
-Its scores (ranks) start the piece weights, and two rounds of expectation
-maximisation over the counts of *all* training words turn them into a unigram
-distribution per text class (the most frequent values of a class column, here
-``lang``; used in training only).  A word's probability is the sum over all its
-segmentations, by a forward recursion in log space; a document's is the product
-over its words and an end symbol, mixed over the classes:
-``P(text) = sum_k pi_k * P_k(end) * prod_w P_k(w)``.
-
-A word seen in training has one more arc, the whole word with its smoothed
-frequency in the class (weights ``WORD_SHARE`` for that arc and the rest for the
-pieces), so frequent words needn't be spelled.
-
-Work is by distinct word: counts, expectations and lattice values live in tables
-keyed by word.  Only the HEAD_WORDS most frequent words are broadcast (a fixed
-bound); rarer words meet their documents in a shuffle join, where no key is hot
-because each word there has less than 1/HEAD_WORDS of all tokens.
+The vocabulary and its scores are those of an existing unigram-scored tokenizer
+file; neither is trained.  Scores are ranks, so a piece's weight is a Zipf law of
+its score.  A word's lattice probability is the sum over all its segmentations,
+by a forward recursion in log space.
+
+What the training texts add: a word seen there has one more arc in its lattice,
+the whole word with its smoothed frequency.  That arc has the small weight
+``WORD_SHARE``; all segmentations together have the rest.  Frequencies are kept
+per text class (the most frequent values of a class column, here ``lang``; used
+in training only), and a document's marginal probability is the product over its
+words and an end symbol, mixed over the classes:
+``P(text) = sum_k pi_k * P_k(end) * prod_w (1 - P_k(end)) * P_k(w)``.
+
+Work is by distinct word: counts and lattice values live in tables keyed by word,
+which grow with the corpus.  Only the HEAD_WORDS most frequent words are
+broadcast (a fixed bound); rarer words meet their documents in a shuffle join,
+where a key has at most one row per document and, but for words of over
+MAX_HEAD_BYTES, less than 1/HEAD_WORDS of all tokens.
 
 Defined results: null text is empty; an empty text has the end token only; a
 null class value is a class like any other; an empty table gives an empty table;
-without training tokens the pieces keep their starting weights; very long words
-are scored exactly in bounded memory (expectations use 64-character windows);
-repeated rows of a doc_id are scored as separate rows; extra columns don't matter.
+without training tokens only the segmentations count; words of any length are
+scored exactly in bounded memory; repeated rows of a doc_id and null doc_ids are
+scored as separate rows; ties in the choice of classes and head words go to the
+smaller value; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,22 +32,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes, words_of
+from .common import bounded_batches, materialize, named, one_operator, text_bytes, words_of
 
 #: Only the HEAD_WORDS most frequent training words, of at most MAX_HEAD_BYTES each, are broadcast: under 50 MB for any corpus.
 HEAD_WORDS, MAX_HEAD_BYTES = 400_000, 64
 MAX_CLASSES = 5
-EM_ROUNDS = 2
-WORD_SHARE = 0.97
-#: Pseudo-counts that pull a class's piece and word weights towards those of all classes.
+#: Weight of the whole-word arc of a word seen in training; the segmentations share the rest.
+WORD_SHARE = 0.1
+#: Pseudo-counts that pull a class's word frequencies towards those of all classes.
 PRIOR = 2000.0
-WINDOW = 64
+#: Words of more characters are summed one by one, in memory that doesn't grow with them.
+LONG = 256
 MARK = "▁"
 
 
@@ -57,7 +61,7 @@ def default_pieces() -> str:
 
 @lru_cache(2)
 def piece_table(path: str) -> tuple[dict, int, np.ndarray]:
-    """(piece → id, longest piece, starting log weights); byte pieces keep their ids 0..255."""
+    """(piece → id, longest piece, log weights); byte pieces keep their ids 0..255."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -147,26 +151,6 @@ class Lattice:
         """(words, classes) log marginal probabilities."""
         return self.forward(self.arc_weights(logp))[self.offset[1:] - 1]
 
-    def expected(self, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(pieces, classes) expected uses, words weighted by their counts per class."""
-        out = np.zeros((len(logp), counts.shape[1]))
-        if not len(self.w):
-            return out
-        weights = self.arc_weights(logp)
-        alpha = self.forward(weights)
-        beta = np.full_like(alpha, -np.inf)
-        beta[self.offset[1:] - 1] = 0.0
-        base = self.offset[self.w]
-        self._sweep(weights, -self.s, base + self.e, base + self.s, beta)
-        total = alpha[self.offset[1:] - 1]
-        share = np.exp(alpha[base + self.s] + weights + beta[base + self.e] - total[self.w])
-        mass = share * counts[self.w]  # one class of weights serves all when logp has one column
-        for k in range(counts.shape[1]):
-            out[:, k] = np.bincount(self.p, mass[:, k], len(logp))
-            if len(self.extra):
-                out[:, k] += np.bincount(self.extra[:, 1], mass[self.extra[:, 0], k], len(logp))
-        return out
-
 
 def long_total(word: str, pieces: dict, longest: int, logp: np.ndarray) -> np.ndarray:
     """Exact forward value of one very long word; keeps only the last ``longest`` positions."""
@@ -194,7 +178,7 @@ def class_names(docs: DataFrame, column: str | None, most: int = MAX_CLASSES) ->
     """The values of the class column with the most rows (ties by value); the rest share the last class."""
     if column is None or column not in docs.columns:
         return []
-    rows = docs.groupBy(F.col(column).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(most - 1)
+    rows = docs.groupBy(named(column).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(most - 1)
     return [r.c for r in rows.collect()]
 
 
@@ -202,6 +186,7 @@ def _count_batches(n_classes: int, flush: int = 400_000):
     """Partial counts (word, class, n) from (class, raw) rows; class ``n_classes`` marks held-out texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_operator("lattice")
         seen: list[dict] = [{} for _ in range(n_classes + 1)]
 
         def out():
@@ -231,81 +216,39 @@ def word_counts(train: DataFrame, n_classes: int) -> DataFrame:
     return parts.groupBy("word").agg(*sums).select("word", F.array(*[f"c{i}" for i in range(n_classes)]).alias("c"))
 
 
-def _expect_batches(path: str, logp: np.ndarray, n_classes: int):
-    def run(batches):
-        pieces, longest, _ = piece_table(path)
-        total = np.zeros((len(logp), n_classes))
-        for batch in batches:
-            words, counts = [], []
-            for raw, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word = decoded(raw)
-                # windows of long words count as words of their own here
-                for at in range(0, max(1, len(word)), WINDOW):
-                    words.append(word[at : at + WINDOW])
-                    counts.append(c)
-            for at in range(0, len(words), 4096):
-                total += Lattice(words[at : at + 4096], pieces, longest).expected(logp, np.array(counts[at : at + 4096], float))
-        used = np.flatnonzero(total.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].tolist(), pa.list_(pa.float64()))], ["piece", "m"])
-
-    return run
-
-
-def piece_weights(counts: DataFrame, path: str, n_classes: int, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """(pieces + end, classes) log weights by expectation maximisation over the whole word table.
-
-    What reaches the driver is one row per vocabulary piece, whatever the corpus.
-    """
-    _, _, start = piece_table(path)
-    logp = start[:, None]
-    for _ in range(rounds):
-        rows = (
-            counts.mapInArrow(_expect_batches(path, logp, n_classes), "piece long, m array<double>")
-            .groupBy("piece")
-            .agg(*[F.sum(F.col("m")[k]).alias(f"m{k}") for k in range(n_classes)])
-            .collect()
-        )
-        mass = np.zeros((len(start), n_classes))
-        for r in sorted(rows, key=lambda r: r[0]):
-            mass[r[0]] = r[1:]
-        every = mass.sum(1) + 0.1 * np.exp(start) * len(start)
-        every /= every.sum()
-        share = (mass + PRIOR * every[:, None]) / (mass.sum(0) + PRIOR)
-        logp = np.log(np.maximum(share, 1e-300))
-    return np.repeat(logp, n_classes, axis=1) if logp.shape[1] != n_classes else logp
-
-
-def _score_words(path: str, logp: np.ndarray, totals: np.ndarray, base_denominator: float):
-    """(word, c, base, v): base log10 and log10 probabilities per class of each word."""
+def _score_words(path: str, totals: np.ndarray, base_denominator: float):
+    """(word, n, base, v): base log10 and log10 probabilities per class of each word."""
     grand = totals.sum()
 
     def run(batches):
-        pieces, longest, _ = piece_table(path)
+        one_operator("lattice")
+        pieces, longest, logp = piece_table(path)
         for batch in batches:
             words = [decoded(x) for x in batch.column(0).to_pylist()]
-            counts = np.array(batch.column(1).to_pylist(), float).reshape(len(words), -1)
-            out = np.empty((len(words), logp.shape[1]))
-            short = [i for i, w in enumerate(words) if len(w) <= 4 * WINDOW]
+            counts = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(words), -1)
+            lattice = np.empty((len(words), 1))
+            short = [i for i, w in enumerate(words) if len(w) <= LONG]
             for at in range(0, len(short), 4096):
                 pick = short[at : at + 4096]
-                out[pick] = Lattice([words[i] for i in pick], pieces, longest).totals(logp)
+                lattice[pick] = Lattice([words[i] for i in pick], pieces, longest).totals(logp[:, None])
             for i in set(range(len(words))).difference(short):
-                out[i] = long_total(words[i], pieces, longest, logp)
-            out = mixed_in(out, counts, totals, grand)
-            base = np.log10((counts.sum(1) + 0.1) / base_denominator)
+                lattice[i] = long_total(words[i], pieces, longest, logp[:, None])
+            values = word_values(lattice, counts, totals, grand)
+            n = counts.sum(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts.sum(1).astype(np.int64)), pa.array(base), pa.array(out.tolist(), pa.list_(pa.float64()))], ["word", "n", "base", "v"]
+                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(np.log10((n + 0.1) / base_denominator)), pa.array(values.tolist(), pa.list_(pa.float64()))], ["word", "n", "base", "v"]
             )
 
     return run
 
 
-def mixed_in(lattice: np.ndarray, counts: np.ndarray, totals: np.ndarray, grand: float) -> np.ndarray:
-    """log10 of the word arc and the piece segmentations together (lattice: natural logs)."""
+def word_values(lattice: np.ndarray, counts: np.ndarray, totals: np.ndarray, grand: float) -> np.ndarray:
+    """(words, classes) log10 probabilities from the lattice (natural logs, one column) and the word arc together."""
     every = counts.sum(1, keepdims=True) / max(grand, 1.0)
     arc = (counts + PRIOR * every) / (totals + PRIOR)
     with np.errstate(divide="ignore"):
-        return np.logaddexp(math.log1p(-WORD_SHARE) + lattice, np.log(WORD_SHARE * arc)) / math.log(10)
+        seen = np.logaddexp(math.log1p(-WORD_SHARE) + lattice, np.log(WORD_SHARE * arc))
+    return np.where(every > 0, seen, lattice) / math.log(10)
 
 
 def _score_docs(head):
@@ -313,24 +256,25 @@ def _score_docs(head):
     names = ["row", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", "v"]
 
     def run(batches):
+        one_operator("lattice")
         index, matrix, uses = head.value
+        nowhere = len(uses)
+        matrix, uses = np.vstack([matrix, np.zeros(matrix.shape[1])]), np.append(uses, 0)
         width = matrix.shape[1] - 1
         for batch in batches:
             heads, tail = ([], []), ([], [], [])
             for row, raw in zip(batch.column(0).to_pylist(), batch.column(3)):
                 words = words_of(raw.as_py())
-                hits = [index[w] for w in words if w in index]
+                hits = np.fromiter(map(index.get, words, repeat(nowhere)), np.int64, len(words))
                 got = matrix[hits].sum(0)
                 heads[0].append((len(words) + 1, int(uses[hits].sum()), got[0]))
                 heads[1].append(got[1:])
-                if len(hits) < len(words):
-                    rare: dict = {}
-                    for w in words:
-                        if w not in index:
-                            rare[w] = rare.get(w, 0) + 1
-                    tail[0].extend([row] * len(rare))
-                    tail[1].extend(rare)
-                    tail[2].extend(rare.values())
+                rare: dict = {}
+                for i in np.flatnonzero(hits == nowhere).tolist():
+                    rare[words[i]] = rare.get(words[i], 0) + 1
+                tail[0].extend([row] * len(rare))
+                tail[1].extend(rare)
+                tail[2].extend(rare.values())
             n, m = batch.num_rows, len(tail[0])
             none = pa.nulls
             values = pa.array(np.array(heads[1], float).reshape(n, width).tolist(), pa.list_(pa.float64()))
@@ -352,14 +296,14 @@ def score_documents(
 
     ``held_out`` is a boolean column expression; texts where it is false train the model.
     """
-    spark, path = docs.sparkSession, pieces or default_pieces()
+    spark, path = bounded_batches(docs).sparkSession, pieces or default_pieces()
     names = class_names(docs.where(~held_out), class_column)
     n_classes = len(names) + 1
     k = F.lit(len(names))
     for i, name in enumerate(names):
-        k = F.when(F.col(class_column).cast("string").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(k)
+        k = F.when(named(class_column).cast("string").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(k)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), k.cast("int").alias("class"), text_bytes(text).alias("raw")
+        F.monotonically_increasing_id().alias("row"), named(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), k.cast("int").alias("class"), text_bytes(text).alias("raw")
     )
 
     # 1. counts of all words; held-out texts add their words with no count
@@ -374,9 +318,8 @@ def score_documents(
     n_types = got.v + (1 if texts.sum() else 0)
     denominator = n_train + 0.1 * (n_types + 1)
 
-    # 2. piece weights, then every word's value
-    logp = piece_weights(counts.where(n_any > 0), path, n_classes)
-    values = materialize(counts.mapInArrow(_score_words(path, logp, totals, denominator), "word binary, n long, base double, v array<double>"), "word-values")
+    # 2. every word's value
+    values = materialize(counts.mapInArrow(_score_words(path, totals, denominator), "word binary, n long, base double, v array<double>"), "word-values")
     top = values.where((F.col("n") > 0) & (F.octet_length("word") <= MAX_HEAD_BYTES)).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
     top = top.select("word", "n", "base", *[F.col("v")[i].alias(f"v{i}") for i in range(n_classes)]).toArrow()
     matrix = np.array([top.column(i).to_numpy() for i in range(2, 3 + n_classes)], float).T.reshape(-1, n_classes + 1)

@@ -263,6 +263,39 @@ def test_language_model(docs, rows):
         assert r.score < 0 and math.isfinite(r.score)
     rare = by_id(lattice_lm.score_documents(docs, held, class_column=None))
     assert all(math.isfinite(r.score) for r in rare.values())
+    # every score again, by segmenting each word in plain recursion
+    pieces, _, logp = lattice_lm.piece_table(lattice_lm.default_pieces())
+    memo: dict = {}
+
+    def total(text):
+        if text not in memo:
+            memo[text] = 1.0 if not text else sum(
+                math.exp(logp[pieces[text[:k]]] if text[:k] in pieces else sum(logp[b] for b in text[:k].encode())) * total(text[k:])
+                for k in range(1, len(text) + 1) if k == 1 or text[:k] in pieces
+            )
+        return memo[text]
+
+    lang = {r[0]: r[2] for r in rows}
+    names = [c for c, _ in sorted(Counter(v for i, v in lang.items() if not is_held[i]).items(), key=lambda x: (-x[1], x[0] or ""))]
+    groups = [[i for i, v in lang.items() if v == c and not is_held[i]] for c in names[:4]] + [[i for i, v in lang.items() if v in names[4:] and not is_held[i]]]
+    words = [Counter(w for i in g for w in tokens[i] if w) for g in groups]
+    grand, share, prior = sum(sum(x.values()) for x in words), lattice_lm.WORD_SHARE, lattice_lm.PRIOR
+    every = sum(words, Counter())
+    for i, ws in tokens.items():
+        if any(w and len(w) > 200 for w in ws):
+            continue  # too deep for the recursion; the exact sum of long words has a test of its own
+        parts = []
+        for g, x in zip(groups, words):
+            n = sum(x.values())
+            end = (len(g) + 1) / (n + len(g) + 2)
+            out = math.log10((len(g) + 0.5) / (sum(map(len, groups)) + 0.5 * len(groups))) + math.log10(end)
+            for w in ws[:-1]:
+                lattice = total("▁" + lattice_lm.decoded(w))
+                arc = (x[w] + prior * every[w] / grand) / (n + prior)
+                out += math.log10((1 - share) * lattice + share * arc if every[w] else lattice) + math.log10(1 - end)
+            parts.append(out)
+        want = max(parts) + math.log10(sum(10 ** (p - max(parts)) for p in parts))
+        assert math.isclose(got[i].score, want, rel_tol=1e-6), i
 
 
 def test_tail_words_score_like_head_words(docs, monkeypatch):
