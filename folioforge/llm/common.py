@@ -130,6 +130,56 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+#: A key with more than 1/HOT of all rows is hot; so there are fewer than HOT of them, a table that can always be broadcast.
+HOT = 1000
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, uses: str, total: int) -> DataFrame:
+    """``rows`` left join ``facts`` (unique ``key``, and ``uses``: its rows) on ``key``, whatever the share of a key.
+
+    Rows of hot keys and of null keys don't move: the hot facts, fewer than HOT
+    rows, are broadcast.  In the shuffle join of the others no key has more than
+    1/HOT of the rows.
+    """
+    hot = facts.where(F.col(uses) * HOT > F.lit(total)).drop(uses)
+    rest = facts.where(F.col(uses) * HOT <= F.lit(total)).drop(uses)
+    found = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    others = [c for c in hot.columns if c != key]
+    still = found.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot", *others)
+    return found.where(F.col("_hot").isNotNull() | F.col(key).isNull()).drop("_hot").unionByName(still.join(rest, key, "left"))
+
+
+class Forest:
+    """Union-find over small integers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def once_each(docs: DataFrame, several: DataFrame, doc_id: str, mark: Column) -> DataFrame:
+    """``docs`` with one row instead of many where id and ``mark`` (a hash of the text) are among ``several(doc_id, mark)``.
+
+    The row whose hash over all columns is least stays; combined on the map side.
+    """
+    if several.isEmpty():
+        return docs
+    at = [F.col("k.doc_id").eqNullSafe(named(doc_id).cast("long")), F.col("k.mark") == mark]
+    keys = several.select("doc_id", "mark").distinct().alias("k")
+    some = docs.join(keys, at, "left_semi").groupBy(named(doc_id), mark)
+    least = some.agg(F.min_by(F.struct(*map(named, docs.columns)), F.xxhash64(*map(named, docs.columns))).alias("r")).select("r.*")
+    return docs.join(keys, at, "left_anti").union(least)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component = smallest reachable node.
 

@@ -6,25 +6,29 @@ bits of its least hash.  Bands of registers give candidates, a
 collision-corrected Jaccard estimate drops the hopeless ones, and every link is
 confirmed on the full sets (100 * intersection >= 75 * union).
 
-No pair list of a group is ever made.  Texts with equal sets are one class.  In
-each band bucket every class first meets only the bucket's leader.  Buckets that
-then still hold several components are compared by sketch in blocks, and give a
-spanning forest of the pairs that remain possible; the trees are families, whose
-members are verified against each other in block pairs, which give a spanning
-forest of the confirmed links.  All outputs are linear in the members.
+Texts with equal sets are one class; its node is a number taken from the set's
+print, never from a doc_id.  No pair list of a group is ever made.  In each band
+bucket every class first meets only the bucket's leader; what remains possible
+is verified.  Buckets of three or more that then still hold several components
+are compared by small signatures, those outside the largest component against
+all, and give a spanning forest of the pairs that remain possible; its trees are
+families, whose members are verified in the same way.  Buckets with equal
+members are compared once.  A sketch or text moves only for classes in pairs
+that passed the size and signature tests.
 
 Defined results: null or empty text, and text without words, has an empty set
 and no links; under five words the whole word sequence is the one shingle; rows
-with equal doc_id are told apart only by their text; a null doc_id is never a
-component's representative (it gets component null and stays); empty tables give
-empty tables; extra columns don't matter.
+with equal doc_id and different texts are different documents that share an id;
+``drop_near_copies`` keeps one row of each component, repeated rows included; a
+null doc_id links with nothing (component null) and stays; there are no ties, as
+components have one smallest doc_id; empty tables give empty tables; extra
+columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +36,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, text_bytes, words_of
+from .common import Forest, bounded_batches, connected_components, discard, join_by_key, materialize, named, once_each, one_operator, text_bytes, words_of, worker_state
 
 SHINGLE, LEAST_PERCENT = 5, 75
 #: A pair at Jaccard 0.75 misses all 60 bands of 5 with probability (1 - 0.75**5)**60 < 1e-7.
 BANDS, ROWS = 60, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Members compared with one copy of their leader in one task; members of one side of a block pair.
-STAR, BLOCK = 512, 256
-#: Candidate rows that may be broadcast against the texts (under 100 MB); more of them meet the texts in a shuffle join.
+#: Bits of the signatures that are compared before sketches: one of each of so many registers, and whether it is full.
+SIGNATURE = 256
+WORDS64 = SIGNATURE // 64
+#: Members verified against one copy of their leader in one task.
+STAR = 512
+#: Rows of a block of a bucket; of a family, rows and shingles (8 bytes each) of a block.
+BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 2048, 256, 1_000_000
+#: Wanted nodes that may be broadcast against the texts, 24 bytes each; more of them meet the texts in a shuffle join.
 BROADCAST_ROWS = 1_000_000
+REMEMBERED, MAX_WORD = 100_000, 64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-@lru_cache(1)
-def _word_hashes() -> dict:
-    return {}
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -62,12 +67,16 @@ def shingle_set(raw: bytes) -> np.ndarray:
     words = words_of(raw)
     if not words:
         return np.empty(0, np.uint64)
-    known = _word_hashes()
-    if len(known) > 300_000:
+    known = worker_state("word-hashes", dict)
+    if len(known) > REMEMBERED:
         known.clear()
-    for w in set(words).difference(known):
+    fresh = set(words).difference(known)
+    for w in fresh:
         known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([known[w] for w in words], np.uint64)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    for w in fresh:
+        if len(w) > MAX_WORD:
+            del known[w]
     with np.errstate(over="ignore"):
         if len(h) < SHINGLE:  # the length keeps short sequences apart from longer ones
             mixed = np.uint64(len(h))
@@ -149,252 +158,316 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= LEAST_PERCENT * (len(a) + len(b) - both)
 
 
+def node_of(set_print: bytes) -> int:
+    return int.from_bytes(set_print[:8], "little") >> 1
+
+
+def signature(sketches: np.ndarray) -> np.ndarray:
+    """(n, 2 * WORDS64) int64: one bit of each of the first SIGNATURE registers, then whether it is full."""
+    part = sketches[:, :SIGNATURE]
+    return np.packbits(np.concatenate([part & 1, part != 0], axis=1).astype(bool), axis=1).view(np.int64)
+
+
+def signatures_allow(unlike, full):
+    """Whether a pair may reach 0.75: then an eighth of the bits differs on average, here up to five standard errors more."""
+    return unlike <= full * 0.125 + 5 * (full * 0.109375) ** 0.5 + 1
+
+
+SIGNS = [f"s{i}" for i in range(2 * WORDS64)]
+SKETCH_SCHEMA = "doc_id long, mark long, n_shingles long, node long, print binary, sketch binary, " + ", ".join(f"{c} long" for c in SIGNS)
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one_operator("near")
     for batch in batches:
-        ids, sizes, prints, sketches = batch.column(0), [], [], []
-        for raw in batch.column(1):
+        sizes, prints, sketches = [], [], []
+        for raw in batch.column(2):
             s = shingle_set(raw.as_py())
             sizes.append(len(s))
             prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sketches.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "print", "sketch"])
+            sketches.append(registers(s))
+        rows = np.array(sketches, np.uint16).reshape(-1, REGISTERS)
+        columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([p and node_of(p) for p in prints], pa.int64()), pa.array(prints, pa.binary())]
+        columns += [pa.array([x.tobytes() if p else None for x, p in zip(rows, prints)], pa.binary()), *(pa.array(c) for c in signature(rows).T)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "node", "print", "sketch", *SIGNS])
 
 
 def sketch_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, print, sketch); print identifies the set, null for an empty one."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
-    return rows.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, print binary, sketch binary")
+    """doc_id, mark (a hash of the text), n_shingles, node and print of the set (null for an empty one), sketch and signature."""
+    raw = text_bytes(text)
+    rows = bounded_batches(docs).select(named(doc_id).cast("long").alias("doc_id"), F.xxhash64(raw).alias("mark"), raw.alias("raw"))
+    return rows.mapInArrow(_sketch_batches, SKETCH_SCHEMA)
+
+
+def unclashed(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """``rows`` with nodes of their own for sets whose prints differ but whose nodes don't; None where there are none.
+
+    At 64-bit nodes even 10^10 classes have about three such sets.
+    """
+    bad = classes.where("lo <> hi").select("node")
+    if bad.isEmpty():
+        return None
+    prints = rows.join(bad, "node", "left_semi").select("print").distinct().orderBy("print").collect()
+    own = rows.sparkSession.createDataFrame([(bytes(r.print), -1 - i) for i, r in enumerate(prints)], "print binary, own long")
+    return rows.join(F.broadcast(own), "print", "left").withColumn("node", F.coalesce("own", "node")).select(rows.columns)
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """node, copies, n_shingles, first (doc_id and mark of a row) and signature of each class of equal sets; combined on the map side."""
+    sums = [F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "mark")).alias("first")]
+    edges = [F.min("print").alias("lo"), F.max("print").alias("hi")]
+    return rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(*sums, *edges, *[F.min(c).alias(c) for c in SIGNS])
 
 
 def _band_batches(batches):
+    """(key, node); a task gives a node's bands once as long as it remembers the node."""
+    seen: set = set()
     for batch in batches:
-        got = [band_keys(np.frombuffer(x.as_py(), np.uint16)) for x in batch.column(1)]
-        if got:
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in got])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(nodes)], ["key", "node"])
+        nodes, sketches, got, of = batch.column(0).to_pylist(), batch.column(1), [], []
+        if len(seen) > 200_000:
+            seen.clear()
+        for node, sketch in zip(nodes, sketches):
+            if node not in seen:
+                seen.add(node)
+                got.append(band_keys(np.frombuffer(sketch.as_py(), np.uint16)))
+                of.append(node)
+        keys = np.concatenate([*got, np.empty(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(of, np.int64), [len(k) for k in got]))], ["key", "node"])
+
+
+def bucket_members(rows: DataFrame) -> DataFrame:
+    """(key, node, leader, size, members) of the band buckets that hold several classes; ``members`` stands for the set of nodes."""
+    bands = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "sketch").mapInArrow(_band_batches, "key long, node long")
+    of_all = [F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")]
+    keys = materialize(bands.groupBy("key").agg(*of_all).where("leader <> last").drop("last"), "band-buckets")
+    return bands.join(keys, "key").distinct()
+
+
+def possible_pairs(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes, then signatures, then the sketches' Jaccard estimate leave at 0.75 or more."""
+    fact = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), *[F.col(c).alias(c + x) for c in SIGNS])
+    both = pairs.join(fact("a"), "a").join(fact("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * LEAST_PERCENT)
+    unlike = sum(F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(WORDS64))
+    full = sum(F.bit_count(F.col(f"s{i}a").bitwiseOR(F.col(f"s{i}b"))) for i in range(WORDS64, 2 * WORDS64))
+    left = materialize(both.where(signatures_allow(unlike, full)).select("a", "b", "na", "nb"), "alike")
+    # one sketch of each node that is left
+    wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    sketches = rows.join(wanted, "node", "left_semi").where("doc_id IS NOT NULL").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    sa, sb = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    return left.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimate_batches, "a long, b long")
 
 
 def _estimate_batches(batches):
     for batch in batches:
         a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
         na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-        keep = estimate(a, b, na, nb) >= floor_for(((a != 0) | (b != 0)).sum(-1), na, nb)
-        keep &= np.minimum(na, nb) * 100 >= LEAST_PERCENT * np.maximum(na, nb)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+        keep = pa.array(estimate(a, b, na, nb) >= floor_for(((a != 0) | (b != 0)).sum(-1), na, nb))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, raw): one text of each wanted node; only wanted texts are moved while the list is short."""
+    wanted = materialize(nodes.distinct().join(classes.select("node", "first.*"), "node"), "wanted")
+    raw = text_bytes(text)
+    texts = docs.select(named(doc_id).cast("long").alias("doc_id"), F.xxhash64(raw).alias("mark"), raw.alias("raw"))
+    got = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["doc_id", "mark"])
+    return materialize(got.groupBy("node").agg(F.min("raw").alias("raw")), "wanted-texts")  # rows may repeat
 
 
-def estimated_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose sketches leave 0.75 possible."""
-    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimate_batches, "a long, b long")
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _verify_group(batches):
+def _verify_stars(batches):
     """Rows sorted by (a, salt, role): the leader's text, then its members'."""
+    one_operator("near")
     at, leader = None, None
     for batch in batches:
-        group, salt, role, node, raw = (batch.column(i) for i in range(5))
-        got_a, got_b = [], []
-        for g, s, r, n, x in zip(group.to_pylist(), salt.to_pylist(), role.to_pylist(), node.to_pylist(), raw):
-            mine = shingle_set(x.as_py())
-            if r == 0:
+        found = []
+        for g, s, role, node, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+            mine = shingle_set(raw.as_py())
+            if role == 0:
                 at, leader = (g, s), mine
             elif at == (g, s) and linked(leader, mine):
-                got_a.append(g)
-                got_b.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], ["a", "b"])
+                found.append((g, node))
+        yield _edges(found)
 
 
-def with_texts(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``wanted`` (has ``node``) with the text bytes of each node; only wanted texts are moved while the list is short."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), text_bytes(text).alias("raw"))
-    wanted = materialize(wanted, "wanted")
-    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node")
-
-
-def verify_pairs(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def verify_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The pairs whose full sets reach the threshold; a leader's members are salted over several tasks."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("members") / STAR))).alias("salt"))
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    salted = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("members") / STAR))).alias("salt"))
     wanted = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")).union(
         salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
     )
-    rows = with_texts(wanted, docs, doc_id, text).select("a", "salt", "role", "node", "raw")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify_group, "a long, b long")
+    wanted = materialize(wanted, "star-rows")
+    rows = wanted.join(texts_of(wanted.select("node"), classes, docs, doc_id, text), "node").select("a", "salt", "role", "node", "raw")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify_stars, "a long, b long")
 
 
-def counted(pairs: DataFrame) -> DataFrame:
-    """Pairs with the number of members that their leader has."""
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
-    return pairs.join(sizes, "a")
-
-
-class Forest:
-    """Union-find over small integers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
+def dealt(rows: DataFrame, group: str, most: int, weight: str | None = None, most_weight: int = 1) -> DataFrame:
+    """``rows`` (group, node, comp) as block pairs: those outside a group's largest component (side 0) with all (side 1).
 
-def _check_blocks(table: pa.Table) -> pa.RecordBatch:
-    """Whole block-pair groups: a spanning forest of the pairs from different components that the sketches leave possible."""
-    number = lambda name: table.column(name).to_numpy()
-    key, i, j, side, node, comp, n = (number(c) for c in ("key", "i", "j", "side", "node", "comp", "n_shingles"))
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    change = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-    starts = np.concatenate([[0], change])
-    sizes = np.diff(np.concatenate([starts, [len(key)]]))
-    ids, where = np.unique(node, return_inverse=True)
-    forest, found = Forest(len(ids)), []
-    area = sizes * sizes
-    for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(area) // 500_000)) + 1):
-        group = np.repeat(some, area[some])
-        place = np.arange(len(group)) - np.repeat(np.cumsum(area[some]) - area[some], area[some])
-        a, b = starts[group] + place // sizes[group], starts[group] + place % sizes[group]
-        able = (a < b) & (comp[a] != comp[b]) & ((i[a] == j[a]) | (side[a] != side[b]))
-        able &= np.minimum(n[a], n[b]) * 100 >= LEAST_PERCENT * np.maximum(n[a], n[b])
-        a, b = a[able], b[able]
-        for at in range(0, len(a), 20_000):
-            x, y = a[at : at + 20_000], b[at : at + 20_000]
-            sx, sy = sketch[x], sketch[y]
-            good = estimate(sx, sy, n[x], n[y]) >= floor_for(((sx != 0) | (sy != 0)).sum(1), n[x], n[y])
-            for p, q in zip(where[x[good]].tolist(), where[y[good]].tolist()):
-                if forest.join(p, q):
-                    found.append((ids[p], ids[q]))
-    return _edges(found)
-
-
-def _verify_family(table: pa.Table) -> pa.RecordBatch:
-    """Whole block-pair groups of families: a spanning forest of the confirmed links between components."""
-    family, i, j = (table.column(c).to_numpy() for c in ("family", "i", "j"))
-    change = np.flatnonzero((np.diff(family) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-    found: list = []
-    for start, end in zip([0, *change], [*change, len(family)]):
-        rows = table.slice(start, end - start)
-        node, comp, side = (rows.column(c).to_pylist() for c in ("node", "comp", "side"))
-        if len(set(comp)) < 2:
+    A block has about ``most`` rows, and at most about ``most_weight`` of ``weight``
+    in sum.  Groups of one component are left out.
+    """
+    load = F.sum(weight) if weight else F.lit(0).cast("long")
+    parts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"), load.alias("w"))
+    main = F.max(F.struct("n", "w", "comp")).alias("main")
+    sums = parts.groupBy(group).agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.sum("w").alias("w"), main).where("comps > 1")
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / most), F.ceil(w / most_weight)).cast("int")
+    outside = blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w"))
+    plan = sums.select(group, F.col("main.comp").alias("main_comp"), outside.alias("n_left"), blocks(F.col("n"), F.col("w")).alias("n_right"))
+    known = rows.join(plan, group)
+    mine = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = known.where("comp <> main_comp").withColumn("i", mine("n_left")).withColumn("j", upto("n_right")).withColumn("side", F.lit(0))
+    right = known.withColumn("i", upto("n_left")).withColumn("j", mine("n_right")).withColumn("side", F.lit(1))
+    return left.unionByName(right).drop("main_comp", "n_left", "n_right")
+
+
+def _segments(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Runs of rows that agree in all columns."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    starts = [0, *np.flatnonzero(change).tolist()]
+    yield from zip(starts, [*starts[1:], len(change)])
+
+
+def _check_blocks(batches):
+    """Sorted (key, i, j, side) rows: a spanning forest, per block pair, of the pairs of different components that signatures allow."""
+    at, left, forest, number = None, None, None, None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        sets = [shingle_set(x.as_py()) for x in rows.column("raw")]
-        sketch, n = np.array([registers(s) for s in sets]), np.array([len(s) for s in sets])
-        forest, first = Forest(len(node)), {}
-        for k, c in enumerate(comp):
-            forest.join(k, first.setdefault(c, k))
-        within, sides = i[start] == j[start], np.array(side)
-        for x in range(len(node)):
-            others = np.arange(x + 1, len(node))
-            able = (within | (sides[others] != sides[x])) & (np.minimum(n[others], n[x]) * 100 >= LEAST_PERCENT * np.maximum(n[others], n[x]))
-            others = others[able]
-            if len(others):
-                full = ((sketch[others] != 0) | (sketch[x] != 0)).sum(1)
-                others = others[estimate(sketch[others], sketch[x], n[others], n[x]) >= floor_for(full, n[others], n[x])]
-            for y in others.tolist():  # pairs that are connected already need no proof
-                if forest.root(x) != forest.root(y) and linked(sets[x], sets[y]):
-                    forest.join(x, y)
-                    found.append((node[x], node[y]))
-    return _edges(found)
-
-
-def _whole_groups(check, columns: list[str], rows_at_once: int):
-    """Groups arrive sorted; a bounded number of rows is held, and ``check`` gets whole groups only."""
-
-    def run(batches):
-        held: list = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                held.append(batch.slice(at, rows_at_once))
-                if sum(b.num_rows for b in held) < rows_at_once:
-                    continue
-                table = pa.Table.from_batches(held)
-                same = np.full(table.num_rows, True)
-                for c in columns:
-                    values = table.column(c).to_numpy()
-                    same &= values == values[-1]
-                if not same.all():
-                    cut = int(np.flatnonzero(~same)[-1]) + 1
-                    yield check(table.slice(0, cut))
-                    table = table.slice(cut)
-                held = table.combine_chunks().to_batches()
-        if held:
-            yield check(pa.Table.from_batches(held))
-
-    return run
-
-
-def in_block_pairs(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """Rows dealt to the block pairs (i, j) of their group; ``side`` tells the blocks of a pair apart."""
-    rows = rows.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a member is the left side of (mine, j) for j >= mine and the right side of (i, mine) for i < mine
-    left = rows.withColumn("j", F.explode(F.sequence("mine", F.col("blocks") - 1))).withColumn("i", F.col("mine")).withColumn("side", F.lit(0))
-    right = rows.where("mine > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mine") - 1))).withColumn("j", F.col("mine")).withColumn("side", F.lit(1))
-    return left.unionByName(right)
-
-
-def possible_families(bands: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """(node, family): classes that sketches leave linkable across components, from buckets that still hold several."""
-    known = bands.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    rows = known.join(open_keys.select("key", "size"), "key").join(classes.select("node", "sketch", "n_shingles"), "node")
-    cols = ["key", "i", "j", "side", "node", "comp", "n_shingles", "sketch"]
-    dealt = in_block_pairs(rows, "key", "size").select(cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    edges = dealt.mapInArrow(_whole_groups(_check_blocks, ["key", "i", "j"], 8_000), "a long, b long")
+        key, i, j, side, node, comp, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        signs = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7, 7 + len(SIGNS))], axis=1)
+        found: list = []
+        for start, end in _segments([key, i, j, side]):
+            here = (key[start], i[start], j[start])
+            mine = tuple(x[start:end] for x in (node, comp, n, signs))
+            if here != at:
+                at, left, forest, number = here, None, Forest(0), {}
+            if side[start] == 0:
+                left = mine if left is None else tuple(np.concatenate(x) for x in zip(left, mine))
+                continue
+            if left is None:
+                continue
+            step = max(1, 500_000 // len(left[0]))
+            for k in range(0, end - start, step):
+                some = tuple(x[k : k + step] for x in mine)
+                able = (some[1][:, None] != left[1]) & (np.minimum(some[2][:, None], left[2]) * 100 >= LEAST_PERCENT * np.maximum(some[2][:, None], left[2]))
+                x, y = np.nonzero(able)
+                a, b = some[3][x], left[3][y]
+                unlike = np.bitwise_count(a[:, :WORDS64] ^ b[:, :WORDS64]).sum(1, dtype=np.int64)
+                full = np.bitwise_count(a[:, WORDS64:] | b[:, WORDS64:]).sum(1, dtype=np.int64)
+                good = signatures_allow(unlike, full)
+                for p, q in zip(some[0][x[good]].tolist(), left[0][y[good]].tolist()):
+                    for m in (p, q):
+                        if m not in number:
+                            number[m] = len(number)
+                            forest.up.append(number[m])
+                    if forest.join(number[p], number[q]):
+                        found.append((p, q))
+        yield _edges(found)
+
+
+def _verify_family(batches):
+    """Sorted (family, i, j, side) rows: the links, per block pair, that join components; side 0 is held, side 1 passes by."""
+    one_operator("near")
+    at, held, sketches, sizes, forest, number = None, [], None, None, None, {}
+    for batch in batches:
+        found = []
+        for family, i, j, side, node, comp, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6)):
+            if (family, i, j) != at:
+                at, held, sketches, forest, number = (family, i, j), [], None, Forest(0), {}
+            if comp not in number:
+                number[comp] = len(number)
+                forest.up.append(number[comp])
+            mine = shingle_set(raw.as_py())
+            if side == 0:
+                held.append((node, number[comp], mine))
+                continue
+            if sketches is None and held:
+                sketches, sizes = np.array([registers(s) for _, _, s in held]), np.array([len(s) for _, _, s in held])
+            if not held:
+                continue
+            own = registers(mine)
+            able = np.minimum(sizes, len(mine)) * 100 >= LEAST_PERCENT * np.maximum(sizes, len(mine))
+            able &= estimate(sketches, own, sizes, len(mine)) >= floor_for(((sketches != 0) | (own != 0)).sum(1), sizes, len(mine))
+            for k in np.flatnonzero(able).tolist():
+                other, c, their = held[k]
+                if forest.root(c) != forest.root(number[comp]) and linked(their, mine):  # what is connected needs no proof
+                    forest.join(c, number[comp])
+                    found.append((other, node))
+        yield _edges(found)
+
+
+def possible_families(members: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, family): classes that signatures leave linkable across components, from buckets that still hold several."""
+    # two members have met as leader and member; equal buckets are compared once
+    once = members.where("size > 2").groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
+    open_rows = members.join(once, "key").select("key", "node").join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    rows = dealt(materialize(open_rows, "open-buckets"), "key", BLOCK).join(classes.select("node", "n_shingles", *SIGNS), "node")
+    rows = rows.select("key", "i", "j", "side", "node", "comp", "n_shingles", *SIGNS)
+    edges = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_check_blocks, "a long, b long")
     return connected_components(edges, "families").withColumnRenamed("component", "family")
 
 
-def family_links(families: DataFrame, components: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Confirmed links between components, as spanning forests of block pairs."""
+def family_links(families: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Confirmed links between components."""
     rows = families.join(components, "node", "left").select("family", "node", F.coalesce("component", "node").alias("comp"))
-    sizes = rows.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    dealt = in_block_pairs(rows.join(sizes, "family"), "family", "size").select("family", "i", "j", "side", "node", "comp")
-    texts = with_texts(dealt, docs, doc_id, text).select("family", "i", "j", "side", "node", "comp", "raw")
-    texts = texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-    return texts.mapInArrow(_whole_groups(_verify_family, ["family", "i", "j"], 500), "a long, b long")
+    rows = materialize(rows.join(classes.select("node", "n_shingles"), "node"), "family-rows")
+    texts = texts_of(rows.select("node"), classes, docs, doc_id, text)
+    pairs = dealt(rows, "family", FAMILY_BLOCK, "n_shingles", BLOCK_SHINGLES).join(texts, "node").select("family", "i", "j", "side", "node", "comp", "raw")
+    return pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(_verify_family, "a long, b long")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def component_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, mark, n_shingles, component_id, keeper (doc_id and mark of the row that stands for the component)."""
+    spark = docs.sparkSession
     rows = materialize(sketch_documents(docs, doc_id, text), "sketches")
-    full = rows.where("print IS NOT NULL AND doc_id IS NOT NULL")
-    # classes of equal sets; the node of a class is its smallest doc_id
-    classes = materialize(
-        full.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")), "classes"
-    )
-    bands = materialize(classes.select("node", "sketch").mapInArrow(_band_batches, "key long, node long"), "bands")
-    leaders = bands.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = bands.join(leaders, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    stars = materialize(estimated_pairs(stars, classes), "stars")
-    links = materialize(verify_pairs(counted(stars), docs, doc_id, text), "star-links")
+    classes = classes_of(rows)
+    classes = materialize(classes, "classes")
+    apart = unclashed(rows, classes)
+    if apart is not None:
+        rows = materialize(apart, "sketches-apart")
+        classes = materialize(classes_of(rows), "classes-apart")
+    members = materialize(bucket_members(rows), "bucket-members")
+    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialize(possible_pairs(stars, classes, rows), "stars")
+    links = materialize(verify_pairs(stars, classes, docs, doc_id, text), "star-links")
     comps = connected_components(links, "first")
-    families = possible_families(bands, classes, comps)
+    families = possible_families(members, classes, comps)
     if not families.isEmpty():
-        links = materialize(links.union(family_links(families, comps, docs, doc_id, text)), "links")
+        links = materialize(links.union(family_links(families, comps, classes, docs, doc_id, text)), "links")
         comps = connected_components(links, "last")
-    discard(docs.sparkSession, bands)
-    by_class = classes.join(comps, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
-    # hot classes: the class side has one row per set and the document side splits freely
-    out = rows.select("doc_id", "n_shingles", "print").join(by_class, "print", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    discard(spark, members)
+    # a component stands for its smallest row; only classes of several rows or with links need one named
+    linked_classes = classes.select("node", "copies", "first").join(comps, "node", "left")
+    heads = linked_classes.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keeper"))
+    facts = linked_classes.join(heads, "component", "left").where("copies > 1 OR component IS NOT NULL").select("node", "copies", F.coalesce("keeper", "first").alias("keeper"))
+    mine = rows.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    out = join_by_key(mine, materialize(facts, "class-facts"), "node", "copies", mine.count())
+    out = out.withColumn("keeper", F.coalesce("keeper", own))
+    return out.select("doc_id", "mark", "n_shingles", F.col("keeper.doc_id").alias("component_id"), "keeper")
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    out = component_rows(docs, doc_id, text)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that represent their component."""
-    gone = near_groups(docs.select(doc_id, text), doc_id, text).where("NOT kept").select(F.col("doc_id").alias("gone_id")).alias("gone")
-    left = docs.alias("kept_side")
-    return left.join(gone, F.col(f"kept_side.{doc_id}") == F.col("gone.gone_id"), "left_anti")
+    """The rows of ``docs`` (all columns) that represent their component: one row each, however often it repeats."""
+    rows = materialize(component_rows(docs.select(named(doc_id), named(text)), doc_id, text), "near-rows")
+    stays = F.col("keeper").isNull() | ((F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("mark") == F.col("keeper.mark")))
+    gone = rows.where(~stays).select("doc_id", "mark").distinct().alias("gone")
+    mark = F.xxhash64(text_bytes(text))
+    left = docs.join(gone, (named(doc_id).cast("long") == F.col("gone.doc_id")) & (mark == F.col("gone.mark")), "left_anti")
+    several = rows.where(stays & F.col("keeper").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return once_each(left, several, doc_id, mark)

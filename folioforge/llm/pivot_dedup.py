@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import Forest, connected_components, materialize
 
 THRESHOLD = 0.93
 #: The index is fitted on SAMPLE vectors at most; PIVOTS of them (what is broadcast) are kept; descriptions have PREFIX pivots.
@@ -117,23 +117,6 @@ def _post(pivots_of):
     return run
 
 
-class Forest:
-    """Union-find over small integers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def candidate_pairs(starts: np.ndarray, sizes: np.ndarray):
     """Index pairs a < b inside each small group, for all groups at once."""
     area = sizes * sizes
