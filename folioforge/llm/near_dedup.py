@@ -10,10 +10,10 @@ Texts with equal sets are one class; its node is a number taken from the set's
 print, never from a doc_id.  No pair list of a group is ever made.  In each band
 bucket every class first meets only the bucket's leader; what remains possible
 is verified.  Buckets of three or more that then still hold several components
-are compared by small signatures, those outside the largest component against
-all, and give a spanning forest of the pairs that remain possible; its trees are
-families, whose members are verified in the same way.  Buckets with equal
-members are compared once.  A sketch or text moves only for classes in pairs
+are compared, those outside the largest component against all, by small
+signatures first and by sketches where these leave a pair possible.  That gives
+a spanning forest of the possible pairs; its trees are families, whose members
+are verified in the same way.  Buckets with equal members are compared once.  A sketch or text moves only for classes in pairs
 that passed the size and signature tests.
 
 Defined results: null or empty text, and text without words, has an empty set
@@ -235,12 +235,51 @@ def _band_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(of, np.int64), [len(k) for k in got]))], ["key", "node"])
 
 
+def _shared_keys(batches):
+    """(key, node, leader) of keys with several nodes, from rows sorted by key and node; a key's least node leads it."""
+    key, leader, last, told = None, None, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, nodes = (batch.column(i).to_numpy() for i in (0, 1))
+        new = np.empty(len(keys), bool)
+        new[0], new[1:] = keys[0] != key, keys[1:] != keys[:-1]
+        fresh = new.copy()  # the first row of each (key, node)
+        fresh[0] |= nodes[0] != last
+        fresh[1:] |= nodes[1:] != nodes[:-1]
+        starts = np.where(new, np.arange(len(keys)), -1)
+        starts = np.maximum.accumulate(starts)
+        leaders = np.where(starts >= 0, nodes[starts], 0 if leader is None else leader)
+        follow = fresh & (nodes != leaders)
+        out = [np.stack([keys[follow], nodes[follow], leaders[follow]])]
+        with_leader = np.unique(np.where(starts >= 0, starts, -1)[follow])
+        if len(with_leader) and with_leader[0] < 0:  # the key began in an earlier batch
+            if not told:
+                out.append(np.array([[key], [leader], [leader]]))
+                told = True
+            with_leader = with_leader[1:]
+        out.append(np.stack([keys[with_leader], nodes[with_leader], nodes[with_leader]]))
+        if starts[-1] >= 0:
+            told = bool(len(with_leader)) and with_leader[-1] == starts[-1]
+        key, leader, last = keys[-1], leaders[-1], nodes[-1]
+        found = np.concatenate(out, axis=1).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "node", "leader"])
+
+
 def bucket_members(rows: DataFrame) -> DataFrame:
-    """(key, node, leader, size, members) of the band buckets that hold several classes; ``members`` stands for the set of nodes."""
+    """(key, node, leader) of the band buckets that hold several classes.
+
+    The 16-byte band rows move once; a bucket of any size passes by in order and is never held.
+    """
     bands = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "sketch").mapInArrow(_band_batches, "key long, node long")
-    of_all = [F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")]
-    keys = materialize(bands.groupBy("key").agg(*of_all).where("leader <> last").drop("last"), "band-buckets")
-    return bands.join(keys, "key").distinct()
+    return bands.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_keys, "key long, node long, leader long")
+
+
+def sketches_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, sketch): one sketch of each wanted node."""
+    wanted = materialize(nodes.distinct(), "wanted-sketches")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return rows.where("doc_id IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
 
 
 def possible_pairs(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -250,9 +289,7 @@ def possible_pairs(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> Dat
     unlike = sum(F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(WORDS64))
     full = sum(F.bit_count(F.col(f"s{i}a").bitwiseOR(F.col(f"s{i}b"))) for i in range(WORDS64, 2 * WORDS64))
     left = materialize(both.where(signatures_allow(unlike, full)).select("a", "b", "na", "nb"), "alike")
-    # one sketch of each node that is left
-    wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    sketches = rows.join(wanted, "node", "left_semi").where("doc_id IS NOT NULL").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    sketches = sketches_of(left.select(F.col("a").alias("node")).union(left.select("b")), rows)
     sa, sb = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
     return left.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimate_batches, "a long, b long")
 
@@ -336,42 +373,73 @@ def _segments(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     yield from zip(starts, [*starts[1:], len(change)])
 
 
-def _check_blocks(batches):
-    """Sorted (key, i, j, side) rows: a spanning forest, per block pair, of the pairs of different components that signatures allow."""
-    at, left, forest, number = None, None, None, None
+def _block_pairs(batches, at_once: int, allows, data):
+    """Sorted (key, i, j, side, node, comp, n_shingles, ...) rows: (key, nodes, nodes) of the pairs of different
+    components that sizes and ``allows`` leave possible, batch by batch; ``data(batch)`` is what ``allows`` compares."""
+    at, left = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         key, i, j, side, node, comp, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-        signs = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7, 7 + len(SIGNS))], axis=1)
-        found: list = []
+        facts, found = data(batch), []
         for start, end in _segments([key, i, j, side]):
             here = (key[start], i[start], j[start])
-            mine = tuple(x[start:end] for x in (node, comp, n, signs))
+            mine = tuple(x[start:end] for x in (node, comp, n, facts))
             if here != at:
-                at, left, forest, number = here, None, Forest(0), {}
+                at, left = here, None
             if side[start] == 0:
                 left = mine if left is None else tuple(np.concatenate(x) for x in zip(left, mine))
                 continue
             if left is None:
                 continue
-            step = max(1, 500_000 // len(left[0]))
+            step = max(1, at_once // len(left[0]))
             for k in range(0, end - start, step):
                 some = tuple(x[k : k + step] for x in mine)
                 able = (some[1][:, None] != left[1]) & (np.minimum(some[2][:, None], left[2]) * 100 >= LEAST_PERCENT * np.maximum(some[2][:, None], left[2]))
                 x, y = np.nonzero(able)
-                a, b = some[3][x], left[3][y]
-                unlike = np.bitwise_count(a[:, :WORDS64] ^ b[:, :WORDS64]).sum(1, dtype=np.int64)
-                full = np.bitwise_count(a[:, WORDS64:] | b[:, WORDS64:]).sum(1, dtype=np.int64)
-                good = signatures_allow(unlike, full)
-                for p, q in zip(some[0][x[good]].tolist(), left[0][y[good]].tolist()):
-                    for m in (p, q):
-                        if m not in number:
-                            number[m] = len(number)
-                            forest.up.append(number[m])
-                    if forest.join(number[p], number[q]):
-                        found.append((p, q))
-        yield _edges(found)
+                for m in range(0, len(x), at_once):
+                    p, q = x[m : m + at_once], y[m : m + at_once]
+                    good = allows(some[3][p], left[3][q], some[2][p], left[2][q])
+                    found.append((here, some[0][p[good]], left[0][q[good]]))
+        yield found
+
+
+def _signs_allow(a, b, na, nb):
+    unlike = np.bitwise_count(a[:, :WORDS64] ^ b[:, :WORDS64]).sum(1, dtype=np.int64)
+    full = np.bitwise_count(a[:, WORDS64:] | b[:, WORDS64:]).sum(1, dtype=np.int64)
+    return signatures_allow(unlike, full)
+
+
+def _sketches_allow(a, b, na, nb):
+    return estimate(a, b, na, nb) >= floor_for(((a != 0) | (b != 0)).sum(1), na, nb)
+
+
+def _flag_members(batches):
+    """(key, node) of the members of which signatures leave a pair possible."""
+    signs = lambda batch: np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7, 7 + len(SIGNS))], axis=1)
+    for found in _block_pairs(batches, 100_000, _signs_allow, signs):
+        flagged = [(key[0], np.unique(np.concatenate([a, b]))) for key, a, b in found if len(a)]
+        keys = np.repeat(np.array([k for k, _ in flagged], np.int64), [len(x) for _, x in flagged])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([*(x for _, x in flagged), np.empty(0, np.int64)]))], ["key", "node"])
+
+
+def _possible_forest(batches):
+    """A spanning forest, per block pair, of the pairs that the sketches leave possible."""
+    sketches = lambda batch: np.frombuffer(b"".join(x.as_py() for x in batch.column(7)), np.uint16).reshape(-1, REGISTERS)
+    at, forest, number = None, Forest(0), {}
+    for found in _block_pairs(batches, 20_000, _sketches_allow, sketches):
+        edges = []
+        for here, a, b in found:
+            if here != at:
+                at, forest, number = here, Forest(0), {}
+            for p, q in zip(a.tolist(), b.tolist()):
+                for m in (p, q):
+                    if m not in number:
+                        number[m] = len(number)
+                        forest.up.append(number[m])
+                if forest.join(number[p], number[q]):
+                    edges.append((p, q))
+        yield _edges(edges)
 
 
 def _verify_family(batches):
@@ -405,14 +473,19 @@ def _verify_family(batches):
         yield _edges(found)
 
 
-def possible_families(members: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """(node, family): classes that signatures leave linkable across components, from buckets that still hold several."""
-    # two members have met as leader and member; equal buckets are compared once
-    once = members.where("size > 2").groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
-    open_rows = members.join(once, "key").select("key", "node").join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    rows = dealt(materialize(open_rows, "open-buckets"), "key", BLOCK).join(classes.select("node", "n_shingles", *SIGNS), "node")
-    rows = rows.select("key", "i", "j", "side", "node", "comp", "n_shingles", *SIGNS)
-    edges = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_check_blocks, "a long, b long")
+def possible_families(members: DataFrame, classes: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, family): classes that sketches leave linkable across components, from buckets that still hold several."""
+    # two members have met as leader and member; buckets of equal members are compared once
+    stands_for = F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")
+    once = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), stands_for).where("size > 2").groupBy("size", "members").agg(F.min("key").alias("key"))
+    open_rows = members.join(once.select("key"), "key").select("key", "node").join(components, "node", "left")
+    open_rows = materialize(open_rows.select("key", "node", F.coalesce("component", "node").alias("comp")), "open-buckets")
+    facts = ["key", "i", "j", "side", "node", "comp", "n_shingles"]
+    in_order = lambda blocks, *more: blocks.select(*facts, *more).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    first = in_order(dealt(open_rows, "key", BLOCK).join(classes.select("node", "n_shingles", *SIGNS), "node"), *SIGNS)
+    flagged = materialize(first.mapInArrow(_flag_members, "key long, node long").distinct(), "flagged")
+    some = dealt(open_rows.join(flagged, ["key", "node"]), "key", BLOCK).join(classes.select("node", "n_shingles"), "node")
+    edges = in_order(some.join(sketches_of(flagged.select("node"), rows), "node"), "sketch").mapInArrow(_possible_forest, "a long, b long")
     return connected_components(edges, "families").withColumnRenamed("component", "family")
 
 
@@ -440,7 +513,7 @@ def component_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stars = materialize(possible_pairs(stars, classes, rows), "stars")
     links = materialize(verify_pairs(stars, classes, docs, doc_id, text), "star-links")
     comps = connected_components(links, "first")
-    families = possible_families(members, classes, comps)
+    families = possible_families(members, classes, comps, rows)
     if not families.isEmpty():
         links = materialize(links.union(family_links(families, comps, classes, docs, doc_id, text)), "links")
         comps = connected_components(links, "last")
