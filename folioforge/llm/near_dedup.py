@@ -173,6 +173,7 @@ def signatures_allow(unlike, full):
     return unlike <= full * 0.125 + 5 * (full * 0.109375) ** 0.5 + 1
 
 
+_MOST_UNLIKE = np.array([k * 0.125 + 5 * (k * 0.109375) ** 0.5 + 1 for k in range(SIGNATURE + 1)])
 SIGNS = [f"s{i}" for i in range(2 * WORDS64)]
 SKETCH_SCHEMA = "doc_id long, mark long, n_shingles long, node long, print binary, sketch binary, " + ", ".join(f"{c} long" for c in SIGNS)
 
@@ -396,22 +397,28 @@ def _block_pairs(batches, at_once: int, allows, data):
             for k in range(0, end - start, step):
                 some = tuple(x[k : k + step] for x in mine)
                 able = (some[1][:, None] != left[1]) & (np.minimum(some[2][:, None], left[2]) * 100 >= LEAST_PERCENT * np.maximum(some[2][:, None], left[2]))
-                x, y = np.nonzero(able)
-                for m in range(0, len(x), at_once):
-                    p, q = x[m : m + at_once], y[m : m + at_once]
-                    good = allows(some[3][p], left[3][q], some[2][p], left[2][q])
-                    found.append((here, some[0][p[good]], left[0][q[good]]))
+                if able.any():
+                    x, y = np.nonzero(able & allows(some[3], left[3], some[2], left[2]))
+                    found.append((here, some[0][x], left[0][y]))
         yield found
 
 
 def _signs_allow(a, b, na, nb):
-    unlike = np.bitwise_count(a[:, :WORDS64] ^ b[:, :WORDS64]).sum(1, dtype=np.int64)
-    full = np.bitwise_count(a[:, WORDS64:] | b[:, WORDS64:]).sum(1, dtype=np.int64)
-    return signatures_allow(unlike, full)
+    """(len(a), len(b)) whether signatures leave a pair possible."""
+    differ, full = (np.zeros((len(a), len(b)), np.int64) for _ in "ab")
+    for w in range(WORDS64):
+        differ += np.bitwise_count(a[:, w, None] ^ b[:, w])
+        full += np.bitwise_count(a[:, WORDS64 + w, None] | b[:, WORDS64 + w])
+    return differ <= _MOST_UNLIKE[full]
 
 
 def _sketches_allow(a, b, na, nb):
-    return estimate(a, b, na, nb) >= floor_for(((a != 0) | (b != 0)).sum(1), na, nb)
+    """(len(a), len(b)) whether the estimate from sketches leaves a pair possible."""
+    same = np.stack([np.count_nonzero(b == np.where(x, x, 1), axis=1) for x in a])  # no register is 1, so empty ones match nothing
+    in_a, in_b = (a != 0).astype(np.float32), (b != 0).astype(np.float32)
+    full = np.maximum(in_a.sum(1)[:, None] + in_b.sum(1) - in_a @ in_b.T, 1)
+    by_chance = chance_match(na[:, None], nb)
+    return (same / full - by_chance) / (1 - by_chance) >= floor_for(full, na[:, None], nb)
 
 
 def _flag_members(batches):
@@ -427,7 +434,7 @@ def _possible_forest(batches):
     """A spanning forest, per block pair, of the pairs that the sketches leave possible."""
     sketches = lambda batch: np.frombuffer(b"".join(x.as_py() for x in batch.column(7)), np.uint16).reshape(-1, REGISTERS)
     at, forest, number = None, Forest(0), {}
-    for found in _block_pairs(batches, 20_000, _sketches_allow, sketches):
+    for found in _block_pairs(batches, 100_000, _sketches_allow, sketches):
         edges = []
         for here, a, b in found:
             if here != at:
