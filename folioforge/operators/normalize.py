@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: class → whether a candidate of it may be converted without review
@@ -35,34 +35,31 @@ def vertical_catalog() -> list[tuple[str, str, str]]:
 def candidate_scan(docs: DataFrame, catalog: list[tuple[str, str, str]], doc_id: str = "doc_id", text: str = "text", around: int = 12) -> DataFrame:
     """Every catalogued character: occurrence id, offset, target, class and context.
 
-    The text is cut before catalogued characters only, so rows are candidates, not characters.
+    One pass over the characters gives the offsets of a text's candidates in
+    order, and the place in that list is the occurrence number: no shuffle.
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame(catalog, "source string, target string, class string")
-    cut = "(?=[" + "".join(s for s, _, _ in catalog) + "])"
-    parts = F.split(F.col(text), cut)
-    sizes = F.transform(parts, F.length)
-    # offset of each part: running length of the parts before it
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    rows = docs.where(F.col(text).rlike(cut)).select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("whole"), F.explode(F.arrays_zip(parts.alias("part"), F.slice(starts, F.lit(1), F.size(parts)).alias("offset"))).alias("z")
-    )
-    rows = rows.select("doc_id", "whole", F.substring("z.part", 1, 1).alias("source"), F.col("z.offset").alias("offset"))
-    hits = rows.join(F.broadcast(known), "source")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("offset"))
-    number = order.cast("string")
+    known = docs.sparkSession.createDataFrame(catalog, "source string, target string, class string")
+    sources = [s for s, _, _ in catalog]
+    offsets = F.array_compact(F.transform(F.split(F.col(text), ""), lambda c, i: F.when(c.isin(sources), i)))
+    rows = docs.where(F.col(text).rlike("[" + "".join(sources) + "]")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("whole"), F.posexplode(offsets).alias("pos", "offset"))
+    number = (F.col("pos") + 1).cast("string")
     number = F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))  # lpad alone would cut longer numbers
     context = F.substring("whole", F.greatest(F.col("offset") - around, F.lit(0)) + 1, F.least(F.col("offset"), F.lit(around)) + around + 1)
+    hits = rows.withColumn("source", F.substring("whole", F.col("offset") + 1, F.lit(1))).join(F.broadcast(known), "source")
     return hits.select(
         "doc_id", F.concat(F.lit("V"), number).alias("occurrence_id"), "offset", "source", "target", "class", context.alias("context")
     )
 
 
 def apply_catalog(docs: DataFrame, catalog: list[tuple[str, str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Text with the approved class converted, and how many characters changed; no shuffle."""
-    easy = [(s, t) for s, t, c in catalog if c == APPROVED]
-    out = F.translate(F.col(text), "".join(s for s, _ in easy), "".join(t for _, t in easy)) if all(len(t) == 1 for _, t in easy) else F.col(text)
-    count = F.regexp_count(F.col(text), F.lit("[" + "".join(s for s, _ in easy) + "]"))
+    """Text with the approved class converted, and how many characters changed; targets may have any length; no shuffle."""
+    easy = {s: t for s, t, c in catalog if c == APPROVED}
+    if all(len(t) == 1 for t in easy.values()):
+        out = F.translate(F.col(text), "".join(easy), "".join(easy.values()))
+    else:  # one pass over the characters, so that no target is converted again
+        table = F.create_map(*[F.lit(x) for pair in easy.items() for x in pair])
+        out = F.array_join(F.transform(F.split(F.col(text), ""), lambda c: F.coalesce(table[c], c)), "")
+    count = F.regexp_count(F.col(text), F.lit("[" + "".join(easy) + "]"))
     return docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), out.alias("normalized"), count.alias("n_converted"))
 
 

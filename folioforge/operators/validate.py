@@ -78,18 +78,18 @@ def fnv1a_utf16(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit("811c9dc5")).otherwise(F.lpad(F.lower(F.hex(F.aggregate(units, F.lit(2166136261).cast("bigint"), step))), 8, "0"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, limit: int = 100_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, limit_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(item_id, doc_id, n): how often each item's text occurs in each document that has it.
 
     One linear pass over the documents with an automaton over all item texts.  The automaton is
-    broadcast, so items go in groups of at most ``limit``; each further group is one more pass.
+    broadcast, so items go in groups of about ``limit_bytes`` of text (64 bytes more per item); each further group is one more pass.
     """
     import pyarrow as pa
 
-    size = items.count()
-    found = None
-    for k in range(max(1, -(-size // limit))):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-size // limit)))) == k)
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    groups, found = max(1, -(-size // limit_bytes)), None
+    for k in range(groups):
+        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == k)
         texts: dict[str, list] = {}
         for r in some.where("text <> ''").collect():
             texts.setdefault(r.text, []).append(r.item_id)

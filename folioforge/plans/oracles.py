@@ -120,5 +120,5 @@ ORACLES = {
         f AS (SELECT g, CAST(k.id AS INTEGER) AS id FROM (SELECT DISTINCT g FROM u), range(1, 100) AS k(id) WHERE (g, k.id) NOT IN (SELECT (g, id) FROM u))
         SELECT g, id, CAST(row_number() OVER (PARTITION BY g ORDER BY id) AS INTEGER) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY id) <= 2""",
     "box_containment": f"""WITH t AS (SELECT * FROM {TAGS}), p AS (SELECT page_id, seq, coalesce(lead(seq) OVER (PARTITION BY page_id ORDER BY seq), 1073741824) AS stop FROM t WHERE name = 'p' AND NOT closing)
-        SELECT a.page_id AS g, a.seq AS at, p.seq AS start, CAST(p.stop AS INTEGER) AS stop, p.seq AS id FROM t a JOIN p ON a.page_id = p.page_id AND p.seq <= a.seq AND a.seq < p.stop WHERE a.name = 'a' AND NOT a.closing""",
+        SELECT a.page_id AS g, a.seq AS at, p.seq AS start, CAST(p.stop AS INTEGER) AS stop, p.seq AS id FROM t a JOIN p ON a.page_id = p.page_id AND p.seq <= a.seq AND a.seq < p.stop WHERE a.name IN ('b', 'br') AND NOT a.closing""",
 }

@@ -303,12 +303,12 @@ def lowest_free_ids(spark, sf_dir):
 
 @query
 def box_containment(spark, sf_dir):
-    """Tags inside the byte-order range from one paragraph tag to the next (range join)."""
+    """Bold and line-break tags inside the byte-order range from one paragraph tag to the next (range join)."""
     tags = markup.tag_scan(table(spark, sf_dir, "pages"))
     starts = tags.where("name = 'p' AND NOT closing").select(F.col("page_id").alias("g"), F.col("seq").alias("start"))
     stop = F.coalesce(F.lead("start").over(Window.partitionBy("g").orderBy("start")), F.lit(1 << 30))
     ranges = starts.select("g", "start", stop.alias("stop"), F.col("start").alias("id"))
-    points = tags.where("name = 'a' AND NOT closing").select(F.col("page_id").alias("g"), F.col("seq").alias("at"))
+    points = tags.where("name IN ('b', 'br') AND NOT closing").select(F.col("page_id").alias("g"), F.col("seq").alias("at"))
     return validate.containment(points, ranges)
 
 

@@ -50,7 +50,9 @@ def attributes(raw: bytes) -> dict[bytes, bytes]:
 
 
 def unescape(raw: bytes) -> str:
-    return re.sub(rb"&(?:lt|gt|quot|apos|amp);", lambda m: _ENTITY[m[0]], raw).decode("utf-8", "replace")
+    """Character data as text: named entities and decimal or hexadecimal character references."""
+    number = lambda m: chr(int(m[2], 16) if m[2] else int(m[1])).encode("utf-8", "replace")
+    return re.sub(rb"&(?:lt|gt|quot|apos|amp|#([0-9]{1,7})|#x([0-9A-Fa-f]{1,6}));", lambda m: _ENTITY.get(m[0]) or number(m), raw).decode("utf-8", "replace")
 
 
 def escape(text: str) -> bytes:
