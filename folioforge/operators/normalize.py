@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: class → whether a candidate of it may be converted without review
@@ -35,20 +35,20 @@ def vertical_catalog() -> list[tuple[str, str, str]]:
 def candidate_scan(docs: DataFrame, catalog: list[tuple[str, str, str]], doc_id: str = "doc_id", text: str = "text", around: int = 12) -> DataFrame:
     """Every catalogued character: occurrence id, offset, target, class and context.
 
-    One pass over the characters gives the offsets of a text's candidates in
-    order, and the place in that list is the occurrence number: no shuffle.
+    One pass over the characters gives the offsets of a text's candidates.  Only
+    the candidates, with their short contexts, move for their numbering, which
+    goes on over repeated rows of a doc_id.
     """
     known = docs.sparkSession.createDataFrame(catalog, "source string, target string, class string")
     sources = [s for s, _, _ in catalog]
     offsets = F.array_compact(F.transform(F.split(F.col(text), ""), lambda c, i: F.when(c.isin(sources), i)))
-    rows = docs.where(F.col(text).rlike("[" + "".join(sources) + "]")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("whole"), F.posexplode(offsets).alias("pos", "offset"))
-    number = (F.col("pos") + 1).cast("string")
-    number = F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))  # lpad alone would cut longer numbers
+    rows = docs.where(F.col(text).rlike("[" + "".join(sources) + "]")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("whole"), F.explode(offsets).alias("offset"))
     context = F.substring("whole", F.greatest(F.col("offset") - around, F.lit(0)) + 1, F.least(F.col("offset"), F.lit(around)) + around + 1)
-    hits = rows.withColumn("source", F.substring("whole", F.col("offset") + 1, F.lit(1))).join(F.broadcast(known), "source")
-    return hits.select(
-        "doc_id", F.concat(F.lit("V"), number).alias("occurrence_id"), "offset", "source", "target", "class", context.alias("context")
-    )
+    rows = rows.select("doc_id", "offset", F.substring("whole", F.col("offset") + 1, F.lit(1)).alias("source"), context.alias("context"))
+    hits = rows.join(F.broadcast(known), "source")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("offset")).cast("string")
+    number = F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))  # lpad alone would cut longer numbers
+    return hits.select("doc_id", F.concat(F.lit("V"), number).alias("occurrence_id"), "offset", "source", "target", "class", "context")
 
 
 def apply_catalog(docs: DataFrame, catalog: list[tuple[str, str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -63,6 +63,19 @@ def test_occurrence_ids_beyond_five_digits(spark):
     assert ids.distinct().count() == 101_000 and ids.where("occurrence_id IN ('V00001', 'V101000')").count() == 2
 
 
+def test_conversion_to_longer_targets(spark):
+    docs = spark.createDataFrame([(1, "¼ of é½"), (2, None), (3, "")], "doc_id long, text string")
+    catalog = [("¼", "1/4", normalize.APPROVED), ("é", "½", normalize.APPROVED), ("½", "1/2", normalize.APPROVED)]
+    got = {r.doc_id: (r.normalized, r.n_converted) for r in normalize.apply_catalog(docs, catalog).collect()}
+    assert got == {1: ("1/4 of ½1/2", 3), 3: ("", 0)}
+
+
+def test_numeric_character_references():
+    from folioforge.sources.docx import unescape
+
+    assert unescape(b"H&#x2082;O &#233;&amp;#65; &lt;") == "H₂O é&#65; <"
+
+
 def test_fnv1a(spark):
     def expected(text):
         h = 2166136261
