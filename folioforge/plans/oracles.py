@@ -26,7 +26,7 @@ CELLS = """(SELECT l_orderkey AS t, r, c, CASE c WHEN 0 THEN l_quantity WHEN 1 T
 DECISIONS = "(SELECT doc_id AS item_id, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'defer' END AS decision FROM labels)"
 CATALOG = "(VALUES " + ", ".join(f"('{s}', '{t}', '{c}')" for s, t, c in accent_catalog()) + ") AS k(source, target, class)"
 EASY = [(s, t) for s, t, c in accent_catalog() if c == APPROVED]
-CANDIDATES = f"""(SELECT doc_id, 'V' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY off) AS VARCHAR), 5, '0') AS occurrence_id, off AS "offset", source, target, class,
+CANDIDATES = f"""(SELECT doc_id, 'V' || format('{{:05d}}', row_number() OVER (PARTITION BY doc_id ORDER BY off)) AS occurrence_id, off AS "offset", source, target, class,
   substr(text, greatest(off - 12, 0) + 1, least(off, 12) + 13) AS context
   FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS ch, CAST(unnest(range(length(text))) AS INTEGER) AS off FROM documents WHERE text <> '') x JOIN {CATALOG} ON ch = source)"""
 
@@ -73,10 +73,9 @@ ORACLES = {
         SELECT paragraph_id, region, min(style) AS style, min(ord) AS first_ord, count(*) AS n_nodes, string_agg(text, '' ORDER BY ord) AS text FROM g GROUP BY paragraph_id, region""",
     "apply_decisions": f"""SELECT doc_id AS item_id, coalesce(decision, 'none') AS decision, CASE WHEN decision IN ('accept', 'reject') THEN 'published' WHEN decision = 'defer' THEN 'not_attempted' ELSE 'pending' END AS status
         FROM documents LEFT JOIN {DECISIONS} d ON doc_id = item_id""",
-    "decision_violations": """WITH i AS (SELECT doc_id AS item_id FROM documents WHERE doc_id % 7 <> 0)
-        SELECT doc_id AS item_id, 'revision-not-found' AS code FROM labels WHERE doc_id NOT IN (SELECT item_id FROM i)
+    "decision_violations": """SELECT doc_id AS item_id, 'revision-not-found' AS code FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
         UNION ALL SELECT doc_id, 'duplicate-decision' FROM labels GROUP BY doc_id HAVING count(*) > 1
-        UNION ALL SELECT item_id, 'decision-pending' FROM i WHERE item_id NOT IN (SELECT doc_id FROM labels)""",
+        UNION ALL SELECT doc_id, 'decision-pending' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "candidate_scan": f"SELECT * FROM {CANDIDATES}",
     "normalize_apply": f"""SELECT doc_id, translate(text, '{"".join(s for s, _ in EASY)}', '{"".join(t for _, t in EASY)}') AS normalized,
         CAST(len(regexp_extract_all(text, '[{"".join(s for s, _ in EASY)}]')) AS INTEGER) AS n_converted FROM documents WHERE text IS NOT NULL""",
@@ -109,8 +108,9 @@ ORACLES = {
     "resource_violations": f"""WITH s AS (SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(length(p)) AS BIGINT) AS n_chars, max(length(p)) AS longest FROM {PARAGRAPHS} GROUP BY doc_id)
         SELECT doc_id, 'n_chars' AS dimension, n_chars AS actual, CAST(4000 AS BIGINT) AS max_allowed FROM s WHERE n_chars > 4000
         UNION ALL SELECT doc_id, 'n_paragraphs', n_paragraphs, 12 FROM s WHERE n_paragraphs > 12 UNION ALL SELECT doc_id, 'longest', longest, 1200 FROM s WHERE longest > 1200""",
-    "retention_check": f"""WITH k AS (SELECT doc_id, doc_id // 2 AS key, substr(sha256(p), 1, 12) AS sig FROM {PARAGRAPHS} WHERE pos = 0), b AS (SELECT * FROM k WHERE doc_id % 2 = 0), a AS (SELECT * FROM k WHERE doc_id % 2 = 1)
-        SELECT coalesce(b.key, a.key) AS key, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' WHEN a.sig = b.sig THEN 'kept' ELSE 'changed' END AS outcome FROM b FULL JOIN a ON a.key = b.key""",
+    "retention_check": f"""WITH k AS (SELECT doc_id % 2 AS side, doc_id // 2 AS key, pos, sha256(p) AS sig FROM {PARAGRAPHS})
+        SELECT key, pos, CASE WHEN count(*) FILTER (side = 0) = 0 THEN 'added' WHEN count(*) FILTER (side = 1) = 0 THEN 'removed' WHEN count(DISTINCT sig) = 1 THEN 'kept' ELSE 'changed' END AS outcome
+        FROM k GROUP BY key, pos""",
     "freshness_state": """SELECT o_orderkey, CASE WHEN b = l AND b = s THEN 'clean' WHEN b = l THEN 'dirty' WHEN b = s THEN 'stale-clean' ELSE 'conflict' END AS state
         FROM (SELECT o_orderkey, o_custkey % 2 AS b, o_orderkey % 2 AS l, length(o_orderpriority) % 2 AS s FROM orders)""",
     "tombstone_completeness": """WITH l AS (SELECT doc_id FROM labels WHERE quality = 1), d AS (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)
