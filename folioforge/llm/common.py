@@ -166,6 +166,13 @@ class Forest:
         return a != b
 
 
+def rows_marked(docs: DataFrame, keys: DataFrame, doc_id: str, mark: Column, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with ``keys(doc_id, mark)``, whatever the columns of ``docs`` are called."""
+    free = "_" * (1 + max(map(len, docs.columns)))
+    named_apart = keys.select(F.col("doc_id").alias(free + "id"), F.col("mark").alias(free + "mark"))
+    return docs.join(named_apart, named(doc_id).eqNullSafe(F.col(free + "id")) & (mark == F.col(free + "mark")), how)
+
+
 def once_each(docs: DataFrame, several: DataFrame, doc_id: str, mark: Column) -> DataFrame:
     """``docs`` with one row instead of many where id and ``mark`` (a hash of the text) are among ``several(doc_id, mark)``.
 
@@ -173,11 +180,10 @@ def once_each(docs: DataFrame, several: DataFrame, doc_id: str, mark: Column) ->
     """
     if several.isEmpty():
         return docs
-    at = [F.col("k.doc_id").eqNullSafe(named(doc_id).cast("long")), F.col("k.mark") == mark]
-    keys = several.select("doc_id", "mark").distinct().alias("k")
-    some = docs.join(keys, at, "left_semi").groupBy(named(doc_id), mark)
+    keys = several.select("doc_id", "mark").distinct()
+    some = rows_marked(docs, keys, doc_id, mark, "left_semi").groupBy(named(doc_id), mark)
     least = some.agg(F.min_by(F.struct(*map(named, docs.columns)), F.xxhash64(*map(named, docs.columns))).alias("r")).select("r.*")
-    return docs.join(keys, at, "left_anti").union(least)
+    return rows_marked(docs, keys, doc_id, mark, "left_anti").union(least)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -7,7 +7,8 @@ whole documents never move.
 
 Defined results: null text counts as empty; all empty texts are equal; repeated
 rows of one doc_id are rows of their group (``group_size`` counts rows, every
-row with the largest doc_id is kept); a null doc_id never outranks another; an
+row with the largest doc_id is kept, but ``drop_exact_copies`` leaves one of
+them); a null doc_id never outranks another; an
 empty table gives an empty table; other columns of ``docs`` don't matter,
 whatever their names.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, named, once_each, rows_marked, text_bytes
 
 #: A chunk has MIN_CHUNK..MAX_CHUNK characters and ends after the first boundary character past the minimum.
 MIN_CHUNK, MAX_CHUNK = 768, 8192
@@ -52,10 +53,10 @@ def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hasher=
     contents; then it lists those chunks in order.  Two texts are equal exactly
     when both columns are.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(named(text), F.lit(""))
     chunks = docs.select(F.explode(chunk_array(body)).alias("chunk")).select(hasher(F.col("chunk")).alias("h"), "chunk")
     clash = materialize(shared_identifiers(chunks), "chunk-clash")
-    base = [F.col(doc_id).alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("text_sha256")]
+    base = [named(doc_id).alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("text_sha256")]
     ids = F.transform(chunk_array(body), hasher).alias("recipe")
     none = F.lit(None).cast("array<string>").alias("contents")
     if clash.isEmpty():
@@ -88,8 +89,12 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ha
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all its columns) whose text no row with a larger doc_id repeats."""
-    gone = exact_groups(docs.select(doc_id, text), doc_id, text).where("NOT kept").select("doc_id", "text_sha256").distinct().alias("gone")
-    left = docs.alias("kept_side")
-    same_text = F.sha2(F.coalesce(F.col(f"kept_side.{text}"), F.lit("")).cast("binary"), 256) == F.col("gone.text_sha256")
-    return left.join(gone, (F.col(f"kept_side.{doc_id}") == F.col("gone.doc_id")) & same_text, "left_anti")
+    """The rows of ``docs`` (all its columns) whose text no row with a larger doc_id repeats; one of rows that repeat both.
+
+    Rows with a null doc_id stay.
+    """
+    rows = materialize(exact_groups(docs.select(named(doc_id), named(text)), doc_id, text), "exact-rows")
+    mark = F.sha2(text_bytes(text), 256)
+    left = rows_marked(docs, rows.where("NOT kept").select("doc_id", F.col("text_sha256").alias("mark")).distinct(), doc_id, mark, "left_anti")
+    kept = rows.where("kept AND doc_id IS NOT NULL AND group_size > 1").groupBy("doc_id", F.col("text_sha256").alias("mark"))
+    return once_each(left, kept.agg(F.count(F.lit(1)).alias("n")).where("n > 1"), doc_id, mark)

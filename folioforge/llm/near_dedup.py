@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, bounded_batches, connected_components, discard, join_by_key, materialize, named, once_each, one_operator, text_bytes, words_of, worker_state
+from .common import Forest, bounded_batches, connected_components, discard, join_by_key, materialize, named, once_each, one_operator, rows_marked, text_bytes, words_of, worker_state
 
 SHINGLE, LEAST_PERCENT = 5, 75
 #: A pair at Jaccard 0.75 misses all 60 bands of 5 with probability (1 - 0.75**5)**60 < 1e-7.
@@ -546,8 +546,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The rows of ``docs`` (all columns) that represent their component: one row each, however often it repeats."""
     rows = materialize(component_rows(docs.select(named(doc_id), named(text)), doc_id, text), "near-rows")
     stays = F.col("keeper").isNull() | ((F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("mark") == F.col("keeper.mark")))
-    gone = rows.where(~stays).select("doc_id", "mark").distinct().alias("gone")
     mark = F.xxhash64(text_bytes(text))
-    left = docs.join(gone, (named(doc_id).cast("long") == F.col("gone.doc_id")) & (mark == F.col("gone.mark")), "left_anti")
+    left = rows_marked(docs, rows.where(~stays).select("doc_id", "mark").distinct(), doc_id, mark, "left_anti")
     several = rows.where(stays & F.col("keeper").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return once_each(left, several, doc_id, mark)

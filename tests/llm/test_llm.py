@@ -199,6 +199,81 @@ def test_near_dedup_families_around_the_threshold(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in brute_near(data).items()}
 
 
+def test_near_dedup_with_repeated_and_null_ids(spark):
+    rnd = random.Random(4)
+    a, b = ([f"{x}{rnd.random()}" for _ in range(60)] for x in "ab")
+    long = lambda w: " ".join([*w, "more"])
+    data = [(5, " ".join(a)), (5, " ".join(b)), (9, long(a)), (4, long(b)), (4, long(b)), (None, " ".join(a)), (None, " ".join(a)), (7, ""), (7, None)]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(data)], "doc_id long, text string, raw int, `a.b` string").repartition(3)
+    got = sorted((r.doc_id or -1, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in near_dedup.near_groups(docs).collect())
+    assert got == sorted([(5, 56, 5, True), (5, 56, 4, False), (9, 57, 5, False), (4, 57, 4, True), (4, 57, 4, True), (-1, 56, -1, True), (-1, 56, -1, True), (7, 0, 7, True), (7, 0, 7, True)])
+    left = near_dedup.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([(5, " ".join(a)), (4, long(b)), (-1, " ".join(a)), (-1, " ".join(a)), (7, ""), (7, "")])
+    exact = exact_dedup.drop_exact_copies(docs)
+    assert sorted((r.doc_id or -1, r.text or "") for r in exact.collect()) == sorted([(5, " ".join(a)), (5, " ".join(b)), (9, long(a)), (4, long(b)), (-1, " ".join(a)), (-1, " ".join(a)), (7, "")])
+
+
+def test_sets_with_one_node_get_their_own(spark):
+    signs = ", ".join(f"{c} long" for c in near_dedup.SIGNS)
+    rows = spark.createDataFrame([(i, i, 1, 8 if i < 4 else 9, bytes([i % 2 if i < 4 else 7]), b"s", *[0] * len(near_dedup.SIGNS)) for i in range(6)], f"doc_id long, mark long, n_shingles long, node long, print binary, sketch binary, {signs}")
+    got = {r.doc_id: r.node for r in near_dedup.unclashed(rows, near_dedup.classes_of(rows)).collect()}
+    assert got[0] == got[2] != got[1] == got[3] and got[4] == got[5] == 9 and 8 not in got.values()
+    assert near_dedup.unclashed(rows.where("node = 9"), near_dedup.classes_of(rows.where("node = 9"))) is None
+
+
+def test_buckets_pass_by_in_order():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n, step = rng.integers(1, 60), rng.integers(1, 10)
+        pairs = np.array(sorted(zip(rng.integers(0, 8, n).tolist(), rng.integers(0, 6, n).tolist())))
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[i : i + step].T], ["key", "node"]) for i in range(0, n, step)]
+        got = sorted(tuple(r.values()) for b in near_dedup._shared_keys(batches) for r in b.to_pylist())
+        sets = {k: set(pairs[pairs[:, 0] == k, 1].tolist()) for k in set(pairs[:, 0].tolist())}
+        assert got == sorted((k, v, min(x)) for k, x in sets.items() if len(x) > 1 for v in x)
+
+
+def test_votes_against_plain_loops():
+    rng = np.random.default_rng(3)
+    counts, labels = rng.poisson(0.2, (60, quality.TERMS)).astype(np.float32), rng.integers(0, 2, 60)
+    model = quality.LatentVotes(counts, labels, 0.4, dimensions=8, neighbours=5)
+    test = rng.poisson(0.2, (9, quality.TERMS)).astype(np.float32)
+    for x, got in zip(model.latent(test), model.scores(test)):
+        near = sorted((-round(float(x @ v), 9), k) for k, v in enumerate(model.vectors))[:5]
+        votes = [(max(-s, 1e-6) * (0.4 / labels.mean() if labels[k] else 0.6 / (1 - labels.mean())), labels[k]) for s, k in near]
+        assert math.isclose(got, sum(w * y for w, y in votes) / sum(w for w, _ in votes), rel_tol=1e-6)
+
+
+def test_nnpu_against_plain_loops():
+    rnd = random.Random(5)
+    make = lambda bad: np.array(sorted({rnd.randint(0, 30) + 100 * bad * (rnd.random() < 0.6) for _ in range(6)}), np.int32)
+    p, u, prior = [make(1) for _ in range(30)], [make(rnd.random() < 0.3) for _ in range(80)], 0.3
+    theta, bias = toxicity.train_nnpu(p, u, prior, epochs=3)
+    chosen = set(toxicity.telling_features(p, u).tolist())
+    w, b, m, v = Counter(), math.log(prior / (1 - prior)), Counter(), Counter()
+    for step in (1, 2, 3):
+        z = lambda r: b + sum(w[f] for f in r.tolist() if f in chosen)
+        sig = lambda t: 1 / (1 + math.exp(-t))
+        negative = sum(math.log1p(math.exp(z(r))) for r in u) / len(u) - prior * sum(math.log1p(math.exp(z(r))) for r in p) / len(p)
+        per = [(r, prior * ((sig(z(r)) - 1) - sig(z(r))) / len(p) if negative >= 0 else prior * sig(z(r)) / len(p)) for r in p]
+        per += [(r, (1 if negative >= 0 else -1) * sig(z(r)) / len(u)) for r in u]
+        g = Counter({"bias": sum(x for _, x in per)})
+        for r, x in per:
+            for f in r.tolist():
+                if f in chosen:
+                    g[f] += x
+        for f in chosen:
+            g[f] += toxicity.DECAY * w[f]
+        for f in [*chosen, "bias"]:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * g[f], 0.999 * v[f] + 0.001 * g[f] ** 2
+            move = toxicity.RATE * (m[f] / (1 - 0.9**step)) / (math.sqrt(v[f] / (1 - 0.999**step)) + 1e-8)
+            if f == "bias":
+                b -= move
+            else:
+                w[f] -= move
+    assert chosen and math.isclose(bias, b, rel_tol=1e-6) and all(math.isclose(theta[f], w[f], rel_tol=1e-5, abs_tol=1e-9) for f in chosen)
+
+
 def test_estimate_is_close():
     rnd = np.random.default_rng(5)
     for share in (0.5, 0.75, 0.9):
@@ -417,13 +492,15 @@ def test_components(spark):
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline as P
 
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    docs.withColumn("a.b", F.lit(None).cast("string")).write.parquet(str(tmp_path / "documents.parquet"))
     marks = [(r[0], 1, int(k % 4 == 0)) for k, r in enumerate(rows)] + [(rows[0][0], 0, 0), (rows[1][0], 0, 0)]
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    nothing = table.limit(0)
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, table, str(tmp_path))
         assert out.columns == table.columns and out.join(table, "doc_id", "left_anti").count() == 0, name
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
     kept = {r.doc_id for r in P.drop_copies(spark, table, "").collect()}
     groups = {}
     for i, t, *_ in rows:
