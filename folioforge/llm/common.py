@@ -102,16 +102,17 @@ def scored_texts(docs: DataFrame, keep: list[str], text: str, name: str, scorer)
     texts (bytes) to scores.  A text column among ``keep`` travels once.
     """
     at = keep.index(text) if text in keep else len(keep)
-    rows = bounded_batches(docs).select(*map(named, keep), *([] if text in keep else [text_bytes(text).alias(name)]))
-    schema = StructType([*(StructField(c, docs.schema[c].dataType) for c in keep), StructField(name, DoubleType())])
+    plain = [f"c{i}" for i in range(len(keep))]  # mapInArrow takes no names with dots
+    rows = bounded_batches(docs).select(*(named(c).alias(p) for c, p in zip(keep, plain)), *([] if text in keep else [text_bytes(text).alias("text")]))
+    schema = StructType([*(StructField(p, docs.schema[c].dataType) for c, p in zip(keep, plain)), StructField("score", DoubleType())])
 
     def run(batches):
         score = scorer()
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).fill_null(b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score(texts), pa.float64())], [*batch.schema.names[: len(keep)], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(plain)], pa.array(score(texts), pa.float64())], [*plain, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*(F.col(p).alias(c) for c, p in zip(keep, plain)), F.col("score").alias(name))
 
 
 def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
