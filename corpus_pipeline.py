@@ -6,6 +6,11 @@ writes each stage's result as Parquet into the shared folder and reads it again
 as the next one's input.  Stages are judged on whole texts: rejected documents
 go, of equal texts the row with the largest doc_id stays, of each near-duplicate
 component the smallest doc_id stays, and what is left is packed.
+
+All stages: null texts are empty texts; a null doc_id is judged like any other
+and never dropped as a copy; of rows that repeat both id and text, the
+classifiers keep or drop all, the dedup stages keep one; an empty table stays
+empty; columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,22 +34,27 @@ def _accepted(spark: SparkSession, docs: DataFrame, sf_dir: str, module, label:
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows predicted good (score >= 0.5); without labels every score is 0.5, so all stay."""
     return _accepted(spark, docs, sf_dir, quality, 1)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows not predicted toxic (score < 0.7); without a confirmed toxic text every score is 0, so all stay."""
     return _accepted(spark, docs, sf_dir, toxicity, 0)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; null and empty texts are one group."""
     return drop_exact_copies(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component the row with the smallest doc_id; texts without words are no copies of one another."""
     return drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens; ties between bins of equal room don't change the number of bins."""
     return pack_documents(docs)
 
 
