@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, bounded_batches, connected_components, discard, join_by_key, materialize, named, once_each, one_operator, rows_marked, text_bytes, words_of, worker_state
+from .common import Forest, bounded_batches, connected_components, discard, join_by_key, materialize, named, once_each, one_operator, rows_marked, text_bytes
 
 SHINGLE, LEAST_PERCENT = 5, 75
 #: A pair at Jaccard 0.75 misses all 60 bands of 5 with probability (1 - 0.75**5)**60 < 1e-7.
@@ -52,7 +52,8 @@ STAR = 512
 BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 2048, 256, 1_000_000
 #: Wanted nodes that may be broadcast against the texts, 24 bytes each; more of them meet the texts in a shuffle join.
 BROADCAST_ROWS = 1_000_000
-REMEMBERED, MAX_WORD = 100_000, 64
+#: Bytes of a word that the byte table covers; words hashed at once.
+MAX_WORD, WORDS_AT_ONCE = 64, 100_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -62,61 +63,99 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(raw: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles of a whole text."""
-    words = words_of(raw)
-    if not words:
-        return np.empty(0, np.uint64)
-    known = worker_state("word-hashes", dict)
-    if len(known) > REMEMBERED:
-        known.clear()
-    fresh = set(words).difference(known)
-    for w in fresh:
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    for w in fresh:
-        if len(w) > MAX_WORD:
-            del known[w]
+def _byte_table() -> np.ndarray:
+    """A random 64-bit number for every place in a word and byte; A-Z count as a-z."""
+    with np.errstate(over="ignore"):
+        table = _mix(_mix(np.arange(1, MAX_WORD * 256 + 1, dtype=np.uint64) * _MULT[4])).reshape(MAX_WORD, 256)
+    table[:, 65:91] = table[:, 97:123]
+    return table.ravel()
+
+
+_BYTES = _byte_table()
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of a whole text; tabulation hashing, and xxhash for words over MAX_WORD bytes."""
+    data = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(~_SPACE[data], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        if len(h) < SHINGLE:  # the length keeps short sequences apart from longer ones
-            mixed = np.uint64(len(h))
-            for i, x in enumerate(h):
-                mixed = _mix(mixed + x * _MULT[i])
-            return np.array([mixed], np.uint64)
-        n = len(h) - SHINGLE + 1
-        out = np.zeros(n, np.uint64)
+        for k in range(0, len(starts), WORDS_AT_ONCE):
+            start = starts[k : k + WORDS_AT_ONCE]
+            long = np.minimum(ends[k : k + WORDS_AT_ONCE] - start, MAX_WORD)
+            first = np.cumsum(long) - long
+            place = np.arange(int(long.sum())) - np.repeat(first, long)
+            values = _BYTES[(place << 8) | data[place + np.repeat(start, long)]]
+            out[k : k + WORDS_AT_ONCE] = _mix(np.add.reduceat(values, first) + long.astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > MAX_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]].lower())
+    return starts, out
+
+
+def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the five-word shingles of each whole text."""
+    starts, h = word_hashes(b" ".join(raws))
+    begins = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    at = np.searchsorted(starts, begins).tolist()
+    n, sets = max(0, len(h) - SHINGLE + 1), []
+    with np.errstate(over="ignore"):
+        rolled = np.zeros(n, np.uint64)
         for i in range(SHINGLE):
-            out = _mix(out + h[i : i + n] * _MULT[i])
-    return np.unique(out)
+            rolled = _mix(rolled + h[i : i + n] * _MULT[i])
+        for lo, hi in zip(at, at[1:]):
+            if hi - lo >= SHINGLE:
+                mine = np.sort(rolled[lo : hi - SHINGLE + 1])
+                fresh = np.ones(len(mine), bool)
+                np.not_equal(mine[1:], mine[:-1], out=fresh[1:])
+                sets.append(mine[fresh])
+            elif hi == lo:
+                sets.append(np.empty(0, np.uint64))
+            else:  # the length keeps short sequences apart from longer ones
+                mixed = np.uint64(hi - lo)
+                for i, x in enumerate(h[lo:hi]):
+                    mixed = _mix(mixed + x * _MULT[i])
+                sets.append(np.array([mixed], np.uint64))
+    return sets
+
+
+def shingle_set(raw: bytes) -> np.ndarray:
+    return shingle_sets([raw])[0]
+
+
+def registers_of(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, REGISTERS) HyperMinHash: per bucket, leading zeros (6 bits) and MANTISSA bits of the least hash, packed; 0: empty bucket."""
+    shingles = np.concatenate([*sets, np.empty(0, np.uint64)])
+    row = np.repeat(np.arange(len(sets)) * REGISTERS, [len(s) for s in sets])
+    with np.errstate(over="ignore"):
+        spread = _mix(shingles * np.uint64(0x9FB21C651E98DF25))
+    bucket = row + (spread % np.uint64(REGISTERS)).astype(np.int64)
+    value = _mix(spread) >> np.uint64(11)  # 53 bits: exact as a float
+    least = np.full(len(sets) * REGISTERS, np.uint64(2**53), np.uint64)
+    np.minimum.at(least, bucket, value)
+    full = least < 2**53
+    fraction, power = np.frexp(least[full].astype(np.float64))
+    zeros = np.minimum(53 - power, 62)
+    bits = np.where(fraction > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)
+    out = np.zeros(len(sets) * REGISTERS, np.uint16)
+    out[full] = (((zeros + 1) << MANTISSA) | bits).astype(np.uint16)
+    return out.reshape(-1, REGISTERS)
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """HyperMinHash: per bucket, leading zeros (6 bits) and MANTISSA bits of the least hash, packed; 0: empty bucket."""
-    out = np.zeros(REGISTERS, np.uint16)
-    if len(shingles):
-        with np.errstate(over="ignore"):
-            spread = _mix(shingles * np.uint64(0x9FB21C651E98DF25))
-        bucket = (spread % np.uint64(REGISTERS)).astype(np.int64)
-        value = _mix(spread) >> np.uint64(11)  # 53 bits: exact as a float
-        least = np.full(REGISTERS, np.uint64(2**53), np.uint64)
-        np.minimum.at(least, bucket, value)
-        full = least < 2**53
-        fraction, power = np.frexp(least[full].astype(np.float64))
-        zeros = np.minimum(53 - power, 62)
-        bits = np.where(fraction > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)
-        out[full] = (((zeros + 1) << MANTISSA) | bits).astype(np.uint16)
-    return out
-
-
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """64-bit key of every band that has a full bucket."""
-    bands = sketch.reshape(BANDS, ROWS).astype(np.uint64)
+    return registers_of([shingles])[0]
+
+
+def band_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit key) of every band that has a full bucket, of (n, REGISTERS) sketches."""
+    bands = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
     with np.errstate(over="ignore"):
-        keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT[0]
+        keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT[0], (len(bands), 1))
         for i in range(ROWS):
-            keys = _mix(keys + bands[:, i] * _MULT[i])
-    full = np.flatnonzero(bands.any(1))
-    return keys[full].view(np.int64)
+            keys = _mix(keys + bands[:, :, i] * _MULT[i])
+    full = bands.any(2)
+    return np.nonzero(full)[0], keys[full].view(np.int64)
 
 
 def chance_match(sizes_a, sizes_b) -> np.ndarray:
@@ -181,13 +220,10 @@ SKETCH_SCHEMA = "doc_id long, mark long, n_shingles long, node long, print binar
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one_operator("near")
     for batch in batches:
-        sizes, prints, sketches = [], [], []
-        for raw in batch.column(2):
-            s = shingle_set(raw.as_py())
-            sizes.append(len(s))
-            prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sketches.append(registers(s))
-        rows = np.array(sketches, np.uint16).reshape(-1, REGISTERS)
+        sets = shingle_sets(batch.column(2).to_pylist())
+        sizes = [len(s) for s in sets]
+        prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        rows = registers_of(sets)
         columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([p and node_of(p) for p in prints], pa.int64()), pa.array(prints, pa.binary())]
         columns += [pa.array([x.tobytes() if p else None for x, p in zip(rows, prints)], pa.binary()), *(pa.array(c) for c in signature(rows).T)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "node", "print", "sketch", *SIGNS])
@@ -224,16 +260,13 @@ def _band_batches(batches):
     """(key, node); a task gives a node's bands once as long as it remembers the node."""
     seen: set = set()
     for batch in batches:
-        nodes, sketches, got, of = batch.column(0).to_pylist(), batch.column(1), [], []
         if len(seen) > 200_000:
             seen.clear()
-        for node, sketch in zip(nodes, sketches):
-            if node not in seen:
-                seen.add(node)
-                got.append(band_keys(np.frombuffer(sketch.as_py(), np.uint16)))
-                of.append(node)
-        keys = np.concatenate([*got, np.empty(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(of, np.int64), [len(k) for k in got]))], ["key", "node"])
+        fresh = {node: k for k, node in enumerate(batch.column(0).to_pylist()) if node not in seen}
+        seen.update(fresh)
+        sketches = batch.column(1).take(pa.array([*fresh.values()], pa.int64())).to_pylist()
+        row, keys = band_keys(np.frombuffer(b"".join(sketches), np.uint16))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array([*fresh], np.int64)[row])], ["key", "node"])
 
 
 def _shared_keys(batches):
@@ -323,8 +356,7 @@ def _verify_stars(batches):
     at, leader = None, None
     for batch in batches:
         found = []
-        for g, s, role, node, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-            mine = shingle_set(raw.as_py())
+        for g, s, role, node, mine in zip(*(batch.column(i).to_pylist() for i in range(4)), shingle_sets(batch.column(4).to_pylist())):
             if role == 0:
                 at, leader = (g, s), mine
             elif at == (g, s) and linked(leader, mine):
@@ -455,25 +487,24 @@ def _verify_family(batches):
     at, held, sketches, sizes, forest, number = None, [], None, None, None, {}
     for batch in batches:
         found = []
-        for family, i, j, side, node, comp, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6)):
+        sets = shingle_sets(batch.column(6).to_pylist())
+        for family, i, j, side, node, comp, mine, own in zip(*(batch.column(k).to_pylist() for k in range(6)), sets, registers_of(sets)):
             if (family, i, j) != at:
                 at, held, sketches, forest, number = (family, i, j), [], None, Forest(0), {}
             if comp not in number:
                 number[comp] = len(number)
                 forest.up.append(number[comp])
-            mine = shingle_set(raw.as_py())
             if side == 0:
-                held.append((node, number[comp], mine))
+                held.append((node, number[comp], mine, own))
                 continue
             if sketches is None and held:
-                sketches, sizes = np.array([registers(s) for _, _, s in held]), np.array([len(s) for _, _, s in held])
+                sketches, sizes = np.array([r for *_, r in held]), np.array([len(s) for _, _, s, _ in held])
             if not held:
                 continue
-            own = registers(mine)
             able = np.minimum(sizes, len(mine)) * 100 >= LEAST_PERCENT * np.maximum(sizes, len(mine))
             able &= estimate(sketches, own, sizes, len(mine)) >= floor_for(((sketches != 0) | (own != 0)).sum(1), sizes, len(mine))
             for k in np.flatnonzero(able).tolist():
-                other, c, their = held[k]
+                other, c, their, _ = held[k]
                 if forest.root(c) != forest.root(number[comp]) and linked(their, mine):  # what is connected needs no proof
                     forest.join(c, number[comp])
                     found.append((other, node))
