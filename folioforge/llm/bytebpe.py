@@ -15,7 +15,9 @@ import regex
 from .common import worker_state
 
 #: Bytes of text that are encoded together: many enough for distinct chunks to be few.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
+#: Texts that the tokenizers library encodes in one call.
+AT_ONCE = 32
 # The published pre-tokenisation pattern of byte-level BPE, with
 # the white-space class written as the Unicode property.
 PRETOKEN = regex.compile(
@@ -250,7 +252,9 @@ def library_engine(path: str, together: int = 1000):
 
     def encode(chunks: list[str], joint: bool) -> tuple[bytes, np.ndarray]:
         texts = ["".join(chunks[at : at + together]) for at in range(0, len(chunks), together)] if joint else chunks
-        got = [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        got = []
+        for at in range(0, len(texts), AT_ONCE):  # the library's encodings take far more memory than ids
+            got += [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
         ids = np.concatenate([*got, np.empty(0, "<u4")])
         if not joint:
             return ids.tobytes(), np.array([4 * len(x) for x in got], np.int64)
