@@ -234,8 +234,8 @@ def by_pretokens(engine, limit: int = 200_000):
     return run
 
 
-def library_engine(path: str, together: int = 1000):
-    """Ids of chunks (little-endian uint32 bytes) from the tokenizers library itself.
+def library_engine(path: str, together: int = 1000, plain: bool = False):
+    """Ids of chunks (little-endian uint32 bytes) from the tokenizers library itself; ``plain``: special strings are ordinary text.
 
     ``joint`` chunks start with a space and a visible character, so they are
     pre-tokenised alike behind one another, and many are encoded as one text; the
@@ -246,6 +246,7 @@ def library_engine(path: str, together: int = 1000):
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
+    tok.encode_special_tokens = plain
     vocab = vocabulary(path)
     size = np.zeros(max(vocab.token_bytes) + 1, np.int64)
     size[list(vocab.token_bytes)] = [len(b) for b in vocab.token_bytes.values()]

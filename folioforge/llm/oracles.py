@@ -32,4 +32,21 @@ k AS (SELECT s.doc_id, coalesce(m.component, s.doc_id) AS component_id
 SELECT k.doc_id, n.n AS n_shingles, k.component_id, k.doc_id = k.component_id AS kept FROM k JOIN n USING (doc_id)
 """
 
-ORACLES = {"op4_hyperminhash": OP4, "op10_chunk_recipes": OP10}
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+WITH d AS (SELECT doc_id, {TERMS} AS terms FROM documents),
+full_docs AS (SELECT doc_id, row_number() OVER () AS r, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+s AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM full_docs),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+p AS (SELECT doc_id, r, n, term, count(*) AS tf
+      FROM (SELECT doc_id, r, n, unnest(terms) AS term FROM full_docs) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, big_n),
+h AS (SELECT q.item_id, p.doc_id, p.r, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 90 + (90 * p.n * s.big_n) // s.big_l))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY q.item_id, p.doc_id, p.r)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM h WHERE score > 0)
+WHERE rank <= 10
+"""
+
+ORACLES = {"op4_hyperminhash": OP4, "op10_chunk_recipes": OP10, "op11_heap_merge_search": OP11}

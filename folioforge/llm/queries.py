@@ -1,4 +1,4 @@
-"""The contract queries op1 … op10 and the corpus pipeline, with their SQL where SQL can express them."""
+"""The contract queries op1 … op13 and the corpus pipeline, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -76,6 +76,24 @@ def op9_latent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality)
 
 
+def op11_heap_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import rank_documents
+
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_bpe import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import link_documents
+
+    return link_documents(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +104,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lattice_lm, op2_nnpu_toxicity, op3_trie_bpe, op4_hyperminhash, op5_token_records,
-        op6_best_fit_packing, op7_token_counts, op8_pivot_dedup, op9_latent_votes, op10_chunk_recipes, pipeline,
+        op6_best_fit_packing, op7_token_counts, op8_pivot_dedup, op9_latent_votes, op10_chunk_recipes,
+        op11_heap_merge_search, op12_prefix_table_pieces, op13_token_links, pipeline,
     )
 }
