@@ -32,8 +32,22 @@ HTML_TOKEN = rf"(?is)<script[^<>]*>.*?</script>|<style[^<>]*>.*?</style>|{_SKIPP
 LOCAL_NAME = r"^</?(?:[A-Za-z_][\w.\-]*:)?([A-Za-z_][\w.\-]*)"
 VOID = ("br", "hr", "img", "input", "meta", "link")
 
-OPEN, CLOSE, ALONE = F.col("kind") == "open", F.col("kind") == "close", F.col("kind") == "alone"
-ELEMENT = F.col("kind").isin("open", "alone")
+
+
+def opens() -> Column:
+    return F.col("kind") == "open"
+
+
+def closes() -> Column:
+    return F.col("kind") == "close"
+
+
+def alone() -> Column:
+    return F.col("kind") == "alone"
+
+
+def element() -> Column:
+    return F.col("kind").isin("open", "alone")
 
 
 def tokens(parts: DataFrame, keys: list[str], text: str, pattern: str = XML_TOKEN, void: tuple[str, ...] = (), lower: bool = False) -> DataFrame:
@@ -62,13 +76,13 @@ def answered(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     Tags of one name answer each other like brackets.
     """
-    step = F.when(OPEN, 1).when(CLOSE, -1).otherwise(0)
+    step = F.when(opens(), 1).when(closes(), -1).otherwise(0)
     w = in_order(keys, "name")
     rows = rows.withColumn("_sum", F.sum(step).over(w))
     level = F.col("_sum") + F.greatest(F.lit(0), -F.min("_sum").over(w))
-    rows = rows.withColumn("_level", F.when(OPEN, level).when(CLOSE, level + 1).otherwise(-1 - F.col("seq")))
+    rows = rows.withColumn("_level", F.when(opens(), level).when(closes(), level + 1).otherwise(-1 - F.col("seq")))
     pairs = in_order(keys, "name", "_level")
-    kind = F.when(OPEN & ~F.lead("kind", 1, "").over(pairs).eqNullSafe(F.lit("close")), "alone").when(CLOSE & ~F.lag("kind", 1, "").over(pairs).eqNullSafe(F.lit("open")), "skip").otherwise(F.col("kind"))
+    kind = F.when(opens() & ~F.lead("kind", 1, "").over(pairs).eqNullSafe(F.lit("close")), "alone").when(closes() & ~F.lag("kind", 1, "").over(pairs).eqNullSafe(F.lit("open")), "skip").otherwise(F.col("kind"))
     return rows.withColumn("_kind", kind).drop("kind", "_sum", "_level").withColumnRenamed("_kind", "kind")
 
 
@@ -77,27 +91,27 @@ def nest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     ``opener`` and ``opener_name`` of a closing tag are those of the element it would close.
     """
-    total = F.sum(F.when(OPEN, 1).when(CLOSE, -1).otherwise(0)).over(in_order(keys))
-    rows = rows.withColumn("level", F.when(OPEN, total).otherwise(total + 1).cast("int"))
+    total = F.sum(F.when(opens(), 1).when(closes(), -1).otherwise(0)).over(in_order(keys))
+    rows = rows.withColumn("level", F.when(opens(), total).otherwise(total + 1).cast("int"))
     level = F.col("level")
     # an opening tag comes twice: as an element that others lie in, at its level, and as one that lies in another
-    met = F.when(OPEN, F.array(level, level - 1)).when(CLOSE, F.array(level)).otherwise(F.array(level - 1))
-    both = rows.withColumn("_at", F.explode(met)).withColumn("_holds", OPEN & (F.col("_at") == level))
+    met = F.when(opens(), F.array(level, level - 1)).when(closes(), F.array(level)).otherwise(F.array(level - 1))
+    both = rows.withColumn("_at", F.explode(met)).withColumn("_holds", opens() & (F.col("_at") == level))
     found = F.last(F.when(F.col("_holds"), F.struct("seq", "name")), ignorenulls=True).over(in_order(keys, "_at"))
     both = both.withColumn("_up", found).where(~F.col("_holds")).drop("_at", "_holds")
     both = both.withColumns({
-        "parent": F.when(~CLOSE, F.col("_up.seq")), "parent_name": F.when(~CLOSE, F.col("_up.name")),
-        "opener": F.when(CLOSE, F.col("_up.seq")), "opener_name": F.when(CLOSE, F.col("_up.name")),
-        "_element": F.when(OPEN, F.col("seq")).when(CLOSE, F.col("_up.seq")).otherwise(-1 - F.col("seq")),
+        "parent": F.when(~closes(), F.col("_up.seq")), "parent_name": F.when(~closes(), F.col("_up.name")),
+        "opener": F.when(closes(), F.col("_up.seq")), "opener_name": F.when(closes(), F.col("_up.name")),
+        "_element": F.when(opens(), F.col("seq")).when(closes(), F.col("_up.seq")).otherwise(-1 - F.col("seq")),
     })
-    end = F.max(F.when(CLOSE, F.col("stop"))).over(Window.partitionBy(*keys, "_element"))
-    return both.withColumn("element_stop", F.when(OPEN, end).when(ALONE, F.col("stop"))).drop("_up", "_element")
+    end = F.max(F.when(closes(), F.col("stop"))).over(Window.partitionBy(*keys, "_element"))
+    return both.withColumn("element_stop", F.when(opens(), end).when(alone(), F.col("stop"))).drop("_up", "_element")
 
 
 def nesting_violations(nested: DataFrame, keys: list[str]) -> DataFrame:
     """keys, seq, start, code of everything that isn't nested properly or can't be read."""
     code = (
-        F.when(CLOSE & ~F.col("opener_name").eqNullSafe(F.col("name")), "malformed-nesting").when(OPEN & F.col("element_stop").isNull(), "unclosed-element")
+        F.when(closes() & ~F.col("opener_name").eqNullSafe(F.col("name")), "malformed-nesting").when(opens() & F.col("element_stop").isNull(), "unclosed-element")
         .when(F.col("kind") == "stray", "stray-markup").when((F.col("kind") == "text") & bad_reference(F.col("token")), "character-reference")
     )
     return nested.withColumn("code", code).where(F.col("code").isNotNull()).select(*keys, "seq", "start", "code")
@@ -143,7 +157,7 @@ def unescaped(text: Column) -> Column:
 def elements(nested: DataFrame, keys: list[str]) -> DataFrame:
     """keys, seq, name, level, parent, ordinal among the siblings of its name, start, stop of every element."""
     order = Window.partitionBy(*keys, "parent", "name").orderBy("seq")
-    rows = nested.where(ELEMENT).withColumn("ordinal", F.row_number().over(order) - 1)
+    rows = nested.where(element()).withColumn("ordinal", F.row_number().over(order) - 1)
     return rows.select(*keys, "seq", "name", "level", "parent", "ordinal", "start", F.col("element_stop").alias("stop"))
 
 
@@ -153,11 +167,11 @@ def with_chain(rows: DataFrame, keys: list[str], names: list[str], entry: Column
     ``depth``: the deepest nesting of these elements; counted if not given.
     """
     mine = F.col("name").isin(*names)
-    step = F.when(OPEN & mine, 1).when(CLOSE & mine, -1).otherwise(0)
+    step = F.when(opens() & mine, 1).when(closes() & mine, -1).otherwise(0)
     rows = rows.withColumn("_depth", F.sum(step).over(in_order(keys)).cast("int"))
     if depth is None:
         depth = rows.agg(F.coalesce(F.max("_depth"), F.lit(0))).first()[0]
-    kept = [F.last(F.when(OPEN & mine & (F.col("_depth") == k), entry), ignorenulls=True).over(in_order(keys)) for k in range(1, max(depth, 1) + 1)]
+    kept = [F.last(F.when(opens() & mine & (F.col("_depth") == k), entry), ignorenulls=True).over(in_order(keys)) for k in range(1, max(depth, 1) + 1)]
     return rows.withColumn("chain", F.slice(F.array(*kept), 1, F.greatest(F.col("_depth"), F.lit(0)))).drop("_depth")
 
 
@@ -190,9 +204,9 @@ def labelled(nested: DataFrame, keys: list[str], grammar: Grammar, depth: int |
     """
     marks = nested.where(F.col("kind").isin("open", "close", "alone") & F.col("name").isin(*grammar.names))
     marks = with_chain(marks, keys, grammar.names, F.struct("seq", "name", "level"), depth)
-    above = F.when(OPEN, F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0)))).otherwise(F.col("chain"))
+    above = F.when(opens(), F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0)))).otherwise(F.col("chain"))
     marks = marks.withColumn("above", above).withColumn("near", F.try_element_at("above", F.lit(-1)))
-    counted = ELEMENT & (F.lit(True) if numbered is None else numbered)
+    counted = element() & (F.lit(True) if numbered is None else numbered)
     letter = F.create_map(*[F.lit(x) for pair in grammar.letters.items() for x in pair])[F.col("name")]
     scope = F.when(F.col("name").isin(*grammar.throughout) | F.coalesce(F.col("near.name").isin(*grammar.entries), F.lit(False)), F.lit(-1)).otherwise(F.coalesce("near.seq", F.lit(-2)))
     marks = marks.withColumns({"_counted": F.coalesce(counted & letter.isNotNull(), F.lit(False)), "_letter": F.coalesce(letter, F.lit("")), "_scope": scope})
@@ -202,8 +216,8 @@ def labelled(nested: DataFrame, keys: list[str], grammar: Grammar, depth: int |
     lost = F.col("ordinal").isNull() & letter.isNotNull()
     entry = F.struct("seq", "name", "level", step.alias("step"), F.col("name").isin(*grammar.throughout).alias("anew"), lost.alias("lost"), "token")
     marks = with_chain(marks.drop("chain"), keys, grammar.names, entry, depth)
-    own = F.when(OPEN, F.col("chain")).otherwise(F.concat("chain", F.array(entry)))
-    rows = marks.where(ELEMENT).withColumn("chain", own)
+    own = F.when(opens(), F.col("chain")).otherwise(F.concat("chain", F.array(entry)))
+    rows = marks.where(element()).withColumn("chain", own)
     steps = F.aggregate("chain", F.array().cast("array<string>"), lambda a, x: F.when(x["anew"], F.array(x["step"])).when(x["step"].isNull(), a).otherwise(F.concat(a, F.array(x["step"]))))
     label = F.when(~F.exists("chain", lambda x: x["lost"]) & letter.isNotNull(), F.array_join(steps, "."))
     return rows.withColumn("label", label).drop("_counted", "_letter", "_scope")
@@ -265,8 +279,8 @@ def run_styles(nested: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     Revision save ids and switched-off switches go, true values of switches too;
     attributes and properties are sorted; format history is no property.
     """
-    inner = nested.where(ELEMENT & F.col("name").isin("rPr") & (F.col("parent_name") == "r")).select(*keys, F.col("seq").alias("parent"), F.col("parent").alias("run"))
-    held = nested.where(ELEMENT & (F.col("parent_name") == "rPr") & (F.col("name") != "rPrChange"))
+    inner = nested.where(element() & F.col("name").isin("rPr") & (F.col("parent_name") == "r")).select(*keys, F.col("seq").alias("parent"), F.col("parent").alias("run"))
+    held = nested.where(element() & (F.col("parent_name") == "rPr") & (F.col("name") != "rPrChange"))
     props = inner.join(held.select(*keys, "parent", "name", "token"), [*keys, "parent"], "left")
     kept = F.map_filter(attributes(F.col("token")), lambda k, v: ~F.regexp_extract(k, "([^:]*)$", 1).startswith("rsid"))
     switch = F.col("name").isin(*BOOLEAN)
@@ -304,20 +318,20 @@ def word_nodes(nested: DataFrame, paragraphs: DataFrame, keys: list[str] = KEYS,
     """
     wraps, names = [*REVISIONS, "hyperlink"], ["p", "r", *REVISIONS, "hyperlink"]
     entry = F.struct("seq", "name", "level", "token")
-    rows = with_chain(nested.where(~F.col("kind").isin("skip", "close") | (CLOSE & F.col("name").isin(*names))), keys, names, entry, depth).where(~CLOSE)
-    above = F.when(OPEN & F.col("name").isin(*names), F.slice("chain", 1, F.size("chain") - 1)).otherwise(F.col("chain"))
+    rows = with_chain(nested.where(~F.col("kind").isin("skip", "close") | (closes() & F.col("name").isin(*names))), keys, names, entry, depth).where(~closes())
+    above = F.when(opens() & F.col("name").isin(*names), F.slice("chain", 1, F.size("chain") - 1)).otherwise(F.col("chain"))
     rows = rows.withColumn("above", above).withColumn("p", F.try_element_at(F.filter("above", lambda x: x["name"] == "p"), F.lit(-1)))
     rows = rows.where("p IS NOT NULL").withColumn("inner", F.filter("above", lambda x: x["seq"] > F.col("p.seq")))
     run = F.try_element_at(F.filter("inner", lambda x: x["name"] == "r"), F.lit(-1))
     rows = rows.withColumn("wrappers", F.filter("inner", lambda x: x["name"].isin(*wraps))).withColumn("run", run)
     # how many elements lie between the paragraph and this one, and whether all of them are wrappers
     between = F.col("level") - F.col("p.level") - 1
-    content = (between == F.size("wrappers")) & F.col("run").isNull() & ELEMENT
+    content = (between == F.size("wrappers")) & F.col("run").isNull() & element()
     in_run = F.col("run").isNotNull() & (F.col("run.level") == F.col("p.level") + 1 + F.size("wrappers"))
-    child = in_run & ELEMENT & (F.col("level") == F.col("run.level") + 1)
+    child = in_run & element() & (F.col("level") == F.col("run.level") + 1)
     known = F.col("name").isin("rPr", "t", "delText", *INLINE)
     words = in_run & F.col("kind").isin("text", "cdata") & (F.col("level") == F.col("run.level") + 2) & F.col("parent_name").isin("t", "delText")
-    changed = in_run & ELEMENT & (F.col("name") == "rPrChange") & (F.col("level") == F.col("run.level") + 2) & (F.col("parent_name") == "rPr")
+    changed = in_run & element() & (F.col("name") == "rPrChange") & (F.col("level") == F.col("run.level") + 2) & (F.col("parent_name") == "rPr")
     group = Window.partitionBy(*keys, "_run")
     own_run = content & (F.col("name") == "r")
     rows = rows.withColumn("_run", F.when(own_run, F.col("seq")).when(in_run, F.col("run.seq")).otherwise(-1 - F.col("seq")))

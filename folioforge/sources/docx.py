@@ -1,8 +1,9 @@
-"""Word packages as DataFrames: packages → parts → tags → paragraphs, and back to bytes.
+"""Word packages as DataFrames: packages → parts → nodes and paragraphs, and back to bytes.
 
-``read_packages`` uses Spark's binaryFile source; everything below works on the
-bytes inside tasks, one package per row, so a bad package becomes a violation
-row and never stops a job.
+``read_packages`` uses Spark's binaryFile source.  Only zip archives are read and
+written in Python, one package per row; what is inside is read by
+``operators/nodes.py``.  A bad package or part becomes a violation row and never
+stops a job.
 """
 
 from __future__ import annotations
@@ -11,25 +12,21 @@ import hashlib
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import nodes as N
+
 # Names of the main part and of the other parts whose text is editable.
 MAIN = "word/document.xml"
 EDITABLE = re.compile(r"word/(header\d+|footer\d+|footnotes|endnotes|comments)\.xml")
 #: A package part of more than this many bytes is refused before it is inflated.
 MAX_PART = 1 << 28
-_TOKEN = re.compile(rb"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(/?)([A-Za-z_][\w.\-]*:)?([A-Za-z_][\w.\-]*)((?:\s+[^\s=<>]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(/?)>", re.S)
-_ATTR = re.compile(rb"([^\s=<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
-_ENTITY = {b"&lt;": b"<", b"&gt;": b">", b"&quot;": b'"', b"&apos;": b"'", b"&amp;": b"&"}
-ADDED, REMOVED = (b"ins", b"moveTo"), (b"del", b"moveFrom")
 
 PART = "doc_id string, part string, content binary, sha256 string, size long, is_editable boolean, violation string"
-PARAGRAPH = "doc_id string, part string, paragraph_id string, start int, stop int, final_text string, original_text string, n_revisions int"
-REVISION = "doc_id string, part string, paragraph_id string, kind string, w_id string, author string, date string, text string, revision_key string"
+KEYS = N.KEYS
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
@@ -38,27 +35,6 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)\.docx$", 1).alias("doc_id"), "content")
 
 
-def tags(xml: bytes) -> Iterator[tuple[bytes, bool, bool, int, int, bytes]]:
-    """(local name, closing, self-closing, start, end, attributes) by byte offset; comments, CDATA and instructions are skipped."""
-    for m in _TOKEN.finditer(xml):
-        if m[3] is not None:
-            yield m[3], bool(m[1]), bool(m[5]), m.start(), m.end(), m[4]
-
-
-def attributes(raw: bytes) -> dict[bytes, bytes]:
-    return {m[1].rpartition(b":")[2]: m[2] if m[2] is not None else m[3] for m in _ATTR.finditer(raw)}
-
-
-def unescape(raw: bytes) -> str:
-    """Character data as text: named entities and decimal or hexadecimal character references."""
-    number = lambda m: chr(int(m[2], 16) if m[2] else int(m[1])).encode("utf-8", "replace")
-    return re.sub(rb"&(?:lt|gt|quot|apos|amp|#([0-9]{1,7})|#x([0-9A-Fa-f]{1,6}));", lambda m: _ENTITY.get(m[0]) or number(m), raw).decode("utf-8", "replace")
-
-
-def escape(text: str) -> bytes:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").encode()
-
-
 def explode_parts(packages: DataFrame) -> DataFrame:
     """One row per package part, or one row with the violation for a package that can't be read."""
 
@@ -89,173 +65,141 @@ def explode_parts(packages: DataFrame) -> DataFrame:
     return packages.select("doc_id", "content").mapInPandas(run, PART)
 
 
-def paragraphs_of(xml: bytes, part: str) -> list[dict]:
-    """Paragraphs in close order with byte ranges, both views, and their revisions.
+def part_texts(parts: DataFrame) -> DataFrame:
+    """(doc_id, part, xml) of the editable parts that are UTF-8."""
+    return parts.where(F.col("is_editable") & F.is_valid_utf8("content")).select("doc_id", "part", F.col("content").cast("string").alias("xml"))
 
-    Body paragraphs are P{i}; cells T{t}.R{r}.C{c}.P{p} with global table numbers; parts prefix their name.
-    """
-    prefix = "" if part == MAIN else part.rpartition("/")[2].removesuffix(".xml") + "."
-    stack: list[dict] = []
-    tables, out = 0, []
-    count: dict = {}
-
-    def number(key) -> int:
-        count[key] = count.get(key, -1) + 1
-        return count[key]
-
-    open_p: list[dict] = []
-    revisions: list[dict] = []
-    for name, closing, alone, start, end, raw in tags(xml):
-        if closing:
-            while stack and (top := stack.pop())["name"] != name:
-                pass
-            if name == b"p" and open_p:
-                p = open_p.pop()
-                p["stop"] = end
-                out.append(p)
-            elif name in (b"t", b"delText") and open_p and top["name"] == name:
-                piece = unescape(xml[top["end"] : start])
-                kinds = [r["kind"] for r in revisions]
-                if not any(k in REMOVED for k in kinds):
-                    open_p[-1]["final"].append(piece)
-                if not any(k in ADDED for k in kinds):
-                    open_p[-1]["original"].append(piece)
-                for r in revisions:
-                    r["text"].append(piece)
-            elif name in ADDED + REMOVED and revisions and revisions[-1]["kind"] == name:
-                revisions.pop()
-            continue
-        node = {"name": name, "start": start, "end": end}
-        inside = lambda n: next((x for x in reversed(stack) if x["name"] == n), None)  # noqa: E731, B023
-        if name == b"tbl" and not alone:
-            node["label"], tables = f"T{tables}", tables + 1
-        elif name == b"tr" and (t := inside(b"tbl")):
-            node["label"] = f"{t['label']}.R{number((t['label'], 'r'))}"
-        elif name == b"tc" and (r := inside(b"tr")):
-            node["label"] = f"{r['label']}.C{number((r['label'], 'c'))}"
-        elif name == b"p":
-            cell = inside(b"tc")
-            label = f"{cell['label']}.P{number((cell['label'], 'p'))}" if cell else f"P{number('body')}"
-            p = {"id": prefix + label, "start": start, "stop": end, "final": [], "original": [], "revisions": []}
-            (out if alone else open_p).append(p)
-        elif name in (b"tab", b"br", b"cr") and open_p and inside(b"r"):
-            piece = "\t" if name == b"tab" else "\n"
-            for view, hiding in (("final", REMOVED), ("original", ADDED)):
-                if not any(r["kind"] in hiding for r in revisions):
-                    open_p[-1][view].append(piece)
-        elif name in ADDED + REMOVED:
-            got = attributes(raw)
-            r = {"kind": name, "text": [], **{k: got.get(k.encode(), b"").decode() for k in ("id", "author", "date")}}
-            if open_p:
-                open_p[-1]["revisions"].append(r)
-            if not alone:
-                revisions.append(r)
-        if not alone:
-            stack.append(node)
-    return out
-
-
-KINDS = {b"ins": "insert", b"del": "delete", b"moveTo": "move_to", b"moveFrom": "move_from"}
+
+def part_tokens(parts: DataFrame) -> DataFrame:
+    """Nested tokens of the editable parts."""
+    return N.nest(N.tokens(part_texts(parts), KEYS, "xml"), KEYS)
+
+
+def part_violations(parts: DataFrame, nested: DataFrame) -> DataFrame:
+    """(doc_id, part, code, detail) of packages and parts that can't be read; detail is a byte offset."""
+    packages = parts.where("violation IS NOT NULL").select("doc_id", "part", F.col("violation").alias("code"), F.lit(None).cast("long").alias("detail"))
+    broken = parts.where(F.col("is_editable") & ~F.is_valid_utf8("content")).select("doc_id", "part", F.lit("invalid-encoding").alias("code"), F.lit(None).cast("long").alias("detail"))
+    return packages.union(broken).union(N.nesting_violations(nested, KEYS).select("doc_id", "part", "code", F.col("start").alias("detail")))
+
+
+def sound_tokens(parts: DataFrame) -> DataFrame:
+    """Nested tokens of the editable parts without violations."""
+    nested = part_tokens(parts)
+    return N.sound(nested, N.nesting_violations(nested, KEYS), KEYS)
 
 
 def parse_paragraphs(parts: DataFrame) -> DataFrame:
-    """Paragraph rows of all editable parts."""
+    """Addressed paragraphs of all editable parts with byte ranges, both views and the number of their revisions."""
+    nested = sound_tokens(parts)
+    paragraphs = N.word_paragraphs(nested)
+    return N.word_views(paragraphs, N.word_nodes(nested, paragraphs))
 
-    def run(batches):
-        for pdf in batches:
-            out = [
-                (d, part, p["id"], p["start"], p["stop"], "".join(p["final"]), "".join(p["original"]), len(p["revisions"]))
-                for d, part, xml in zip(pdf.doc_id, pdf.part, pdf.content) for p in paragraphs_of(xml, part)
-            ]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PARAGRAPH.split(", ")])
 
-    return parts.where("is_editable").select("doc_id", "part", "content").mapInPandas(run, PARAGRAPH)
+def parse_nodes(parts: DataFrame) -> DataFrame:
+    """Node rows of all editable parts."""
+    nested = sound_tokens(parts)
+    return N.word_nodes(nested, N.word_paragraphs(nested))
 
 
 def parse_revisions(parts: DataFrame) -> DataFrame:
     """Revision rows with the key ``part|kind|id|fingerprint``."""
+    return N.word_revisions(parse_nodes(parts))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for d, part, xml in zip(pdf.doc_id, pdf.part, pdf.content):
-                for p in paragraphs_of(xml, part):
-                    for r in p["revisions"]:
-                        text = "".join(r["text"])
-                        key = "|".join((part, KINDS[r["kind"]], r["id"], hashlib.sha256(text.encode()).hexdigest()[:12]))
-                        out.append((d, part, p["id"], KINDS[r["kind"]], r["id"], r["author"], r["date"], text, key))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in REVISION.split(", ")])
-
-    return parts.where("is_editable").select("doc_id", "part", "content").mapInPandas(run, REVISION)
-
-
-def settle_xml(xml: bytes, accept: bool) -> bytes:
-    """Accept or reject every revision of a part; bytes outside revision elements stay as they are."""
-    gone, unwrapped = (REMOVED, ADDED) if accept else (ADDED, REMOVED)
-    out, at, hidden = [], 0, 0
-    for name, closing, alone, start, end, _ in tags(xml):
-        if name in gone:
-            if not hidden:
-                out.append(xml[at:start])
-            if not alone:
-                hidden += -1 if closing else 1
-            at = end if not hidden else at
-        elif hidden:
-            continue
-        elif name in unwrapped:
-            out.append(xml[at:start])
-            at = end
-        elif name == b"delText" and not accept:
-            out.append(xml[at:start])
-            out.append(xml[start:end].replace(b"delText", b"t"))
-            at = end
-    out.append(xml[at:])
-    return b"".join(out)
-
-
-def replace_once(xml: bytes, part: str, paragraph: str, old: str, new: str) -> tuple[bytes, str | None]:
-    """Replace a text that is found exactly once in one run of a paragraph; otherwise the code of the refusal."""
-    p = next((p for p in paragraphs_of(xml, part) if p["id"] == paragraph), None)
-    if p is None:
-        return xml, "text-not-found"
-    body, spans, opened = xml[p["start"] : p["stop"]], [], None
-    for name, closing, alone, start, end, _ in tags(body):
-        if name == b"t" and not alone:
-            if closing and opened is not None:
-                spans.append((opened, start))
-            opened = None if closing else end
-    hits = [(s, e) for s, e in spans for _ in range(unescape(body[s:e]).count(old))]
-    if len(hits) != 1:
-        whole = "".join(p["final"]).count(old)
-        return xml, "text-ambiguous" if len(hits) > 1 else "cross-region-text" if whole else "text-not-found"
-    s, e = hits[0]
-    patched = body[:s] + escape(unescape(body[s:e]).replace(old, new)) + body[e:]
-    return xml[: p["start"]] + patched + xml[p["stop"] :], None
-
-
-def rewrite(content: bytes, change: Callable[[str, bytes], bytes]) -> bytes:
-    """The package with changed parts; a package without changes is returned byte for byte."""
+
+def mark_revisions(nested: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, part, paragraph_id, kind, w_id, author): insertions and deletions of paragraph marks."""
+    entry = F.struct("seq", "name", "level")
+    rows = N.with_chain(nested.where("kind IN ('open', 'close', 'alone')"), KEYS, ["p", "pPr"], entry)
+    p = F.try_element_at(F.filter("chain", lambda x: x["name"] == "p"), F.lit(-1))
+    inside = F.try_element_at(F.col("chain"), F.lit(-1))["name"] == "pPr"
+    marks = rows.where((F.col("kind") == "alone") & F.col("name").isin("ins", "del") & (F.col("parent_name") == "rPr") & inside).withColumn("p", p["seq"])
+    found = N.attributes(F.col("token"))
+    rows = marks.join(paragraphs.select(*KEYS, F.col("seq").alias("p"), "paragraph_id"), [*KEYS, "p"])
+    kind = F.when(F.col("name") == "ins", "insert").otherwise("delete")
+    return rows.select(*KEYS, "paragraph_id", kind.alias("kind"), found["w:id"].alias("w_id"), found["w:author"].alias("author"))
+
+
+def joined_parts(rows: DataFrame) -> DataFrame:
+    """(doc_id, part, content): tokens in order as the bytes of their part."""
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "token")))
+    return rows.groupBy(*KEYS).agg(F.array_join(F.transform(pieces, lambda x: x["token"]), "").cast("binary").alias("content"))
+
+
+def settled_tokens(nested: DataFrame, accept: bool) -> DataFrame:
+    """Tokens with every revision accepted or rejected.
+
+    Tags of revisions go, and with them the content of those that lose; deleted
+    text that stays becomes text; anchors in removed content stay where it was.
+    """
+    lost = [n for n, k in N.REVISIONS.items() if k in (("delete", "move_from") if accept else ("insert", "move_to"))]
+    rows = N.with_chain(nested, KEYS, lost, F.struct("seq"))
+    gone = (F.size("chain") > 0) & ~F.coalesce(F.col("name").isin(*N.ANCHORS), F.lit(False))
+    kept = rows.where(~gone & ~F.col("name").isin(*N.REVISIONS))
+    text = F.when(F.col("name") == "delText", F.regexp_replace("token", "delText", "t")).otherwise(F.col("token"))
+    return kept.drop("chain") if accept else kept.withColumn("token", text).drop("chain")
+
+
+def replaced_tokens(nested: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens and (doc_id, part, paragraph_id, code) of ``edits(doc_id, part, paragraph_id, old, new)``.
+
+    A text that is found exactly once in one text node of its paragraph is
+    replaced (code null).  Codes: text-ambiguous, cross-region-text (it is in the
+    visible text, but not in one node), text-not-found, duplicate-edit (more than
+    one edit of the paragraph; none of them is done).
+    """
+    by = [*KEYS, "paragraph_id"]
+    paragraphs = N.word_paragraphs(nested)
+    nodes = N.word_nodes(nested, paragraphs)
+    once = edits.groupBy(*by).agg(F.count(F.lit(1)).alias("n_edits"), F.first("old").alias("old"), F.first("new").alias("new"))
+    hits = F.when(F.col("old") != "", (F.length("text") - F.length(F.replace("text", "old", F.lit("")))) / F.length("old")).otherwise(0).cast("int")
+    found = nodes.where("cls = 'text'").join(once, by).withColumn("hits", hits).where("hits > 0")
+    sums = found.groupBy(*by).agg(F.sum("hits").alias("hits"))
+    views = N.word_views(paragraphs, nodes).select(*by, "final_text")
+    code = (
+        F.when(F.col("n_edits") > 1, "duplicate-edit").when(F.col("hits") > 1, "text-ambiguous").when(F.col("hits") == 1, F.lit(None))
+        .when((F.col("old") != "") & F.contains("final_text", "old"), "cross-region-text").otherwise("text-not-found")
+    )
+    status = once.join(sums, by, "left").join(views, by, "left").select(*by, code.alias("code"))
+    new = F.replace(F.replace(F.replace(F.replace("text", "old", "new"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    patches = found.join(status.where("code IS NULL"), by, "left_semi").select(*KEYS, "seq", new.alias("patch"))
+    return nested.join(patches, [*KEYS, "seq"], "left").withColumn("token", F.coalesce("patch", "token")).drop("patch"), status
+
+
+def rewrite(content: bytes, new: dict[str, bytes]) -> bytes:
+    """The package with new parts; a package without changes is returned byte for byte."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         parts = [(i, z.read(i)) for i in z.infolist()]
-    new = [(i, data, change(i.filename, data)) for i, data in parts]
-    if all(a == b for _, a, b in new):
+    if all(new.get(i.filename, data) == data for i, data in parts):
         return content
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for info, _, data in new:
-            z.writestr(info, data)
+        for info, data in parts:
+            z.writestr(info, new.get(info.filename, data))
     return out.getvalue()
 
 
-def settle_packages(packages: DataFrame, accept: bool) -> DataFrame:
-    """(doc_id, content) with every revision of every editable part settled."""
+def write_parts(packages: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, content): packages with the contents of ``parts(doc_id, part, content)`` put in place."""
+    per_package = parts.groupBy("doc_id").agg(F.collect_list("part").alias("names"), F.collect_list("content").alias("contents"))
 
     def run(batches):
-        change = lambda name, data: settle_xml(data, accept) if name == MAIN or EDITABLE.fullmatch(name) else data
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "content": [rewrite(c, change) for c in pdf.content]})
+            new = [dict(zip(n, c)) if n is not None else {} for n, c in zip(pdf.names, pdf.contents)]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "content": [rewrite(c, x) if x else c for c, x in zip(pdf.content, new)]})
+
+    rows = packages.select("doc_id", "content").join(per_package, "doc_id", "left")
+    return rows.mapInPandas(run, "doc_id string, content binary")
+
+
+def settle_packages(packages: DataFrame, accept: bool) -> DataFrame:
+    """(doc_id, content) with every revision of every editable part settled; parts with violations stay as they are."""
+    return write_parts(packages, joined_parts(settled_tokens(sound_tokens(explode_parts(packages)), accept)))
+
 
-    return packages.select("doc_id", "content").mapInPandas(run, "doc_id string, content binary")
+def replace_in_packages(packages: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(packages with the edits done, status of every edited paragraph), see :func:`replaced_tokens`."""
+    rows, status = replaced_tokens(sound_tokens(explode_parts(packages)), edits)
+    return write_parts(packages, joined_parts(rows)), status
 
 
 def package_guard(before: DataFrame, after: DataFrame) -> DataFrame:
