@@ -23,8 +23,7 @@ tables give empty tables; extra columns don't matter.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from itertools import accumulate, islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,83 +32,174 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import ENCODE_BYTES, VISIBLE, WIDE_RE2, as_texts, default_vocabulary, library_engine, lists_offsets, vocabulary
-from .common import Forest, bounded_batches, materialize, one_operator, text_bytes, worker_state
+from .bytebpe import VISIBLE, WIDE_RE2, as_texts, default_vocabulary, library_engine, lists_offsets, vocabulary
+from .common import BATCH_BYTES, bounded_batches, materialize, one_operator, text_bytes, worker_state
 from .piece_bpe import default_pieces, piece_vocabulary, prefix_table
 
 #: Most frequent pairs whose counts are broadcast (17 bytes each).
 HEAD = 1 << 20
 #: Chunks kept from one batch to the next.
-CACHED = 200_000
+CACHED = 100_000
+#: Groups of at most so many pairs are multiplied out token by token.
+PLAIN = 4096
+SPACES = " \u2581"  # both are a space for B
 CUT = regex.compile(r"(?<=[^ ])(?= \P{White_Space})")
 
 
-def groups_of(ends_a: list[int], ends_b: list[int]) -> list[tuple[range, range]]:
-    """Connected components of overlapping tokens, as (A indexes, B indexes) in order; both end lists end at the same byte."""
-    n, i, j = len(ends_a), 0, 0
-    forest = Forest(n + len(ends_b))
-    while i < n and j < len(ends_b):  # every byte lies in one token of each side: walking the borders meets all overlaps
-        forest.join(i, n + j)
-        a, b = ends_a[i], ends_b[j]
-        i, j = i + (a <= b), j + (b <= a)
-    members: dict[int, list[list[int]]] = {}
-    for k in range(n + len(ends_b)):
-        members.setdefault(forest.root(k), [[], []])[k >= n].append(k if k < n else k - n)
-    return [(range(a[0], a[-1] + 1), range(b[0], b[-1] + 1)) for a, b in members.values()]
+def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component number of every token of A and of B, from the bytes where tokens end; both end at the same byte.
+
+    Union-find over the edges of overlapping tokens: roots hook on the least root
+    across an edge, and paths are halved, until no edge joins two roots.
+    """
+    n = len(ends_a)
+    borders = np.union1d(ends_a, ends_b)  # each stretch between borders lies in one token of each side: an edge
+    a, b = np.searchsorted(ends_a, borders), n + np.searchsorted(ends_b, borders)
+    up = np.arange(n + len(ends_b))
+    while True:
+        one, two = up[a], up[b]
+        if (one == two).all():
+            break
+        np.minimum.at(up, np.maximum(one, two), np.minimum(one, two))
+        while (up[up] != up).any():
+            up = up[up]
+    _, number = np.unique(up, return_inverse=True)
+    return number[:n], number[n:]
+
+
+class Values:
+    """What many chunks have: facts (faithful, tokens of A, tokens of B, groups), text of the groups, and pairs with occurrences."""
+
+    def __init__(self, facts: np.ndarray, said: pa.Array, sizes: np.ndarray, pairs: np.ndarray, uses: np.ndarray):
+        self.facts, self.said, self.sizes, self.pairs, self.uses = facts, said, sizes, pairs, uses
+
+    @staticmethod
+    def none() -> Values:
+        return Values(np.array([[1, 0, 0, 0]]), pa.array([b""], pa.large_binary()), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def take(self, some: np.ndarray) -> Values:
+        at = _ranges(np.cumsum(self.sizes)[some] - self.sizes[some], self.sizes[some])
+        return Values(self.facts[some], self.said.take(pa.array(some)), self.sizes[some], self.pairs[at], self.uses[at])
+
+    def followed_by(self, other: Values) -> Values:
+        join = lambda name: np.concatenate([getattr(self, name), getattr(other, name)])
+        return Values(join("facts"), pa.concat_arrays([self.said, other.said]), *map(join, ("sizes", "pairs", "uses")))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, … for every range, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Aligner:
     """Chunks (space + characters) to their groups and links."""
 
     def __init__(self, tokenizer: str, pieces: str):
+        import sentencepiece
+
         a, b = vocabulary(tokenizer), piece_vocabulary(pieces)
         self.encode_a, self.encode_b, self.width = library_engine(tokenizer, plain=True), prefix_table(pieces), len(b.raw)
-        self.bytes_a = [a.token_bytes.get(i, b"") for i in range(max(a.token_bytes) + 1)]
-        self.bytes_b = b.raw
-        self.known: dict[str, tuple] = {}
-
-    def _one(self, chunk: str, ids_a: list[int], ids_b: list[int]) -> tuple:
-        """(faithful, tokens of A, tokens of B, groups, text of the groups, pairs, occurrences)."""
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        raw = chunk.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return False, 0, 0, 0, b"", (), ()
-        groups = groups_of(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))
-        said, links = [], Counter()
-        for left, right in groups:
-            one, two = ids_a[left.start : left.stop], ids_b[right.start : right.stop]
-            said.append(",".join(map(str, one)) + "|" + ",".join(map(str, two)) + ";")
-            if len(one) == len(two) == 1:
-                links[one[0] * self.width + two[0]] += 1
-            else:  # distinct ids only are multiplied out
-                many = Counter(two)
-                for x, n in Counter(one).items():
-                    for y, m in many.items():
-                        links[x * self.width + y] += n * m
-        return True, len(ids_a), len(ids_b), len(groups), "".join(said).encode(), tuple(links), tuple(links.values())
-
-    def values(self, chunks: list[str], uses: list[int]) -> list[tuple]:
-        known = self.known
-        out = list(map(known.get, chunks))
-        fresh = [i for i, got in enumerate(out) if got is None]
-        new = [chunks[i] for i in fresh]
+        self.library_b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        raw_a = [a.token_bytes.get(i, b"") for i in range(max(a.token_bytes) + 1)]
+        self.raw = [pa.array(raw, pa.large_binary()) for raw in (raw_a, b.raw)]
+        self.count_a = len(raw_a)
+        # an id and what follows it: within a side, after the last of A, after the last of B
+        self.words = pa.array([b"%d%s" % (i, end) for size, ends in ((self.count_a, b",|"), (self.width, b",;")) for end in (ends[:1], ends[1:]) for i in range(size)], pa.large_binary())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.kept = Values.none()
+
+    def _encoded(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, tokens of each chunk) of both sides."""
+        n = len(chunks)
         # chunks of a space and a visible character are pre-tokenised alike behind one another
-        joint = [k for k, c in enumerate(new) if c[0] == " " and VISIBLE(c, 1)]
-        apart = sorted(set(range(len(new))) - set(joint))
-        sides_a: list = [None] * len(new)
-        for where, together in ((joint, True), (apart, False)):
-            if where:
-                data, sizes = self.encode_a([new[k] for k in where], together)
-                for k, ids in zip(where, _split(data, sizes)):
-                    sides_a[k] = ids
-        sides_b = _split(*self.encode_b(new))
-        for i, chunk, a, b in zip(fresh, new, sides_a, sides_b):
-            out[i] = got = self._one(chunk, a, b)
-            if uses[i] > 1 and len(chunk) <= 64:
-                known[chunk] = got
-        if len(known) > CACHED:  # the chunks met first are mostly the frequent ones
-            self.known = dict(islice(known.items(), CACHED // 2))
-        return out
+        joint = np.fromiter((c[0] == " " and VISIBLE(c, 1) is not None for c in chunks), bool, n)
+        single = np.fromiter((c[0] == " " and len(c) > 1 and c[1] not in SPACES for c in chunks), bool, n)  # B's library puts the space before
+        sides: list = []
+        for mask, one, two in ((joint, lambda x: self.encode_a(x, True), lambda x: self.encode_a(x, False)), (single, self._by_library, self.encode_b)):
+            counts, parts, order = np.zeros(n, np.int64), [], []
+            for which, encode in ((mask, one), (~mask, two)):
+                at = np.flatnonzero(which)
+                if len(at):
+                    data, sizes = encode([chunks[i] for i in at.tolist()])
+                    counts[at] = np.asarray(sizes) // 4
+                    parts.append(np.frombuffer(data, "<u4").astype(np.int64))
+                    order.append(at)
+            ids, at = np.concatenate([*parts, np.empty(0, np.int64)]), np.concatenate([*order, np.empty(0, np.int64)]).astype(np.int64)
+            starts = np.zeros(n, np.int64)
+            starts[at] = np.cumsum(counts[at]) - counts[at]
+            sides.append((ids[_ranges(starts, counts)], counts))
+        return sides
+
+    def _by_library(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
+        coded = self.library_b.encode([c[1:] for c in chunks], num_threads=1)
+        return np.fromiter((i for x in coded for i in x), "<u4").tobytes(), np.fromiter((4 * len(x) for x in coded), np.int64, len(coded))
+
+    def align(self, chunks: list[str]) -> Values:
+        n = len(chunks)
+        if not n:
+            return Values.none().take(np.empty(0, np.int64))
+        raws = pa.array([c.encode() for c in chunks], pa.large_binary())
+        sides, faithful = self._encoded(chunks), np.ones(n, bool)
+        for (ids, counts), table in zip(sides, self.raw):
+            got = table.take(pa.array(ids))
+            offsets = lists_offsets(got)[np.append(0, np.cumsum(counts))]
+            joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), got.buffers()[2]])
+            faithful &= pc.equal(joined, raws).to_numpy(zero_copy_only=False)
+        facts = np.zeros((n, 4), np.int64)
+        facts[:, 0] = faithful
+        (a, n_a), (b, n_b) = ((ids[np.repeat(faithful, counts)], np.where(faithful, counts, 0)) for ids, counts in sides)
+        facts[:, 1], facts[:, 2] = n_a, n_b
+        # chunks end where both sides end a token, so all of them are one string of bytes
+        lengths = [pc.binary_length(table.take(pa.array(ids))).to_numpy().astype(np.int64) for ids, table in zip((a, b), self.raw)]
+        in_a, in_b = groups_of(*map(np.cumsum, lengths))
+        total = int(in_a.max(initial=-1)) + 1
+        size_a, size_b = np.bincount(in_a, minlength=total), np.bincount(in_b, minlength=total)
+        chunk_of = np.empty(total, np.int64)
+        chunk_of[in_a] = np.repeat(np.arange(n), n_a)
+        facts[:, 3] = np.bincount(chunk_of, minlength=n)
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        # the groups' text: of each group the tokens of A, then those of B
+        place_a = np.arange(len(a)) + first_b[in_a]
+        place_b = np.arange(len(b)) + (first_a + size_a)[in_b]
+        code = np.empty(len(a) + len(b), np.int64)
+        code[place_a] = a + np.where(np.arange(len(a)) == (first_a + size_a - 1)[in_a], self.count_a, 0)
+        code[place_b] = 2 * self.count_a + b + np.where(np.arange(len(b)) == (first_b + size_b - 1)[in_b], self.width, 0)
+        words = self.words.take(pa.array(code))
+        offsets = lists_offsets(words)[np.append(0, np.cumsum(n_a + n_b))] if len(code) else np.zeros(n + 1, np.int64)
+        said = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), words.buffers()[2] or pa.py_buffer(b"")])
+        # links: all pairs of a group; of a large one its distinct ids are multiplied out
+        small = size_a * size_b <= PLAIN
+        rows = size_a * small
+        left = _ranges(first_a, rows)
+        wide = size_b[in_a[left]]
+        pair = np.repeat(a[left], wide) * self.width + b[_ranges(first_b[in_a[left]], wide)]
+        owner, use = np.repeat(chunk_of[in_a[left]], wide), np.ones(len(pair), np.int64)
+        for g in np.flatnonzero(~small).tolist():
+            x, times_x = np.unique(a[first_a[g] : first_a[g] + size_a[g]], return_counts=True)
+            y, times_y = np.unique(b[first_b[g] : first_b[g] + size_b[g]], return_counts=True)
+            pair = np.append(pair, (x[:, None] * self.width + y).ravel())
+            use = np.append(use, (times_x[:, None] * times_y).ravel())
+            owner = np.append(owner, np.full(len(x) * len(y), chunk_of[g]))
+        order = np.argsort(owner, kind="stable")
+        return Values(facts, said, np.bincount(owner, minlength=n), pair[order], use[order])
+
+    def values(self, chunks: list[str], uses: np.ndarray) -> tuple[Values, np.ndarray]:
+        """Values, and where each chunk's are; number 0 is the empty chunk."""
+        at = np.array(list(map(self.place.get, chunks, repeat(-1))), np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new = self.align([chunks[i] for i in fresh.tolist()])
+        every = self.kept.followed_by(new)
+        at[fresh] = len(self.kept.facts) + np.arange(len(fresh))
+        often = np.array([k for k, i in enumerate(fresh.tolist()) if uses[i] > 1 and len(chunks[i]) <= 64], np.int64)
+        if len(self.place) + len(often) > CACHED:
+            self._forget()
+        first = len(self.kept.facts)
+        self.place.update((chunks[fresh[k]], first + j) for j, k in enumerate(often.tolist()))
+        self.kept = self.kept.followed_by(new.take(often))
+        return every, at
 
     def __call__(self, raws: pa.Array) -> pa.RecordBatch:
         texts = as_texts(raws)
@@ -132,42 +222,30 @@ class Aligner:
             coded = flat.filter(pa.array(kept)).dictionary_encode()
             number = coded.indices.to_numpy().astype(np.int64)
             chunks = list(map(" ".__add__, coded.dictionary.to_pylist()))
-        values = self.values(chunks, np.bincount(number, minlength=len(chunks)).tolist())
-        return _documents(number, starts, values)
-
-
-def _split(data: bytes, sizes: np.ndarray) -> list[list[int]]:
-    ids, ends = np.frombuffer(data, "<u4").tolist(), (np.cumsum(sizes) // 4).tolist()
-    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        values, at = self.values(chunks, np.bincount(number, minlength=len(chunks)))
+        return _documents(at[number] if len(number) else number, starts, values)
 
 
 FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, uses array<long>"
 
 
-def _documents(number: np.ndarray, starts: np.ndarray, values: list[tuple]) -> pa.RecordBatch:
+def _documents(number: np.ndarray, starts: np.ndarray, values: Values) -> pa.RecordBatch:
     """Per document the sums over its chunks, the hash of its groups, and its distinct pairs with their occurrences."""
-    values = [*values, (True, 0, 0, 0, b"", (), ())]  # so that there is one
-    n_docs, n = len(starts) - 1, len(values)
-    facts = np.array([v[:4] for v in values], np.int64).reshape(n, 4)
+    n_docs, n = len(starts) - 1, len(values.facts)
     doc_of = np.repeat(np.arange(n_docs), np.diff(starts))
-    bad = np.bincount(doc_of, 1 - facts[number, 0], n_docs) > 0
-    sums = [np.where(bad, 0, np.bincount(doc_of, facts[number, k], n_docs).astype(np.int64)) for k in (1, 2, 3)]
+    bad = np.bincount(doc_of, 1 - values.facts[number, 0], n_docs) > 0
+    sums = [np.where(bad, 0, np.bincount(doc_of, values.facts[number, k], n_docs).astype(np.int64)) for k in (1, 2, 3)]
     # every document ends with the empty chunk, so that the array is never without values
-    said = pa.array([v[4] for v in values], pa.large_binary()).take(pa.array(np.insert(number, starts[1:], n - 1)))
+    said = values.said.take(pa.array(np.insert(number, starts[1:], 0)))
     ends, data = lists_offsets(said)[starts + np.arange(n_docs + 1)].tolist(), memoryview(said.buffers()[2] or b"")
     hashes = [hashlib.sha256(data[a : b - 1]).hexdigest() if b > a and not wrong else "" for a, b, wrong in zip(ends, ends[1:], bad)]
-    sizes = np.fromiter((len(v[5]) for v in values), np.int64, n)
-    first = np.cumsum(sizes) - sizes
-    pairs = np.fromiter((p for v in values for p in v[5]), np.int64)
-    uses = np.fromiter((u for v in values for u in v[6]), np.int64)
     good = ~bad[doc_of]
-    number, doc_of = number[good], doc_of[good]
     # a chunk's occurrences in a document count once, multiplied
-    once, times = np.unique(doc_of * n + number, return_counts=True)
+    once, times = np.unique(doc_of[good] * n + number[good], return_counts=True)
     doc_of, number = np.divmod(once, n)
-    spread = sizes[number]
-    at = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread) + np.repeat(first[number], spread)
-    owner, pair, use = np.repeat(doc_of, spread), pairs[at], uses[at] * np.repeat(times, spread)
+    spread = values.sizes[number]
+    at = _ranges((np.cumsum(values.sizes) - values.sizes)[number], spread)
+    owner, pair, use = np.repeat(doc_of, spread), values.pairs[at], values.uses[at] * np.repeat(times, spread)
     order = np.lexsort((pair, owner))
     owner, pair, use = owner[order], pair[order], use[order]
     new = np.ones(len(pair), bool)
@@ -199,7 +277,7 @@ def align_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             got = align(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *got.columns], ["doc_id", *got.schema.names])
 
-    rows = bounded_batches(docs, ENCODE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+    rows = bounded_batches(docs, BATCH_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     return rows.mapInArrow(run, "doc_id long, " + FIELDS)
 
 
@@ -211,7 +289,7 @@ def pair_counts(aligned: DataFrame, width: int) -> DataFrame:
             pair, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
 
-    sums = bounded_batches(aligned, ENCODE_BYTES).select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    sums = bounded_batches(aligned, BATCH_BYTES).select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     sums = sums.select("pair", F.floor(F.col("pair") / width).alias("a_id"), (F.col("pair") % width).alias("b_id"), "n")
     return sums.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("a_id")))
 
@@ -255,7 +333,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*plain, *sums, batch.column("groups_sha256"), *lists], names)
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, pairs array<long>, uses array<long>"
-    result = bounded_batches(aligned, ENCODE_BYTES).mapInArrow(run, schema)
+    result = bounded_batches(aligned, BATCH_BYTES).mapInArrow(run, schema)
     if every:
         return result.drop("pairs", "uses")
     result = materialize(result.withColumn("row", F.monotonically_increasing_id()), "linked")

@@ -110,6 +110,19 @@ def test_links_equal_a_plain_loop(docs, rows, pieces, head):
     assert ordered(got.collect()) == ordered(brute_links(rows, pieces))
 
 
+def test_large_groups_and_a_cut_cache(spark, docs, rows, pieces, monkeypatch):
+    monkeypatch.setattr(alignment, "PLAIN", 1)
+    monkeypatch.setattr(alignment, "CACHED", 20)
+    got = {}
+    align = alignment.Aligner(default_vocabulary(), piece_bpe.default_pieces())
+    for k in range(0, len(rows), 40):
+        some = rows[k : k + 40]
+        batch = align(pa.array([(t or "").encode() for _, t, *_ in some], pa.binary()))
+        got.update({k + j: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"]) for j, r in enumerate(batch.to_pylist())})
+    want = {j: (r[1], r[2], r[3], r[4], r[7]) for j, r in enumerate(brute_links(rows, pieces))}
+    assert got == want
+
+
 def test_links_of_an_empty_table(docs):
     assert alignment.link_documents(docs.limit(0)).collect() == []
 
@@ -119,10 +132,9 @@ def test_groups_are_components():
     for _ in range(300):
         n = rnd.randint(1, 30)
         ends = [sorted({*rnd.sample(range(1, n + 1), rnd.randint(0, n)), n}) for _ in range(2)]
-        got = alignment.groups_of(*ends)
-        borders = sorted(set(ends[0]) & set(ends[1]))
-        assert [(ends[0][a.stop - 1], ends[1][b.stop - 1]) for a, b in got] == [(e, e) for e in borders]
-        assert [i for a, _ in got for i in a] == list(range(len(ends[0]))) and [i for _, b in got for i in b] == list(range(len(ends[1])))
+        one, two = (x.tolist() for x in alignment.groups_of(*map(np.array, ends)))
+        shared = sorted(set(ends[0]) & set(ends[1]))
+        assert one == [sum(e > s for s in shared) for e in ends[0]] and two == [sum(e > s for s in shared) for e in ends[1]]
 
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
