@@ -161,12 +161,12 @@ def elements(nested: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "seq", "name", "level", "parent", "ordinal", "start", F.col("element_stop").alias("stop"))
 
 
-def with_chain(rows: DataFrame, keys: list[str], names: list[str], entry: Column, depth: int | None = None) -> DataFrame:
-    """``chain``: for every row the open elements among ``names``, outermost first, as ``entry``; an opening tag is in its own.
+def with_chain(rows: DataFrame, keys: list[str], names: list[str] | None, entry: Column, depth: int | None = None) -> DataFrame:
+    """``chain``: for every row the open elements among ``names`` (or all), outermost first, as ``entry``; an opening tag is in its own.
 
     ``depth``: the deepest nesting of these elements; counted if not given.
     """
-    mine = F.col("name").isin(*names)
+    mine = F.lit(True) if names is None else F.col("name").isin(*names)
     step = F.when(opens() & mine, 1).when(closes() & mine, -1).otherwise(0)
     rows = rows.withColumn("_depth", F.sum(step).over(in_order(keys)).cast("int"))
     if depth is None:

@@ -122,3 +122,7 @@ ORACLES = {
     "box_containment": f"""WITH t AS (SELECT * FROM {TAGS}), p AS (SELECT page_id, seq, coalesce(lead(seq) OVER (PARTITION BY page_id ORDER BY seq), 1073741824) AS stop FROM t WHERE name = 'p' AND NOT closing)
         SELECT a.page_id AS g, a.seq AS at, p.seq AS start, CAST(p.stop AS INTEGER) AS stop, p.seq AS id FROM t a JOIN p ON a.page_id = p.page_id AND p.seq <= a.seq AND a.seq < p.stop WHERE a.name IN ('b', 'br') AND NOT a.closing""",
 }
+
+from .structure import ORACLES as _STRUCTURE  # noqa: E402
+
+ORACLES.update(_STRUCTURE)

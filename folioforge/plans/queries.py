@@ -329,3 +329,7 @@ def grapheme_count(spark, sf_dir):
 @query
 def utf16_fnv1a(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", validate.fnv1a_utf16(F.col("text")).alias("fingerprint"))
+
+from . import structure  # noqa: E402
+
+QUERIES.update(structure.QUERIES)

@@ -30,3 +30,20 @@ def label_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """toxic → reject, else good quality → accept, else defer."""
     decision = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "accept").otherwise("defer")
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), decision.alias("decision"))
+
+
+def conversation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as main parts of word packages (doc_id, part, xml): a turn is a paragraph that begins with its role.
+
+    A user's text is inserted, an assistant's is deleted, any other lies in a text box.
+    """
+    text = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    run = lambda x, tag="t": F.concat(F.lit(f"<w:r><w:{tag}>"), x, F.lit(f"</w:{tag}></w:r>"))
+    wrap = lambda name, x: F.concat(F.lit(f"<w:{name} w:id=\""), F.col("turn").cast("string"), F.lit("\" w:author=\""), "role", F.lit("\">"), x, F.lit(f"</w:{name}>"))
+    box = F.concat(F.lit("<w:r><w:pict><w:txbxContent><w:p>"), run(text), F.lit("</w:p></w:txbxContent></w:pict></w:r>"))
+    content = F.when(F.col("role") == "user", wrap("ins", run(text))).when(F.col("role") == "assistant", wrap("del", run(text, "delText"))).otherwise(box)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<w:p>"), run(F.col("role")), content, F.lit("</w:p>")).alias("p"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "p"))), lambda x: x["p"]), "")
+    parts = turns.groupBy("conv_id").agg(body.alias("body"))
+    xml = F.concat(F.lit("<w:document><w:body>"), "body", F.lit("</w:body></w:document>"))
+    return parts.select(F.col("conv_id").cast("string").alias("doc_id"), F.lit("word/document.xml").alias("part"), xml.alias("xml"))
