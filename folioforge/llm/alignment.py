@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import VISIBLE, WIDE_RE2, as_texts, default_vocabulary, library_engine, lists_offsets, vocabulary
 from .common import BATCH_BYTES, bounded_batches, materialize, one_operator, text_bytes, worker_state
+from .lexical_search import pack, unpack
 from .piece_bpe import default_pieces, piece_vocabulary, prefix_table
 
 #: Most frequent pairs whose counts are broadcast (17 bytes each).
@@ -226,7 +227,29 @@ class Aligner:
         return _documents(at[number] if len(number) else number, starts, values)
 
 
-FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, uses array<long>"
+FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_pairs int, links binary"
+
+
+def packed_links(owner: np.ndarray, pair: np.ndarray, use: np.ndarray, n_docs: int) -> tuple[np.ndarray, pa.Array]:
+    """Pairs of each document and their links in few bytes: distances of its ascending pairs, each before its occurrences."""
+    borders = np.searchsorted(owner, np.arange(n_docs + 1))
+    gaps = np.diff(pair, prepend=0)
+    first = borders[:-1][np.diff(borders) > 0]
+    gaps[first] = pair[first]
+    data, sizes = pack(np.column_stack([gaps, use]).ravel())
+    ends = np.append(0, np.cumsum(sizes))[2 * borders].astype(np.int32)
+    return np.diff(borders), pa.BinaryArray.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+
+
+def unpacked_links(n_pairs: pa.Array, links: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document in the batch, pair, occurrences)."""
+    counts = n_pairs.to_numpy().astype(np.int64)
+    ends = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1]
+    found = unpack(memoryview(links.buffers()[2] or b"")[ends[0] : ends[-1]]).reshape(-1, 2)
+    total = np.cumsum(found[:, 0])
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    before = total[starts] - found[starts, 0]
+    return np.repeat(np.arange(len(counts)), counts), total - np.repeat(before, counts[counts > 0]), found[:, 1]
 
 
 def _documents(number: np.ndarray, starts: np.ndarray, values: Values) -> pa.RecordBatch:
@@ -254,9 +277,9 @@ def _documents(number: np.ndarray, starts: np.ndarray, values: Values) -> pa.Rec
     owner, pair, use = owner[heads], pair[heads], np.add.reduceat(use, heads) if len(heads) else use
     links = np.zeros(n_docs, np.int64)
     np.add.at(links, owner, use)
-    borders = pa.array(np.searchsorted(owner, np.arange(n_docs + 1)).astype(np.int32))
-    columns = [*map(pa.array, sums), pa.array(links), pa.array(hashes, pa.string()), *(pa.ListArray.from_arrays(borders, pa.array(x)) for x in (pair, use))]
-    return pa.RecordBatch.from_arrays(columns, ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "uses"])
+    counts, packed = packed_links(owner, pair, use, n_docs)
+    columns = [*map(pa.array, sums), pa.array(links), pa.array(hashes, pa.string()), pa.array(counts, pa.int32()), packed]
+    return pa.RecordBatch.from_arrays(columns, ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs", "links"])
 
 
 def aligner(tokenizer: str, pieces: str) -> Aligner:
@@ -264,9 +287,9 @@ def aligner(tokenizer: str, pieces: str) -> Aligner:
 
 
 def align_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, pieces: str | None = None) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and the distinct linked pairs with their occurrences; no shuffle.
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and the distinct linked pairs with their occurrences, packed; no shuffle.
 
-    A pair is A id * (ids of B) + B id.
+    A pair is A id * (ids of B) + B id; :func:`unpacked_links` reads them.
     """
     one, two = tokenizer or default_vocabulary(), pieces or default_pieces()
 
@@ -286,10 +309,10 @@ def pair_counts(aligned: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            pair, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            pair, n = np.unique(unpacked_links(*batch.columns)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
 
-    sums = bounded_batches(aligned, BATCH_BYTES).select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    sums = bounded_batches(aligned, BATCH_BYTES).select("n_pairs", "links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     sums = sums.select("pair", F.floor(F.col("pair") / width).alias("a_id"), (F.col("pair") % width).alias("b_id"), "n")
     return sums.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("a_id")))
 
@@ -314,9 +337,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pair, n, best = (np.append(x, np.zeros(1, x.dtype)) for x in sent.value)  # so that there is one
         size = len(pair) - 1
         for batch in batches:
-            links, uses = batch.column("pairs"), batch.column("uses").flatten().to_numpy()
-            borders, flat = np.diff(links.offsets.to_numpy()), links.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(batch)), borders)
+            owner, flat, uses = unpacked_links(batch.column("n_pairs"), batch.column("links"))
             at = np.searchsorted(pair[:size], flat)
             found = (pair[at] == flat) & (at < size)
             weight, top = np.where(found, n[at], 0) * uses, np.where(found & best[at], uses, 0)
@@ -325,17 +346,19 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 total = np.zeros(len(batch), np.int64)
                 np.add.at(total, owner, x)
                 sums.append(pa.array(total))
-            rest = ~found
-            ends = pa.array(np.searchsorted(owner[rest], np.arange(len(batch) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x[rest])) for x in (flat, uses)]
-            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "pairs", "uses"]
             plain = [batch.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-            yield pa.RecordBatch.from_arrays([*plain, *sums, batch.column("groups_sha256"), *lists], names)
-
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, pairs array<long>, uses array<long>"
+            columns, names = [*plain, *sums, batch.column("groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+            if not every:
+                rest = ~found
+                ends = pa.array(np.searchsorted(owner[rest], np.arange(len(batch) + 1)).astype(np.int32))
+                columns += [pa.ListArray.from_arrays(ends, pa.array(x[rest])) for x in (flat, uses)]
+                names += ["pairs", "uses"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string" + ", pairs array<long>, uses array<long>" * (not every)
     result = bounded_batches(aligned, BATCH_BYTES).mapInArrow(run, schema)
-    if every:
-        return result.drop("pairs", "uses")
+    if every:  # all pairs were broadcast
+        return result
     result = materialize(result.withColumn("row", F.monotonically_increasing_id()), "linked")
     rare = result.select("row", F.explode(F.arrays_zip("pairs", "uses")).alias("p")).select("row", "p.pairs", "p.uses")
     facts = counts.select(F.col("pair").alias("pairs"), "n", F.col("best").cast("long").alias("best"))

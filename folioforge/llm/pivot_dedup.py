@@ -10,13 +10,18 @@ that shares several pivot pairs counts in the first of its common lists only, so
 link counts add up without any pair ever being written: a list gives one partial
 count per vector and a spanning forest of its links.
 
+Pivots are chosen, and vectors described, after the sample's mean is taken off, so
+that vectors that all point much the same way still have different pivots; cosines
+are those of the vectors as they are.
+
 Vectors with equal components and label are one class beforehand.  Long lists
 are split into blocks and each block pair is one group, so no list, however hot,
 meets in one task.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label, link with nothing; vectors of different
-length never link; rows with equal vec_id are separate rows of one id; a null
+length never link; rows with equal vec_id are separate rows of one id, each linked
+by its own vector; of equally near pivots the one chosen first comes first; a null
 vec_id keeps a null component; an empty table gives an empty table; extra
 columns don't matter.
 """
@@ -31,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, materialize
+from .common import Forest, connected_components, join_by_key, materialize
 
 THRESHOLD = 0.93
 #: The index is fitted on SAMPLE vectors at most; PIVOTS of them (what is broadcast) are kept; descriptions have PREFIX pivots.
@@ -67,23 +72,32 @@ def farthest_first(x: np.ndarray, most: int) -> np.ndarray:
     return x[chosen]
 
 
-def choose_pivots(classes: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Pivots per dimension, from the SAMPLE vectors whose hash is least (bounded, repeatable)."""
+def centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Unit rows without their mean, of length one again (a row that is the mean stays zero)."""
+    x = x - mean
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > 1e-9, size, 1)
+
+
+def choose_pivots(classes: DataFrame, most: int = PIVOTS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mean and pivots per dimension, from the SAMPLE vectors whose hash is least (bounded, repeatable)."""
     rows = classes.select("vector").orderBy(F.xxhash64("vector", F.lit(1)), "vector").limit(SAMPLE).collect()
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r.vector), []).append(r.vector)
-    return {n: farthest_first(unit_rows(v), most) for n, v in by_size.items()}
+    units = {n: unit_rows(v) for n, v in by_size.items()}
+    return {n: (x.mean(axis=0), farthest_first(centred(x, x.mean(axis=0)), most)) for n, x in units.items()}
 
 
 def describe(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
-    """(n, prefix) ids of the nearest pivots in order; all pivots where there are fewer (-1 fills up)."""
+    """(n, prefix) ids of the nearest pivots in order, of equally near ones the first; all pivots where there are fewer (-1 fills up)."""
     near = x @ pivots.T
     k = min(prefix, len(pivots))
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(x), 1))
-    order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
+    if k < len(pivots):  # everything as near as the k-th nearest, so that the sort decides ties
+        least = np.partition(near, len(pivots) - k, axis=1)[:, len(pivots) - k, None]
+        near = np.where(near >= least, near, -np.inf)
     out = np.full((len(x), prefix), -1)
-    out[:, :k] = np.take_along_axis(top, order, 1)
+    out[:, :k] = np.argsort(-near, axis=1, kind="stable")[:, :k]
     return out
 
 
@@ -105,7 +119,8 @@ def _post(pivots_of):
             sizes = np.array([len(v) for v in vectors])
             for n in np.unique(sizes):
                 at = np.flatnonzero(sizes == n)
-                near = describe(unit_rows([vectors[i] for i in at]), pivots.get(int(n), np.zeros((1, int(n)))))
+                mean, points = pivots.get(int(n), (np.zeros(int(n)), np.zeros((1, int(n)))))
+                near = describe(centred(unit_rows([vectors[i] for i in at]), mean), points)
                 keys = pair_keys(near)
                 row, column = np.nonzero(np.sort(keys, 1) != np.pad(np.sort(keys, 1)[:, :-1], ((0, 0), (1, 0)), constant_values=-1))
                 take = batch.take(pa.array(at[row]))
@@ -241,18 +256,21 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     ).withColumn("ok", usable("vector", "label") & F.col("vec_id").isNotNull())
     # -0.0 and 0.0 are one component
     base = base.withColumn("vector", F.when(F.col("ok"), F.transform("vector", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))))
-    base = materialize(base, "vectors")
-    classes = materialize(
-        base.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vector-classes"
-    )
+    base = materialize(base.withColumn("class", F.when(F.col("ok"), F.struct("label", "vector"))), "vectors")
+    # a class has a number of its own: different classes may share ids
+    classes = base.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     links = materialize(link_classes(classes, threshold), "vector-links")
     counts = links.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
     comps = connected_components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector-components")
-    known = classes.join(counts, "node", "left").join(comps, "node", "left").select(
-        F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
+    named = classes.join(comps, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named, "vector-members")
+    firsts = named.groupBy("component").agg(F.min("first").alias("smallest"), F.count(F.lit(1)).alias("members"))
+    known = join_by_key(named, firsts, "component", "members", named.count()).select(
+        F.struct("label", "vector").alias("class"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "smallest", "copies"
     )
-    out = base.join(known, F.col("ok") & (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")), "left")
-    component = F.coalesce("component", "vec_id")
+    out = join_by_key(base.select("vec_id", "class"), known, "class", "copies", base.count())
+    component = F.coalesce("smallest", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
     )

@@ -36,11 +36,12 @@ from .bytebpe import ENCODE_BYTES, default_vocabulary, shared_library_encoder
 from .common import bounded_batches, materialize, one_operator, scratch_path, text_bytes
 
 END_ID = 2
-#: Bytes of text of a shard.
-SHARD_BYTES = 64 << 20
+#: Bytes of text of a shard; beyond MOST_SHARDS of them shards grow with the corpus.
+SHARD_BYTES, MOST_SHARDS = 64 << 20, 20_000
 #: Fixed value: the delta of the masking used by record files of this kind.
 MASK_DELTA = 0xA282EAD8
 _HEAD, _META = struct.Struct("<QI"), struct.Struct("<qBB")
+FRAME = _HEAD.size + 4
 
 
 def masked_crc(data: bytes) -> int:
@@ -123,10 +124,10 @@ def write_records(
 ) -> DataFrame:
     """Write all rows in ascending doc_id order; returns the manifest (shard, name, records, tokens, bytes), one row per shard.
 
-    Shards follow the bytes of text, but there are as many as the cluster has cores at least.
+    Shards follow the bytes of text, but there are as many as the cluster has cores at least and MOST_SHARDS at most.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = max(-(-size // shard_bytes), docs.sparkSession.sparkContext.defaultParallelism)
+    shards = max(min(-(-size // shard_bytes), MOST_SHARDS), docs.sparkSession.sparkContext.defaultParallelism)
     rows = bounded_batches(docs, ENCODE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     # by the text's hash too, so that one id with very many rows still spreads
     dealt = rows.withColumn("h", F.xxhash64("raw")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "raw")
@@ -140,16 +141,20 @@ def _read_shard(folder: str):
         for batch in batches:
             for shard in batch.to_pylist():
                 out = ([], [], [], [])
-                start = shard["start"]
+                start, records, size = shard["start"], 0, 0
                 with fs.open_input_stream(f"{top}/{shard['name']}.rec", buffer_size=1 << 20) as stream:
                     while (payload := read_frame(stream)) is not None:
                         doc_id, ids = unpack(payload)
                         for column, value in zip(out, (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))):
                             column.append(value)
                         start += len(ids)
+                        records += 1
+                        size += FRAME + len(payload)
                         if len(out[0]) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
                             out = ([], [], [], [])
+                if (records, start - shard["start"], size) != (shard["records"], shard["tokens"], shard["bytes"]):
+                    raise ValueError(f"{shard['name']} holds {records} records, {start - shard['start']} tokens and {size} bytes, not {shard['records']}, {shard['tokens']} and {shard['bytes']}")
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
@@ -159,13 +164,16 @@ def with_starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """The manifest with each shard's first token position; one row per shard, so the driver adds them up."""
     at, rows = 0, []
     for r in sorted(manifest.collect(), key=lambda r: r.shard):
-        rows.append((r.name, at, r.records))
+        rows.append((r.name, at, r.records, r.tokens, r.bytes))
         at += r.tokens
-    return spark.createDataFrame(rows, "name string, start long, records long").repartition(max(1, len(rows)))
+    return spark.createDataFrame(rows, "name string, start long, records long, tokens long, bytes long").repartition(max(1, len(rows)))
 
 
 def read_records(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every record, read from the shard files and checked."""
+    """doc_id, start, n_tokens, ids_crc32 of every record, read from the shard files and checked.
+
+    A record that is damaged, or a shard that doesn't hold what the manifest says, raises ValueError.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     return with_starts(spark, manifest).mapInArrow(_read_shard(folder), schema)
 

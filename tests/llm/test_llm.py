@@ -510,3 +510,48 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert kept == {i for i, (_, c) in brute_near([(r[0], r[1]) for r in rows]).items() if i == c}
     packed = P.run(spark, str(tmp_path))
     assert packed.count() > 0 and set(packed.columns) >= {"doc_id", "sequence_id", "offset"}
+
+
+def test_pivot_dedup_repeated_ids(spark):
+    v1, v2 = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, v1), (2, v1), (1, v2), (3, v2), (7, [0.0, 0.0, 1.0]), (None, v1)]
+    got = pivot_dedup.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 1, False), (7, 0, 7, True), (None, 0, None, True)], key=repr)
+
+
+def test_pivot_dedup_of_correlated_vectors(spark):
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=64) * 2
+    x = base + rnd.normal(size=(1500, 64))
+    x = np.concatenate([x, x[:300] + 0.35 * rnd.normal(size=(300, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = unit @ unit.T
+    assert 0.7 < cosines.mean() < 0.9
+    want = (np.triu(cosines >= 0.93, 1)).sum()
+    mean, pivots = pivot_dedup.choose_pivots(spark.createDataFrame([(v.tolist(),) for v in x], "vector array<double>"))[64]
+    assert len(pivots) > 100 and np.linalg.norm(mean) > 0.5  # pivots don't collapse
+    got = pivot_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    links = got.agg(F.sum("n_links")).first()[0] / 2
+    assert want > 200 and 0.9 * want <= links <= want
+
+
+def test_one_vector_as_half_of_all_rows(spark):
+    rows = [(i, [1.0, 2.0] if i % 2 else [float(i), -1.0], 1) for i in range(3000)]
+    got = pivot_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4))
+    odd = got.where("vec_id % 2 = 1").agg(F.min("n_links"), F.max("n_links"), F.min("component_id"), F.max("component_id")).first()
+    assert tuple(odd) == (1499, 1499, 1, 1)
+
+
+@pytest.mark.parametrize("cut", ["record", "index of the manifest"])
+def test_lost_records_are_an_error(spark, docs, tmp_path, cut):
+    folder = f"file://{tmp_path}/records"
+    manifest = records.write_records(docs, folder)
+    shard = max(manifest.collect(), key=lambda r: r.records)
+    path = tmp_path / "records" / f"{shard.name}.rec"
+    if cut == "record":  # the shard ends at the border before its last record
+        index = np.frombuffer((tmp_path / "records" / f"{shard.name}.idx").read_bytes(), "<u8")
+        path.write_bytes(path.read_bytes()[: int(index[-2])])
+    else:
+        manifest = manifest.withColumn("tokens", F.col("tokens") + 1)
+    with pytest.raises(Exception, match="holds"):
+        records.read_records(spark, folder, manifest).collect()
