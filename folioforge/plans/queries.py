@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chain, diff, events, grid, markup, normalize, paragraphs, revisions, validate
+from ..operators import align, chain, events, grid, markup, normalize, paragraphs, revisions, units, validate
 from ..sources.tables import conversation_nodes, label_decisions, order_cells, table
 
 QUERIES: dict = {}
@@ -312,18 +312,29 @@ def box_containment(spark, sf_dir):
     return validate.containment(points, ranges)
 
 
-@query
-def sync_diff(spark, sf_dir):
-    """Consecutive turns of one role in a conversation as drafts of one paragraph."""
+def draft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive turns of one role in a conversation as drafts of one paragraph (id, before, after)."""
     rows = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    pairs = rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), "role", F.col("turn").cast("string")).alias("id"), F.lag("text").over(w).alias("before"), F.col("text").alias("after"))
-    return diff.sync_diff(pairs)
+    return rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), "role", F.col("turn").cast("string")).alias("id"), F.lag("text").over(w).alias("before"), F.col("text").alias("after"))
+
+
+@query
+def sync_diff(spark, sf_dir):
+    """Hunks between drafts."""
+    return align.text_hunks(draft_pairs(spark, sf_dir))
+
+
+@query
+def sync_splice(spark, sf_dir):
+    """Drafts put together again from what they replaced and their hunks."""
+    pairs = draft_pairs(spark, sf_dir)
+    return align.spliced(pairs, align.text_hunks(pairs))
 
 
 @query
 def grapheme_count(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", diff.cluster_count(F.coalesce("text", F.lit(""))).alias("n_units"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(units.clusters(F.coalesce("text", F.lit("")))).alias("n_units"))
 
 
 @query

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import align, units
 from ..operators import nodes as N
 from ..sources import docx
+from ..sources.scratch import written
 from ..sources.tables import conversation_parts, table
 
 QUERIES: dict = {}
@@ -24,7 +26,7 @@ def _page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested tokens of all pages that are nested properly once unanswered tags stand alone."""
-    nested = N.nest(N.answered(_page_tokens(spark, sf_dir), PAGE), PAGE)
+    nested = written(N.nest(N.answered(_page_tokens(spark, sf_dir), PAGE), PAGE), "page-tokens")
     return N.sound(nested, N.nesting_violations(nested, PAGE), PAGE)
 
 
@@ -61,27 +63,75 @@ def markup_text_nodes(spark, sf_dir):
     return texts.select("page_id", "seq", "start", path.alias("path"), "parent", N.unescaped(F.col("token")).alias("text"))
 
 
+def _conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.nest(N.tokens(conversation_parts(spark, sf_dir), N.KEYS, "xml"), N.KEYS)
+
+
+def _conversation_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs, nodes) of the parts made of conversations."""
+    nested = written(_conversation_tokens(spark, sf_dir), "part-tokens")
+    found = written(N.word_paragraphs(nested), "part-paragraphs")
+    return found, N.word_nodes(nested, found)
+
+
 @query
 def package_paragraphs(spark, sf_dir):
     """Paragraphs of word parts made of conversations: addresses, text boxes and both views."""
-    nested = N.nest(N.tokens(conversation_parts(spark, sf_dir), N.KEYS, "xml"), N.KEYS)
-    found = N.word_paragraphs(nested)
-    return N.word_views(found, N.word_nodes(nested, found)).select("doc_id", "paragraph_id", "final_text", "original_text", "n_revisions", "has_opaque")
+    return N.word_views(*_conversation_nodes(spark, sf_dir)).select("doc_id", "paragraph_id", "final_text", "original_text", "n_revisions", "has_opaque")
 
 
 @query
 def package_revisions(spark, sf_dir):
     """Revision inventory of the same parts."""
-    nested = N.nest(N.tokens(conversation_parts(spark, sf_dir), N.KEYS, "xml"), N.KEYS)
-    rows = N.word_revisions(N.word_nodes(nested, N.word_paragraphs(nested)))
+    rows = N.word_revisions(written(_conversation_nodes(spark, sf_dir)[1], "part-nodes"))
     return rows.select("doc_id", "paragraph_id", "kind", "w_id", "author", F.length("text").alias("n_chars"), "revision_key")
 
 
 @query
 def package_settled(spark, sf_dir):
     """The same parts with all revisions rejected, as their bytes' hash."""
-    nested = N.nest(N.tokens(conversation_parts(spark, sf_dir), N.KEYS, "xml"), N.KEYS)
-    return docx.joined_parts(docx.settled_tokens(nested, False)).select("doc_id", F.sha2("content", 256).alias("sha256"))
+    return docx.joined_parts(docx.settled_tokens(_conversation_tokens(spark, sf_dir), False)).select("doc_id", F.sha2("content", 256).alias("sha256"))
+
+
+BY = ["doc_id", "part", "paragraph_id"]
+
+
+def _conversation_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, units) of the parts made of conversations."""
+    found = written(_conversation_nodes(spark, sf_dir)[1], "part-nodes")
+    return found, written(units.units(found, BY), "part-units")
+
+
+@query
+def edit_projection(spark, sf_dir):
+    """Editable body of every paragraph, with placeholders."""
+    return units.edit_bodies(_conversation_units(spark, sf_dir)[1], BY).select("doc_id", "paragraph_id", "body")
+
+
+@query
+def units_round_trip(spark, sf_dir):
+    """Nodes to units, to the edit projection, back to units and to nodes; of each node its place, kind and text."""
+    nodes, base = _conversation_units(spark, sf_dir)
+    read, _ = units.read_bodies(written(units.edit_bodies(base, BY), "bodies"), BY)
+    styled = read.drop("style", "node").join(base.select(*BY, "pos", "style", "node"), [*BY, "pos"])
+    rows = units.rebuilt(styled, nodes, BY)
+    place = F.row_number().over(Window.partitionBy("doc_id", "paragraph_id").orderBy("order")) - 1
+    return rows.select("doc_id", "paragraph_id", place.alias("place"), "cls", "kind", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query
+def sync_plan(spark, sf_dir):
+    """Every paragraph's draft says its role in capitals: hunks of the plan, direct or, in every second conversation, tracked."""
+    nodes, base = _conversation_units(spark, sf_dir)
+    bodies = units.edit_bodies(base, BY)
+    role = F.regexp_extract("body", "^(user|assistant)", 1)
+    drafts = bodies.withColumn("body", F.when(role != "", F.concat(F.upper(role), F.expr("substring(body, length(regexp_extract(body, '^(user|assistant)', 1)) + 1)"))).otherwise(F.col("body")))
+    mode = F.when(F.col("doc_id").cast("long") % 2 == 0, "direct").otherwise("track")
+    opaque = nodes.groupBy(*BY).agg(F.bool_or(F.col("cls") == "opaque").alias("has_opaque"))
+    paragraphs = opaque.select(*BY, mode.alias("mode"), "has_opaque", F.lit("s_none").alias("insertion_style"))
+    read = written(units.read_bodies(written(drafts, "drafts"), BY)[0], "draft-units")
+    hunks, _ = align.plan_hunks(base, read, paragraphs, BY)
+    return hunks.select("doc_id", "paragraph_id", "hunk", "mode", "operation", "i1", "i2", "removed", "inserted", "assigned_style", "reason", "code")
 
 
 _TOKEN = N.HTML_TOKEN.replace("'", "''")
@@ -125,4 +175,14 @@ ORACLES = {
         '{_PART}|' || CASE role WHEN 'user' THEN 'insert' ELSE 'delete' END || '|' || turn || '|' || substr(sha256(text), 1, 12) AS revision_key FROM t WHERE role IN ('user', 'assistant')""",
     "package_settled": f"""WITH {_TURNS}, p AS (SELECT doc_id, turn, '<w:r><w:t>' || {_ESCAPED.format('text')} || '</w:t></w:r>' AS r, '<w:r><w:t>' || role || '</w:t></w:r>' AS head, role FROM t)
         SELECT doc_id, sha256('<w:document><w:body>' || string_agg('<w:p>' || head || CASE role WHEN 'user' THEN '' WHEN 'assistant' THEN r ELSE '<w:r><w:pict><w:txbxContent><w:p>' || r || '</w:p></w:txbxContent></w:pict></w:r>' END || '</w:p>', '' ORDER BY turn) || '</w:body></w:document>') AS sha256 FROM p GROUP BY doc_id""",
+    "edit_projection": f"""WITH {_TURNS}, n AS (SELECT *, sum(CASE role WHEN 'user' THEN 14 WHEN 'assistant' THEN 14 ELSE 20 END + CASE WHEN text = '' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY turn) AS upto FROM t)
+        SELECT doc_id, 'P' || k AS paragraph_id, role || CASE role WHEN 'user' THEN '⟦insert id="N' || w || '" kind="insert" w:author="user" w:id="' || turn || '"⟧' || text || '⟦/insert id="N' || w || '"⟧'
+        WHEN 'assistant' THEN '⟦revision-gap id="N' || w || '" kind="delete"⟧' ELSE '⟦token id="N' || w || '" kind="unsupported-run" tag="w:pict"⟧' END AS body
+        FROM (SELECT *, 2 + upto - CASE role WHEN 'user' THEN 14 WHEN 'assistant' THEN 14 ELSE 20 END - CASE WHEN text = '' THEN -1 ELSE 0 END + 6 AS w FROM n) UNION ALL SELECT doc_id, 'B' || b || '.P0', text FROM t WHERE role NOT IN ('user', 'assistant') AND text <> ''""",
+    "units_round_trip": f"""WITH {_TURNS} SELECT doc_id, 'P' || k AS paragraph_id, p AS place, CASE p WHEN 0 THEN 'text' WHEN 2 THEN 'text' ELSE CASE WHEN role IN ('user', 'assistant') THEN 'revision' ELSE 'opaque' END END AS cls,
+        CASE WHEN p IN (0, 2) THEN 'text' WHEN role = 'user' THEN 'insert' WHEN role = 'assistant' THEN 'delete' ELSE 'unsupported-run' END AS kind, CASE p WHEN 0 THEN role WHEN 2 THEN text ELSE '' END AS text
+        FROM t, (VALUES (0), (1), (2)) AS x(p) WHERE p < 2 OR (role IN ('user', 'assistant') AND text <> '') UNION ALL SELECT doc_id, 'B' || b || '.P0', 0, 'text', 'text', text FROM t WHERE role NOT IN ('user', 'assistant') AND text <> ''""",
+    # "user" and "USER" have no letter in common, nor have "assistant" and "ASSISTANT"
+    "sync_plan": f"""WITH {_TURNS} SELECT doc_id, 'P' || k AS paragraph_id, 0 AS hunk, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN 'direct' ELSE 'track' END AS mode, 'replace' AS operation, 0 AS i1, CAST(length(role) AS INTEGER) AS i2, role AS removed, upper(role) AS inserted,
+        's_' || substr(sha256('{N.PLAIN}'), 1, 16) AS assigned_style, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN 'single-region-inheritance' ELSE 'tracked-revision-mapping' END AS reason, CAST(NULL AS VARCHAR) AS code FROM t WHERE role IN ('user', 'assistant')""",
 }

@@ -2,34 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import clusters
-from folioforge.operators import diff, grid, normalize, paragraphs, revisions, validate
+from folioforge.operators import grid, nodes, normalize, paragraphs, revisions, validate
 from folioforge.plans.queries import QUERIES
 from folioforge.streaming import review
 
 
-def test_clusters():
-    assert clusters("éa\r\nb") == ["é", "a", "\r\n", "b"]
-    assert len(clusters("\U0001f1e9\U0001f1ea\U0001f1eb\U0001f1f7")) == 2
-    assert len(clusters("\U0001f44d\U0001f3fd")) == 2 and len(clusters("\U0001f468‍\U0001f469")) == 1
-
-
-def test_hunks_rebuild_the_text():
-    for a, b in [("", "x"), ("abc", ""), ("one two three", "one 2 three four"), ("éx", "ex")]:
-        out, at = "", 0
-        for h in diff.hunks(a, b):
-            out, at = out + a[at : h["i1"]] + h["inserted"], h["i2"]
-        assert out + a[at:] == b
-
-
-def test_style_ownership(spark):
-    pairs = spark.createDataFrame([("p", "plain bold", "plain, bolder"), ("q", "plain bold", "plXXold")], "id string, before string, after string")
-    regions = spark.createDataFrame([(i, s, e, x) for i in "pq" for s, e, x in [(0, 6, "n"), (6, 10, "b")]], "id string, start int, stop int, style string")
-    got = diff.assign_styles(diff.sync_diff(pairs), regions).orderBy("id", "hunk").collect()
-    assert [r.assigned_style for r in got if r.id == "p"] == ["n", "b"]
-    assert [r.warning for r in got if r.id == "q"] == ["mixed-replacement-requires-unchanged-text"]
-
-
 def cells(spark):
     return spark.createDataFrame([(t, r, c, 10.0 * r + c, 1) for t in (1, 2) for r in range(3) for c in range(3)], "t long, r int, c int, value double, span int")
 
@@ -70,10 +47,10 @@ def test_conversion_to_longer_targets(spark):
     assert got == {1: ("1/4 of ½1/2", 3), 3: ("", 0)}
 
 
-def test_numeric_character_references():
-    from folioforge.sources.docx import unescape
-
-    assert unescape(b"H&#x2082;O &#233;&amp;#65; &lt;") == "H₂O é&#65; <"
+def test_character_references(spark):
+    texts = {"H&#x2082;O &#233;&amp;#65; &lt;": ("H₂O é&#65; <", False), "&#9999999;&#xFFFFFFFFFF;&#xD800;": ("�" * 3, True), "&#x1F600;&nbsp;&# &": ("😀&nbsp;&# &", False), "": ("", False), None: (None, None)}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nodes.unescaped(F.col("t")), nodes.bad_reference(F.col("t")))
+    assert {r[0]: (r[1], r[2]) for r in df.collect()} == texts
 
 
 def test_fnv1a(spark):
