@@ -17,7 +17,8 @@ from .nodes import unescaped, with_chain
 # Approximate grapheme clusters.  CR LF, pairs of regional indicators, marks after
 # anything, and whatever a zero-width joiner touches stay together.
 _ONE = r"\r\n|[\x{1F1E6}-\x{1F1FF}]{2}|(?s:.)"
-CLUSTER = rf"(?:{_ONE})(?:\p{{M}}+|\x{{200D}}+(?:{_ONE})?)*"
+_JOINED = rf"\x{{200D}}+(?:{_ONE})?"
+CLUSTER = rf"(?:{_JOINED}|{_ONE})(?:\p{{M}}+|{_JOINED})*"
 # Placeholder brackets and their escapes in prose.
 START, END = "⟦", "⟧"
 LAST = 2**31 - 1
@@ -146,10 +147,10 @@ def read_bodies(bodies: DataFrame, by: list[str], depth: int | None = None) -> t
     rows = rows.withColumn("pairs", F.when(held, F.array_sort(pairs)).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
     keys = F.transform("pairs", lambda x: x["key"])
     left = F.regexp_replace(F.regexp_replace(piece, r'[^\s=⟦⟧"]+="[^"]*"', ""), r"\s", "")
-    rows = rows.withColumn("id", F.get(F.filter("pairs", lambda x: x["key"] == "id"), F.lit(0))["value"]).withColumn("name", F.coalesce(F.create_map(*[F.lit(x) for a, b in _OPENERS.items() for x in (b, a)])[F.col("keyword")], "keyword", F.lit("")))
+    rows = rows.withColumn("_id", F.get(F.filter("pairs", lambda x: x["key"] == "id"), F.lit(0))["value"]).withColumn("name", F.coalesce(F.create_map(*[F.lit(x) for a, b in _OPENERS.items() for x in (b, a)])[F.col("keyword")], "keyword", F.lit("")))
     opens, closes = F.col("keyword").isin(*_OPENERS), F.col("keyword").isin(*_OPENERS.values())
     rows = rows.withColumn("kind", F.when(opens, "open").when(closes, "close").otherwise("other"))
-    rows = with_chain(rows, by, None, F.struct("seq", "name", "id", "keyword"), depth)
+    rows = with_chain(rows, by, None, F.struct("seq", "name", F.col("_id").alias("id"), "keyword"), depth)
     # what a closing placeholder would close: the last one that was open before it
     before = F.lag("chain").over(Window.partitionBy(*by).orderBy("seq"))
     closed = F.try_element_at(F.coalesce(before, F.array()), F.lit(-1))
@@ -161,7 +162,7 @@ def read_bodies(bodies: DataFrame, by: list[str], depth: int | None = None) -> t
         F.when(~held & ~piece.rlike(f"^{_PROSE}$"), "unescaped").when(held & needed.isNull(), "unknown-placeholder")
         .when(held & (F.size(F.array_except(needed, keys)) > 0) | held & empty, "incomplete-placeholder").when(held & F.col("keyword").isin(*_CLOSED) & (F.size(F.array_except(keys, needed)) > 0), "unknown-attribute")
         .when(held & (left != F.concat(F.lit(START), "keyword", F.lit(END))), "unknown-attribute").when((F.col("keyword") == "revision-gap") & ~kinds.isin("delete", "move_from"), "wrong-kind")
-        .when(closes & ~(F.col("_closed.id").eqNullSafe(F.col("id")) & F.col("_closed.name").eqNullSafe(F.col("name"))), "mismatched-placeholder").when(opens & F.exists("_open", lambda x: x["seq"] == F.col("seq")), "unclosed-placeholder")
+        .when(closes & ~(F.col("_closed.id").eqNullSafe(F.col("_id")) & F.col("_closed.name").eqNullSafe(F.col("name"))), "mismatched-placeholder").when(opens & F.exists("_open", lambda x: x["seq"] == F.col("seq")), "unclosed-placeholder")
     )
     rows = rows.withColumn("wrong", wrong)
     bad = rows.where("wrong IS NOT NULL").select(*by, F.lit("edit-grammar-invalid").alias("code"), F.col("wrong").alias("detail"))
@@ -172,6 +173,6 @@ def read_bodies(bodies: DataFrame, by: list[str], depth: int | None = None) -> t
     made = F.when(opens, F.array(unit(said, "start"))).when(closes, F.array(unit(said, "end"))).when(F.col("keyword") == "revision-gap", F.array(unit(said, "gap"))).when(held, F.array(unit(said, "token"))).otherwise(F.transform(clusters(plain), lambda c: unit(c, "text")))
     around = F.when(opens, F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0)))).otherwise(F.col("chain"))
     good = rows.join(bad.select(*by).distinct(), by, "left_anti").withColumn("around", around)
-    good = good.select(*by, "seq", F.transform("around", lambda x: F.substring(x["id"], 2, 12).try_cast("int")).alias("wrappers"), F.exists("around", lambda x: x["keyword"] != "range-start").alias("in_revision"), F.substring("id", 2, 12).try_cast("int").alias("node"), F.posexplode(made).alias("k", "u"))
+    good = good.select(*by, "seq", F.transform("around", lambda x: F.substring(x["id"], 2, 12).try_cast("int")).alias("wrappers"), F.exists("around", lambda x: x["keyword"] != "range-start").alias("in_revision"), F.substring("_id", 2, 12).try_cast("int").alias("node"), F.posexplode(made).alias("k", "u"))
     pos = F.row_number().over(Window.partitionBy(*by).orderBy("seq", "k")) - 1
     return good.select(*by, pos.alias("pos"), F.col("u.value").alias("value"), (F.col("u.role") != "text").alias("is_token"), F.lit(None).cast("string").alias("style"), "wrappers", "in_revision", "node", F.col("u.role").alias("role")), bad

@@ -72,8 +72,8 @@ def containment(points: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def fnv1a_utf16(text: Column) -> Column:
     """FNV-1a over UTF-16 code units (little-endian bytes taken in pairs), as eight hex digits."""
-    raw = F.hex(F.encode(text, "UTF-16LE"))
-    units = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) * 0 + (F.length(raw) / 4).cast("int") - 1, F.lit(0))), lambda i: F.conv(F.concat(F.substring(raw, i * 4 + 3, F.lit(2)), F.substring(raw, i * 4 + 1, F.lit(2))), 16, 10).cast("bigint"))
+    raw = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16LE")), F.lit("(..)(..)"), F.lit(0))
+    units = F.transform(raw, lambda x: F.conv(F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2)), 16, 10).cast("bigint"))
     step = lambda acc, u: F.pmod(acc.bitwiseXOR(u) * F.lit(16777619), F.lit(4294967296))
     return F.when(F.length(text) == 0, F.lit("811c9dc5")).otherwise(F.lpad(F.lower(F.hex(F.aggregate(units, F.lit(2166136261).cast("bigint"), step))), 8, "0"))
 

@@ -106,7 +106,7 @@ ORACLES = {
     "recovery_decision": """SELECT o_orderkey AS tx, o_orderkey % 3 AS current, o_orderkey % 2 AS prepared, CAST(2 AS BIGINT) AS parent,
         CASE WHEN o_orderkey % 3 = o_orderkey % 2 THEN 'forward' WHEN o_orderkey % 3 = 2 THEN 'back' ELSE 'needs-recovery' END AS decision FROM orders""",
     "sync_splice": """SELECT id, after AS text FROM (SELECT conv_id || '-' || role || '-' || turn AS id, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before, text AS after FROM conversations) WHERE before IS NOT NULL AND after IS NOT NULL""",
-    "grapheme_count": r"""SELECT conv_id, turn, CAST(len(regexp_extract_all(coalesce(text, ''), '(?:\r\n|[\x{1F1E6}-\x{1F1FF}]{2}|(?s:.))(?:\p{M}+|\x{200D}+(?:\r\n|[\x{1F1E6}-\x{1F1FF}]{2}|(?s:.))?)*')) AS INTEGER) AS n_units FROM conversations""",
+    "grapheme_count": r"""SELECT conv_id, turn, CAST(len(regexp_extract_all(coalesce(text, ''), '(?:\x{200D}+(?:\r\n|[\x{1F1E6}-\x{1F1FF}]{2}|(?s:.))?|\r\n|[\x{1F1E6}-\x{1F1FF}]{2}|(?s:.))(?:\p{M}+|\x{200D}+(?:\r\n|[\x{1F1E6}-\x{1F1FF}]{2}|(?s:.))?)*')) AS INTEGER) AS n_units FROM conversations""",
     "utf16_fnv1a": """WITH u AS (SELECT item_id, flatten(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) < 65536 THEN [unicode(c)] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END)) AS units FROM benchmark WHERE text IS NOT NULL)
         SELECT item_id, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(units, lambda x: x::BIGINT)), lambda a, x: (xor(a, x) * 16777619) % 4294967296))), 8, '0') AS fingerprint FROM u UNION ALL SELECT item_id, NULL FROM benchmark WHERE text IS NULL""",
     "resource_violations": f"""WITH s AS (SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(length(p)) AS BIGINT) AS n_chars, max(length(p)) AS longest FROM {PARAGRAPHS} GROUP BY doc_id)
@@ -127,6 +127,7 @@ ORACLES = {
         SELECT a.page_id AS g, a.seq AS at, p.seq AS start, CAST(p.stop AS INTEGER) AS stop, p.seq AS id FROM t a JOIN p ON a.page_id = p.page_id AND p.seq <= a.seq AND a.seq < p.stop WHERE a.name IN ('b', 'br') AND NOT a.closing""",
 }
 
+from .review import ORACLES as _REVIEW  # noqa: E402
 from .structure import ORACLES as _STRUCTURE  # noqa: E402
 
-ORACLES.update(_STRUCTURE)
+ORACLES.update(_STRUCTURE | _REVIEW)

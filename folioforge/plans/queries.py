@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import align, chain, events, grid, markup, normalize, paragraphs, revisions, units, validate
-from ..sources.tables import conversation_nodes, label_decisions, order_cells, table
+from ..sources.tables import conversation_nodes, draft_pairs, label_decisions, order_cells, table
 
 QUERIES: dict = {}
 #: Limits of the resource query (characters, paragraphs, longest paragraph).
@@ -312,13 +312,6 @@ def box_containment(spark, sf_dir):
     return validate.containment(points, ranges)
 
 
-def draft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns of one role in a conversation as drafts of one paragraph (id, before, after)."""
-    rows = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    return rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), "role", F.col("turn").cast("string")).alias("id"), F.lag("text").over(w).alias("before"), F.col("text").alias("after"))
-
-
 @query
 def sync_diff(spark, sf_dir):
     """Hunks between drafts."""
@@ -341,6 +334,6 @@ def grapheme_count(spark, sf_dir):
 def utf16_fnv1a(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", validate.fnv1a_utf16(F.col("text")).alias("fingerprint"))
 
-from . import structure  # noqa: E402
+from . import review, structure  # noqa: E402
 
-QUERIES.update(structure.QUERIES)
+QUERIES.update(structure.QUERIES | review.QUERIES)

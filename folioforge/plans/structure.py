@@ -67,7 +67,7 @@ def _conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.nest(N.tokens(conversation_parts(spark, sf_dir), N.KEYS, "xml"), N.KEYS)
 
 
-def _conversation_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def conversation_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(paragraphs, nodes) of the parts made of conversations."""
     nested = written(_conversation_tokens(spark, sf_dir), "part-tokens")
     found = written(N.word_paragraphs(nested), "part-paragraphs")
@@ -77,13 +77,13 @@ def _conversation_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 @query
 def package_paragraphs(spark, sf_dir):
     """Paragraphs of word parts made of conversations: addresses, text boxes and both views."""
-    return N.word_views(*_conversation_nodes(spark, sf_dir)).select("doc_id", "paragraph_id", "final_text", "original_text", "n_revisions", "has_opaque")
+    return N.word_views(*conversation_nodes(spark, sf_dir)).select("doc_id", "paragraph_id", "final_text", "original_text", "n_revisions", "has_opaque")
 
 
 @query
 def package_revisions(spark, sf_dir):
     """Revision inventory of the same parts."""
-    rows = N.word_revisions(written(_conversation_nodes(spark, sf_dir)[1], "part-nodes"))
+    rows = N.word_revisions(written(conversation_nodes(spark, sf_dir)[1], "part-nodes"))
     return rows.select("doc_id", "paragraph_id", "kind", "w_id", "author", F.length("text").alias("n_chars"), "revision_key")
 
 
@@ -98,7 +98,7 @@ BY = ["doc_id", "part", "paragraph_id"]
 
 def _conversation_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, units) of the parts made of conversations."""
-    found = written(_conversation_nodes(spark, sf_dir)[1], "part-nodes")
+    found = written(conversation_nodes(spark, sf_dir)[1], "part-nodes")
     return found, written(units.units(found, BY), "part-units")
 
 
