@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import ENCODE_BYTES, default_vocabulary, shared_library_encoder
-from .common import bounded_batches, materialize, one_operator, text_bytes
+from .bytebpe import default_vocabulary, shared_library_encoder
+from .common import BATCH_BYTES, bounded_batches, materialize, one_operator, text_bytes
 
 CAPACITY, END_ID = 1024, 2
 
@@ -153,7 +153,7 @@ def _place_batches(plan: dict[int, np.ndarray]):
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = bounded_batches(docs, ENCODE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+    rows = bounded_batches(docs, BATCH_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local_rank long"
     pieces = materialize(rows.mapInArrow(_piece_batches(tokenizer or default_vocabulary(), capacity, end_id), schema), "pieces")
     # rank of a piece among those of its length: how many the earlier parts hold, plus its place in its own part
