@@ -35,16 +35,18 @@ def vertical_catalog() -> list[tuple[str, str, str]]:
 def candidate_scan(docs: DataFrame, catalog: list[tuple[str, str, str]], doc_id: str = "doc_id", text: str = "text", around: int = 12) -> DataFrame:
     """Every catalogued character: occurrence id, offset, target, class and context.
 
-    One pass over the characters gives the offsets of a text's candidates.  Only
-    the candidates, with their short contexts, move for their numbering, which
-    goes on over repeated rows of a doc_id.
+    One pass over the characters of a text gives its candidates with their short
+    contexts, cut from the array of characters, so the time grows with the text.
+    Only candidates move for their numbering, which goes on over repeated rows of a
+    doc_id.
     """
     known = docs.sparkSession.createDataFrame(catalog, "source string, target string, class string")
     sources = [s for s, _, _ in catalog]
-    offsets = F.array_compact(F.transform(F.split(F.col(text), ""), lambda c, i: F.when(c.isin(sources), i)))
-    rows = docs.where(F.col(text).rlike("[" + "".join(sources) + "]")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("whole"), F.explode(offsets).alias("offset"))
-    context = F.substring("whole", F.greatest(F.col("offset") - around, F.lit(0)) + 1, F.least(F.col("offset"), F.lit(around)) + around + 1)
-    rows = rows.select("doc_id", "offset", F.substring("whole", F.col("offset") + 1, F.lit(1)).alias("source"), context.alias("context"))
+    # the characters are a column of their own: inside the lambda they would be made again for every candidate
+    rows = docs.where(F.col(text).rlike("[" + "".join(sources) + "]")).select(F.col(doc_id).alias("doc_id"), F.split(F.col(text), "").alias("chars"))
+    context = lambda i: F.array_join(F.slice("chars", F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1), "")
+    found = F.array_compact(F.transform("chars", lambda c, i: F.when(c.isin(sources), F.struct(i.alias("offset"), c.alias("source"), context(i).alias("context")))))
+    rows = rows.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
     hits = rows.join(F.broadcast(known), "source")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("offset")).cast("string")
     number = F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))  # lpad alone would cut longer numbers
