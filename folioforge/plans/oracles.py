@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.normalize import APPROVED, accent_catalog
+from .fragments import CANDIDATES
 
 COMMENT, OPAQUE, TAG = r"(?s)<!--.*?-->", r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", r"</?[A-Za-z][A-Za-z0-9:]*[^<>]*>"
 LINK = r"(?is)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>".replace("\\\"", '"')
@@ -24,12 +25,7 @@ CELLS = """(SELECT l_orderkey AS t, r, c, CASE c WHEN 0 THEN l_quantity WHEN 1 T
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) - 1 AS INTEGER) AS r FROM lineitem),
   (VALUES (0), (1), (2)) AS k(c))"""
 DECISIONS = "(SELECT doc_id AS item_id, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'defer' END AS decision FROM labels)"
-CATALOG = "(VALUES " + ", ".join(f"('{s}', '{t}', '{c}')" for s, t, c in accent_catalog()) + ") AS k(source, target, class)"
 EASY = [(s, t) for s, t, c in accent_catalog() if c == APPROVED]
-CANDIDATES = f"""(SELECT doc_id, 'V' || format('{{:05d}}', row_number() OVER (PARTITION BY doc_id ORDER BY off)) AS occurrence_id, off AS "offset", source, target, class,
-  substr(text, greatest(off - 12, 0) + 1, least(off, 12) + 13) AS context
-  FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS ch, CAST(unnest(range(length(text))) AS INTEGER) AS off FROM documents WHERE text <> '') x JOIN {CATALOG} ON ch = source)"""
-
 
 def grid_sql(select: str) -> str:
     return f"WITH cells AS (SELECT * FROM {CELLS}) {select}"
@@ -127,7 +123,8 @@ ORACLES = {
         SELECT a.page_id AS g, a.seq AS at, p.seq AS start, CAST(p.stop AS INTEGER) AS stop, p.seq AS id FROM t a JOIN p ON a.page_id = p.page_id AND p.seq <= a.seq AND a.seq < p.stop WHERE a.name IN ('b', 'br') AND NOT a.closing""",
 }
 
+from .governance import ORACLES as _GOVERNANCE  # noqa: E402
 from .review import ORACLES as _REVIEW  # noqa: E402
 from .structure import ORACLES as _STRUCTURE  # noqa: E402
 
-ORACLES.update(_STRUCTURE | _REVIEW)
+ORACLES.update(_STRUCTURE | _REVIEW | _GOVERNANCE)
