@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,36 @@ def ledger_replay(calls: DataFrame, order: list[str]) -> DataFrame:
     return got.withColumn("code", F.when(F.col("inputs") > 1, "operation-id-reused").when(F.col("calls") > 1, "replayed").otherwise("recorded"))
 
 
-def journal(records: DataFrame, group: str, order: list[str], payload: str) -> DataFrame:
-    """Each record with its own hash and the hash of the one before (64 zeros at the start)."""
-    own = F.sha2(F.col(payload).cast("binary"), 256)
-    w = Window.partitionBy(group).orderBy(*order)
-    return records.withColumn("record_sha", own).withColumn("prev_sha", F.coalesce(F.lag("record_sha").over(w), F.lit("0" * 64)))
+ZEROS = "0" * 64  # fixed value: what the first record names as the one before
+
+
+def record_sha(payload: Column, prev: Column) -> Column:
+    """Hash of a record's content together with the hash of the record before."""
+    return F.sha2(F.concat(prev, F.lit("|"), payload).cast("binary"), 256)
+
+
+def journal(records: DataFrame, group: str, order: str, payload: str) -> DataFrame:
+    """Records with record_sha and prev_sha: every hash covers the one before, so a change shows in all that follow.
+
+    A journal (the records of one group) is folded in order as one array.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(payload).alias("payload"))))
+    kind = records.schema[order].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<{order}:{kind},prev_sha:string,record_sha:string>>")
+
+    def add(done: Column, x: Column) -> Column:
+        prev = F.coalesce(F.try_element_at(done, F.lit(-1))["record_sha"], F.lit(ZEROS))
+        return F.concat(done, F.array(F.struct(x[order].alias(order), prev.alias("prev_sha"), record_sha(x["payload"], prev).alias("record_sha"))))
+
+    return records.groupBy(group).agg(F.aggregate(rows, empty, add).alias("r")).select(group, F.explode("r").alias("r")).select(group, "r.*")
+
+
+def journal_violations(records: DataFrame, group: str, order: str, payload: str) -> DataFrame:
+    """(group, order, code) of written records: record-hash-mismatch, and chain-broken where a record names another one before it."""
+    before = F.lag("record_sha").over(Window.partitionBy(group).orderBy(order))
+    rows = records.withColumn("before", before)
+    code = F.when(F.col("record_sha") != record_sha(F.col(payload), F.col("prev_sha")), "record-hash-mismatch").when(F.col("prev_sha") != F.coalesce("before", F.lit(ZEROS)), "chain-broken")
+    return rows.withColumn("code", code).where("code IS NOT NULL").select(group, order, "code")
 
 
 def recovery(pointers: DataFrame) -> DataFrame:

@@ -76,11 +76,19 @@ def settle_some(nodes: DataFrame, decisions: DataFrame) -> DataFrame:
     return kept.withColumn("kind", F.when(F.coalesce(done, F.lit(False)), F.lit("text")).otherwise(F.col("kind"))).drop("decision")
 
 
-def base_style(nodes: DataFrame) -> DataFrame:
-    """Style with the most visible characters per paragraph, ties to the first seen."""
-    sums = nodes.groupBy("paragraph_id", "style").agg(F.sum(F.length("text")).alias("chars"), F.min("ord").alias("first"))
-    best = F.max_by("style", F.struct(F.col("chars"), -F.col("first")))
-    return sums.groupBy("paragraph_id").agg(best.alias("base_style"), F.max("chars").alias("base_chars"))
+def base_style(nodes: DataFrame, document: str = "document") -> DataFrame:
+    """(document, paragraph_id, base_style, base_chars, visible_chars): style with the most characters of the final view, ties to the first seen.
+
+    Deleted text doesn't count, inserted text does.  A paragraph without such text has
+    the base style of the one before it in its document, the first ones Normal.
+    visible_chars is the text outside all revisions.
+    """
+    shown = F.col("kind").isin("text", *ADDED)
+    sums = nodes.groupBy(document, "paragraph_id", "style").agg(F.sum(F.when(shown, F.length("text"))).alias("chars"), F.min(F.when(shown, F.col("ord"))).alias("first"), F.sum(F.when(F.col("kind") == "text", F.length("text")).otherwise(0)).alias("plain"))
+    best = F.max_by("style", F.when(F.col("first").isNotNull(), F.struct(F.col("chars"), -F.col("first"))))
+    rows = sums.groupBy(document, "paragraph_id").agg(best.alias("own"), F.coalesce(F.max("chars"), F.lit(0)).alias("base_chars"), F.sum("plain").alias("visible_chars"))
+    carried = F.last("own", ignorenulls=True).over(Window.partitionBy(document).orderBy("paragraph_id"))
+    return rows.select(document, "paragraph_id", F.coalesce(carried, F.lit("Normal")).alias("base_style"), "base_chars", "visible_chars")
 
 
 def style_regions(nodes: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ CELLS = """(SELECT l_orderkey AS t, r, c, CASE c WHEN 0 THEN l_quantity WHEN 1 T
 DECISIONS = "(SELECT doc_id AS item_id, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'defer' END AS decision FROM labels)"
 EASY = [(s, t) for s, t, c in accent_catalog() if c == APPROVED]
 
+JOURNAL = """o AS (SELECT user_id, event_id, event_id || '|' || event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  j AS (SELECT user_id, event_id, k, repeat('0', 64) AS prev_sha, sha256(repeat('0', 64) || '|' || payload) AS record_sha FROM o WHERE k = 1
+        UNION ALL SELECT o.user_id, o.event_id, o.k, j.record_sha, sha256(j.record_sha || '|' || o.payload) FROM o JOIN j ON o.user_id = j.user_id AND o.k = j.k + 1)"""
+
+
 def grid_sql(select: str) -> str:
     return f"WITH cells AS (SELECT * FROM {CELLS}) {select}"
 
@@ -62,8 +67,11 @@ ORACLES = {
     "reject_all": f"SELECT paragraph_id, ord, 'text' AS kind, style, text FROM {NODES} WHERE kind <> 'insert'",
     "settle_some": f"""SELECT paragraph_id, ord, CASE WHEN ord % 5 = 0 OR ord % 2 = 0 THEN 'text' ELSE kind END AS kind, style, text FROM {NODES}
         WHERE NOT (kind = 'insert' AND ord % 5 = 0) AND NOT (kind = 'delete' AND ord % 5 <> 0 AND ord % 2 = 0)""",
-    "style_weighted_mode": f"""SELECT paragraph_id, arg_max(style, (chars, -first)) AS base_style, max(chars) AS base_chars
-        FROM (SELECT paragraph_id, style, CAST(sum(length(text)) AS BIGINT) AS chars, min(ord) AS first FROM {NODES} GROUP BY ALL) GROUP BY paragraph_id""",
+    "style_weighted_mode": f"""WITH n AS (SELECT paragraph_id // 10 AS document, *, kind <> 'delete' AS shown FROM {NODES}),
+        c AS (SELECT document, paragraph_id, style, CAST(sum(length(text)) AS BIGINT) AS chars, min(ord) AS first FROM n WHERE shown GROUP BY ALL),
+        b AS (SELECT document, paragraph_id, arg_max(style, (chars, -first)) AS own, max(chars) AS chars FROM c GROUP BY ALL),
+        p AS (SELECT document, paragraph_id, CAST(sum(CASE WHEN kind = 'text' THEN length(text) ELSE 0 END) AS BIGINT) AS visible_chars FROM n GROUP BY ALL)
+        SELECT p.document, p.paragraph_id, coalesce((SELECT arg_max(x.own, x.paragraph_id) FROM b x WHERE x.document = p.document AND x.paragraph_id <= p.paragraph_id), 'Normal') AS base_style, coalesce(b.chars, 0) AS base_chars, visible_chars FROM p LEFT JOIN b USING (document, paragraph_id)""",
     "style_regions": f"""WITH s AS (SELECT *, CASE WHEN style IS NOT DISTINCT FROM lag(style) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM {NODES} WINDOW w AS (PARTITION BY paragraph_id ORDER BY ord)),
         g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY paragraph_id ORDER BY ord) - 1 AS BIGINT) AS region FROM s)
         SELECT paragraph_id, region, min(style) AS style, min(ord) AS first_ord, count(*) AS n_nodes, string_agg(text, '' ORDER BY ord) AS text FROM g GROUP BY paragraph_id, region""",
@@ -97,8 +105,12 @@ ORACLES = {
     "ledger_replay": """WITH c AS (SELECT user_id || '-' || event_type AS op_id, sha256(CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR)) AS input_sha, event_id FROM events)
         SELECT op_id, count(*) AS calls, count(DISTINCT input_sha) AS inputs, arg_min(input_sha, event_id) AS kept_input,
         CASE WHEN count(DISTINCT input_sha) > 1 THEN 'operation-id-reused' WHEN count(*) > 1 THEN 'replayed' ELSE 'recorded' END AS code FROM c GROUP BY op_id""",
-    "journal_chain": """WITH r AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type) AS record_sha FROM events)
-        SELECT *, coalesce(lag(record_sha) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS prev_sha FROM r""",
+    "journal_chain": f"WITH RECURSIVE {JOURNAL} SELECT user_id, event_id, record_sha, prev_sha FROM j",
+    "journal_check": f"""WITH RECURSIVE {JOURNAL}, left_ AS (SELECT *, lag(record_sha) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM j WHERE event_id % 90 <> 1)
+        SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN 'record-hash-mismatch' ELSE 'chain-broken' END AS code FROM left_ WHERE event_id % 50 = 0 OR prev_sha <> coalesce(before, repeat('0', 64))""",
+    "event_drafts": """WITH e AS (SELECT *, (SELECT count(*) FROM events p WHERE p.user_id = x.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) < (x.ts, x.event_id)) AS draft FROM events x)
+        SELECT user_id, draft, arg_min(event_id, (ts, event_id)) FILTER (event_type <> 'purchase') AS event_id, count(*) FILTER (event_type <> 'purchase') AS n_writes, bool_or(event_type = 'purchase') AS sent,
+        arg_max(event_type, (ts, event_id)) FILTER (event_type <> 'purchase') AS event_type, arg_max(value, (ts, event_id)) FILTER (event_type <> 'purchase') AS value FROM e GROUP BY user_id, draft HAVING count(*) FILTER (event_type <> 'purchase') > 0""",
     "recovery_decision": """SELECT o_orderkey AS tx, o_orderkey % 3 AS current, o_orderkey % 2 AS prepared, CAST(2 AS BIGINT) AS parent,
         CASE WHEN o_orderkey % 3 = o_orderkey % 2 THEN 'forward' WHEN o_orderkey % 3 = 2 THEN 'back' ELSE 'needs-recovery' END AS decision FROM orders""",
     "sync_splice": """SELECT id, after AS text FROM (SELECT conv_id || '-' || role || '-' || turn AS id, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before, text AS after FROM conversations) WHERE before IS NOT NULL AND after IS NOT NULL""",

@@ -135,7 +135,9 @@ def settle_some(spark, sf_dir):
 
 @query
 def style_weighted_mode(spark, sf_dir):
-    return revisions.base_style(conversation_nodes(spark, sf_dir))
+    """Conversations in tens as documents, each conversation a paragraph."""
+    nodes = conversation_nodes(spark, sf_dir).withColumn("document", F.floor(F.col("paragraph_id") / 10))
+    return revisions.base_style(nodes)
 
 
 @query
@@ -252,10 +254,30 @@ def ledger_replay(spark, sf_dir):
     return chain.ledger_replay(calls, ["event_id"])
 
 
+def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("payload"))
+    return rows.join(chain.journal(rows, "user_id", "event_id", "payload"), ["user_id", "event_id"])
+
+
 @query
 def journal_chain(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("payload"))
-    return chain.journal(rows, "user_id", ["event_id"], "payload").select("user_id", "event_id", "record_sha", "prev_sha")
+    """Events of a user as a journal of records, each of which covers the one before."""
+    return _journal(spark, sf_dir).select("user_id", "event_id", "record_sha", "prev_sha")
+
+
+@query
+def journal_check(spark, sf_dir):
+    """The same journals after every fiftieth event was altered and every ninetieth was lost."""
+    rows = _journal(spark, sf_dir).where("event_id % 90 <> 1")
+    altered = F.when(F.col("event_id") % 50 == 0, F.concat("payload", F.lit("?"))).otherwise(F.col("payload"))
+    return chain.journal_violations(rows.withColumn("payload", altered), "user_id", "event_id", "payload")
+
+
+@query
+def event_drafts(spark, sf_dir):
+    """Events as writes of drafts by user; a purchase sends the draft off."""
+    rows = events.upserted(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "value"], F.col("event_type") == "purchase")
+    return rows.select("user_id", "draft", "event_id", "n_writes", "sent", "event_type", "value")
 
 
 @query
