@@ -8,8 +8,9 @@ turns negative the step goes against it, so that the fit of U cannot go below
 what the prior allows.
 
 Only training is bounded (MAX_POSITIVE and MAX_UNLABELLED doc_ids, those whose
-hash is least, each with one of its texts); every text is scored, whole, without
-a shuffle.
+hash is least, each with one of its texts); ``fit(max_unlabelled=None)`` reads all
+unlabelled texts, in one pass over their features per step.  Every text is
+scored, whole, without a shuffle.
 
 Defined results: null and empty texts get the score of the bias alone; without a
 confirmed toxic training text every score is 0; labels that are
@@ -114,8 +115,98 @@ class Model:
         return dict(zip(self.at.tolist(), self.values.tolist()))
 
 
-def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
-    """Fit on bounded samples of ``train_docs``; None without a confirmed toxic text among them."""
+def _sums(table: DataFrame, run) -> dict[int, float]:
+    """Numbers by key that tasks emit, added up; combined before they are shuffled."""
+    rows = table.mapInArrow(run, "key int, value double").groupBy("key").agg(F.sum("value").alias("value")).collect()
+    return {r.key: r.value for r in rows}
+
+
+def _keyed(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.float64())], ["key", "value"])
+
+
+def _count_features(batches):
+    counts, n = np.zeros(BUCKETS), 0
+    for batch in batches:
+        counts += np.bincount(np.concatenate([batch.column("features").flatten().to_numpy(), [0]]), minlength=BUCKETS)
+        counts[0] -= 1
+        n += len(batch)
+    at = np.flatnonzero(counts)
+    yield _keyed(np.append(at, -1), np.append(counts[at], n))
+
+
+def train_on_all(positive: list[np.ndarray], unlabelled: DataFrame, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """:func:`train_nnpu` with every row of ``unlabelled(features array<int>)``, a written table.
+
+    A risk step is one pass over the table: tasks add up losses and gradients over
+    the features that tell, which is all that reaches the driver.
+    """
+    spark = unlabelled.sparkSession
+    found = _sums(unlabelled, _count_features)
+    n = int(found.pop(-1, 0))
+    rate = np.zeros(BUCKETS)
+    rate[list(found)] = np.array(list(found.values())) / max(n, 1)
+    in_p = np.bincount(np.concatenate([np.unique(r) for r in positive]), minlength=BUCKETS)
+    expected = len(positive) * rate
+    chosen = (in_p - expected) / np.sqrt(expected + 1) > 4.0
+    sent = spark.sparkContext.broadcast(chosen)
+
+    def narrow(batches):
+        for batch in batches:
+            rows = [r[sent.value[r]] for r in (np.asarray(x, np.int32) for x in batch.column("features").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["features"])
+
+    table = materialize(unlabelled.select("features").mapInArrow(narrow, "features array<int>"), "telling-features")
+    p = SparseRows([r[chosen[r]] for r in positive])
+
+    def of_unlabelled(theta: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        now = spark.sparkContext.broadcast((np.flatnonzero(theta), theta[np.flatnonzero(theta)], bias))
+
+        def run(batches):
+            at, values, b = now.value
+            weights, grad, loss, total = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
+            weights[at] = values
+            for batch in batches:
+                lists = batch.column("features")
+                owner, flat = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+                z = np.bincount(owner, weights[flat], len(batch)) + b
+                g = sigmoid(z)
+                loss, total = loss + np.logaddexp(0, z).sum(), total + g.sum()
+                grad += np.bincount(flat, g[owner], BUCKETS)
+            some = np.flatnonzero(grad)
+            yield _keyed(np.append(some, [-1, -2]), np.append(grad[some], [loss, total]))
+
+        got = _sums(table, run)
+        loss, total = got.pop(-1, 0.0), got.pop(-2, 0.0)
+        grad = np.zeros(BUCKETS)
+        grad[list(got)] = list(got.values())
+        return loss / n, grad / n, total / n
+
+    theta, bias = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
+    m = v = np.zeros(BUCKETS + 1)
+    for step in range(1, epochs + 1):
+        zp = p.scores(theta, bias)
+        loss_u, grad_u, sum_u = of_unlabelled(theta, bias)
+        gp = sigmoid(zp) / len(positive)
+        if loss_u - prior * np.logaddexp(0, zp).mean() >= 0:
+            row_p, sign = prior * ((sigmoid(zp) - 1) / len(positive) - gp), 1
+        else:
+            row_p, sign = prior * gp, -1
+        g = np.append(p.gradient(row_p) + sign * grad_u + DECAY * theta, row_p.sum() + sign * sum_u)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        theta, bias = theta - move[:-1], bias - float(move[-1])
+    return theta, bias
+
+
+def fit(
+    train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_unlabelled: int | None = MAX_UNLABELLED, epochs: int = EPOCHS
+) -> Model | None:
+    """Fit on ``train_docs``; None without a confirmed toxic text among them.
+
+    ``max_unlabelled`` bounds the unlabelled texts; with None all of them count, in
+    one pass over their features per step.
+    """
     known = labels.where(named(label).isin(0, 1)).groupBy(named(doc_id).alias("label_id")).agg(F.max(label).cast("int").alias("label"))
     ids = train_docs.select(named(doc_id).alias("label_id"))
     usable = materialize(ids.join(known, "label_id").distinct(), "toxic-labels")
@@ -124,7 +215,13 @@ def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         return None
     order = [F.xxhash64("label_id"), F.col("label_id")]
     positive = usable.where("label = 1").orderBy(*order).limit(MAX_POSITIVE).select("label_id", F.lit(1).alias("part"))
-    unlabelled = ids.where("label_id IS NOT NULL").distinct().orderBy(*order).limit(MAX_UNLABELLED).select("label_id", F.lit(0).alias("part"))
+    if max_unlabelled is None:
+        texts = train_docs.select(named(doc_id).alias("label_id"), text_bytes(text).alias("raw")).where("label_id IS NOT NULL")
+        every = materialize(bounded_batches(one_text_each(texts, "label_id")).select("raw", "label_id").mapInArrow(_feature_batches, f"features array<int>, label_id {ids.schema['label_id'].dataType.simpleString()}"), "toxic-features")
+        mine = every.join(F.broadcast(positive), "label_id").toArrow().sort_by("label_id").column("features").to_pylist()
+        prior = min(max(n[1] / sum(n.values()), 1e-4), 0.9)
+        return Model(*train_on_all([np.asarray(x, np.int32) for x in mine], every, prior, epochs))
+    unlabelled = ids.where("label_id IS NOT NULL").distinct().orderBy(*order).limit(max_unlabelled).select("label_id", F.lit(0).alias("part"))
     sample = materialize(positive.union(unlabelled), "toxic-sample")
     rows = train_docs.select(named(doc_id).alias("label_id"), text_bytes(text).alias("raw")).join(F.broadcast(sample), "label_id")
     table = one_text_each(rows, "part", "label_id").select("raw", "part", "label_id")
@@ -134,7 +231,7 @@ def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     rows = [np.asarray(x, np.int32) for x in got.column("features").to_numpy()]
     positive, unlabelled = ([r for r, p in zip(rows, part) if p == k] for k in (1, 0))
     prior = min(max(n[1] / sum(n.values()), 1e-4), 0.9)
-    return Model(*train_nnpu(positive, unlabelled, prior))
+    return Model(*train_nnpu(positive, unlabelled, prior, epochs))
 
 
 def _feature_batches(batches):

@@ -555,3 +555,15 @@ def test_lost_records_are_an_error(spark, docs, tmp_path, cut):
         manifest = manifest.withColumn("tokens", F.col("tokens") + 1)
     with pytest.raises(Exception, match="holds"):
         records.read_records(spark, folder, manifest).collect()
+
+
+def test_all_unlabelled_texts_equal_the_local_fit(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(12)) + (" vile filth" if i % 6 == 0 else "")) for i in range(240)] + [(None, "vile"), (3, "again w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 240, 2)], "doc_id long, toxic int")
+    some, every = (toxicity.fit(docs, labels, max_unlabelled=n, epochs=4) for n in (1000, None))
+    assert len(some.at) > 0 and some.at.tolist() == every.at.tolist()
+    np.testing.assert_allclose(some.values, every.values, rtol=1e-9)
+    assert abs(some.bias - every.bias) < 1e-9
