@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import align, units
+from ..operators import align, signatures, units
 from ..operators import nodes as N
 from ..sources import docx
 from ..sources.scratch import written
@@ -93,6 +93,24 @@ def package_settled(spark, sf_dir):
     return docx.joined_parts(docx.settled_tokens(_conversation_tokens(spark, sf_dir), False)).select("doc_id", F.sha2("content", 256).alias("sha256"))
 
 
+@query
+def semantic_signature(spark, sf_dir):
+    """Order-free digests of what the same parts say."""
+    nested = written(_conversation_tokens(spark, sf_dir), "part-tokens")
+    return signatures.signature_digests(signatures.signature_items(nested, nested.select("doc_id", "part").distinct()))
+
+
+@query
+def retention_rules(spark, sf_dir):
+    """What a word processor's rules find lost after all revisions were accepted."""
+    nested = written(_conversation_tokens(spark, sf_dir), "part-tokens")
+    members = nested.select("doc_id", "part").distinct()
+    accepted = docx.joined_parts(docx.settled_tokens(nested, True)).select("doc_id", "part", F.col("content").cast("string").alias("xml"))
+    after = written(N.nest(N.tokens(accepted, N.KEYS, "xml"), N.KEYS), "settled-tokens")
+    before, later = (written(signatures.signature_items(x, members), "items") for x in (nested, after))
+    return signatures.retention_violations(before, later, "word-windows-m365")
+
+
 BY = ["doc_id", "part", "paragraph_id"]
 
 
@@ -185,4 +203,11 @@ ORACLES = {
     # "user" and "USER" have no letter in common, nor have "assistant" and "ASSISTANT"
     "sync_plan": f"""WITH {_TURNS} SELECT doc_id, 'P' || k AS paragraph_id, 0 AS hunk, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN 'direct' ELSE 'track' END AS mode, 'replace' AS operation, 0 AS i1, CAST(length(role) AS INTEGER) AS i2, role AS removed, upper(role) AS inserted,
         's_' || substr(sha256('{N.PLAIN}'), 1, 16) AS assigned_style, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN 'single-region-inheritance' ELSE 'tracked-revision-mapping' END AS reason, CAST(NULL AS VARCHAR) AS code FROM t WHERE role IN ('user', 'assistant')""",
+    "semantic_signature": f"""WITH {_TURNS}, e AS (SELECT *, {_ESCAPED.format('text')} AS x FROM t), i AS (
+        SELECT doc_id, 'visible_text' AS dimension, '1*' || sha256(string_agg(role || CASE role WHEN 'assistant' THEN '' ELSE x END, '' ORDER BY turn)) AS item FROM e GROUP BY doc_id
+        UNION ALL SELECT doc_id, 'deleted_text', '1*' || sha256(string_agg(x, '' ORDER BY turn)) FROM e WHERE role = 'assistant' AND text <> '' GROUP BY doc_id
+        UNION ALL SELECT doc_id, 'revision_marks', count(*) || '*' || CASE role WHEN 'user' THEN 'insert' ELSE 'delete' END || ':' || role || ':' FROM e WHERE role IN ('user', 'assistant') GROUP BY doc_id, role)
+        SELECT doc_id, dimension, sha256(string_agg(item, chr(10) ORDER BY item)) AS digest FROM i GROUP BY ALL""",
+    "retention_rules": f"""WITH {_TURNS} SELECT doc_id, 'deleted_text' AS dimension, 'changed' AS code, CAST(1 AS BIGINT) AS n_items FROM t WHERE role = 'assistant' AND text <> '' GROUP BY doc_id
+        UNION ALL SELECT doc_id, 'revision_marks', 'changed', count(DISTINCT role) FROM t WHERE role IN ('user', 'assistant') GROUP BY doc_id""",
 }
