@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -85,6 +86,12 @@ def one_operator(name: str) -> None:
         _STATE["operator"] = name
 
 
+def give_back() -> None:
+    """Return memory that Arrow tables of a fit have taken and nothing uses any more."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def named(column: str) -> Column:
     """The column of exactly this name, whatever characters it holds."""
     return F.col("`" + column.replace("`", "``") + "`")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, named, one_operator, one_text_each, scored_texts, text_bytes, worker_state
+from .common import bounded_batches, give_back, materialize, named, one_operator, one_text_each, scored_texts, text_bytes, worker_state
 
 MAX_PER_LABEL = 2000
 WORD_TERMS, SHAPE_TERMS = 1024, 512
@@ -152,7 +152,10 @@ def fit(train_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     got = bounded_batches(table).mapInArrow(_count_batches, schema).toArrow().sort_by("label_id")
     share = n.get(1, 0) / sum(n.values()) if n else 0.5
     counts = got.column("terms").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TERMS) if got.num_rows else np.zeros((0, TERMS))
-    return LatentVotes(counts, got.column("label").to_numpy(), share)
+    model = LatentVotes(counts, got.column("label").to_numpy(), share)
+    del got, counts
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: LatentVotes, keep: list[str], text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

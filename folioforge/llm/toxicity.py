@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, named, one_operator, one_text_each, scored_texts, text_bytes
+from .common import bounded_batches, give_back, materialize, named, one_operator, one_text_each, scored_texts, text_bytes
 
 #: Bounds of the training sample (documents) and the size of the hashed feature space.
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
@@ -231,7 +231,10 @@ def fit(
     rows = [np.asarray(x, np.int32) for x in got.column("features").to_numpy()]
     positive, unlabelled = ([r for r, p in zip(rows, part) if p == k] for k in (1, 0))
     prior = min(max(n[1] / sum(n.values()), 1e-4), 0.9)
-    return Model(*train_nnpu(positive, unlabelled, prior, epochs))
+    model = Model(*train_nnpu(positive, unlabelled, prior, epochs))
+    del got, rows, positive, unlabelled
+    give_back()
+    return model
 
 
 def _feature_batches(batches):
