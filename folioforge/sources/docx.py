@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nodes as N
+from .scratch import written
 
 # Names of the main part and of the other parts whose text is editable.
 MAIN = "word/document.xml"
@@ -90,15 +91,15 @@ def sound_tokens(parts: DataFrame) -> DataFrame:
 
 def parse_paragraphs(parts: DataFrame) -> DataFrame:
     """Addressed paragraphs of all editable parts with byte ranges, both views and the number of their revisions."""
-    nested = sound_tokens(parts)
-    paragraphs = N.word_paragraphs(nested)
+    nested = written(sound_tokens(parts), "tokens")
+    paragraphs = written(N.word_paragraphs(nested), "paragraphs")
     return N.word_views(paragraphs, N.word_nodes(nested, paragraphs))
 
 
 def parse_nodes(parts: DataFrame) -> DataFrame:
     """Node rows of all editable parts."""
-    nested = sound_tokens(parts)
-    return N.word_nodes(nested, N.word_paragraphs(nested))
+    nested = written(sound_tokens(parts), "tokens")
+    return N.word_nodes(nested, written(N.word_paragraphs(nested), "paragraphs"))
 
 
 def parse_revisions(parts: DataFrame) -> DataFrame:
@@ -148,8 +149,9 @@ def replaced_tokens(nested: DataFrame, edits: DataFrame) -> tuple[DataFrame, Dat
     one edit of the paragraph; none of them is done).
     """
     by = [*KEYS, "paragraph_id"]
-    paragraphs = N.word_paragraphs(nested)
-    nodes = N.word_nodes(nested, paragraphs)
+    nested = written(nested, "tokens")
+    paragraphs = written(N.word_paragraphs(nested), "paragraphs")
+    nodes = written(N.word_nodes(nested, paragraphs), "nodes")
     once = edits.groupBy(*by).agg(F.count(F.lit(1)).alias("n_edits"), F.first("old").alias("old"), F.first("new").alias("new"))
     hits = F.when(F.col("old") != "", (F.length("text") - F.length(F.replace("text", "old", F.lit("")))) / F.length("old")).otherwise(0).cast("int")
     found = nodes.where("cls = 'text'").join(once, by).withColumn("hits", hits).where("hits > 0")
