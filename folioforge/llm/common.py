@@ -198,8 +198,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(node, component) for every node of ``edges(a, b)``; component = smallest reachable node.
 
     Hash-to-min over label tables with pointer jumping.  Every round is two
-    map-side combined aggregations, so a hub never gathers its neighbours in one
-    task; rounds grow with the logarithm of the longest chain.  Round tables are
+    map-side combined aggregations; the joins on a hub rely on AQE to split its
+    rows; rounds grow with the logarithm of the longest chain.  Round tables are
     written to the shared folder.
     """
     spark = edges.sparkSession
