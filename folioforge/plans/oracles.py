@@ -138,5 +138,6 @@ ORACLES = {
 from .governance import ORACLES as _GOVERNANCE  # noqa: E402
 from .review import ORACLES as _REVIEW  # noqa: E402
 from .structure import ORACLES as _STRUCTURE  # noqa: E402
+from .typed import ORACLES as _TYPED  # noqa: E402
 
-ORACLES.update(_STRUCTURE | _REVIEW | _GOVERNANCE)
+ORACLES.update(_STRUCTURE | _REVIEW | _GOVERNANCE | _TYPED)

@@ -356,6 +356,6 @@ def grapheme_count(spark, sf_dir):
 def utf16_fnv1a(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", validate.fnv1a_utf16(F.col("text")).alias("fingerprint"))
 
-from . import governance, review, structure  # noqa: E402
+from . import governance, review, structure, typed  # noqa: E402
 
-QUERIES.update(structure.QUERIES | review.QUERIES | governance.QUERIES)
+QUERIES.update(structure.QUERIES | review.QUERIES | governance.QUERIES | typed.QUERIES)

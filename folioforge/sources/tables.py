@@ -54,3 +54,24 @@ def draft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
     return rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), "role", F.col("turn").cast("string")).alias("id"), F.lag("text").over(w).alias("before"), F.col("text").alias("after"))
+
+
+def commented_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as main parts and parts of comments (doc_id, part, xml).
+
+    A turn is a paragraph that says its role; a user's or assistant's has the markers
+    of a comment, and the texts of all but users are comments.
+    """
+    text = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    turn = F.concat(F.lit(' w:id="'), F.col("turn").cast("string"), F.lit('"'))
+    run = lambda x: F.concat(F.lit("<w:r><w:t>"), x, F.lit("</w:t></w:r>"))
+    tag = lambda name: F.concat(F.lit(f"<w:{name}"), turn, F.lit("/>"))
+    spoken = F.col("role").isin("user", "assistant")
+    said = F.when(spoken, F.concat(tag("commentRangeStart"), run(F.col("role")), tag("commentRangeEnd"), F.lit("<w:r>"), tag("commentReference"), F.lit("</w:r>"))).otherwise(run(F.col("role")))
+    entry = F.concat(F.lit("<w:comment"), turn, F.lit(' w:author="'), "role", F.lit('" w:date="2024-01-01T00:00:00Z"><w:p>'), run(text), F.lit("</w:p></w:comment>"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<w:p>"), said, F.lit("</w:p>")).alias("p"), F.when(F.col("role") != "user", entry).otherwise("").alias("c"))
+    both = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "p", "c"))).alias("r"))
+    glue = lambda k: F.array_join(F.transform("r", lambda x: x[k]), "")
+    main = F.struct(F.lit("word/document.xml").alias("part"), F.concat(F.lit("<w:document><w:body>"), glue("p"), F.lit("</w:body></w:document>")).alias("xml"))
+    notes = F.struct(F.lit("word/comments.xml").alias("part"), F.concat(F.lit("<w:comments>"), glue("c"), F.lit("</w:comments>")).alias("xml"))
+    return both.select(F.col("conv_id").cast("string").alias("doc_id"), F.explode(F.array(main, notes)).alias("x")).select("doc_id", "x.*")
