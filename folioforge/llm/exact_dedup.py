@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, named, once_each, rows_marked, text_bytes
+from .common import join_by_key, materialize, named, once_each, rows_marked, text_bytes
 
 #: A chunk has MIN_CHUNK..MAX_CHUNK characters and ends after the first boundary character past the minimum.
 MIN_CHUNK, MAX_CHUNK = 768, 8192
@@ -77,9 +77,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ha
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialize(recipes(docs, doc_id, text, hasher), "recipes")
     groups = rows.groupBy("recipe", "contents").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # Most texts are alone; only the recipes of real groups meet their rows again.
-    several = groups.where("group_size > 1").select(F.col("recipe").alias("r"), F.col("contents").alias("c"), "keep_id", "group_size")
-    return rows.join(several, (rows.recipe == several.r) & rows.contents.eqNullSafe(several.c), "left").select(
+    # Most texts are alone; only the recipes of real groups meet their rows again, and rows of a hot recipe don't move.
+    whole = lambda: F.struct("recipe", F.coalesce("contents", F.array().cast("array<string>")).alias("contents")).alias("key")
+    several = groups.where("group_size > 1").select(whole(), "keep_id", "group_size", F.col("group_size").alias("uses"))
+    found = join_by_key(rows.select("doc_id", "text_sha256", whole()), several, "key", "uses", rows.count())
+    return found.select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
