@@ -6,9 +6,12 @@ its score.  A word's lattice probability is the sum over all its segmentations,
 by a forward recursion in log space.
 
 What the training texts add: a word seen there has one more arc in its lattice,
-the whole word with its smoothed frequency.  That arc has the small weight
-``WORD_SHARE``; all segmentations together have the rest.  Frequencies are kept
-per text class (the most frequent values of a class column, here ``lang``; used
+the whole word with its smoothed frequency, discounted.  The discount is fitted to
+the training texts by their leave-one-out likelihood (``fitted_discount``), and what
+it takes from all word arcs of a class is the weight of the segmentations there, so
+every class's word probabilities sum to one over words and segmentations.  The
+segmentations are in every word's sum and are all that an unseen word has.
+Frequencies are kept per text class (the most frequent values of a class column, here ``lang``; used
 in training only), and a document's marginal probability is the product over its
 words and an end symbol, mixed over the classes:
 ``P(text) = sum_k pi_k * P_k(end) * prod_w (1 - P_k(end)) * P_k(w)``.
@@ -44,8 +47,6 @@ from .common import bounded_batches, materialize, named, one_operator, text_byte
 #: Only the HEAD_WORDS most frequent training words, of at most MAX_HEAD_BYTES each, are broadcast: under 50 MB for any corpus.
 HEAD_WORDS, MAX_HEAD_BYTES = 400_000, 64
 MAX_CLASSES = 5
-#: Weight of the whole-word arc of a word seen in training; the segmentations share the rest.
-WORD_SHARE = 0.1
 #: Pseudo-counts that pull a class's word frequencies towards those of all classes.
 PRIOR = 2000.0
 #: Words of more characters are summed one by one, in memory that doesn't grow with them.
@@ -216,7 +217,7 @@ def word_counts(train: DataFrame, n_classes: int) -> DataFrame:
     return parts.groupBy("word").agg(*sums).select("word", F.array(*[f"c{i}" for i in range(n_classes)]).alias("c"))
 
 
-def _score_words(path: str, totals: np.ndarray, base_denominator: float):
+def _score_words(path: str, totals: np.ndarray, base_denominator: float, discount: float, rest: np.ndarray):
     """(word, n, base, v): base log10 and log10 probabilities per class of each word."""
     grand = totals.sum()
 
@@ -233,7 +234,7 @@ def _score_words(path: str, totals: np.ndarray, base_denominator: float):
                 lattice[pick] = Lattice([words[i] for i in pick], pieces, longest).totals(logp[:, None])
             for i in set(range(len(words))).difference(short):
                 lattice[i] = long_total(words[i], pieces, longest, logp[:, None])
-            values = word_values(lattice, counts, totals, grand)
+            values = word_values(lattice, counts, totals, grand, discount, rest)
             n = counts.sum(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n.astype(np.int64)), pa.array(np.log10((n + 0.1) / base_denominator)), pa.array(values.tolist(), pa.list_(pa.float64()))], ["word", "n", "base", "v"]
@@ -242,13 +243,32 @@ def _score_words(path: str, totals: np.ndarray, base_denominator: float):
     return run
 
 
-def word_values(lattice: np.ndarray, counts: np.ndarray, totals: np.ndarray, grand: float) -> np.ndarray:
+def fitted_discount(once: int, twice: int) -> float:
+    """What each seen word gives of its count to the segmentations, from the numbers of words seen once and twice.
+
+    The maximum of a bound on the leave-one-out likelihood of the training texts:
+    once / (once + 2 * twice), kept inside 0..1 where one of them is 0.
+    """
+    return (once + 0.5) / (once + 2 * twice + 1)
+
+
+def segmentation_weights(totals: np.ndarray, per_count: np.ndarray, types: int, discount: float) -> np.ndarray:
+    """Per class what ``discount`` takes from its word arcs; ``per_count``: sum over words of class count by count.
+
+    Without training tokens the segmentations have it all.
+    """
+    grand = totals.sum()
+    return discount * (per_count + PRIOR * types / grand) / (totals + PRIOR) if grand else np.ones_like(totals)
+
+
+def word_values(lattice: np.ndarray, counts: np.ndarray, totals: np.ndarray, grand: float, discount: float, rest: np.ndarray) -> np.ndarray:
     """(words, classes) log10 probabilities from the lattice (natural logs, one column) and the word arc together."""
-    every = counts.sum(1, keepdims=True) / max(grand, 1.0)
-    arc = (counts + PRIOR * every) / (totals + PRIOR)
+    n = counts.sum(1, keepdims=True)
+    arc = (counts + PRIOR * n / max(grand, 1.0)) / (totals + PRIOR) * (1 - discount / np.maximum(n, 1.0))
+    segmented = np.log(rest) + lattice
     with np.errstate(divide="ignore"):
-        seen = np.logaddexp(math.log1p(-WORD_SHARE) + lattice, np.log(WORD_SHARE * arc))
-    return np.where(every > 0, seen, lattice) / math.log(10)
+        seen = np.logaddexp(segmented, np.log(arc))
+    return np.where(n > 0, seen, segmented) / math.log(10)
 
 
 def _score_docs(head):
@@ -312,14 +332,17 @@ def score_documents(
     per_class = {r.k: r.n for r in counting.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = np.array([per_class.get(i, 0) for i in range(n_classes)], float)
     n_any = sum(F.col("c")[i] for i in range(n_classes))
-    got = counts.where(n_any > 0).agg(F.count(F.lit(1)).alias("v"), *[F.coalesce(F.sum(F.col("c")[i]), F.lit(0)).alias(f"t{i}") for i in range(n_classes)]).first()
-    totals = np.array(got[1:], float)
+    got = counts.where(n_any > 0).agg(F.count(F.lit(1)).alias("v"), F.count_if(n_any == 1).alias("once"), F.count_if(n_any == 2).alias("twice"),
+        *[F.coalesce(F.sum(F.col("c")[i]), F.lit(0)).alias(f"t{i}") for i in range(n_classes)], *[F.coalesce(F.sum(F.col("c")[i] / n_any), F.lit(0.0)).alias(f"p{i}") for i in range(n_classes)]).first()
+    totals, per_count = np.array(got[3 : 3 + n_classes], float), np.array(got[3 + n_classes :], float)
+    discount = fitted_discount(got.once, got.twice)
+    rest = segmentation_weights(totals, per_count, got.v, discount)
     n_train = int(totals.sum() + texts.sum())
     n_types = got.v + (1 if texts.sum() else 0)
     denominator = n_train + 0.1 * (n_types + 1)
 
     # 2. every word's value
-    values = materialize(counts.mapInArrow(_score_words(path, totals, denominator), "word binary, n long, base double, v array<double>"), "word-values")
+    values = materialize(counts.mapInArrow(_score_words(path, totals, denominator, discount, rest), "word binary, n long, base double, v array<double>"), "word-values")
     top = values.where((F.col("n") > 0) & (F.octet_length("word") <= MAX_HEAD_BYTES)).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
     top = top.select("word", "n", "base", *[F.col("v")[i].alias(f"v{i}") for i in range(n_classes)]).toArrow()
     matrix = np.array([top.column(i).to_numpy() for i in range(2, 3 + n_classes)], float).T.reshape(-1, n_classes + 1)

@@ -354,20 +354,25 @@ def test_language_model(docs, rows):
     names = [c for c, _ in sorted(Counter(v for i, v in lang.items() if not is_held[i]).items(), key=lambda x: (-x[1], x[0] or ""))]
     groups = [[i for i, v in lang.items() if v == c and not is_held[i]] for c in names[:4]] + [[i for i, v in lang.items() if v in names[4:] and not is_held[i]]]
     words = [Counter(w for i in g for w in tokens[i] if w) for g in groups]
-    grand, share, prior = sum(sum(x.values()) for x in words), lattice_lm.WORD_SHARE, lattice_lm.PRIOR
+    grand, prior = sum(sum(x.values()) for x in words), lattice_lm.PRIOR
     every = sum(words, Counter())
+    once, twice = (sum(v == k for v in every.values()) for k in (1, 2))
+    cut = (once + 0.5) / (once + 2 * twice + 1)
+    arc = lambda w, x, n: (x[w] + prior * every[w] / grand) / (n + prior)
+    shares = [cut * sum(arc(w, x, sum(x.values())) / every[w] for w in every) for x in words]
+    # what the word arcs keep and what the segmentations get is everything
+    assert all(math.isclose(s + sum(arc(w, x, sum(x.values())) * (1 - cut / every[w]) for w in every), 1.0) for s, x in zip(shares, words))
     for i, ws in tokens.items():
         if any(w and len(w) > 200 for w in ws):
             continue  # too deep for the recursion; the exact sum of long words has a test of its own
         parts = []
-        for g, x in zip(groups, words):
+        for g, x, share in zip(groups, words, shares):
             n = sum(x.values())
             end = (len(g) + 1) / (n + len(g) + 2)
             out = math.log10((len(g) + 0.5) / (sum(map(len, groups)) + 0.5 * len(groups))) + math.log10(end)
             for w in ws[:-1]:
                 lattice = total("▁" + lattice_lm.decoded(w))
-                arc = (x[w] + prior * every[w] / grand) / (n + prior)
-                out += math.log10((1 - share) * lattice + share * arc if every[w] else lattice) + math.log10(1 - end)
+                out += math.log10(share * lattice + (arc(w, x, n) * (1 - cut / every[w]) if every[w] else 0)) + math.log10(1 - end)
             parts.append(out)
         want = max(parts) + math.log10(sum(10 ** (p - max(parts)) for p in parts))
         assert math.isclose(got[i].score, want, rel_tol=1e-6), i
