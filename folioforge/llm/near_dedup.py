@@ -437,6 +437,7 @@ def _block_pairs(batches, at_once: int, allows, data):
 
 def _signs_allow(a, b, na, nb):
     """(len(a), len(b)) whether signatures leave a pair possible."""
+    a, b = a.view(np.uint64), b.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
     differ, full = (np.zeros((len(a), len(b)), np.int64) for _ in "ab")
     for w in range(WORDS64):
         differ += np.bitwise_count(a[:, w, None] ^ b[:, w])

@@ -199,6 +199,19 @@ def test_near_dedup_families_around_the_threshold(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in brute_near(data).items()}
 
 
+def test_signatures_count_all_bits():
+    """The top bit of a word is one bit too: signatures that differ in few bits leave a pair possible."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(-(2**63), 2**63, (40, len(near_dedup.SIGNS)), dtype=np.int64)
+    a[:, near_dedup.WORDS64 :] = -1  # all registers full
+    b = a.copy()
+    b[:, : near_dedup.WORDS64] ^= np.int64(-(2**63)) | rng.integers(0, 2, (40, near_dedup.WORDS64), dtype=np.int64)
+    bits = lambda x: [sum(int(v).bit_count() for v in row.view(np.uint64)) for row in x]
+    want = [[bits([(x ^ y)[: near_dedup.WORDS64]])[0] <= near_dedup._MOST_UNLIKE[near_dedup.SIGNATURE] for y in b] for x in a]
+    got = near_dedup._signs_allow(a, b, None, None)
+    assert got.diagonal().all() and got.tolist() == want
+
+
 def test_near_dedup_with_repeated_and_null_ids(spark):
     rnd = random.Random(4)
     a, b = ([f"{x}{rnd.random()}" for _ in range(60)] for x in "ab")
