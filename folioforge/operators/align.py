@@ -1,9 +1,11 @@
 """Alignment of drafts with their baseline, and who owns the style of what changed.
 
 Opcodes are those of recursive longest matching blocks (the earliest of the
-longest).  Only that recursion runs in Python, over integers: a batch's units are
+longest).  Only that recursion runs in Python, over integers: a pair's units are
 numbered by Arrow, and the places where a block of some length ends are bit
-sets, so that lengths double with one shift and one ``and`` per place.  Slices,
+sets, so that lengths double with one shift and one ``and`` per place; long pairs
+go row by row instead.  Batches are bounded by bytes and one pair of a batch is
+open at a time, so a task's memory is that of its longest pair.  Slices,
 contexts, codes and assigned styles are joins and windows over units.
 """
 
@@ -11,13 +13,20 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .units import clusters, glued, in_pos
 
+#: Bytes of one Arrow batch of pairs; a longer pair is a batch of its own.
+BATCH_BYTES = 1 << 20
+#: Bits of the sets of one level, above which blocks are looked for row by row.
+MOST_BITS = 1 << 26
+
 
 def longest_block(a: list[int], places: list[int], lo_b: int, hi_b: int) -> tuple[int, int, int]:
     """(start in a, start in b, length) of the first longest common block; ``places``: bit set in b of every value of ``a``."""
@@ -43,16 +52,30 @@ def longest_block(a: list[int], places: list[int], lo_b: int, hi_b: int) -> tupl
     return i - found + 1, lo_b + (best[i] & -best[i]).bit_length() - found, found
 
 
+def longest_block_by_rows(a: list[int], b: np.ndarray, lo_b: int) -> tuple[int, int, int]:
+    """The same from the values themselves, in memory that grows with ``b`` alone."""
+    best, runs = (0, 0, 0), np.zeros(len(b) + 1, np.int64)
+    for i, x in enumerate(a):
+        runs[1:] = np.where(b == x, runs[:-1] + 1, 0)
+        j = int(runs.argmax())
+        n = int(runs[j])
+        if n > best[2]:
+            best = (i - n + 1, lo_b + j - n, n)
+    return best
+
+
 def opcodes(a: list[int], b: list[int]) -> list[tuple[str, int, int, int, int]]:
     """equal, replace, delete and insert steps that turn a into b."""
-    where: dict[int, int] = {}
-    for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    places = [where.get(x, 0) for x in a]
+    long = len(a) * len(b) > MOST_BITS
+    values, where, places = np.array(b), {}, []
+    if not long:
+        for j, x in enumerate(b):
+            where[x] = where.get(x, 0) | 1 << j
+        places = [where.get(x, 0) for x in a]
     todo, blocks = [(0, len(a), 0, len(b))], []
     while todo:
         lo_a, hi_a, lo_b, hi_b = todo.pop()
-        i, j, n = longest_block(a, places[lo_a:hi_a], lo_b, hi_b)
+        i, j, n = longest_block_by_rows(a[lo_a:hi_a], values[lo_b:hi_b], lo_b) if long else longest_block(a, places[lo_a:hi_a], lo_b, hi_b)
         if n:
             i += lo_a
             blocks.append((i, j, n))
@@ -76,23 +99,24 @@ def opcodes(a: list[int], b: list[int]) -> list[tuple[str, int, int, int, int]]:
 def with_opcodes(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``pairs`` (keys, a, b: arrays of values, and other columns) with ``ops``; from_a … to_b are offsets in characters of the values."""
     names = ("operation", "i1", "i2", "j1", "j2", "from_a", "to_a", "from_b", "to_b")
-    kind = pa.list_(pa.struct([("operation", pa.string()), *((n, pa.int32()) for n in names[1:])]))
+    kinds = [pa.string(), *[pa.int32()] * 8]
 
     def run(batches):
         for batch in batches:
-            sides = [batch.column("a"), batch.column("b")]
-            flat = pa.concat_arrays([x.flatten() for x in sides])
-            numbers, widths = flat.dictionary_encode().indices.to_pylist(), pc.utf8_length(flat).to_pylist()
-            at, rows = 0, []
-            for side in sides:
-                for n in pc.list_value_length(side).to_pylist():
-                    rows.append((numbers[at : at + n], [0, *accumulate(widths[at : at + n])]))
-                    at += n
-            ops = []
-            for (a, wide_a), (b, wide_b) in zip(rows[: len(batch)], rows[len(batch) :]):
-                ops.append([dict(zip(names, (op, i1, i2, j1, j2, wide_a[i1], wide_a[i2], wide_b[j1], wide_b[j2]))) for op, i1, i2, j1, j2 in opcodes(a, b)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ops, kind)], [*batch.schema.names, "ops"])
-
+            columns, stops = [[] for _ in names], [0]
+            for k in range(len(batch)):
+                sides = [batch.column(c)[k].values for c in ("a", "b")]
+                flat = pa.concat_arrays(sides)
+                numbers, widths, n = flat.dictionary_encode().indices.to_pylist(), pc.utf8_length(flat).to_pylist(), len(sides[0])
+                wide_a, wide_b = [0, *accumulate(widths[:n])], [0, *accumulate(widths[n:])]
+                for op, i1, i2, j1, j2 in opcodes(numbers[:n], numbers[n:]):
+                    for column, x in zip(columns, (op, i1, i2, j1, j2, wide_a[i1], wide_a[i2], wide_b[j1], wide_b[j2])):
+                        column.append(x)
+                stops.append(len(columns[0]))
+            steps = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), steps)], [*batch.schema.names, "ops"])
+
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
     return pairs.mapInArrow(run, f"{schema}, ops array<struct<operation:string," + ",".join(f"{n}:int" for n in names[1:]) + ">>")
 
@@ -143,7 +167,7 @@ def plan_hunks(base: DataFrame, drafts: DataFrame, paragraphs: DataFrame, by: li
     sides = paragraphs.join(listed(base, "a"), by, "left").join(listed(drafts, "b"), by, "left").withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
     ops = with_opcodes(sides.where("a <> b"), by)
     steps = ops.select(*by, "mode", "has_opaque", "insertion_style", F.size("a").alias("n_base"), F.posexplode("ops").alias("step", "o"))
-    steps = steps.select(*by, "mode", "has_opaque", "insertion_style", "n_base", "step", "o.operation", "o.i1", "o.i2", "o.j1", "o.j2")
+    steps = written(steps.select(*by, "mode", "has_opaque", "insertion_style", "n_base", "step", "o.operation", "o.i1", "o.i2", "o.j1", "o.j2"), "steps")
     hunks = steps.where("operation <> 'equal'")
     w, back = in_pos(by), Window.partitionBy(*by).orderBy(F.desc("pos"))
     styled = F.when(~F.col("is_token") & F.col("style").isNotNull(), F.struct("style", "value"))

@@ -47,6 +47,26 @@ def test_opcodes_equal_difflib():
         assert align.opcodes([ord(c) for c in a], [ord(c) for c in b]) == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
 
+def test_long_pairs_go_row_by_row(monkeypatch):
+    """Without bit sets (memory that grows with the product of the lengths) the opcodes are the same."""
+    rnd = random.Random(2)
+    monkeypatch.setattr(align, "MOST_BITS", 0)
+    monkeypatch.setattr(align, "longest_block", None)
+    for _ in range(300):
+        a, b = ([rnd.choice(letters) for _ in range(rnd.randint(1, 40))] for letters in ("abc", "abcd"))
+        assert align.opcodes([ord(c) for c in a], [ord(c) for c in b]) == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def test_pairs_reach_python_in_bounded_batches(spark):
+    """A batch of pairs is bounded by bytes, not by 10,000 rows of any length."""
+    pairs = spark.range(400).selectExpr("id", "repeat('ab ', 700) AS before", "repeat('ab', 700) AS after").coalesce(1)
+    sides = pairs.select("id", units.clusters(F.col("before")).alias("a"), units.clusters(F.col("after")).alias("b"))
+    assert align.with_opcodes(sides.limit(1), ["id"]).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= align.BATCH_BYTES
+    rows = sides.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), sides.schema)
+    assert rows.count() > 1
+
+
 def test_text_hunks(spark):
     pairs = [("a", "", "x"), ("b", "abc", ""), ("c", "one two three", "one 2 three four"), ("d", "éx\r\n😀", "ex\r\n"), ("e", "same", "same"), ("f", None, "x"), ("g", "x", None)]
     df = spark.createDataFrame(pairs, "id string, before string, after string")
