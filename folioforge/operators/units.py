@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .nodes import unescaped, with_chain
 
 # Approximate grapheme clusters.  CR LF, pairs of regional indicators, marks after
@@ -150,7 +151,8 @@ def read_bodies(bodies: DataFrame, by: list[str], depth: int | None = None) -> t
     rows = rows.withColumn("_id", F.get(F.filter("pairs", lambda x: x["key"] == "id"), F.lit(0))["value"]).withColumn("name", F.coalesce(F.create_map(*[F.lit(x) for a, b in _OPENERS.items() for x in (b, a)])[F.col("keyword")], "keyword", F.lit("")))
     opens, closes = F.col("keyword").isin(*_OPENERS), F.col("keyword").isin(*_OPENERS.values())
     rows = rows.withColumn("kind", F.when(opens, "open").when(closes, "close").otherwise("other"))
-    rows = with_chain(rows, by, None, F.struct("seq", "name", F.col("_id").alias("id"), "keyword"), depth)
+    # read three times below: parsed once, and each plan stays small
+    rows = with_chain(written(rows, "body-pieces"), by, None, F.struct("seq", "name", F.col("_id").alias("id"), "keyword"), depth)
     # what a closing placeholder would close: the last one that was open before it
     before = F.lag("chain").over(Window.partitionBy(*by).orderBy("seq"))
     closed = F.try_element_at(F.coalesce(before, F.array()), F.lit(-1))
@@ -164,7 +166,7 @@ def read_bodies(bodies: DataFrame, by: list[str], depth: int | None = None) -> t
         .when(held & (left != F.concat(F.lit(START), "keyword", F.lit(END))), "unknown-attribute").when((F.col("keyword") == "revision-gap") & ~kinds.isin("delete", "move_from"), "wrong-kind")
         .when(closes & ~(F.col("_closed.id").eqNullSafe(F.col("_id")) & F.col("_closed.name").eqNullSafe(F.col("name"))), "mismatched-placeholder").when(opens & F.exists("_open", lambda x: x["seq"] == F.col("seq")), "unclosed-placeholder")
     )
-    rows = rows.withColumn("wrong", wrong)
+    rows = written(rows.withColumn("wrong", wrong).drop("left", "_closed", "_open", "name"), "read-pieces")
     bad = rows.where("wrong IS NOT NULL").select(*by, F.lit("edit-grammar-invalid").alias("code"), F.col("wrong").alias("detail"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(piece, r"\\[uU]27[eE]6", START), r"\\[uU]27[eE]7", END), r"\\\\", r"\\")
     ordered = F.concat(F.filter("pairs", lambda x: x["key"] == "id"), F.filter("pairs", lambda x: x["key"] == "kind"), F.filter("pairs", lambda x: ~x["key"].isin("id", "kind")))

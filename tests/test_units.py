@@ -67,6 +67,15 @@ def test_pairs_reach_python_in_bounded_batches(spark):
     assert rows.count() > 1
 
 
+def test_bodies_are_read_once(spark):
+    """What reads a body is a table, not a plan that every use repeats in the driver and the executors."""
+    bodies = spark.createDataFrame([("a", 'x⟦token id="N1" kind="tab"⟧y'), ("b", "⟦")], "doc_id string, body string")
+    read, bad = units.read_bodies(bodies, ["doc_id"])
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (read, bad)]
+    assert plans[0].count("Window ") == 1 and plans[1].count("Window ") == 0
+    assert [r.value for r in read.orderBy("pos").collect()] == ["x", '⟦token id="N1" kind="tab"⟧', "y"] and bad.count() == 1
+
+
 def test_text_hunks(spark):
     pairs = [("a", "", "x"), ("b", "abc", ""), ("c", "one two three", "one 2 three four"), ("d", "éx\r\n😀", "ex\r\n"), ("e", "same", "same"), ("f", None, "x"), ("g", "x", None)]
     df = spark.createDataFrame(pairs, "id string, before string, after string")
