@@ -457,10 +457,17 @@ def _sketches_allow(a, b, na, nb):
 def _flag_members(batches):
     """(key, node) of the members of which signatures leave a pair possible."""
     signs = lambda batch: np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7, 7 + len(SIGNS))], axis=1)
+    told = lambda key, nodes: pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), key, np.int64)), pa.array(nodes)], ["key", "node"])
+    at, flagged = None, np.empty(0, np.int64)
     for found in _block_pairs(batches, 100_000, _signs_allow, signs):
-        flagged = [(key[0], np.unique(np.concatenate([a, b]))) for key, a, b in found if len(a)]
-        keys = np.repeat(np.array([k for k, _ in flagged], np.int64), [len(x) for _, x in flagged])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([*(x for _, x in flagged), np.empty(0, np.int64)]))], ["key", "node"])
+        for here, a, b in found:
+            if here != at:
+                if len(flagged):
+                    yield told(at[0], flagged)
+                at, flagged = here, np.empty(0, np.int64)
+            flagged = np.unique(np.concatenate([flagged, a, b]))  # a block pair names a member once
+    if len(flagged):
+        yield told(at[0], flagged)
 
 
 def _possible_forest(batches):

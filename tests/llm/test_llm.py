@@ -212,6 +212,15 @@ def test_signatures_count_all_bits():
     assert got.diagonal().all() and got.tolist() == want
 
 
+def test_members_are_flagged_once_a_block_pair():
+    """However many batches a bucket passes in: rows grow with its members, not with their pairs."""
+    n, names = 600, ["key", "i", "j", "side", "node", "comp", "n_shingles", *near_dedup.SIGNS]
+    rows = [(7, 0, 0, side, k, k, 10, *[0] * near_dedup.WORDS64, *[-1] * near_dedup.WORDS64) for side in (0, 1) for k in range(n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 100])], names) for k in range(0, len(rows), 100)]
+    got = [tuple(r.values()) for b in near_dedup._flag_members(batches) for r in b.to_pylist()]
+    assert sorted(got) == [(7, k) for k in range(n)]
+
+
 def test_near_dedup_with_repeated_and_null_ids(spark):
     rnd = random.Random(4)
     a, b = ([f"{x}{rnd.random()}" for _ in range(60)] for x in "ab")
