@@ -23,13 +23,11 @@ _ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "
 
 
 def _quoted(x: Column) -> Column:
-    for old, new in _ESCAPES:
-        x = F.replace(x, F.lit(old), F.lit(new))
-    rare = [chr(c) for c in range(32) if chr(c) not in "\n\r\t\b\f"]
     escaped = x
-    for c in rare:
-        escaped = F.replace(escaped, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
-    return F.concat(F.lit('"'), F.when(x.rlike(r"[\x00-\x1f]"), escaped).otherwise(x), F.lit('"'))
+    for old, new in (*_ESCAPES, *((chr(c), f"\\u{c:04x}") for c in range(32) if chr(c) not in "\n\r\t\b\f")):
+        escaped = F.replace(escaped, F.lit(old), F.lit(new))
+    # few texts need an escape; the others are looked at once
+    return F.concat(F.lit('"'), F.when(x.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(x), F.lit('"'))
 
 
 def canonical_json(value: Column, kind: T.DataType) -> Column:

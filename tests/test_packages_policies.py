@@ -70,6 +70,10 @@ def test_canonical_json(spark):
     assert got == [json.dumps(as_object(r), ensure_ascii=False, sort_keys=True, separators=(",", ":")) for r in rows]
 
 
+def test_plain_texts_are_quoted_without_replacing(spark):
+    assert "ELSE x END" in str(policies._quoted(F.col("x")))
+
+
 def sha(x):
     return hashlib.sha256(json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
