@@ -62,5 +62,4 @@ def merge_violations(cells: DataFrame, row: int, col: int, span: int) -> DataFra
 
 def render_rows(cells: DataFrame, columns: list[int]) -> DataFrame:
     """Grid render: one row per (t, r), one column per c, missing cells null."""
-    out = cells.groupBy("t", "r").pivot("c", columns).agg(F.first("value"))
-    return out.select("t", "r", *[F.col(str(c)).alias(f"c{c}") for c in columns])
+    return cells.groupBy("t", "r").agg(*[F.first(F.when(F.col("c") == c, F.col("value")), ignorenulls=True).alias(f"c{c}") for c in columns])

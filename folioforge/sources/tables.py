@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tasks import dealt
+
+#: Line items that one task holds as cells.
+ROWS_A_TASK = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +26,8 @@ def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tables, line items as rows, three measures as columns."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.row_number().over(w) - 1).alias("r"), "l_quantity", "l_extendedprice", "l_discount")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
+    rows = dealt(items, ["l_orderkey"], items.count(), ROWS_A_TASK).select("l_orderkey", (F.row_number().over(w) - 1).alias("r"), "l_quantity", "l_extendedprice", "l_discount")
     cells = "stack(3, 0, l_quantity, 1, l_extendedprice, 2, l_discount) as (c, value)"
     return rows.selectExpr("l_orderkey as t", "r", cells).withColumn("span", F.lit(1))
 
