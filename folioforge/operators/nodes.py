@@ -108,13 +108,17 @@ def nest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("element_stop", F.when(opens(), end).when(alone(), F.col("stop"))).drop("_up", "_element")
 
 
-def nesting_violations(nested: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, seq, start, code of everything that isn't nested properly or can't be read."""
-    code = (
+def nesting_code() -> Column:
+    """Why a nested token isn't nested properly or can't be read; null for others."""
+    return (
         F.when(closes() & ~F.col("opener_name").eqNullSafe(F.col("name")), "malformed-nesting").when(opens() & F.col("element_stop").isNull(), "unclosed-element")
         .when(F.col("kind") == "stray", "stray-markup").when((F.col("kind") == "text") & bad_reference(F.col("token")), "character-reference")
     )
-    return nested.withColumn("code", code).where(F.col("code").isNotNull()).select(*keys, "seq", "start", "code")
+
+
+def nesting_violations(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, start, code of everything that isn't nested properly or can't be read."""
+    return nested.withColumn("code", nesting_code()).where(F.col("code").isNotNull()).select(*keys, "seq", "start", "code")
 
 
 def sound(rows: DataFrame, violations: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,9 +10,12 @@ from ..operators import nodes as N
 from ..sources import docx
 from ..sources.scratch import written
 from ..sources.tables import conversation_parts, table
+from ..sources.tasks import dealt
 
 QUERIES: dict = {}
 PAGE = ["page_id"]
+#: Bytes of markup and tokens that one task holds; a page, whatever its length, is in one task.
+BYTES_A_TASK, TOKENS_A_TASK = 4 << 20, 100_000
 
 
 def query(f):
@@ -21,13 +24,15 @@ def query(f):
 
 
 def _page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.tokens(table(spark, sf_dir, "pages"), PAGE, "html", N.HTML_TOKEN, N.VOID, lower=True)
+    pages = table(spark, sf_dir, "pages").select(*PAGE, "html")
+    size = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    return N.tokens(dealt(pages, PAGE, size, BYTES_A_TASK), PAGE, "html", N.HTML_TOKEN, N.VOID, lower=True)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested tokens of all pages that are nested properly once unanswered tags stand alone."""
     nested = written(N.nest(N.answered(_page_tokens(spark, sf_dir), PAGE), PAGE), "page-tokens")
-    return N.sound(nested, N.nesting_violations(nested, PAGE), PAGE)
+    return N.sound(dealt(nested, PAGE, nested.count(), TOKENS_A_TASK), N.nesting_violations(nested, PAGE), PAGE)
 
 
 @query
@@ -39,12 +44,10 @@ def markup_elements(spark, sf_dir):
 @query
 def markup_violations(spark, sf_dir):
     """Unanswered tags, and what isn't nested properly even without them."""
-    rows = _page_tokens(spark, sf_dir)
-    lenient = N.answered(rows, PAGE)
-    before = rows.select(*PAGE, "seq", F.col("kind").alias("was"))
-    changed = lenient.join(before, [*PAGE, "seq"]).where("was <> kind")
-    unanswered = changed.select(*PAGE, "seq", "start", F.concat(F.lit("unanswered-"), "was").alias("code"))
-    return unanswered.union(N.nesting_violations(N.nest(lenient, PAGE), PAGE))
+    rows = _page_tokens(spark, sf_dir).withColumn("was", F.col("kind"))
+    nested = N.nest(N.answered(rows, PAGE), PAGE)
+    unanswered = F.when(F.col("was") != F.col("kind"), F.concat(F.lit("unanswered-"), "was"))
+    return nested.select(*PAGE, "seq", "start", F.explode(F.array_compact(F.array(unanswered, N.nesting_code()))).alias("code"))
 
 
 @query

@@ -26,3 +26,16 @@ def test_render_leaves_missing_cells_null(spark):
     got = grid.render_rows(cells, [0, 1, 2])
     assert sorted(map(tuple, got.collect())) == [(1, 0, 1.5, None, None), (1, 1, None, 2.5, None), (2, 0, None, None, None)]
     assert "pivotfirst" not in got._jdf.queryExecution().toString()
+
+
+def test_more_markup_goes_to_more_tasks(spark, monkeypatch):
+    from folioforge.plans import structure
+
+    monkeypatch.setattr(structure, "BYTES_A_TASK", 5_000, raising=False)
+    monkeypatch.setattr(structure, "TOKENS_A_TASK", 100, raising=False)
+    tokens = structure._page_tokens(spark, DATA)
+    assert most_rows(tokens) < tokens.count() / 4
+    rows = structure._pages(spark, DATA)
+    assert most_rows(rows) < rows.count() / 4
+    found = structure.markup_violations(spark, DATA)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of pages; tokens don't move
