@@ -376,11 +376,12 @@ def verify_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_verify_stars, "a long, b long")
 
 
-def dealt(rows: DataFrame, group: str, most: int, weight: str | None = None, most_weight: int = 1) -> DataFrame:
+def dealt(rows: DataFrame, group: str, most: int, weight: str | None = None, most_weight: int = 1, once: bool = False) -> DataFrame:
     """``rows`` (group, node, comp) as block pairs: those outside a group's largest component (side 0) with all (side 1).
 
     A block has about ``most`` rows, and at most about ``most_weight`` of ``weight``
-    in sum.  Groups of one component are left out.
+    in sum.  Groups of one component are left out.  ``once``: a row of a group that is
+    a single block pair comes once; such a pair has j = -1, and its side 0 is also to be compared within itself.
     """
     load = F.sum(weight) if weight else F.lit(0).cast("long")
     parts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"), load.alias("w"))
@@ -394,6 +395,9 @@ def dealt(rows: DataFrame, group: str, most: int, weight: str | None = None, mos
     upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = known.where("comp <> main_comp").withColumn("i", mine("n_left")).withColumn("j", upto("n_right")).withColumn("side", F.lit(0))
     right = known.withColumn("i", upto("n_left")).withColumn("j", mine("n_right")).withColumn("side", F.lit(1))
+    if once:
+        alone = (F.col("n_left") == 1) & (F.col("n_right") == 1)
+        left, right = (x.withColumn("j", F.when(alone, -1).otherwise(F.col("j"))) for x in (left, right.where(~alone | (F.col("comp") == F.col("main_comp")))))
     return left.unionByName(right).drop("main_comp", "n_left", "n_right")
 
 
@@ -408,7 +412,8 @@ def _segments(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 def _block_pairs(batches, at_once: int, allows, data):
     """Sorted (key, i, j, side, node, comp, n_shingles, ...) rows: (key, nodes, nodes) of the pairs of different
-    components that sizes and ``allows`` leave possible, batch by batch; ``data(batch)`` is what ``allows`` compares."""
+    components that sizes and ``allows`` leave possible, batch by batch; ``data(batch)`` is what ``allows`` compares.
+    Where j is -1 rows of side 0 meet those of side 0 before them too."""
     at, left = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -421,17 +426,23 @@ def _block_pairs(batches, at_once: int, allows, data):
             if here != at:
                 at, left = here, None
             if side[start] == 0:
+                before = 0 if left is None else len(left[0])
                 left = mine if left is None else tuple(np.concatenate(x) for x in zip(left, mine))
-                continue
+                if j[start] >= 0:
+                    continue
             if left is None:
                 continue
             step = max(1, at_once // len(left[0]))
             for k in range(0, end - start, step):
-                some = tuple(x[k : k + step] for x in mine)
-                able = (some[1][:, None] != left[1]) & (np.minimum(some[2][:, None], left[2]) * 100 >= LEAST_PERCENT * np.maximum(some[2][:, None], left[2]))
+                some, other = tuple(x[k : k + step] for x in mine), left
+                if side[start] == 0:
+                    other = tuple(x[: before + k + step] for x in left)
+                able = (some[1][:, None] != other[1]) & (np.minimum(some[2][:, None], other[2]) * 100 >= LEAST_PERCENT * np.maximum(some[2][:, None], other[2]))
+                if side[start] == 0:
+                    able &= np.arange(len(other[0])) < before + k + np.arange(len(some[0]))[:, None]
                 if able.any():
-                    x, y = np.nonzero(able & allows(some[3], left[3], some[2], left[2]))
-                    found.append((here, some[0][x], left[0][y]))
+                    x, y = np.nonzero(able & allows(some[3], other[3], some[2], other[2]))
+                    found.append((here, some[0][x], other[0][y]))
         yield found
 
 
@@ -528,9 +539,9 @@ def possible_families(members: DataFrame, classes: DataFrame, components: DataFr
     open_rows = materialize(open_rows.select("key", "node", F.coalesce("component", "node").alias("comp")), "open-buckets")
     facts = ["key", "i", "j", "side", "node", "comp", "n_shingles"]
     in_order = lambda blocks, *more: blocks.select(*facts, *more).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    first = in_order(dealt(open_rows, "key", BLOCK).join(classes.select("node", "n_shingles", *SIGNS), "node"), *SIGNS)
+    first = in_order(dealt(open_rows, "key", BLOCK, once=True).join(classes.select("node", "n_shingles", *SIGNS), "node"), *SIGNS)
     flagged = materialize(first.mapInArrow(_flag_members, "key long, node long").distinct(), "flagged")
-    some = dealt(open_rows.join(flagged, ["key", "node"]), "key", BLOCK).join(classes.select("node", "n_shingles"), "node")
+    some = dealt(open_rows.join(flagged, ["key", "node"]), "key", BLOCK, once=True).join(classes.select("node", "n_shingles"), "node")
     edges = in_order(some.join(sketches_of(flagged.select("node"), rows), "node"), "sketch").mapInArrow(_possible_forest, "a long, b long")
     return connected_components(edges, "families").withColumnRenamed("component", "family")
 
