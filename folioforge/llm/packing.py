@@ -151,9 +151,12 @@ def _place_batches(plan: dict[int, np.ndarray]):
     return run
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = bounded_batches(docs, BATCH_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``batch_bytes``: bytes of text encoded together; more of them hold fewer distinct chunks, and take more memory.
+    """
+    rows = bounded_batches(docs, batch_bytes).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local_rank long"
     pieces = materialize(rows.mapInArrow(_piece_batches(tokenizer or default_vocabulary(), capacity, end_id), schema), "pieces")
     # rank of a piece among those of its length: how many the earlier parts hold, plus its place in its own part

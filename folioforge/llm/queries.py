@@ -39,9 +39,10 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytebpe import ENCODE_BYTES
     from .packing import pack_documents
 
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), batch_bytes=ENCODE_BYTES)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
