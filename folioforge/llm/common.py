@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,18 +195,54 @@ def once_each(docs: DataFrame, several: DataFrame, doc_id: str, mark: Column) ->
     return rows_marked(docs, keys, doc_id, mark, "left_anti").union(least)
 
 
+#: Edges that one task holds while it joins them to stars.
+EDGES_A_TASK = 100_000
+
+
+def _stars(batches):
+    """(node, component) of the edges of a task, EDGES_A_TASK at a time: every node with the smallest one that those edges connect it with."""
+
+    def told():
+        nodes, at = np.unique(np.concatenate(held), return_inverse=True)
+        forest = Forest(len(nodes))
+        for i, j in at.reshape(-1, 2).tolist():
+            forest.join(i, j)
+        roots = np.array([forest.root(i) for i in range(len(nodes))], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], ["node", "component"])
+
+    held, n = [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, EDGES_A_TASK):
+            held.append(np.stack([batch.column(i).slice(k, EDGES_A_TASK).to_numpy() for i in (0, 1)], axis=1).ravel())
+            n += len(held[-1]) // 2
+            if n >= EDGES_A_TASK:
+                yield told()
+                held, n = [], 0
+    if held:
+        yield told()
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component = smallest reachable node.
 
-    Hash-to-min over label tables with pointer jumping.  Every round is two
-    map-side combined aggregations; the joins on a hub rely on AQE to split its
-    rows; rounds grow with the logarithm of the longest chain.  Round tables are
-    written to the shared folder.
+    Tasks first make stars of EDGES_A_TASK edges each, which is all where there are
+    no more of them.  Then hash-to-min over label tables with pointer jumping: every
+    round is two map-side combined aggregations; the joins on a hub rely on AQE to
+    split its rows; rounds grow with the logarithm of the longest chain.  Round
+    tables are written to the shared folder.
     """
     spark = edges.sparkSession
+    links = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), f"{name}-links")
+    tasks = max(1, -(-links.count() // EDGES_A_TASK))
+    stars = materialize(links.coalesce(tasks).mapInArrow(_stars, "node long, component long"), f"{name}-stars")
+    discard(spark, links)
+    if tasks == 1:
+        return stars
+    edges = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
     both = materialize(
         edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), f"{name}-edges"
     )
+    discard(spark, stars)
     labels = materialize(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")),
         f"{name}-0",

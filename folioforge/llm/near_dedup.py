@@ -42,6 +42,8 @@ SHINGLE, LEAST_PERCENT = 5, 75
 #: A pair at Jaccard 0.75 misses all 60 bands of 5 with probability (1 - 0.75**5)**60 < 1e-7.
 BANDS, ROWS = 60, 5
 REGISTERS = BANDS * ROWS
+#: Sets up to this many shingles are banded by their full buckets alone; those above 3/4 of it, too, by registers without empty ones.
+SPARSE = 64
 MANTISSA = 10
 #: Bits of the signatures that are compared before sketches: one of each of so many registers, and whether it is full.
 SIGNATURE = 256
@@ -147,15 +149,51 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return registers_of([shingles])[0]
 
 
-def band_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit key) of every band that has a full bucket, of (n, REGISTERS) sketches."""
-    bands = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
+def _lenders() -> np.ndarray:
+    """(REGISTERS, REGISTERS): for each register its own random order of all registers."""
     with np.errstate(over="ignore"):
-        keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT[0], (len(bands), 1))
-        for i in range(ROWS):
-            keys = _mix(keys + bands[:, :, i] * _MULT[i])
-    full = bands.any(2)
-    return np.nonzero(full)[0], keys[full].view(np.int64)
+        rank = _mix(_mix(np.arange(1, REGISTERS**2 + 1, dtype=np.uint64) * _MULT[3])).reshape(REGISTERS, REGISTERS)
+    return np.argsort(rank, axis=1, kind="stable")
+
+
+_LENDERS = _lenders()
+
+
+def densified(sketches: np.ndarray) -> np.ndarray:
+    """Sketches whose empty registers have the value of the first full one in their own order of registers.
+
+    So every register of two sets agrees with the probability of their Jaccard
+    index; registers that are empty in both say nothing about the sets.
+    """
+    out = sketches.copy()
+    row, column = np.nonzero((out == 0) & sketches.any(1)[:, None])
+    for k in range(REGISTERS):
+        if not len(row):
+            break
+        lent = sketches[row, _LENDERS[column, k]]
+        out[row, column] = lent
+        left = lent == 0
+        row, column = row[left], column[left]
+    return out
+
+
+def band_keys(sketches: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit key) of the bands of (n, REGISTERS) sketches of sets of so many shingles.
+
+    Bands with empty registers meet sets that share one shingle, so only sets of at
+    most SPARSE shingles have them, which fill few bands.  A pair at 0.75 is within one of the two kinds.
+    """
+    found = []
+    for kind, mine in enumerate((sizes <= SPARSE, sizes * 4 > SPARSE * 3)):
+        rows = np.flatnonzero(mine)
+        bands = (densified(sketches[rows]) if kind else sketches[rows]).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            keys = np.tile((np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(kind * BANDS)) * _MULT[0], (len(bands), 1))
+            for i in range(ROWS):
+                keys = _mix(keys + bands[:, :, i] * _MULT[i])
+        full = bands.any(2)
+        found.append((rows[np.nonzero(full)[0]], keys[full].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def chance_match(sizes_a, sizes_b) -> np.ndarray:
@@ -264,8 +302,9 @@ def _band_batches(batches):
             seen.clear()
         fresh = {node: k for k, node in enumerate(batch.column(0).to_pylist()) if node not in seen}
         seen.update(fresh)
-        sketches = batch.column(1).take(pa.array([*fresh.values()], pa.int64())).to_pylist()
-        row, keys = band_keys(np.frombuffer(b"".join(sketches), np.uint16))
+        at = pa.array([*fresh.values()], pa.int64())
+        sketches, sizes = batch.column(1).take(at).to_pylist(), batch.column(2).take(at).to_numpy()
+        row, keys = band_keys(np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, REGISTERS), sizes)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array([*fresh], np.int64)[row])], ["key", "node"])
 
 
@@ -305,7 +344,7 @@ def bucket_members(rows: DataFrame) -> DataFrame:
 
     The 16-byte band rows move once; a bucket of any size passes by in order and is never held.
     """
-    bands = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "sketch").mapInArrow(_band_batches, "key long, node long")
+    bands = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "sketch", "n_shingles").mapInArrow(_band_batches, "key long, node long")
     return bands.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_keys, "key long, node long, leader long")
 
 

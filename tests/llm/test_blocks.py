@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from folioforge.llm import near_dedup, packing
+from folioforge.llm import common, near_dedup, packing
 
 
 def _grouped(spark):
@@ -52,3 +52,45 @@ def test_packing_is_the_same_whatever_the_batches(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit(" word"), F.col("id").cast("string")), (F.col("id") % 7).cast("int")).alias("text"))
     pieces = [sorted(r[:5] for r in packing.pack_documents(docs, batch_bytes=b).collect()) for b in (1 << 10, 8 << 20)]
     assert pieces[0] == pieces[1] and len(pieces[0]) == 300
+
+
+def _pair(rng, n, both):
+    """Two sets of ``n`` shingles that have ``both`` in common."""
+    x = np.unique(rng.integers(0, 2**63, 2 * n, np.uint64))
+    return np.sort(x[:n]), np.sort(x[n - both : 2 * n - both])
+
+
+def _shared_bands(pairs):
+    sets = [s for pair in pairs for s in pair]
+    row, keys = near_dedup.band_keys(near_dedup.registers_of(sets), np.array([len(s) for s in sets]))
+    return [len(set(keys[row == k].tolist()) & set(keys[row == k + 1].tolist())) for k in range(0, len(sets), 2)]
+
+
+def test_bands_of_near_copies_meet_and_those_of_other_texts_do_not():
+    rng = np.random.default_rng(5)
+    for n in (4, 7, 40, 48, 49, 56, 64, 65, 90, 300):  # both / (2 * n - both) >= 0.75
+        assert min(_shared_bands([_pair(rng, n, -(-6 * n // 7)) for _ in range(60)])) > 0
+    uneven = [(a[: len(a) * 5 // 6], a) for a, _ in (_pair(rng, n, 0) for n in range(45, 90))]
+    assert min(_shared_bands(uneven)) > 0
+    for n in (120, 300):  # a third of both sets: 60 * (1/5)**5 bands
+        assert sum(_shared_bands([_pair(rng, n, n // 3) for _ in range(100)])) < 20
+
+
+def test_registers_lend_only_what_the_set_has():
+    sketches = near_dedup.registers_of([np.arange(1, 50, dtype=np.uint64), np.empty(0, np.uint64)])
+    dense = near_dedup.densified(sketches)
+    assert dense[0].all() and set(dense[0].tolist()) == set(sketches[0].tolist()) - {0} and not dense[1].any()
+    assert (dense[0] == sketches[0])[sketches[0] != 0].all()
+
+
+def test_few_edges_are_joined_by_one_task_and_many_in_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(common, "materialize", lambda df, name, write=common.materialize: tables.append(name) or write(df, name))
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
+    want = {**{i: 1 for i in range(1, 61)}, **{k: 100 for k in range(100, 160)}}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    assert {r.node: r.component for r in common.connected_components(df).collect()} == want
+    assert len(tables) == 2
+    monkeypatch.setattr(common, "EDGES_A_TASK", 30)
+    assert {r.node: r.component for r in common.connected_components(df).collect()} == want
+    assert len(tables) > 4
