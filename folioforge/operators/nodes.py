@@ -241,9 +241,9 @@ KEYS = ["doc_id", "part"]
 
 def attributes(token: Column) -> Column:
     """Names as written and values of a tag."""
-    found = F.regexp_extract_all(token, F.lit(_ATTRIBUTE), F.lit(0))
-    value = lambda x: unescaped(F.regexp_replace(F.regexp_replace(x, r"^[^=]*=\s*", ""), "^[\"']|[\"']$", ""))
-    return F.map_from_entries(F.transform(found, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^=]*)=", 1)).alias("key"), value(x).alias("value"))))
+    group = lambda k: F.regexp_extract_all(token, F.lit(_ATTRIBUTE), F.lit(k))
+    values = F.zip_with(group(2), group(3), lambda x, y: F.concat(x, y))  # one of the two is empty
+    return F.map_from_arrays(group(1), F.transform(values, unescaped))
 
 
 def _word_numbered() -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,8 @@ def source_part(rels: Column) -> Column:
 
 def relationships(rels: DataFrame) -> DataFrame:
     """(doc_id, part, source, rel_id, type, target, resolved) of relationship members (doc_id, part, xml)."""
-    rows = N.tokens(rels, N.KEYS, "xml").where(N.element() & (F.col("name") == "Relationship")).withColumn("a", N.attributes(F.col("token")))
+    rows = N.tokens(rels, N.KEYS, "xml").where(N.element() & (F.col("name") == "Relationship"))
+    rows = rows.withColumn("a", F.explode(F.array(N.attributes(F.col("token")))))  # exploded, they are read once
     rows = rows.where(F.col("a")["Target"].isNotNull())
     return rows.select("doc_id", "part", source_part(F.col("part")).alias("source"), F.col("a")["Id"].alias("rel_id"), F.col("a")["Type"].alias("type"), F.col("a")["Target"].alias("target"), resolved_target(F.col("part"), F.col("a")["Target"]).alias("resolved"))
 
@@ -59,17 +63,89 @@ def cyclic(edges: DataFrame) -> DataFrame:
     return left.select("doc_id").distinct()
 
 
+#: Edges of a document that a task holds at most; documents of more meet in joins.
+EDGES_HELD = 200_000
+MUTUAL, TRANSITIVE = "relationship-cycle", "relationship-cycle-transitive"
+
+
+def _left_by_removal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edges (a, b) that are left where every edge into a node without a way out is taken away: none without a cycle."""
+    left, n = np.arange(len(a)), int(max(a.max(), b.max())) + 1
+    for _ in range(32):  # short chains, all at once
+        kept = left[np.bincount(a[left], minlength=n)[b[left]] > 0]
+        if len(kept) == len(left):
+            return left
+        left = kept
+    order = left[np.argsort(b[left], kind="stable")]
+    begins, ways = np.searchsorted(b[order], np.arange(n + 1)).tolist(), np.bincount(a[left], minlength=n).tolist()
+    source, stack = a[order].tolist(), [k for k in range(n) if not ways[k]]
+    while stack:  # long ones, an edge at a time
+        k = stack.pop()
+        for x in source[begins[k] : begins[k + 1]]:
+            ways[x] -= 1
+            if not ways[x]:
+                stack.append(x)
+    return left[np.array(ways)[b[left]] > 0]
+
+
+def _found_in(rows: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, a, b, code) of whole documents' distinct edges: mutual ones, and documents with a cycle."""
+    doc = pd.factorize(rows.doc_id)[0]
+    name = pd.factorize(np.concatenate([rows.a, rows.b]))[0].astype(np.int64)
+    node = pd.factorize(np.concatenate([doc, doc]).astype(np.int64) * (name.max() + 1) + name)[0]
+    a, b = node[: len(doc)], node[len(doc) :]
+    n = int(node.max()) + 1
+    mutual = rows[np.isin(a * n + b, b * n + a)].assign(code=MUTUAL)
+    cyclic_ = rows.doc_id.iloc[_left_by_removal(a, b)].drop_duplicates()
+    return pd.concat([mutual, pd.DataFrame({"doc_id": cyclic_, "a": None, "b": None, "code": TRANSITIVE})])
+
+
+def _graph_batches(batches):
+    """(doc_id, a, b, code) from edges sorted by doc_id; a document of more than EDGES_HELD edges is passed on with null codes."""
+    told = lambda rows: pa.RecordBatch.from_pandas(rows, _FOUND, preserve_index=False)
+    held, passing = None, None
+    for batch in batches:
+        rows = batch.to_pandas()
+        if passing is not None:
+            yield told(rows[rows.doc_id == passing].assign(code=None))
+            rows = rows[rows.doc_id != passing]
+        if not len(rows):
+            continue
+        passing = None
+        held = rows if held is None else pd.concat([held, rows])
+        last = held.doc_id == held.doc_id.iloc[-1]
+        if not last.all():
+            yield told(_found_in(held[~last]))
+            held = held[last]
+        if len(held) > EDGES_HELD:
+            yield told(held.assign(code=None))
+            held, passing = None, held.doc_id.iloc[-1]
+    if held is not None:
+        yield told(_found_in(held))
+
+
+_FOUND = pa.schema([(c, pa.string()) for c in ("doc_id", "a", "b", "code")])
+
+
 def relationship_violations(links: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id, source, resolved, code): relationship-target-missing, relationship-cycle (two parts name each other, or one itself),
-    relationship-cycle-transitive (a document with a cycle of any length; source and resolved are null)."""
+    relationship-cycle-transitive (a document with a cycle of any length; source and resolved are null).
+
+    Graphs of up to EDGES_HELD edges are read whole, a document after the other; larger ones by joins.
+    """
     inner = links.where("resolved IS NOT NULL")
     missing = inner.join(members.select("doc_id", F.col("part").alias("resolved")), ["doc_id", "resolved"], "left_anti")
-    edges = inner.select("doc_id", F.col("source").alias("a"), F.col("resolved").alias("b")).distinct()
-    mutual = edges.join(edges.select("doc_id", F.col("a").alias("b"), F.col("b").alias("a")), ["doc_id", "a", "b"], "left_semi")
-    none = F.lit(None).cast("string")
     out = missing.select("doc_id", "source", "resolved", F.lit("relationship-target-missing").alias("code")).distinct()
-    out = out.union(mutual.select("doc_id", "a", "b", F.lit("relationship-cycle")))
-    return out.union(cyclic(edges).select("doc_id", none, none, F.lit("relationship-cycle-transitive")))
+    edges = inner.select("doc_id", F.col("source").alias("a"), F.col("resolved").alias("b")).repartition("doc_id").distinct()
+    found = written(edges.sortWithinPartitions("doc_id").mapInArrow(_graph_batches, "doc_id string, a string, b string, code string"), "graphs")
+    out = out.union(found.where("code IS NOT NULL"))
+    large = found.where("code IS NULL").drop("code")
+    if large.isEmpty():
+        return out
+    mutual = large.join(large.select("doc_id", F.col("a").alias("b"), F.col("b").alias("a")), ["doc_id", "a", "b"], "left_semi")
+    none = F.lit(None).cast("string")
+    out = out.union(mutual.select("doc_id", "a", "b", F.lit(MUTUAL)))
+    return out.union(cyclic(large).select("doc_id", none, none, F.lit(TRANSITIVE)))
 
 
 def package_stats(packages: DataFrame, parts: DataFrame, nested: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,3 +133,30 @@ def test_fingerprints_and_policy_gate(spark):
 def test_scan_violations(spark, change, code):
     rows = [("d", *candidate(1).values()), ("d", *candidate(2, **change).values())]
     assert {r.code for r in policies.scan_violations(spark.createDataFrame(rows, CANDIDATE_TYPES)).collect()} == {code}
+
+
+def test_graphs_are_read_in_one_pass(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(P, "written", lambda df, name, write=P.written: tables.append(name) or write(df, name))
+    chain = [(d, f"n{k}", f"n{k + 1}") for d in ("open", "round") for k in range(90)] + [("round", "n90", "n0"), ("self", "x", "x"), ("two", "x", "y"), ("two", "y", "x"), ("two", "z", "x")]
+    links = spark.createDataFrame(chain, "doc_id string, source string, resolved string").repartition(3)
+    members = links.select("doc_id", F.col("source").alias("part")).union(spark.createDataFrame([("open", "n90")], links.select("doc_id", "source").schema))
+    want = {("self", "x", "x", P.MUTUAL), ("two", "x", "y", P.MUTUAL), ("two", "y", "x", P.MUTUAL), *((d, None, None, P.TRANSITIVE) for d in ("round", "self", "two"))}
+    got = [tuple(r) for r in P.relationship_violations(links, members).collect()]
+    assert set(got) == want and len(got) == len(want) and tables == ["graphs"]
+
+
+def test_large_graphs_are_passed_on(monkeypatch):
+    monkeypatch.setattr(P, "EDGES_HELD", 4)
+    rows = [("a", "x", "y"), ("a", "y", "x")] + [("b", str(k), str(k + 1)) for k in range(9)] + [("c", "x", "y"), ("d", "x", "x")]
+    for size in (1, 2, 3, 5, 20):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("doc_id", "a", "b"), r)) for r in rows[k : k + size]]) for k in range(0, len(rows), size)]
+        out = [tuple(r.values()) for batch in P._graph_batches(iter(batches)) for r in batch.to_pylist()]
+        assert [r[:3] for r in out if r[3] is None] == (rows[2:11] if size < 20 else [])  # what one batch holds is read anyway
+        assert {r for r in out if r[3]} == {("a", "x", "y", P.MUTUAL), ("a", "y", "x", P.MUTUAL), ("d", "x", "x", P.MUTUAL), ("a", None, None, P.TRANSITIVE), ("d", None, None, P.TRANSITIVE)}
+
+
+def test_attribute_values(spark):
+    tag = """<w:x a="1" w:b='two "q"' c = "x&amp;y's" d="" e="&#65;="/>"""
+    row = spark.createDataFrame([(tag,), ("<y/>",), (None,)], "t string").select(N.attributes(F.col("t"))).collect()
+    assert [r[0] for r in row] == [{"a": "1", "w:b": 'two "q"', "c": "x&y's", "d": "", "e": "A="}, {}, None]
