@@ -165,16 +165,25 @@ def elements(nested: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "seq", "name", "level", "parent", "ordinal", "start", F.col("element_stop").alias("stop"))
 
 
+def _open_elements(keys: list[str], mine: Column) -> Column:
+    return F.sum(F.when(opens() & mine, 1).when(closes() & mine, -1).otherwise(0)).over(in_order(keys)).cast("int")
+
+
+def deepest(rows: DataFrame, keys: list[str], names: list[str] | None) -> int:
+    """The deepest nesting of the elements among ``names`` (or all); only tags of these move."""
+    mine = F.lit(True) if names is None else F.col("name").isin(*names)
+    tags = rows.where((opens() | closes()) & mine).select(*keys, "seq", "kind", "name")
+    return tags.withColumn("_depth", _open_elements(keys, mine)).agg(F.coalesce(F.max("_depth"), F.lit(0))).first()[0]
+
+
 def with_chain(rows: DataFrame, keys: list[str], names: list[str] | None, entry: Column, depth: int | None = None) -> DataFrame:
     """``chain``: for every row the open elements among ``names`` (or all), outermost first, as ``entry``; an opening tag is in its own.
 
     ``depth``: the deepest nesting of these elements; counted if not given.
     """
     mine = F.lit(True) if names is None else F.col("name").isin(*names)
-    step = F.when(opens() & mine, 1).when(closes() & mine, -1).otherwise(0)
-    rows = rows.withColumn("_depth", F.sum(step).over(in_order(keys)).cast("int"))
-    if depth is None:
-        depth = rows.agg(F.coalesce(F.max("_depth"), F.lit(0))).first()[0]
+    depth = deepest(rows, keys, names) if depth is None else depth
+    rows = rows.withColumn("_depth", _open_elements(keys, mine))
     kept = [F.last(F.when(opens() & mine & (F.col("_depth") == k), entry), ignorenulls=True).over(in_order(keys)) for k in range(1, max(depth, 1) + 1)]
     return rows.withColumn("chain", F.slice(F.array(*kept), 1, F.greatest(F.col("_depth"), F.lit(0)))).drop("_depth")
 
@@ -207,6 +216,7 @@ def labelled(nested: DataFrame, keys: list[str], grammar: Grammar, depth: int |
     ``above`` (all of them); elements that don't meet it are not counted, and neither they nor what lies in them has a label.
     """
     marks = nested.where(F.col("kind").isin("open", "close", "alone") & F.col("name").isin(*grammar.names))
+    depth = deepest(marks, keys, grammar.names) if depth is None else depth
     marks = with_chain(marks, keys, grammar.names, F.struct("seq", "name", "level"), depth)
     above = F.when(opens(), F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0)))).otherwise(F.col("chain"))
     marks = marks.withColumn("above", above).withColumn("near", F.try_element_at("above", F.lit(-1)))
@@ -365,8 +375,8 @@ def word_nodes(nested: DataFrame, paragraphs: DataFrame, keys: list[str] = KEYS,
         F.when(F.col("_run") >= 0, F.col("_run")).alias("run"),
     )
     styles = run_styles(nested, keys).select(*keys, "run", F.col("style_id").alias("style"))
-    styled = plain.where("run IS NOT NULL").join(styles, [*keys, "run"], "left").withColumn("style", F.coalesce("style", style_id(F.lit(PLAIN))))
-    every = styled.unionByName(plain.where("run IS NULL").withColumn("style", F.lit(None).cast("string"))).drop("run")
+    style = F.when(F.col("run").isNotNull(), F.coalesce("style", style_id(F.lit(PLAIN))))
+    every = plain.join(styles, [*keys, "run"], "left").withColumn("style", style).select(*plain.columns, "style").drop("run")
     return every.join(paragraphs.select(*keys, F.col("seq").alias("_p"), "paragraph_id"), [*keys, "_p"]).drop("_p")
 
 

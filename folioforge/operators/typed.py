@@ -3,7 +3,7 @@
 A typed document is a header line, then blocks: a paragraph marker, a line for its
 mark's revision if it has one, and one line of inline markup.  Part markers change
 the part of what follows; delete markers name removed paragraphs.  Reading is
-windows over lines and brackets over the tags of a line, writing two ordered
+windows over lines and brackets over the tags of a line, both written as tables, writing two ordered
 aggregations; all of it is JVM expressions.
 
 What breaks the grammar becomes violation rows (keys, line, code), and nothing else
@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .nodes import closes, opens, with_chain
 from .units import LAST, glued
 
@@ -70,10 +71,12 @@ def merged(nodes: DataFrame, by: list[str]) -> DataFrame:
     text = F.col("cls") == "text"
     same = text & (F.lag("cls").over(w) == "text") & F.lag("style").over(w).eqNullSafe(F.col("style")) & (F.lag("_parent").over(w) == F.col("_parent"))
     rows = rows.withColumn("_island", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w))
-    texts = rows.where(text).groupBy(*by, "_island").agg(F.min("path").alias("path"), glued(F.coalesce("text", F.lit("")), "path").alias("text"), F.min("style").alias("style"))
-    null = F.lit(None)
-    texts = texts.select(*by, "path", F.lit("text").alias("cls"), F.lit("text").alias("kind"), null.cast("string").alias("token_id"), "style", "text", null.cast("map<string,string>").alias("attrs"))
-    return texts.unionByName(rows.where(~text).select(*texts.columns))
+    # a node that isn't text is an island of its own
+    is_text, one = F.first("cls") == "text", lambda c: F.first(c).alias(c)
+    glue = F.when(is_text, glued(F.coalesce("text", F.lit("")), "path")).otherwise(F.first("text"))
+    own = [F.when(~is_text, F.first(c)).alias(c) for c in ("token_id", "attrs")]
+    out = rows.groupBy(*by, "_island").agg(F.min("path").alias("path"), one("cls"), F.when(is_text, "text").otherwise(F.first("kind")).alias("kind"), one("style"), glue.alias("text"), *own)
+    return out.select(*by, *_NODE[1:])
 
 
 def bodies(paragraphs: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -216,9 +219,10 @@ def read_typed(docs: DataFrame, keys: list[str] | None = None, text: str = "type
     ``depth``: the deepest nesting of inline markup; counted if not given.
     """
     keys = keys or ["doc_id"]
-    lines = _lines(docs, keys, text)
+    lines = written(_lines(docs, keys, text), "typed-lines")
     body = lines.where("what = 'body' AND nth = 1").select(*keys, F.col("at").alias("ord"), "line", "said")
-    tags = _tags(body, [*keys, "ord"], depth)
+    tags = _tags(body, [*keys, "ord"], depth).select(*keys, "ord", "line", "seq", "piece", "name", "kind", "pairs", "_before", "code")
+    tags = written(tags, "typed-tags")
     wrong = lines.select(*keys, "line", "code").unionByName(tags.select(*keys, "line", "code")).where("code IS NOT NULL")
     ids = lines.where("what IN ('p', 'delete')").select(*keys, "line", "what", _plain(_value(F.col("pairs"), "id")).alias("id")).where("id <> ''")
     one = Window.partitionBy(*keys, "id").orderBy("line")

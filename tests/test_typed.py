@@ -111,3 +111,14 @@ def test_nothing_is_read_from_broken_documents(broken):
     (documents, paragraphs, nodes, deletions), _ = broken
     assert [r.doc_id for r in documents.collect()] == ["fine"]
     assert paragraphs.isEmpty() and nodes.isEmpty() and deletions.isEmpty()
+
+
+def test_nodes_are_made_in_one_pass(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(T, "written", lambda df, name, write=T.written: tables.append(name) or write(df, name), raising=False)
+    doc = HEAD + '-->\n\n<!--@p id="P0" base="s_1"-->\na<span data-s="s_1">b</span><docx-inline id="t1" kind="tab" n="1"/>c<docx-revision id="t2" kind="insert">d</docx-revision>\n'
+    _, _, nodes, _, wrong = T.read_typed(spark.createDataFrame([("d", doc)], "doc_id string, typed string"))
+    assert tables == ["typed-lines", "typed-tags"] and wrong.count() == 0
+    assert "Union" not in nodes._jdf.queryExecution().optimizedPlan().toString().split("Join LeftAnti")[0]
+    got = [(r.cls, r.kind, r.token_id, r.text, r.attrs) for r in nodes.orderBy("path").collect()]
+    assert got == [("text", "text", None, "ab", None), ("inline", "tab", "t1", None, {"n": "1"}), ("text", "text", None, "c", None), ("revision", "insert", "t2", None, {}), ("text", "text", None, "d", None)]
