@@ -16,11 +16,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .units import clusters, glued, in_pos
+from .units import LAST, clusters, in_pos
 
 #: Bytes of one Arrow batch of pairs; a longer pair is a batch of its own.
 BATCH_BYTES = 1 << 20
@@ -145,6 +145,45 @@ def spliced(pairs: DataFrame, hunks: DataFrame) -> DataFrame:
     return rows.select("id", F.concat(F.array_join(kept, ""), tail).alias("text"))
 
 
+def _listed(rows: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """by, ``name`` (values in order, X before text and T before a token) and ``name``_runs of units.
+
+    A run (lo, hi, token, style, wrappers, in_revision, chars) is a token, or text alike in all of these.
+    """
+    w = in_pos(by)
+    like = lambda c: F.lag(c).over(w).eqNullSafe(F.col(c))
+    same = ~F.col("is_token") & ~F.lag("is_token", 1, True).over(w) & like("style") & like("wrappers") & like("in_revision")
+    value = F.concat(F.when(F.col("is_token"), "T").otherwise("X"), F.col("value"))
+    rows = rows.select(*by, "pos", value.alias("v"), "is_token", "style", "wrappers", "in_revision", F.sum(F.when(same, 0).otherwise(1)).over(w).alias("run"))
+    runs = rows.groupBy(*by, "run").agg(
+        F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"), F.first("is_token").alias("token"), F.first("style").alias("style"), F.first("wrappers").alias("wrappers"), F.first("in_revision").alias("in_revision"),
+        F.sum(F.length("v") - 1).cast("int").alias("chars"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("held"),
+    )
+    facts = ("lo", "hi", "token", "style", "wrappers", "in_revision", "chars")
+    every = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*facts, F.transform("held", lambda x: x["v"]).alias("values")))).alias("r"))
+    return every.select(*by, F.flatten(F.transform("r", lambda x: x["values"])).alias(name), F.transform("r", lambda x: F.struct(*[x[c].alias(c) for c in facts])).alias(f"{name}_runs"))
+
+
+def _hunk(o: Column) -> Column:
+    """One of ``ops`` with what it replaces and puts in, and the styled units nearest to its start."""
+    i1, i2, j1, j2 = (o[c] for c in ("i1", "i2", "j1", "j2"))
+    none = F.array()
+    met = lambda runs, lo, hi: F.filter(F.coalesce(runs, none), lambda x: (lo < hi) & (x["lo"] < hi) & (x["hi"] > lo))
+    base, draft = met("a_runs", i1, i2), met("b_runs", j1, j2)
+    text = lambda values, lo, hi: F.array_join(F.transform(F.filter(F.slice(values, lo + 1, hi - lo), lambda v: v.startswith("X")), lambda v: F.substring(v, 2, LAST)), "")
+    styled = F.filter(F.coalesce("a_runs", none), lambda x: ~x["token"] & x["style"].isNotNull())
+    one = lambda x, k: F.when(x.isNotNull(), F.struct(x["style"].alias("style"), F.substring(F.get("a", k), 2, LAST).alias("value")))
+    left, right = F.try_element_at(F.filter(styled, lambda x: x["lo"] < i1), F.lit(-1)), F.get(F.filter(styled, lambda x: x["hi"] > i1), F.lit(0))
+    # characters of text alone: offsets in ``a`` count those of tokens and a letter for each value
+    tokens = F.aggregate(F.filter(F.coalesce("a_runs", none), lambda x: x["token"] & (x["lo"] < i1)), F.lit(0), lambda n, x: n + x["chars"])
+    made = {
+        "base_token": F.exists(base, lambda x: x["token"]), "base_revision": F.exists(base, lambda x: x["in_revision"]), "draft_token": F.exists(draft, lambda x: x["token"]), "draft_revision": F.exists(draft, lambda x: x["in_revision"]),
+        "base_styles": F.array_sort(F.array_distinct(F.array_compact(F.transform(base, lambda x: F.when(~x["token"], x["style"]))))), "base_paths": F.size(F.array_distinct(F.transform(base, lambda x: x["wrappers"]))),
+        "removed": text("a", i1, i2), "inserted": text("b", j1, j2), "left": one(left, F.least(left["hi"], i1) - 1), "right": one(right, F.greatest(right["lo"], i1)), "base_start": o["from_a"] - i1 - tokens,
+    }
+    return F.struct(*[o[c].alias(c) for c in ("operation", "i1", "i2", "j1", "j2")], *[x.alias(c) for c, x in made.items()])
+
+
 def plan_hunks(base: DataFrame, drafts: DataFrame, paragraphs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """(hunks, draft units with their styles) of edited paragraphs.
 
@@ -161,32 +200,15 @@ def plan_hunks(base: DataFrame, drafts: DataFrame, paragraphs: DataFrame, by: li
     replaced stretch has no unchanged unit inside, and its text takes the one style
     of what it replaces.
     """
-    value = F.concat(F.when(F.col("is_token"), "T").otherwise("X"), F.col("value"))
-    listed = lambda rows, name: rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda x: x["v"]).alias(name))
+    # the size of a unit table's files is a small part of what its rows take in memory: joins that hold units are never broadcast
     none = F.array().cast("array<string>")
-    sides = paragraphs.join(listed(base, "a"), by, "left").join(listed(drafts, "b"), by, "left").withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
+    sides = paragraphs.join(_listed(base, "a", by).hint("merge"), by, "left").join(_listed(drafts, "b", by).hint("merge"), by, "left").withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
     ops = with_opcodes(sides.where("a <> b"), by)
-    steps = ops.select(*by, "mode", "has_opaque", "insertion_style", F.size("a").alias("n_base"), F.posexplode("ops").alias("step", "o"))
-    steps = written(steps.select(*by, "mode", "has_opaque", "insertion_style", "n_base", "step", "o.operation", "o.i1", "o.i2", "o.j1", "o.j2"), "steps")
-    hunks = steps.where("operation <> 'equal'")
-    w, back = in_pos(by), Window.partitionBy(*by).orderBy(F.desc("pos"))
-    styled = F.when(~F.col("is_token") & F.col("style").isNotNull(), F.struct("style", "value"))
-    size = F.when(F.col("is_token"), 0).otherwise(F.length("value"))
-    around = base.select(*by, "pos", F.last(styled, ignorenulls=True).over(w).alias("near_left"), F.last(styled, ignorenulls=True).over(back).alias("near_right"), F.sum(size).over(w).alias("to_char"))
-    left = around.select(*by, (F.col("pos") + 1).alias("i1"), F.col("near_left").alias("left"), F.col("to_char").alias("from_char"))
-    right = around.select(*by, F.col("pos").alias("i1"), F.col("near_right").alias("right"))
-    hunks = hunks.join(left, [*by, "i1"], "left").join(right, [*by, "i1"], "left")
-
-    def slices(rows: DataFrame, lo: str, hi: str, prefix: str) -> DataFrame:
-        at = hunks.where(f"{hi} > {lo}").select(*by, "step", F.explode(F.sequence(F.col(lo), F.col(hi) - 1)).alias("pos"))
-        held = at.join(rows, [*by, "pos"])
-        return held.groupBy(*by, "step").agg(
-            F.bool_or("is_token").alias(f"{prefix}_token"), F.bool_or("in_revision").alias(f"{prefix}_revision"), F.array_sort(F.collect_set(F.when(~F.col("is_token"), F.col("style")))).alias(f"{prefix}_styles"),
-            F.size(F.collect_set(F.col("wrappers"))).alias(f"{prefix}_paths"), glued(F.when(F.col("is_token"), "").otherwise(F.col("value"))).alias(f"{prefix}_text"),
-        )
-
-    hunks = hunks.join(slices(base, "i1", "i2", "base"), [*by, "step"], "left").join(slices(drafts, "j1", "j2", "draft"), [*by, "step"], "left")
-    pure, either = F.col("operation") == "insert", lambda c: F.coalesce(f"base_{c}", F.lit(False)) | F.coalesce(f"draft_{c}", F.lit(False))
+    parts = F.transform(F.filter("ops", lambda o: o["operation"] != "equal"), _hunk)
+    kept = F.transform(F.filter("ops", lambda o: o["operation"] == "equal"), lambda o: F.struct(o["i1"].alias("i1"), o["j1"].alias("j1"), o["j2"].alias("j2")))
+    steps = written(ops.select(*by, "mode", "has_opaque", "insertion_style", F.size("a").alias("n_base"), parts.alias("hunks"), kept.alias("kept")), "steps")
+    hunks = steps.select(*by, "mode", "has_opaque", "insertion_style", "n_base", F.posexplode("hunks").alias("hunk", "h")).select("*", "h.*").drop("h")
+    pure, either = F.col("operation") == "insert", lambda c: F.col(f"base_{c}") | F.col(f"draft_{c}")
     direct, start = F.col("mode") == "direct", F.col("i1") == 0
     unlike = (F.col("left.value") == F.col("right.value")) & (F.col("left.style") != F.col("right.style"))
     replaced = (F.col("operation") == "replace")
@@ -203,13 +225,11 @@ def plan_hunks(base: DataFrame, drafts: DataFrame, paragraphs: DataFrame, by: li
         F.when(F.col("mode") == "track", "tracked-revision-mapping").when(F.col("operation") == "delete", "deletion-preserves-survivors").when(replaced, "single-region-inheritance")
         .when(start, F.when(F.col("right").isNotNull(), "paragraph-start-right-context").otherwise("insertion-style-fallback")).when(F.col("left").isNotNull(), "left-context").otherwise("right-context-fallback")
     )
-    from_char, empty = F.coalesce("from_char", F.lit(0)).cast("int"), F.array().cast("array<string>")
-    hunks = hunks.withColumns({"code": code, "assigned_style": F.when(code.isNull(), style), "reason": F.when(code.isNull(), reason), "removed": F.coalesce("base_text", F.lit("")), "inserted": F.coalesce("draft_text", F.lit("")), "base_start": from_char, "source_styles": F.coalesce("base_styles", empty)})
-    hunks = hunks.withColumn("hunk", F.row_number().over(Window.partitionBy(*by).orderBy("step")) - 1)
-    equal = steps.where("operation = 'equal'").select(*by, F.posexplode(F.sequence(F.col("j1"), F.col("j2") - 1)).alias("k", "pos"), "i1").select(*by, "pos", (F.col("i1") + F.col("k")).alias("from_pos"))
+    hunks = hunks.withColumns({"code": code, "assigned_style": F.when(code.isNull(), style), "reason": F.when(code.isNull(), reason), "source_styles": F.col("base_styles")})
+    equal = steps.select(*by, F.inline("kept")).select(*by, F.posexplode(F.sequence(F.col("j1"), F.col("j2") - 1)).alias("k", "pos"), "i1").select(*by, "pos", (F.col("i1") + F.col("k")).alias("from_pos"))
     new = hunks.where("j2 > j1").select(*by, F.explode(F.sequence(F.col("j1"), F.col("j2") - 1)).alias("pos"), F.col("assigned_style").alias("new_style"))
     known = base.select(*by, F.col("pos").alias("from_pos"), F.col("style").alias("old_style"), F.col("node").alias("old_node"))
-    units = drafts.join(equal, [*by, "pos"], "left").join(known, [*by, "from_pos"], "left").join(new, [*by, "pos"], "left")
+    units = drafts.join(equal.hint("merge"), [*by, "pos"], "left").join(known.hint("merge"), [*by, "from_pos"], "left").join(new.hint("merge"), [*by, "pos"], "left")
     units = units.select(*by, "pos", "value", "is_token", F.coalesce("old_style", "new_style").alias("style"), "wrappers", "in_revision", F.coalesce("old_node", "node").alias("node"), "role")
     shown = ["hunk", "mode", "operation", "i1", "i2", "j1", "j2", "base_start", "removed", "inserted", "source_styles", "assigned_style", "reason", "code"]
     return hunks.select(*by, *shown), units

@@ -134,7 +134,7 @@ def units_round_trip(spark, sf_dir):
     """Nodes to units, to the edit projection, back to units and to nodes; of each node its place, kind and text."""
     nodes, base = _conversation_units(spark, sf_dir)
     read, _ = units.read_bodies(written(units.edit_bodies(base, BY), "bodies"), BY)
-    styled = read.drop("style", "node").join(base.select(*BY, "pos", "style", "node"), [*BY, "pos"])
+    styled = read.drop("style", "node").join(base.select(*BY, "pos", "style", "node").hint("merge"), [*BY, "pos"])  # units aren't broadcast
     rows = units.rebuilt(written(styled, "styled-units"), nodes, BY)
     place = F.row_number().over(Window.partitionBy("doc_id", "paragraph_id").orderBy("order")) - 1
     return rows.select("doc_id", "paragraph_id", place.alias("place"), "cls", "kind", F.coalesce("text", F.lit("")).alias("text"))

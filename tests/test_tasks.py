@@ -1,6 +1,7 @@
 """What one task holds doesn't grow with the tables."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,3 +40,13 @@ def test_more_markup_goes_to_more_tasks(spark, monkeypatch):
     assert most_rows(rows) < rows.count() / 4
     found = structure.markup_violations(spark, DATA)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of pages; tokens don't move
+
+
+def test_units_of_both_ways_meet_without_a_broadcast(spark, monkeypatch):
+    from folioforge.plans import structure
+
+    seen, write = {}, structure.written
+    monkeypatch.setattr(structure, "written", lambda df, name: seen.update({name: df}) or write(df, name))
+    structure.units_round_trip(spark, DATA)
+    plan = seen["styled-units"]._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[[^\]]*pos#", plan) and not re.search(r"BroadcastHashJoin \[[^\]]*pos#", plan)

@@ -215,3 +215,29 @@ def test_boundary_crossing(spark):
     draft = spark.createDataFrame([(1, 0, "k", False, None, [], False, 0, "text"), (1, 1, "X", False, None, [], False, 1, "text"), (1, 2, "d", False, None, [], False, 2, "text")], schema)
     paragraphs = spark.createDataFrame([(1, "direct", False, "s")], "id int, mode string, has_opaque boolean, insertion_style string")
     assert [r.code for r in align.plan_hunks(base, draft, paragraphs, ["id"])[0].collect()] == ["protected-boundary-crossing"]
+
+
+def test_plans_hold_no_units_in_a_broadcast(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(align, "written", lambda df, name: seen.append(df) or written(df, name))
+    schema = "id int, pos int, value string, is_token boolean, style string, wrappers array<int>, in_revision boolean, node int, role string"
+    base, drafts = (written(spark.createDataFrame(unit_rows(1, said, styled), schema), "rows") for said, styled in (("aab", True), ("aXb", False)))
+    paragraphs = written(spark.createDataFrame([(1, "direct", False, "s")], "id int, mode string, has_opaque boolean, insertion_style string"), "paragraphs")
+    hunks, new = align.plan_hunks(base, drafts, paragraphs, ["id"])
+    assert seen and not any("Broadcast" in x._jdf.queryExecution().executedPlan().toString() for x in (*seen, hunks, new))
+    assert [(r.removed, r.inserted, r.assigned_style) for r in hunks.collect()] == [("a", "X", "a")]
+
+
+def test_places_and_styles_around_tokens(spark):
+    schema = "id int, pos int, value string, is_token boolean, style string, wrappers array<int>, in_revision boolean, node int, role string"
+    text = lambda k, pos, value, style: (k, pos, value, False, style, [], False, pos, "text")
+    token = lambda k, pos: (k, pos, "⟦token⟧", True, None, [], False, pos, "token")
+    base = [text(1, 0, "e\u0301", "a"), token(1, 1), text(1, 2, "b", "b"), text(1, 3, "c", "b"), text(1, 4, "d", None), text(2, 0, "a", "a"), text(2, 1, "b", "a")]
+    draft = [text(1, 0, "e\u0301", None), token(1, 1), text(1, 2, "X", None), text(1, 3, "c", None), text(1, 4, "Y", None), text(1, 5, "d", None), text(2, 0, "a", None), text(2, 1, "Z", None), text(2, 2, "b", None)]
+    paragraphs = spark.createDataFrame([(1, "direct", False, "s"), (2, "direct", False, "s"), (3, "direct", False, "s")], "id int, mode string, has_opaque boolean, insertion_style string")
+    hunks, _ = align.plan_hunks(spark.createDataFrame(base, schema), spark.createDataFrame(draft, schema), paragraphs, ["id"])
+    got = [(r.id, r.hunk, r.operation, r.base_start, r.removed, r.inserted, r.source_styles, r.assigned_style, r.reason) for r in hunks.orderBy("id", "hunk").collect()]
+    assert got == [
+        (1, 0, "replace", 2, "b", "X", ["b"], "b", "single-region-inheritance"), (1, 1, "insert", 4, "", "Y", [], "b", "left-context"),
+        (2, 0, "insert", 1, "", "Z", [], "a", "left-context"),
+    ]
