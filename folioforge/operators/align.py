@@ -5,8 +5,9 @@ longest).  Only that recursion runs in Python, over integers: a pair's units are
 numbered by Arrow, and the places where a block of some length ends are bit
 sets, so that lengths double with one shift and one ``and`` per place; long pairs
 go row by row instead.  Batches are bounded by bytes and one pair of a batch is
-open at a time, so a task's memory is that of its longest pair.  Slices,
-contexts, codes and assigned styles are joins and windows over units.
+open at a time, so a task's memory is that of its longest pair.  A paragraph's
+units are one row of arrays: values, and runs of units alike in style and place,
+from which slices, contexts, codes and assigned styles are taken.
 """
 
 from __future__ import annotations
